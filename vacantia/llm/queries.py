@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vacantia.llm import bpe
+from vacantia.llm import bpe, licenses
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,9 +22,13 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), vocabulary)
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_bpe": op1_bpe}
+    return {"op1_bpe": op1_bpe, "op6_licenses": op6_licenses}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_licenses": licenses.report_sql()}
