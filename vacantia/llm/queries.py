@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vacantia.llm import bpe, licenses
+from vacantia.llm import bpe, licenses, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,8 +26,12 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(read(spark, sf_dir, "documents"))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_bpe": op1_bpe, "op6_licenses": op6_licenses}
+    return {"op1_bpe": op1_bpe, "op6_licenses": op6_licenses, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
