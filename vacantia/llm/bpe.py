@@ -21,8 +21,8 @@ from __future__ import annotations
 
 import json
 import re
-import sys
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -33,8 +33,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Entries of a worker's word cache before it is emptied; longer words are not cached.
+#: Entries of a worker's cache before it is emptied; longer stretches are not cached.
 CACHE_WORDS, CACHE_LEN = 400_000, 48
+#: Characters by which the longest label at a place is bounded.
+HEAD = 4
 _SPACE = r"\t-\r \x85\xa0  -     　"
 _COMPILED: dict[str, Automaton] = {}
 
@@ -64,12 +66,16 @@ class Automaton:
         cut = len(self.end)
         self.final = {x[: len(x) - cut]: i for x, i in self.ids.items() if x.endswith(self.end)}
         self.inner = {x: i for x, i in self.ids.items() if not cut or not x.endswith(self.end)}
-        #: Strings that a longer label begins with: where a walk over a word may go on.
-        self.more = {x[:k] for x in (*self.final, *self.inner) for k in range(1, len(x))}
+        #: Of the first characters of longer labels: length of the longest label with them.
+        self.reach: dict[str, int] = {}
+        for x in (*self.final, *self.inner):
+            if len(x) >= HEAD:
+                self.reach[x[:HEAD]] = max(len(x), self.reach.get(x[:HEAD], 0))
         chars = _byte_chars()
         self._bytes = {b: chars[b] for b in range(256)}
         contractions = "'s|'t|'re|'ve|'m|'ll|'d"
         self._words = regex.compile(rf"\p{{L}}+|\p{{N}}|{contractions}|[^{_SPACE}\p{{L}}\p{{N}}]+")
+        self._space = re.compile(f"[{_SPACE}]+")
         self._split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self._cache: dict[str, bytes] = {}
 
@@ -110,39 +116,41 @@ class Automaton:
         return r >= 0 and bool(self.rows[r >> 3][label] >> (r & 7) & 1)
 
     def encode_word(self, word: str) -> list[int]:
-        """Ids of one pre-split word: the labels of the only accepted path."""
+        """Ids of one pre-split word: the labels of the only accepted path. Longer arcs are tried
+        first; a place from which no arc leads on is not entered again."""
         text = "".join(map(self._bytes.__getitem__, word.encode()))
-        n, inner, final, more, row, rows = len(text), self.inner, self.final, self.more, self.row, self.rows
-        state: list[int] = [-1] * (n + 1)
-        back = [0] * (n + 1)
-        for i in range(n):
-            if i:
-                r = row[state[i]]
-                arcs, bit = rows[r >> 3], r & 7
-            for j in range(i + 1, n):
-                piece = text[i:j]
-                label = inner.get(piece)
-                if label is not None and state[j] < 0 and (not i or arcs[label] >> bit & 1):
-                    state[j], back[j] = label, i
-                if piece not in more:
+        n, inner, final, row, rows, reach = len(text), self.inner, self.final, self.row, self.rows, self.reach
+        if (label := final.get(text)) is not None:
+            return [label]
+        path: list[tuple[int, int]] = []
+        dead: set[int] = set()
+        i, j, r = 0, min(n - 1, reach.get(text[:HEAD], HEAD - 1)), -1
+        while True:
+            while j > i:
+                label = (inner if j < n else final).get(text[i:j])
+                if label is not None and (r < 0 or rows[r >> 3][label] >> (r & 7) & 1) and j not in dead:
                     break
+                j -= 1
             else:
-                label = final.get(text[i:])
-                if label is not None and (not i or arcs[label] >> bit & 1):
-                    state[n], back[n] = label, i
-                    break
-        out, j = [], n
-        while j:
-            out.append(state[j])
-            j = back[j]
-        return out[::-1]
-
-    def _packed(self, word: str) -> bytes:
-        got = np.array(self.encode_word(word), dtype="<u4").tobytes()
-        if len(word) <= CACHE_LEN:
+                dead.add(i)
+                j = i - 1
+                i, _ = path.pop()
+                r = row[path[-1][1]] if path else -1
+                continue
+            path.append((i, label))
+            if j == n:
+                return [x for _, x in path]
+            i, r = j, row[label]
+            j = min(n, i + reach.get(text[i : i + HEAD], HEAD - 1))
+
+    def _packed(self, chunk: str) -> bytes:
+        """Ids of a stretch without white space."""
+        words = (chunk,) if chunk.isascii() and chunk.isalpha() else self._words.findall(chunk)
+        got = array("I", [i for word in words for i in self.encode_word(word)]).tobytes()
+        if len(chunk) <= CACHE_LEN:
             if len(self._cache) >= CACHE_WORDS:
                 self._cache.clear()
-            self._cache[word] = got
+            self._cache[chunk] = got
         return got
 
     def encode(self, text: str) -> bytes:
@@ -150,11 +158,15 @@ class Automaton:
         out: list[bytes] = []
         for part in self._split.split(text) if self._split and "<" in text else (text,):
             if part in self.special:
-                out.append(np.array([self.special[part]], dtype="<u4").tobytes())
+                out.append(array("I", [self.special[part]]).tobytes())
                 continue
             part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+            # str.split also cuts at four control characters that are no white space here
+            chunks = part.split() if not any(c in part for c in "\x1c\x1d\x1e\x1f") else self._space.split(part)
             get, packed = self._cache.get, self._packed
-            out += [get(w) or packed(w) for w in self._words.findall(part)]
+            for chunk in chunks:
+                got = get(chunk)
+                out.append(packed(chunk) if got is None else got)
         return b"".join(out)
 
     def decode(self, ids: np.ndarray) -> bytes:
