@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vacantia.llm import bpe, decontaminate, licenses, simhash, suffix_index
+from vacantia.llm import bpe, decontaminate, fingerprint, licenses, simhash, suffix_index
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.against_neighbours(read(spark, sf_dir, "documents"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_index.report(read(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_bpe": op1_bpe, "op2_decontaminate": op2_decontaminate, "op4_suffix_dedup": op4_suffix_dedup, "op6_licenses": op6_licenses, "op10_simhash": op10_simhash}
+    return {"op1_bpe": op1_bpe, "op2_decontaminate": op2_decontaminate, "op3_fingerprints": op3_fingerprints, "op4_suffix_dedup": op4_suffix_dedup, "op6_licenses": op6_licenses, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -36,6 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vacantia.llm.ranges import Ranges
+
 LENGTH, SEED = 50, 20
 #: Text bytes a batch aims at, and windows a segment holds at once.
 BATCH_BYTES, SEGMENT = 16 << 20, 1 << 19
@@ -297,20 +299,11 @@ def _contested(batch: Batch, first: dict, buckets: int) -> Dealt:
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, seed: int = SEED, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """``df`` with ``kept`` (the remaining bytes) and ``spans`` (removed byte ranges, maximal)."""
     df = df.drop("kept", "spans", "__batch")
-    size = F.sum(F.octet_length(text)).alias("size")
-    batches = max(1, -(-(df.select(size).first()["size"] or 0) // batch_bytes))
-    shares = [i / batches for i in range(1, batches)]
-    edges = df.select(F.percentile_approx(id_col, shares, 10_000).alias("e")).first()["e"] or [] if shares else []
-    edges = sorted(set(edges))
-    shared = df.sparkSession.sparkContext.broadcast(np.array(edges, dtype=np.int64))
-
-    @F.arrow_udf(T.IntegerType())
-    def batch_of(ids: pa.Array) -> pa.Array:
-        values = ids.fill_null(0).to_numpy(zero_copy_only=False)
-        return pa.array(np.searchsorted(shared.value, values, side="right").astype(np.int32))
+    ranges = Ranges(df, id_col, text, batch_bytes)
+    batches = ranges.n
 
     # one exchange of the text, which all three passes below read
-    dealt = df.withColumn("__batch", batch_of(F.col(id_col))).repartition(batches, "__batch")
+    dealt = df.withColumn("__batch", ranges.batch()).repartition(batches, "__batch")
     block = "bucket int, batch int, keys binary, contexts binary"
     reply = "batch int, round int, bucket int, reply binary"
 
