@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vacantia.llm import bpe, decontaminate, fingerprint, licenses, simhash, suffix_index
+from vacantia.llm import bpe, decontaminate, fingerprint, licenses, simhash, suffix_index, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,12 +38,16 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(read(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_bpe": op1_bpe, "op2_decontaminate": op2_decontaminate, "op3_fingerprints": op3_fingerprints, "op4_suffix_dedup": op4_suffix_dedup, "op6_licenses": op6_licenses, "op10_simhash": op10_simhash}
+    return {"op1_bpe": op1_bpe, "op2_decontaminate": op2_decontaminate, "op3_fingerprints": op3_fingerprints, "op4_suffix_dedup": op4_suffix_dedup, "op6_licenses": op6_licenses, "op8_toxicity": op8_toxicity, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
