@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vacantia.llm import bpe, decontaminate, fingerprint, licenses, simhash, suffix_index, toxicity
+from vacantia.llm import bpe, decontaminate, fingerprint, html_extract, licenses, simhash, suffix_index, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_index.report(read(spark, sf_dir, "documents"))
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.report(read(spark, sf_dir, "pages"))
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(read(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_bpe": op1_bpe, "op2_decontaminate": op2_decontaminate, "op3_fingerprints": op3_fingerprints, "op4_suffix_dedup": op4_suffix_dedup, "op6_licenses": op6_licenses, "op8_toxicity": op8_toxicity, "op10_simhash": op10_simhash}
+    return {"op1_bpe": op1_bpe, "op2_decontaminate": op2_decontaminate, "op3_fingerprints": op3_fingerprints, "op4_suffix_dedup": op4_suffix_dedup, "op5_html": op5_html, "op6_licenses": op6_licenses, "op8_toxicity": op8_toxicity, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
