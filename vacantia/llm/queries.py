@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vacantia.llm import bpe, decontaminate, fingerprint, html_extract, licenses, simhash, suffix_index, toxicity
+from vacantia.llm import bpe, decontaminate, fingerprint, html_extract, licenses, simhash, suffix_index, toxicity, warc_zip
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,6 +42,10 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(read(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_zip.report(read(spark, sf_dir, "pages"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -51,8 +55,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_bpe": op1_bpe, "op2_decontaminate": op2_decontaminate, "op3_fingerprints": op3_fingerprints, "op4_suffix_dedup": op4_suffix_dedup, "op5_html": op5_html, "op6_licenses": op6_licenses, "op8_toxicity": op8_toxicity, "op10_simhash": op10_simhash}
+    return {"op1_bpe": op1_bpe, "op2_decontaminate": op2_decontaminate, "op3_fingerprints": op3_fingerprints, "op4_suffix_dedup": op4_suffix_dedup, "op5_html": op5_html, "op6_licenses": op6_licenses, "op7_warc": op7_warc, "op8_toxicity": op8_toxicity, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": decontaminate.report_sql(), "op6_licenses": licenses.report_sql()}
+    return {"op2_decontaminate": decontaminate.report_sql(), "op6_licenses": licenses.report_sql(), "op7_warc": warc_zip.report_sql()}
