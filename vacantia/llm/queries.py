@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vacantia.llm import bpe, decontaminate, fingerprint, html_extract, licenses, simhash, suffix_index, toxicity, warc_zip
+from vacantia.llm import bpe, chat_tree, decontaminate, fingerprint, html_extract, licenses, simhash, suffix_index, toxicity, warc_zip
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,13 +50,17 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_tree.report(read(spark, sf_dir, "conversations"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_bpe": op1_bpe, "op2_decontaminate": op2_decontaminate, "op3_fingerprints": op3_fingerprints, "op4_suffix_dedup": op4_suffix_dedup, "op5_html": op5_html, "op6_licenses": op6_licenses, "op7_warc": op7_warc, "op8_toxicity": op8_toxicity, "op10_simhash": op10_simhash}
+    return {"op1_bpe": op1_bpe, "op2_decontaminate": op2_decontaminate, "op3_fingerprints": op3_fingerprints, "op4_suffix_dedup": op4_suffix_dedup, "op5_html": op5_html, "op6_licenses": op6_licenses, "op7_warc": op7_warc, "op8_toxicity": op8_toxicity, "op9_chat": op9_chat, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": decontaminate.report_sql(), "op6_licenses": licenses.report_sql(), "op7_warc": warc_zip.report_sql()}
+    return {"op2_decontaminate": decontaminate.report_sql(), "op6_licenses": licenses.report_sql(), "op7_warc": warc_zip.report_sql(), "op9_chat": chat_tree.report_sql()}
