@@ -38,7 +38,8 @@ def convergence(batches: DataFrame, order: str, rate: str, last: int = 5) -> Dat
     """Batches, mean, least rate and its batch, and the change of the rate over the last ones."""
     recent = batches.orderBy(F.desc(order)).limit(last)
     trend = recent.agg((F.max_by(rate, order) - F.min_by(rate, order)).alias("trend"))
-    total = batches.agg(F.count("*").alias("n"), half_up(F.avg(rate), 4).alias("mean"), F.min(rate).alias("least"), F.min_by(F.col(order), F.struct(rate, order)).alias("best"))
+    exact = F.col(rate).cast("decimal(18,4)")
+    total = batches.agg(F.count("*").alias("n"), (F.sum(exact).cast("double") / F.count(exact)).alias("mean"), F.min(rate).alias("least"), F.min_by(F.col(order), F.struct(rate, order)).alias("best"))
     return total.crossJoin(trend)
 
 

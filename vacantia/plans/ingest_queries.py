@@ -229,7 +229,7 @@ QUERIES = {
     "r04_batch_metrics": (_with_rate, f"SELECT *, learning_rate < 5 AS converged FROM {RATES}"),
     "r05_convergence": (
         lambda s, d: runs.convergence(_with_rate(s, d), "batch", "learning_rate"),
-        f"SELECT count(*) AS n, round(avg(learning_rate), 4) AS mean, min(learning_rate) AS least, (SELECT batch FROM {RATES} ORDER BY learning_rate, batch LIMIT 1) AS best, "
+        f"SELECT count(*) AS n, sum(learning_rate::DECIMAL(18,4))::DOUBLE / count(*) AS mean, min(learning_rate) AS least, (SELECT batch FROM {RATES} ORDER BY learning_rate, batch LIMIT 1) AS best, "
         f"(SELECT arg_max(learning_rate, batch) - arg_min(learning_rate, batch) FROM (SELECT * FROM {RATES} ORDER BY batch DESC LIMIT 5)) AS trend FROM {RATES}",
     ),
     "r06_cumulative": (
