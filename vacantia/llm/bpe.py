@@ -19,6 +19,7 @@ rows and extra columns need nothing special: the text column alone goes to Pytho
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import unicodedata
@@ -33,8 +34,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Entries of a worker's cache before it is emptied; longer stretches are not cached.
+#: Entries of a worker's cache of words before it is emptied; longer words are not cached.
 CACHE_WORDS, CACHE_LEN = 400_000, 48
+#: Marks that often end a stretch without white space; none is a letter, digit or apostrophe.
+MARKS = ",.;:!?"
 #: Characters by which the longest label at a place is bounded.
 HEAD = 4
 _SPACE = r"\t-\r \x85\xa0  -     　"
@@ -118,7 +121,8 @@ class Automaton:
     def encode_word(self, word: str) -> list[int]:
         """Ids of one pre-split word: the labels of the only accepted path. Longer arcs are tried
         first; a place from which no arc leads on is not entered again."""
-        text = "".join(map(self._bytes.__getitem__, word.encode()))
+        plain = word.isascii() and word.isprintable()
+        text = word if plain else "".join(map(self._bytes.__getitem__, word.encode()))
         n, inner, final, row, rows, reach = len(text), self.inner, self.final, self.row, self.rows, self.reach
         if (label := final.get(text)) is not None:
             return [label]
@@ -143,14 +147,21 @@ class Automaton:
             i, r = j, row[label]
             j = min(n, i + reach.get(text[i : i + HEAD], HEAD - 1))
 
-    def _packed(self, chunk: str) -> bytes:
+    def _packed(self, stretch: str) -> bytes:
         """Ids of a stretch without white space."""
-        words = (chunk,) if chunk.isascii() and chunk.isalpha() else self._words.findall(chunk)
-        got = array("I", [i for word in words for i in self.encode_word(word)]).tobytes()
-        if len(chunk) <= CACHE_LEN:
-            if len(self._cache) >= CACHE_WORDS:
-                self._cache.clear()
-            self._cache[chunk] = got
+        core = stretch.rstrip(MARKS)
+        if core.isalpha():
+            return self._word(core) + (self._word(stretch[len(core) :]) if len(core) < len(stretch) else b"")
+        return b"".join(map(self._word, self._words.findall(stretch)))
+
+    def _word(self, word: str) -> bytes:
+        got = self._cache.get(word)
+        if got is None:
+            got = array("I", self.encode_word(word)).tobytes()
+            if len(word) <= CACHE_LEN:
+                if len(self._cache) >= CACHE_WORDS:
+                    self._cache.clear()
+                self._cache[word] = got
         return got
 
     def encode(self, text: str) -> bytes:
@@ -165,8 +176,7 @@ class Automaton:
             chunks = part.split() if not any(c in part for c in "\x1c\x1d\x1e\x1f") else self._space.split(part)
             get, packed = self._cache.get, self._packed
             for chunk in chunks:
-                got = get(chunk)
-                out.append(packed(chunk) if got is None else got)
+                out.append(get(chunk) or packed(chunk))
         return b"".join(out)
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -203,7 +213,9 @@ def encode_column(spark, text: Column, vocabulary: str) -> Column:
     @F.arrow_udf(T.ArrayType(T.IntegerType(), False))
     def bpe_encode(texts: pa.Array) -> pa.Array:
         fsa = automaton(shared.value).compile()
+        gc.disable()  # the cache holds no cycles, and collections would walk over it again and again
         packed = [fsa.encode(t) if t else b"" for t in texts.to_pylist()]
+        gc.enable()
         offsets = np.zeros(len(packed) + 1, dtype=np.int32)
         np.cumsum([len(p) // 4 for p in packed], out=offsets[1:])
         values = np.frombuffer(b"".join(packed), dtype="<u4").astype(np.int32)
