@@ -40,7 +40,7 @@ from vacantia.llm.ranges import Ranges
 
 LENGTH, SEED = 50, 20
 #: Text bytes a batch aims at, and windows a segment holds at once.
-BATCH_BYTES, SEGMENT = 16 << 20, 1 << 19
+BATCH_BYTES, SEGMENT = 8 << 20, 1 << 19
 _BASE = 0x2545F4914F6CDD1D
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 _TABLES: dict[int, tuple[np.ndarray, ...]] = {}
@@ -206,22 +206,21 @@ class Level:
 
     def __init__(self, key: np.ndarray, context: np.ndarray, origin: np.ndarray):
         self.key, self.context, self.origin = key, context, origin
+        self.joint = self.joined(key, context)
 
     def holds(self, key: np.ndarray, context: np.ndarray) -> np.ndarray:
         """Merge scan of a sorted array against this one."""
         if not len(self.key):
             return np.zeros(len(key), dtype=bool)
         # equal contexts of different keys don't occur but by chance; both are compared
-        at = np.minimum(np.searchsorted(self._joint(), self._mixed(key, context)), len(self.key) - 1)
+        at = np.minimum(np.searchsorted(self.joint, self.joined(key, context)), len(self.key) - 1)
         return (self.context[at] == context) & (self.key[at] == key)
 
     @staticmethod
-    def _mixed(key, context):
+    def joined(key: np.ndarray, context: np.ndarray) -> np.ndarray:
+        """Key and the context's top bits in one number, in the order of the array."""
         return (key << np.uint64(24)) | (context >> np.uint64(40))
 
-    def _joint(self):
-        return self._mixed(self.key, self.context)
-
     def merged(self, other: Level) -> Level:
         parts = [np.concatenate(x) for x in ((self.key, other.key), (self.context, other.context), (self.origin, other.origin))]
         order = np.lexsort((parts[1], parts[0]))
@@ -304,16 +303,20 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", le
 
     # one exchange of the text, which all three passes below read
     dealt = df.withColumn("__batch", ranges.batch()).repartition(batches, "__batch")
-    block = "bucket int, batch int, keys binary, contexts binary"
+    block = "bucket int, batch int, origin int, keys binary, contexts binary"
     reply = "batch int, round int, bucket int, reply binary"
 
     def load(table: pa.Table) -> Batch:
         texts = table.column(text).cast(pa.binary()).to_pylist()
         return Batch(table.column(id_col).to_pylist(), texts, length, seed)
 
-    def emitted(number: int, parts: Dealt) -> pa.Table:
-        rows = list(parts.blocks())
-        return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "batch": pa.array([number] * len(rows), pa.int32()), "keys": pa.array([r[1] for r in rows], pa.binary()), "contexts": pa.array([r[2] for r in rows], pa.binary())})
+    def emitted(number: int, parts: Dealt, said: pa.Table | None = None) -> pa.Table:
+        rows = [(b, number, b, keys, contexts) for b, keys, contexts in parts.blocks()]
+        # answers of the first round go along, in a group of the batch's own
+        rows += [(batches + number, number, r["bucket"], r["reply"], None) for r in (said.to_pylist() if said else ())]
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        columns = zip(*rows, strict=True) if rows else [()] * 5
+        return pa.table([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "batch", "origin", "keys", "contexts"])
 
     def replies(table: pa.Table, nth: int) -> dict[int, bytes]:
         return {r["bucket"]: r["reply"] for r in table.to_pylist() if r["round"] == nth}
@@ -322,13 +325,16 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", le
         return emitted(key[0].as_py(), Dealt(load(table).suffixes(), batches))
 
     def contest(key: tuple[pa.Scalar, ...], table: pa.Table, said: pa.Table) -> pa.Table:
-        return emitted(key[0].as_py(), _contested(load(table), replies(said, 1), batches))
+        return emitted(key[0].as_py(), _contested(load(table), replies(said, 1), batches), said)
 
     def settle(nth: int):
         def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
             rows = table.to_pylist()
-            got = list(answer([(r["batch"], r["keys"], r["contexts"]) for r in rows], nth == 1))
-            return pa.table({"batch": pa.array([b for b, _ in got], pa.int32()), "round": pa.array([nth] * len(got), pa.int32()), "bucket": pa.array([key[0].as_py()] * len(got), pa.int32()), "reply": pa.array([r for _, r in got], pa.binary())})
+            bucket, blocks = key[0].as_py(), [(r["batch"], r["keys"], r["contexts"]) for r in rows if r["contexts"] is not None]
+            out = [(b, nth, bucket, r) for b, r in answer(blocks, nth == 1)] if blocks else []
+            out += [(r["batch"], 1, r["origin"], r["keys"]) for r in rows if r["contexts"] is None]
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
+            return pa.table([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["batch", "round", "bucket", "reply"])
 
         return run
 
@@ -338,7 +344,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", le
         for low, high in removed_windows(batch, replies(said, 1), replies(said, 2), batches):
             np.add.at(marks, low, 1)
             np.add.at(marks, high + length - 1, -1)
-        gone = np.cumsum(marks)[:-1] > 0
+        np.cumsum(marks, out=marks)
+        gone = marks[:-1] > 0
+        del marks
         kept: list = [None] * len(batch.texts)
         spans: list = [None] * len(batch.texts)
         for k, i in enumerate(batch.order):
@@ -358,7 +366,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", le
     second = dealt.groupBy("__batch").cogroup(first.groupBy("batch")).applyInArrow(contest, block)
     second = second.groupBy("bucket").applyInArrow(settle(2), reply)
     out = T.StructType([*df.schema.fields, T.StructField("kept", T.BinaryType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
-    return dealt.groupBy("__batch").cogroup(first.union(second).groupBy("batch")).applyInArrow(cut, out)
+    return dealt.groupBy("__batch").cogroup(second.groupBy("batch")).applyInArrow(cut, out)
 
 
 def report(docs: DataFrame) -> DataFrame:
