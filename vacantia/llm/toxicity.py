@@ -96,11 +96,9 @@ def fit_chain(features: list[np.ndarray], labels: np.ndarray, folds: np.ndarray,
     """The chain from rows' hashed features, labels (rows by categories) and fold numbers."""
     ids, counts = np.unique(np.concatenate(features), return_counts=True) if len(features) else (np.empty(0, int), np.empty(0, int))
     ids = ids[counts >= LEAST_ROWS]
-    row = np.repeat(np.arange(len(features)), [len(f) for f in features]).astype(np.int64)
-    flat = np.concatenate(features) if len(features) else np.empty(0, dtype=np.int64)
-    at = np.searchsorted(ids, flat)
-    known = (at < len(ids)) & (ids[np.minimum(at, max(0, len(ids) - 1))] == flat) if len(ids) else np.zeros(len(flat), bool)
-    row, col = row[known], at[known]
+    kept = [at[ids[at] == f].astype(np.int32) for f in features for at in [np.minimum(np.searchsorted(ids, f), len(ids) - 1)]] if len(ids) else [np.empty(0, np.int32) for _ in features]
+    row = np.repeat(np.arange(len(kept), dtype=np.int32), [len(f) for f in kept])
+    col = np.concatenate(kept) if kept else np.empty(0, dtype=np.int32)
     n, width = len(features), len(ids)
     earlier, models, thresholds = np.zeros((n, 0)), [], []
     for k in range(len(categories)):
@@ -113,8 +111,8 @@ def fit_chain(features: list[np.ndarray], labels: np.ndarray, folds: np.ndarray,
             bias, w, v = _fit(index[row[use]], col[use], width, earlier[~mine], y[~mine])
             out[mine] = _sigmoid(bias + np.bincount(row, w[col], n)[:n] + earlier @ v)[mine] if n else 0
         bias, w, v = _fit(row, col, width, earlier, y)
-        kept = np.flatnonzero(w)
-        models.append(Linear(bias, dict(zip(ids[kept].tolist(), w[kept].tolist(), strict=True)), v.tolist()))
+        used = np.flatnonzero(w)
+        models.append(Linear(bias, dict(zip(ids[used].tolist(), w[used].tolist(), strict=True)), v.tolist()))
         thresholds.append(_threshold(out, y))
         earlier = np.column_stack([earlier, out])
     return Chain(tuple(categories), models, thresholds)
@@ -133,12 +131,12 @@ def _threshold(p: np.ndarray, y: np.ndarray) -> float:
 
 
 def features_column(text: Column) -> Column:
-    """Distinct hashed features of a text column, as ``array<int>``."""
+    """Distinct hashed features of a text column, as 32-bit numbers in a binary."""
 
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    @F.arrow_udf(T.BinaryType())
     def text_features(texts: pa.Array) -> pa.Array:
         found = [sorted({f for s in set((t or "").lower().split()) for f in _features(s)}) for t in texts.to_pylist()]
-        return pa.array(found, pa.list_(pa.int32()))
+        return pa.array([np.array(f, dtype=np.int32).tobytes() for f in found], pa.binary())
 
     return text_features(text)
 
@@ -152,7 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id_col:
     texts = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     rows = texts.join(F.broadcast(sample), "id").select("id", *names, features_column(F.col("text")).alias("f")).collect()
     rows = sorted({r["id"]: r for r in rows}.values(), key=lambda r: r["id"])
-    found = [np.array(r["f"], dtype=np.int64) for r in rows]
+    found = [np.frombuffer(r["f"], dtype=np.int32) for r in rows]
     y = np.array([[r[n] for n in names] for r in rows], dtype=float).reshape(len(rows), len(names))
     folds = np.array([xxhash.xxh64_intdigest(str(r["id"])) % FOLDS for r in rows], dtype=np.int64)
     return fit_chain(found, y, folds, categories)
