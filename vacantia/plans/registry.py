@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vacantia.plans import ingest_queries, normalize_queries, quality_queries, report_queries
+from vacantia.plans import dedup_queries, extract_queries, ingest_queries, normalize_queries, quality_queries, report_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [ingest_queries, normalize_queries, quality_queries, report_queries]
+MODULES = [dedup_queries, extract_queries, ingest_queries, normalize_queries, quality_queries, report_queries]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
