@@ -43,6 +43,8 @@ OPERATORS = {
 class Test:
     """A column, an operator and its value."""
 
+    __test__ = False  # not a test class
+
     column: str
     operator: str
     value: object = None

@@ -53,7 +53,7 @@ def score_pairs(pairs: DataFrame, title: str, text: str, company: str, salary: s
     s_text = jaccard(token_set(F.col(f"{text}_a")), token_set(F.col(f"{text}_b")))
     s_company = F.when(hidden, 0.0).otherwise(similarity(norm_key(a), norm_key(b)) * w["company"])
     score = s_title * (w["title"] + freed * 0.6) + s_text * (w["text"] + freed * 0.4) + s_company + pay * w["salary"]
-    return pairs.withColumn("score", F.round(score, 4))
+    return pairs.withColumn("score", F.round(score, 8))
 
 
 def label_pairs(pairs: DataFrame) -> DataFrame:
@@ -112,12 +112,12 @@ def minhash_pairs(df: DataFrame, key: str, signature: str, least: float, bands:
     """Pairs whose estimated likeness is high enough, among rows that agree in a band of their
     signatures. Rows with one whole signature stand for each other: pairs join distinct signatures,
     and every other row is paired with the first of its own."""
-    first = df.where(F.col(signature).isNotNull()).groupBy(signature).agg(F.min(key).alias("id"))
+    first = df.where(F.col(signature).isNotNull()).groupBy(signature).agg(F.min(key).alias("__first"))
     rows = 128 // bands
     parts = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(F.slice(F.col(signature), i * rows + 1, rows)).alias("h")))
-    banded = first.select("id", signature, F.explode(parts).alias("p")).select("id", signature, "p.band", "p.h")
-    a, b = (banded.select(F.col("id").alias(x), F.col(signature).alias(f"s{x}"), "band", "h") for x in "ab")
+    banded = first.select("__first", signature, F.explode(parts).alias("p")).select("__first", signature, "p.band", "p.h")
+    a, b = (banded.select(F.col("__first").alias(x), F.col(signature).alias(f"s{x}"), "band", "h") for x in "ab")
     near = a.join(b, ["band", "h"]).where("a < b").dropDuplicates(["a", "b"]).select("a", "b", estimated_jaccard(F.col("sa"), F.col("sb")).alias("likeness")).where(F.col("likeness") >= least)
-    same = df.join(first, signature).where(F.col(key) != F.col("id")).select(F.col("id").alias("a"), F.col(key).alias("b"), F.lit(1.0).alias("likeness"))
+    same = df.join(first, signature).where(F.col(key) != F.col("__first")).select(F.col("__first").alias("a"), F.col(key).alias("b"), F.lit(1.0).alias("likeness"))
     return near.union(same)
 

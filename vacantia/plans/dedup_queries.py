@@ -46,7 +46,7 @@ def _tokens(c):
 SCORED = (
     f"(SELECT *, round({_sim(key_sql('title_a'), key_sql('title_b'))} * (0.40::DOUBLE + CASE WHEN hid THEN 0.15::DOUBLE ELSE 0 END * 0.6) + "
     f"(len(list_intersect({_tokens('text_a')}, {_tokens('text_b')})) / len(list_distinct(list_concat({_tokens('text_a')}, {_tokens('text_b')})))::DOUBLE) * (0.35::DOUBLE + CASE WHEN hid THEN 0.15::DOUBLE ELSE 0 END * 0.4) + "
-    f"CASE WHEN hid THEN 0.0 ELSE ({_sim(key_sql('company_a'), key_sql('company_b'))}) * 0.15::DOUBLE END + CASE WHEN pay_a IS NULL OR pay_b IS NULL THEN 0.5::DOUBLE ELSE least(pay_a, pay_b) / greatest(pay_a, pay_b) END * 0.10::DOUBLE, 4) AS score "
+    f"CASE WHEN hid THEN 0.0 ELSE ({_sim(key_sql('company_a'), key_sql('company_b'))}) * 0.15::DOUBLE END + CASE WHEN pay_a IS NULL OR pay_b IS NULL THEN 0.5::DOUBLE ELSE least(pay_a, pay_b) / greatest(pay_a, pay_b) END * 0.10::DOUBLE, 8) AS score "
     f"FROM (SELECT *, company_a = 'Confidential' OR company_b = 'Confidential' AS hid FROM {P}))"
 )
 

@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vacantia.plans import dedup_queries, extract_queries, ingest_queries, normalize_queries, quality_queries, report_queries
+from vacantia.plans import dedup_queries, extract_queries, ingest_queries, matching_queries, normalize_queries, quality_queries, report_queries, stream_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [dedup_queries, extract_queries, ingest_queries, normalize_queries, quality_queries, report_queries]
+MODULES = [dedup_queries, extract_queries, ingest_queries, matching_queries, normalize_queries, quality_queries, report_queries, stream_queries]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["a02_share"](spark, sf_dir)
+    return matching_queries.flagship(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
