@@ -24,3 +24,13 @@ def test_entry():
     found, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert sql.keys() <= found.keys()
     assert registry.queries().keys() <= found.keys()
+
+
+def test_imports_without_a_session():
+    """Lists of queries and of SQL can be read before any session is there."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    assert subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], capture_output=True).returncode == 0

@@ -53,7 +53,10 @@ def _export(s, d, part):
     return frames[part]
 
 
-RULES = {"named": F.col("c_name").startswith("Customer"), "positive": F.col("c_acctbal") > 0, "known_segment": F.col("c_mktsegment").isin("BUILDING", "MACHINERY", "HOUSEHOLD")}
+def _rules():
+    return {"named": F.col("c_name").startswith("Customer"), "positive": F.col("c_acctbal") > 0, "known_segment": F.col("c_mktsegment").isin("BUILDING", "MACHINERY", "HOUSEHOLD")}
+
+
 VALID = "(c_name LIKE 'Customer%' AND c_acctbal > 0 AND c_mktsegment IN ('BUILDING', 'MACHINERY', 'HOUSEHOLD'))"
 OLD = "(SELECT o_orderkey, o_custkey, o_orderstatus, trunc(o_totalprice)::BIGINT AS price, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders WHERE o_orderkey % 7 > 0)"
 NEW = "(SELECT o_orderkey, o_custkey, o_orderstatus, trunc(o_totalprice)::BIGINT + o_orderkey % 2 AS price, '2002-01-01' AS day FROM orders WHERE o_orderkey % 3 = 0)"
@@ -171,12 +174,12 @@ QUERIES = {
         "SELECT event_id, props, CAST(props->>'$.k' AS BIGINT) AS k, props->>'$.missing' AS missing FROM events",
     ),
     "s10_quarantine": (
-        lambda s, d: ingest.split_batch(table(s, d, "customer"), RULES)[1].withColumn("broken", F.array_join("broken", ",")),
+        lambda s, d: ingest.split_batch(table(s, d, "customer"), _rules())[1].withColumn("broken", F.array_join("broken", ",")),
         "SELECT *, concat_ws(',', CASE WHEN NOT c_name LIKE 'Customer%' THEN 'named' END, CASE WHEN NOT c_acctbal > 0 THEN 'positive' END, CASE WHEN c_mktsegment NOT IN ('BUILDING', 'MACHINERY', 'HOUSEHOLD') THEN 'known_segment' END) AS broken "
         f"FROM customer WHERE NOT {VALID}",
     ),
     "s10_validity": (
-        lambda s, d: ingest.validity(table(s, d, "customer"), RULES, "c_nationkey"),
+        lambda s, d: ingest.validity(table(s, d, "customer"), _rules(), "c_nationkey"),
         f"SELECT c_nationkey, count(*) AS n, count(*) FILTER (WHERE {VALID}) AS n_valid, round(count(*) FILTER (WHERE {VALID}) * 100.0::DOUBLE / count(*), 2) AS valid_pct FROM customer GROUP BY 1",
     ),
     "l01_detect_delisted": (

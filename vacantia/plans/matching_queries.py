@@ -96,12 +96,17 @@ def _dictionary(s, d):
 
 
 ENTRIES = (("ring", "red", "1111"), ("ring", None, "2222"), ("bolt", None, "33"), ("bolt", "small", "4444"), ("gear", None, "5555"))
-RULES = [
-    (2, "b", m.business_rule(F.col("p_name"), F.col("p_type"), any_of=["ring", "bolt"], exclude=["red"]), "Brand#1"),
-    (1, "a", m.business_rule(F.col("p_name"), F.col("p_type"), all_of=["blue"], tasks_any=["promo", "small"]), "Brand#2"),
-    (0, "z", m.business_rule(F.col("p_name"), F.col("p_type")), "no such label"),
-    (3, "c", m.business_rule(F.col("p_name"), F.col("p_type"), all_of=["gear"]), "Brand#3"),
-]
+
+
+def _rules():
+    return [
+        (2, "b", m.business_rule(F.col("p_name"), F.col("p_type"), any_of=["ring", "bolt"], exclude=["red"]), "Brand#1"),
+        (1, "a", m.business_rule(F.col("p_name"), F.col("p_type"), all_of=["blue"], tasks_any=["promo", "small"]), "Brand#2"),
+        (0, "z", m.business_rule(F.col("p_name"), F.col("p_type")), "no such label"),
+        (3, "c", m.business_rule(F.col("p_name"), F.col("p_type"), all_of=["gear"]), "Brand#3"),
+    ]
+
+
 RULE_SQL = "CASE WHEN p_name LIKE '%blue%' AND p_type IN ('PROMO', 'SMALL') THEN 'a' WHEN (p_name LIKE '%ring%' OR p_name LIKE '%bolt%') AND p_name NOT LIKE '%red%' THEN 'b' WHEN p_name LIKE '%gear%' THEN 'c' END"
 
 
@@ -171,7 +176,7 @@ QUERIES = {
         "SELECT p_partkey, CASE WHEN p_name LIKE '%ring%' AND p_name LIKE '%red%' THEN '1111' WHEN p_name LIKE '%bolt%' AND p_name LIKE '%small%' THEN '4444' WHEN p_name LIKE '%ring%' THEN '2222' WHEN p_name LIKE '%gear%' THEN '5555' END AS code FROM part WHERE p_name LIKE '%ring%' OR p_name LIKE '%gear%' OR (p_name LIKE '%bolt%' AND p_name LIKE '%small%')",
     ),
     "m08_apply_rules": (
-        lambda s, d: m.apply_rules(table(s, d, "part").select("p_partkey", "p_name", "p_type"), RULES, table(s, d, "part"), "p_brand"),
+        lambda s, d: m.apply_rules(table(s, d, "part").select("p_partkey", "p_name", "p_type"), _rules(), table(s, d, "part"), "p_brand"),
         f"SELECT p_partkey, p_name, p_type, {RULE_SQL} AS rule, CASE {RULE_SQL} WHEN 'a' THEN 'Brand#2' WHEN 'b' THEN 'Brand#1' WHEN 'c' THEN 'Brand#3' END AS rule_label FROM part",
     ),
     "m09_resolve_label": (

@@ -23,7 +23,10 @@ CONDITIONS = {
     "name_form": "c_name LIKE '%55' AND c_mktsegment <> 'BUILDING' AND c_acctbal BETWEEN 0 AND 5000",
 }
 E = " UNION ALL ".join(f"SELECT c_custkey, c_acctbal, c_nationkey, '{r.id}' AS rule, '{r.kind}' AS kind, '{r.severity}' AS severity FROM customer WHERE {CONDITIONS[r.id]}" for r in RULES)
-PATTERNS = [("negative", F.col("c_acctbal") < -500, "debt"), ("negative", None, "small debt"), ("rich_or_far", F.col("c_nationkey") == 24, "far"), ("name_has", None, "name")]
+def _patterns():
+    return [("negative", F.col("c_acctbal") < -500, "debt"), ("negative", None, "small debt"), ("rich_or_far", F.col("c_nationkey") == 24, "far"), ("name_has", None, "name")]
+
+
 DIAGNOSIS = "CASE WHEN rule = 'negative' AND c_acctbal < -500 THEN 'debt' WHEN rule = 'negative' THEN 'small debt' WHEN rule = 'rich_or_far' AND c_nationkey = 24 THEN 'far' WHEN rule = 'name_has' THEN 'name' ELSE 'review by hand' END"
 ACTIONS = {"debt": "escalate", "small debt": "auto", "far": "auto", "name": "reprocess"}
 ACTION = "CASE diagnosis WHEN 'small debt' THEN 'auto' WHEN 'far' THEN 'auto' WHEN 'name' THEN 'reprocess' ELSE 'escalate' END"
@@ -35,7 +38,7 @@ def _errors(s, d):
 
 
 def _routed(s, d):
-    return quality.route(quality.diagnose(_errors(s, d), PATTERNS), ACTIONS)
+    return quality.route(quality.diagnose(_errors(s, d), _patterns()), ACTIONS)
 
 
 def _states(s, d):
@@ -56,7 +59,10 @@ def _sparse(s, d):
     return c.select("c_nationkey", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("balance"), F.when(F.col("c_custkey") % 3 > 0, F.col("c_name")).otherwise(" ").alias("name"), "c_mktsegment")
 
 
-FLAGS = [F.col("c_acctbal") > 0, F.col("c_mktsegment") == "BUILDING", F.col("c_nationkey") > 12, F.col("c_custkey") % 2 == 0]
+def _flags():
+    return [F.col("c_acctbal") > 0, F.col("c_mktsegment") == "BUILDING", F.col("c_nationkey") > 12, F.col("c_custkey") % 2 == 0]
+
+
 RICH = "((c_acctbal > 0)::INT + (c_mktsegment = 'BUILDING')::INT + (c_nationkey > 12)::INT + (c_custkey % 2 = 0)::INT)"
 
 
@@ -85,7 +91,7 @@ QUERIES = {
         f"SELECT (SELECT count(*) FROM customer) AS n, count(DISTINCT c_custkey) AS failing, count(*) AS errors, (SELECT count(*) FROM customer) - count(DISTINCT c_custkey) AS clean FROM ({E})",
     ),
     "v02_errors_by": (lambda s, d: quality.errors_by(_errors(s, d), "kind", "severity"), f"SELECT kind, severity, count(*) AS n FROM ({E}) GROUP BY 1, 2"),
-    "v03_diagnose": (lambda s, d: quality.diagnose(_errors(s, d), PATTERNS), f"SELECT *, {DIAGNOSIS} AS diagnosis FROM ({E})"),
+    "v03_diagnose": (lambda s, d: quality.diagnose(_errors(s, d), _patterns()), f"SELECT *, {DIAGNOSIS} AS diagnosis FROM ({E})"),
     "v04_route": (lambda s, d: _routed(s, d), f"SELECT * FROM {ROUTED}"),
     "v04_correct": (
         _fixed,
@@ -135,7 +141,7 @@ QUERIES = {
     ),
     "v11_schema_check": (lambda s, d: quality.schema_check(_sparse(s, d), ["name", "balance", "absent"]), None),
     "v12_richness": (
-        lambda s, d: quality.richness_by(table(s, d, "customer"), quality.richness(FLAGS), "c_nationkey"),
+        lambda s, d: quality.richness_by(table(s, d, "customer"), quality.richness(_flags()), "c_nationkey"),
         f"SELECT c_nationkey, count(*) AS n, round(avg({RICH}), 4) AS mean_score FROM customer GROUP BY 1",
     ),
     "v12_length_bands": (

@@ -32,13 +32,16 @@ def _users(s, d):
     return table(s, d, "customer").select(F.col("c_nationkey").alias("org"), F.col("c_custkey").alias("user_id"))
 
 
-BANDS = {
-    "price": [("low", F.col("o_totalprice") < 100000), ("mid", F.col("o_totalprice") < 300000), ("high", F.col("o_totalprice") >= 300000)],
-    "priority": [(p, F.col("o_orderpriority") == p) for p in ("1-URGENT", "2-HIGH", "3-MEDIUM")] + [("other", F.col("o_orderpriority").isNotNull())],
-}
 KEYWORDS = ("license", "the", "pour", "und", "error", "email")
 
 
+def _bands():
+    return {
+        "price": [("low", F.col("o_totalprice") < 100000), ("mid", F.col("o_totalprice") < 300000), ("high", F.col("o_totalprice") >= 300000)],
+        "priority": [(p, F.col("o_orderpriority") == p) for p in ("1-URGENT", "2-HIGH", "3-MEDIUM")] + [("other", F.col("o_orderpriority").isNotNull())],
+    }
+
+
 def _stratified(s, d):
     df = table(s, d, "documents")
     df = df.select("doc_id", "source", F.when(F.col("n_chars") > 3000, "long").when(F.col("n_chars") > 500, "mid").otherwise("short").alias("stratum"))
@@ -74,7 +77,7 @@ QUERIES = {
         "FROM part GROUP BY ROLLUP (p_type, p_brand) HAVING grouping(p_type) = 0",
     ),
     "a05_requirements": (
-        lambda s, d: report.banded(table(s, d, "orders"), BANDS),
+        lambda s, d: report.banded(table(s, d, "orders"), _bands()),
         "SELECT 'price' AS dimension, CASE WHEN o_totalprice < 100000 THEN 0 WHEN o_totalprice < 300000 THEN 1 ELSE 2 END::BIGINT AS place, "
         "CASE WHEN o_totalprice < 100000 THEN 'low' WHEN o_totalprice < 300000 THEN 'mid' ELSE 'high' END AS band, count(*) AS n FROM orders GROUP BY ALL "
         "UNION ALL SELECT 'priority', CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 WHEN '3-MEDIUM' THEN 2 ELSE 3 END::BIGINT, "
