@@ -40,7 +40,8 @@ CACHE_WORDS, CACHE_LEN = 400_000, 48
 MARKS = ",.;:!?"
 #: Characters by which the longest label at a place is bounded.
 HEAD = 4
-_SPACE = r"\t-\r \x85\xa0  -     　"
+#: White space of the vocabularies' patterns, as part of a character class.
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _COMPILED: dict[str, Automaton] = {}
 
 
