@@ -13,7 +13,7 @@ ACCENTED = "áàâäãéèêëíìîïóòôöõúùûüñçÁÀÂÄÃÉÈÊËÍ
 PLAIN = "aaaaaeeeeiiiiooooouuuuncAAAAAEEEEIIIIOOOOOUUUUNC"
 #: Characters that stand for plainer ones, and those that only take up width.
 FANCY, SIMPLE = "“”„‘’‚–—−•●▪·… ", "\"\"\"'''---****. "
-ZERO_WIDTH = "​‌‍﻿­"
+ZERO_WIDTH = "\u200b\u200c\u200d\ufeff\u00ad"
 
 
 def fold(c: Column) -> Column:
