@@ -99,8 +99,9 @@ def test_duplicates(spark):
     signed = dedup.minhash(texts, "t")
     assert signed.where("signature IS NULL").count() == 2
     assert rows(dedup.minhash_pairs(signed, "id", "signature", 0.9)) == [(1, 2, 1.0), (3, 6, 1.0)]
-    hidden = spark.createDataFrame([("Confidential", "x", "t", "t", "b", "b", None, 2.0)], "company_a string, company_b string, title_a string, title_b string, text_a string, text_b string, pay_a double, pay_b double")
-    assert dedup.score_pairs(hidden, "title", "text", "company", "pay").first()["score"] == pytest.approx(0.95)
+    posts = spark.createDataFrame([(1, "s1", "w", "T", "b", "Confidential", None), (2, "s2", "w", "t", "B", "x", 2.0), (3, "s3", "w", "t", "b", None, 2.0)], "id int, src string, week string, title string, text string, company string, pay double")
+    pairs = dedup.candidate_pairs(dedup.prepared(posts, "title", "text", "company"), ["week"], "src", "id", ["title", "text", "company", "pay"])
+    assert rows(dedup.score_pairs(pairs, "title", "text", "company", "pay"), "a", "b", "score") == [(1, 2, 0.95), (1, 3, 0.95), (2, 3, 1.0)]
 
 
 def test_matching_edges(spark):

@@ -40,18 +40,25 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(whole == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / whole)
 
 
+def prepared(df: DataFrame, title: str, text: str, company: str) -> DataFrame:
+    """Rows with what pairs are compared by: keys of title and company, word set of the text. Done
+    before rows are paired, so it costs once a row and not once a pair."""
+    blank = F.coalesce(F.col(company), F.lit(""))
+    return df.withColumns({title: norm_key(F.col(title)), text: token_set(F.col(text)), company: norm_key(blank)})
+
+
 def score_pairs(pairs: DataFrame, title: str, text: str, company: str, salary: str, confidential: Sequence[str] = ("confidential", "")) -> DataFrame:
-    """Weighted likeness of pairs. If a company is confidential its weight goes to title and text,
-    60 to 40; unequal salaries count by their ratio, missing ones by half."""
+    """Weighted likeness of pairs of ``prepared`` rows. If a company is confidential its weight goes to
+    title and text, 60 to 40; unequal salaries count by their ratio, missing ones by half."""
     a, b = F.col(f"{company}_a"), F.col(f"{company}_b")
-    hidden = norm_key(F.coalesce(a, F.lit(""))).isin(*confidential) | norm_key(F.coalesce(b, F.lit(""))).isin(*confidential)
+    hidden = a.isin(*confidential) | b.isin(*confidential)
     x, y = F.col(f"{salary}_a"), F.col(f"{salary}_b")
     pay = F.when(x.isNull() | y.isNull(), 0.5).when(F.greatest(x, y) == 0, 1.0).otherwise(F.least(x, y) / F.greatest(x, y))
     w = WEIGHTS
     freed = F.when(hidden, w["company"]).otherwise(0.0)
-    s_title = similarity(norm_key(F.col(f"{title}_a")), norm_key(F.col(f"{title}_b")))
-    s_text = jaccard(token_set(F.col(f"{text}_a")), token_set(F.col(f"{text}_b")))
-    s_company = F.when(hidden, 0.0).otherwise(similarity(norm_key(a), norm_key(b)) * w["company"])
+    s_title = similarity(F.col(f"{title}_a"), F.col(f"{title}_b"))
+    s_text = jaccard(F.col(f"{text}_a"), F.col(f"{text}_b"))
+    s_company = F.when(hidden, 0.0).otherwise(similarity(a, b) * w["company"])
     score = s_title * (w["title"] + freed * 0.6) + s_text * (w["text"] + freed * 0.4) + s_company + pay * w["salary"]
     return pairs.withColumn("score", F.round(score, 8))
 

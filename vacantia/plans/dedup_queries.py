@@ -25,8 +25,9 @@ O = (
 COLS = ("title", "text", "company", "pay")
 
 
-def _pairs(s, d):
-    return dedup.candidate_pairs(_offers(s, d).withColumn("block", F.substring("week", 1, 7)).withColumn("zone", F.col("place") % 11), ["block", "zone"], "src", "id", COLS)
+def _pairs(s, d, offers=None):
+    offers = offers or _offers(s, d)
+    return dedup.candidate_pairs(offers.withColumn("block", F.substring("week", 1, 7)).withColumn("zone", F.col("place") % 11), ["block", "zone"], "src", "id", COLS)
 
 
 P = (
@@ -52,7 +53,8 @@ SCORED = (
 
 
 def _scored(s, d):
-    return dedup.score_pairs(_pairs(s, d), "title", "text", "company", "pay")
+    offers = dedup.prepared(_offers(s, d), "title", "text", "company")
+    return dedup.score_pairs(_pairs(s, d, offers), "title", "text", "company", "pay")
 
 
 def _grouped(s, d):
