@@ -79,3 +79,17 @@ def test_levels_grow_geometrically():
     key = np.sort(np.random.default_rng(3).integers(0, 2**40, 100, dtype=np.uint64))
     assert index.add(key, key * np.uint64(77), np.arange(100)).all()
     assert len(index.whole().key) == 4000
+
+
+def test_contexts_of_one_key_that_share_their_top_bits():
+    """Only the smallest context of those that share 24 bits was found."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    low = np.unique(rng.integers(0, 2**40, 3_000, dtype=np.uint64))
+    context = np.sort(np.concatenate([(np.uint64(t) << np.uint64(40)) | low for t in (5, 6, 2**24 - 1)]))
+    key = np.repeat(np.array([3, 9, 2**40 - 1], dtype=np.uint64), len(context))
+    held, asked = np.tile(context[::2], 3), np.tile(context, 3)
+    level = suffix_index.Level(np.repeat(np.array([3, 9, 2**40 - 1], dtype=np.uint64), len(context[::2])), held, np.arange(len(held)))
+    assert level.holds(key, asked).tolist() == np.tile(np.arange(len(context)) % 2 == 0, 3).tolist()
+    assert not level.holds(key + np.uint64(1) - np.uint64(2) * (key == 2**40 - 1), asked).any()

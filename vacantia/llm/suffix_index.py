@@ -173,10 +173,12 @@ class Dealt:
     other, its place among the distinct entries; these are sorted by bucket, key and context.
     """
 
-    def __init__(self, entries: dict[str, np.ndarray], buckets: int):
+    def __init__(self, entries: dict[str, np.ndarray], buckets: int, by: str = "key"):
+        """by: what buckets are dealt by. Contests need all contexts of a key in one bucket; where
+        only equal entries matter, contexts spread a frequent seed over all buckets."""
         # the key's top 40 bits tell suffixes apart well enough: a false likeness costs a second look
         self.key = entries["key"] >> np.uint64(24)
-        bucket = (entries["key"] & np.uint64(0xFFFFFF)).astype(np.int64) % buckets
+        bucket = (entries[by] & np.uint64(0xFFFFFF)).astype(np.int64) % buckets
         order = np.lexsort((entries["rank"], entries["context"], self.key, bucket))
         key, context, rank, bucket = self.key[order], entries["context"][order], entries["rank"][order], bucket[order]
         new = np.ones(len(order), dtype=bool)
@@ -212,9 +214,21 @@ class Level:
         """Merge scan of a sorted array against this one."""
         if not len(self.key):
             return np.zeros(len(key), dtype=bool)
-        # equal contexts of different keys don't occur but by chance; both are compared
-        at = np.minimum(np.searchsorted(self.joint, self.joined(key, context)), len(self.key) - 1)
-        return (self.context[at] == context) & (self.key[at] == key)
+        wanted = self.joined(key, context)
+        at = np.minimum(np.searchsorted(self.joint, wanted), len(self.key) - 1)
+        found = (self.context[at] == context) & (self.key[at] == key)
+        # entries with one joint number are in the order of their contexts: each round halves what
+        # is left of them, so a key with very many contexts costs a logarithm
+        left = np.flatnonzero(~found & (self.joint[at] == wanted))
+        low, high = at[left] + 1, np.searchsorted(self.joint, wanted[left], side="right")
+        while (some := low < high).any():
+            left, low, high = left[some], low[some], high[some]
+            middle = (low + high) >> 1
+            there = self.context[middle]
+            found[left] = there == context[left]
+            less = there < context[left]
+            low, high = np.where(less, middle + 1, low), np.where(less, high, np.where(found[left], low, middle))
+        return found
 
     @staticmethod
     def joined(key: np.ndarray, context: np.ndarray) -> np.ndarray:
@@ -283,7 +297,7 @@ def removed_windows(batch: Batch, first: dict, second: dict, buckets: int) -> li
     gone = dealt.own | (said == REPEATED)
     out = [(runs["low"][gone], runs["high"][gone])]
     windows = batch.windows({k: v[(said == CONTESTED) & ~gone] for k, v in runs.items()})
-    dealt = Dealt(windows, buckets)
+    dealt = Dealt(windows, buckets, "context")
     gone = dealt.own | (dealt.replied(second) == REPEATED)
     return [*out, (windows["low"][gone], windows["low"][gone] + 1)]
 
@@ -292,7 +306,7 @@ def _contested(batch: Batch, first: dict, buckets: int) -> Dealt:
     runs = batch.suffixes()
     dealt = Dealt(runs, buckets)
     said = dealt.replied(first)
-    return Dealt(batch.windows({k: v[(said == CONTESTED) & ~dealt.own] for k, v in runs.items()}), buckets)
+    return Dealt(batch.windows({k: v[(said == CONTESTED) & ~dealt.own] for k, v in runs.items()}), buckets, "context")
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, seed: int = SEED, batch_bytes: int = BATCH_BYTES) -> DataFrame:
