@@ -11,12 +11,28 @@ from vacantia.sources.tables import table
 from vacantia.streaming import streams
 
 
-def _feed(s, d):
-    """A stream of the events of a data directory: its file is linked into a folder by a batch copy
-    of the columns needed, in order of time, so a file source can read it."""
+#: Rows a file of a feed aims at.
+FILE_ROWS = 1_000_000
+
+
+def _feed(s, d, close=False):
+    """A stream of the events of a data directory, copied into a folder for the file source: one
+    file a range of time, written one after another. The source reads files in order of their
+    writing, so no row comes after the watermark has passed it. ``close`` adds a row a day after
+    the last event, in a file of its own: the watermark then passes every window and session of
+    events, and that row's own is never complete."""
     base = f"{scratch_dir(s)}/stream-{uuid.uuid4().hex}"
     rows = table(s, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
-    rows.write.parquet(f"{base}/in")
+    at = F.unix_micros("ts")
+    files = max(1, -(-rows.count() // FILE_ROWS))
+    shares = [i / files for i in range(1, files)]
+    edges = sorted(set(rows.agg(F.percentile_approx(at, shares, 10_000)).first()[0] or [])) if shares else []
+    place = sum((F.when(at > e, 1).otherwise(0) for e in edges), F.lit(0))  # rows without a time come first
+    for i in range(len(edges) + 1):
+        rows.where(place == i).coalesce(1).sortWithinPartitions("ts").write.mode("append").parquet(f"{base}/in")
+    if close:
+        last = rows.agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts")).where("ts IS NOT NULL")
+        last.select(*[F.col("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema]).coalesce(1).write.mode("append").parquet(f"{base}/in")
     return streams.file_stream(s, f"{base}/in", rows.schema), base
 
 
@@ -44,12 +60,12 @@ def _upserted(s, d):
 
 
 def _health(s, d):
-    stream, base = _feed(s, d)
+    stream, base = _feed(s, d, close=True)
     return _run(s, streams.stream_health(stream, "ts", "event_type", F.col("value") > 100, "1 hour", "10 minutes"), base)
 
 
 def _sessions(s, d):
-    stream, base = _feed(s, d)
+    stream, base = _feed(s, d, close=True)
     return _run(s, streams.stream_sessions(stream, "ts", "user_id", "30 minutes", "10 minutes"), base)
 
 
