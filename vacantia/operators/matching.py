@@ -173,13 +173,43 @@ def multicriteria(df: DataFrame, title: str, skills: str, text: str, filled: Col
     return df.withColumn("final", half_up(score, 4)).withColumn("status", status)
 
 
+def like_texts(titles: DataFrame, names: DataFrame, least: float) -> DataFrame:
+    """Candidate pairs (__t, __n) that hold every pair with an edit likeness of ``least`` or more.
+
+    Such a pair has lengths within that ratio, so a name of length L is at most
+    ``k = (1 - least) / least * L`` edits away. Of its k + 1 segments one at least is in the title as
+    it is, moved by no more than k places.
+    """
+    if least <= 0.5:
+        return titles.crossJoin(names)
+    slack = 1e-9
+    names, titles = names.where("length(__n) > 0"), titles.where("length(__t) > 0")
+    k = F.floor(F.col("__len") * ((1 - least) / least) + slack).cast("int")
+    start = lambda i: F.floor(F.col("__len") * i / (F.col("__k") + 1)).cast("int")
+    cut = lambda d: d.withColumn("__k", k).withColumn("__i", F.explode(F.sequence(F.lit(0), "__k"))).withColumns({"__from": start(F.col("__i")), "__size": start(F.col("__i") + 1) - start(F.col("__i"))})
+    mine = cut(names.withColumn("__len", F.length("__n")))
+    mine = mine.select("__n", "name", "__len", "__i", F.substring("__n", F.col("__from") + 1, F.col("__size")).alias("__s"))
+    t = F.length("__t")
+    lengths = F.sequence(F.ceil(t * least - slack).cast("int"), F.floor(t / least + slack).cast("int"))
+    theirs = cut(titles.withColumn("__len", F.explode(lengths)))
+    low, high = F.greatest(F.lit(0), F.col("__from") - F.col("__k")), F.least(t - F.col("__size"), F.col("__from") + F.col("__k"))
+    theirs = theirs.where(low <= high).withColumn("__at", F.explode(F.sequence(low, high)))
+    theirs = theirs.select("__t", "__len", "__i", F.substring("__t", F.col("__at") + 1, F.col("__size")).alias("__s")).distinct()
+    return theirs.join(mine, ["__len", "__i", "__s"]).select("__t", "__n", "name").distinct()
+
+
 def fuzzy_match(df: DataFrame, key: str, title: str, catalogue: DataFrame, name: str, least: float) -> DataFrame:
-    """Best catalogue name of a title: edit likeness .6 and word overlap .4, among names that share
-    a word. Distinct titles are compared, so frequent ones cost once."""
+    """Best catalogue name of a title: edit likeness .6 and word overlap .4. Candidates are names
+    that share a word, and names that reach the least score by edit likeness alone. Distinct titles
+    are compared, so frequent ones cost once."""
     titles = df.select(norm_key(F.col(title)).alias("__t")).distinct()
     names = catalogue.select(F.col(name).alias("name"), norm_key(F.col(name)).alias("__n")).distinct()
     words = lambda d, c: d.select("*", F.explode(token_set(F.col(c))).alias("__w"))
-    pairs = words(titles, "__t").join(words(names, "__n"), "__w").select("__t", "__n", "name").distinct()
+    pairs = words(titles, "__t").join(words(names, "__n"), "__w").select("__t", "__n", "name")
+    alone = (least - 0.00005) / 0.6  # scores are rounded to four places
+    if alone <= 1:
+        pairs = pairs.union(like_texts(titles, names, alone))
+    pairs = pairs.distinct()
     score = half_up(0.6 * similarity(F.col("__t"), F.col("__n")) + 0.4 * jaccard(token_set(F.col("__t")), token_set(F.col("__n"))), 4)
     best = pairs.withColumn("score", score).where(F.col("score") >= least)
     best = ranked(best, ["__t"], [F.desc("score"), F.asc("name")], 1).select("__t", "name", "score")
