@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from vacantia.functions.text import norm_key, similarity
 from vacantia.operators.components import connected_components
 from vacantia.operators.normalize import first_of
+from vacantia.sources.scratch import checkpointed
 
 #: Weights of the parts of a pair's score: title, text, company, salary.
 WEIGHTS = {"title": 0.40, "text": 0.35, "company": 0.15, "salary": 0.10}
@@ -115,16 +117,22 @@ def estimated_jaccard(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x)) / F.size(a)
 
 
-def minhash_pairs(df: DataFrame, key: str, signature: str, least: float, bands: int = 32) -> DataFrame:
-    """Pairs whose estimated likeness is high enough, among rows that agree in a band of their
-    signatures. Rows with one whole signature stand for each other: pairs join distinct signatures,
-    and every other row is paired with the first of its own."""
-    first = df.where(F.col(signature).isNotNull()).groupBy(signature).agg(F.min(key).alias("__first"))
-    rows = 128 // bands
-    parts = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(F.slice(F.col(signature), i * rows + 1, rows)).alias("h")))
-    banded = first.select("__first", signature, F.explode(parts).alias("p")).select("__first", signature, "p.band", "p.h")
-    a, b = (banded.select(F.col("__first").alias(x), F.col(signature).alias(f"s{x}"), "band", "h") for x in "ab")
-    near = a.join(b, ["band", "h"]).where("a < b").dropDuplicates(["a", "b"]).select("a", "b", estimated_jaccard(F.col("sa"), F.col("sb")).alias("likeness")).where(F.col("likeness") >= least)
+def minhash_pairs(df: DataFrame, key: str, signature: str, least: float, perms: int = 128) -> DataFrame:
+    """All pairs whose estimated likeness is high enough. Such signatures differ in at most
+    ``perms - ceil(least * perms)`` places, so of one band more than that one at least is equal:
+    rows that agree in a band are compared, and no pair is missed. Rows with one whole signature
+    stand for each other: pairs join distinct signatures, and every other row is paired with the
+    first of its own."""
+    first = checkpointed(df.where(F.col(signature).isNotNull()).groupBy(signature).agg(F.min(key).alias("__first")))
+    bands = min(perms, perms - math.ceil(least * perms - 1e-9) + 1)
+    cuts = [perms * i // bands for i in range(bands + 1)]
+    parts = F.array(*[F.xxhash64(F.slice(F.col(signature), a + 1, b - a)) for a, b in zip(cuts, cuts[1:], strict=False)])
+    banded = first.select("__first", F.posexplode(parts).alias("band", "h"))
+    a, b = (banded.select(F.col("__first").alias(x), "band", "h") for x in "ab")
+    near = a.join(b, ["band", "h"]).where("a < b").select("a", "b").distinct()
+    for x in "ab":
+        near = near.join(first.select(F.col("__first").alias(x), F.col(signature).alias(f"s{x}")), x)
+    near = near.select("a", "b", estimated_jaccard(F.col("sa"), F.col("sb")).alias("likeness")).where(F.col("likeness") >= least)
     same = df.join(first, signature).where(F.col(key) != F.col("__first")).select(F.col("__first").alias("a"), F.col(key).alias("b"), F.lit(1.0).alias("likeness"))
     return near.union(same)
 
