@@ -4,6 +4,8 @@ import random
 import sys
 from pathlib import Path
 
+import pytest
+
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 import corpus_pipeline as cp
 
@@ -51,7 +53,9 @@ def test_whole_table_against_brute_force(spark):
     assert len(set(want.values())) < len(want)
 
 
-def test_changed_copies_chains_and_edges(spark):
+@pytest.mark.parametrize("heavy", [64, 3])
+def test_changed_copies_chains_and_edges(spark, monkeypatch, heavy):
+    monkeypatch.setattr(near_copies, "HEAVY", heavy)
     rnd = random.Random(4)
     texts = {0: None, 1: "", 2: " \t", 3: "One two", 4: "one  TWO", 5: "one two three"}
     base = [f"w{rnd.randrange(500)}" for _ in range(120)]
@@ -63,15 +67,18 @@ def test_changed_copies_chains_and_edges(spark):
     line = " ".join(f"common{i}" for i in range(30))
     for d in range(100, 140):  # one passage in texts that are otherwise different
         texts[d] = " ".join([*(f"u{rnd.randrange(9999)}" for _ in range(rnd.randrange(5, 12))), line])
+    for d in range(200, 290):  # a group around one text, most members too far from each other
+        words = [f"g{i}" for i in range(80)]
+        for _ in range(rnd.randrange(6)):
+            words[rnd.randrange(80)] = f"y{rnd.randrange(9999)}"
+        texts[d] = " ".join(words)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
     assert classes(df) == brute_classes(texts)
     assert classes(df.limit(0)) == {}
 
 
 def test_pipeline_leaves_no_near_copies(spark):
-    """Failed with the four-bit SimHash stage alone: copies with several changes stayed."""
-    kept = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    for _, stage in cp.STAGES[1 : [n for n, _ in cp.STAGES].index("suffix_dedup")]:
-        kept = stage(spark, kept, "/root/testdata/sf0.01")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    kept = dict(cp.STAGES)["simhash"](spark, docs, "/root/testdata/sf0.01")
     texts = {r["doc_id"]: r["text"] for r in kept.collect()}
     assert len(set(brute_classes(texts).values())) == len(texts)

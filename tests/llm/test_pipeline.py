@@ -3,7 +3,7 @@ import sys
 from pathlib import Path
 
 import numpy as np
-from test_simhash import brute_classes, brute_fingerprint
+from test_near_copies import brute_classes
 from test_suffix_index import N
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
@@ -32,7 +32,7 @@ def test_stages_one_by_one(spark, tmp_path):
             gone = before.keys() - after.keys()
             assert all(labels.get(d, 1) for d in gone)
         elif name == "simhash":
-            classes = brute_classes({d: brute_fingerprint(t) for d, t in before.items()})
+            classes = brute_classes(before)
             assert after.keys() == set(classes.values())
         elif name == "suffix_dedup":
             least = {}

@@ -76,7 +76,7 @@ def test_links_of_dense_and_random_prints(spark, monkeypatch, split):
             prints.append(f)
     prints = dict(enumerate(dict.fromkeys(prints)))
     df = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)),) for f in prints.values()], "fp long")
-    links = simhash._links(df, 4).collect()
+    links = simhash.links(df, 4).collect()
     root = {f: f for f in prints.values()}
 
     def find(x):

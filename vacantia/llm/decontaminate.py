@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vacantia.llm.ids import without
+
 #: Selected positions of each mask.
 MASKS = ((0, 1, 2, 3, 5, 6), (0, 1, 3, 4, 7, 8), (0, 1, 4, 6, 7, 9))
 MIN_SCORE, MIN_SHARE, MIN_TOKENS = 10, 0.6, 10
@@ -123,7 +125,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents without a leak; rows without an id stay."""
-    return docs.join(leaks(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    return without(docs, leaks(docs, benchmark))
 
 
 def report_sql() -> str:

@@ -1,12 +1,18 @@
-"""Classes of near copies by word shingles: texts whose sets of five-word shingles have a Jaccard
-likeness of ``least`` or more are linked, and links are followed to whole classes.
-
-Complete by prefixes: sets with a likeness of t share one of their ``n - ceil(t n) + 1`` smallest
-hashes, so only these are dealt out as keys. Two sets that share ``c`` of them overlap in at most
-``c + ceil(t n) - 1`` of the larger one, which drops pairs that can't reach the threshold; the others
-are verified on whole sets. Equal sets are one beforehand. In a first round each set of a key is
-compared with the key's first and with its neighbour by size, which joins most of a large class; the
-second round takes every pair of a key that is not in one class yet.
+"""Near copies by SimHash, settled on whole shingle sets: texts whose sets of five-word shingles have
+a Jaccard likeness of ``least`` or more are linked, and links are followed to whole classes.
+
+The binary trie self-join of ``simhash`` over fingerprints of the same shingles gives the first
+candidates. No number of differing bits holds all pairs above a likeness, so what it leaves apart is
+completed by prefixes: in any order of all shingles, sets with a likeness of t share one of their
+first ``n - ceil(t n) + 1`` shingles, so only these are dealt out as keys. Pairs are dropped if the
+shared keys and what follows the last of them can't add up to the threshold; all others are compared
+on whole sets, so the result is exact.
+
+The order is by hash, but the most frequent keys (over ``HEAVY`` sets each, at most ``HEAVY_KEYS`` of
+them) come last: a line that a third of all texts share is then a key of those texts only that have
+little else, and near copies of a large group are keyed by what sets them apart. Before all remaining
+pairs of a key are taken, its sets are compared with one hub of their size, the set with the fewest
+rarer shingles, and pairs within a class are left out, so a large group isn't compared with itself.
 
 Defined results: null texts count as empty; texts without words are alike; shorter texts than a
 shingle are one shingle; rows without an id are left out; an empty table gives an empty result.
@@ -19,98 +25,184 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vacantia.llm import simhash
+from vacantia.llm.ids import counted
 from vacantia.operators.components import connected_components
-from vacantia.operators.normalize import bounded
 from vacantia.sources.scratch import checkpointed
 
 SHINGLE, LEAST, SEED = 5, 0.8, 42
+#: Sets of a key from which it moves to the end of the order, and how many keys do at most.
+HEAVY, HEAVY_KEYS = 64, 50_000
 #: Products of the threshold are rounded up less this, so that rounding loses no pair.
 _SLACK = 1e-9
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+CACHE_WORDS = 300_000
+_WORDS: dict[bytes, int] = {}
 
 
-def shingles(text: str, shingle: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of a text's word shingles."""
+def _word(word: bytes) -> int:
+    if len(_WORDS) >= CACHE_WORDS:
+        _WORDS.clear()
+    got = _WORDS[word] = xxhash.xxh64_intdigest(word, SEED)
+    return got
+
+
+def shingle_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
+    """Unsigned hashes of a text's word shingles, repeats included."""
     words = text.encode().lower().split()
     if not words:
-        return np.empty(0, dtype=np.int64)
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    first = np.concatenate(([0], ends[:-1])).tolist()
-    last = (ends[min(shingle, len(words)) - 1 :] - 1).tolist()
-    digest = xxhash.xxh64_intdigest
-    hashes = [digest(joined[i:j], SEED) for i, j in zip(first, last, strict=False)]
-    return np.unique(np.array(hashes, dtype=np.uint64).view(np.int64))
+        return np.empty(0, dtype=np.uint64)
+    get = _WORDS.get
+    one = np.array([get(w) or _word(w) for w in words], dtype=np.uint64)
+    n = max(1, len(words) - shingle + 1)
+    h = np.zeros(n, dtype=np.uint64)
+    for k in range(min(shingle, len(words))):
+        h = h * _BASE + one[k : k + n]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
 
+def shingles(text: str, shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of a text's word shingles."""
+    return np.unique(shingle_hashes(text, shingle).view(np.int64))
 
-def _sets(docs: DataFrame, shingle: int, least: float | None) -> DataFrame:
-    """(id, digest, size, keys) of (id, text): the keys are the prefix, or the whole set without a
-    threshold."""
+
+def _prefix(size: int, least: float) -> int:
+    return size - int(np.ceil(least * size - _SLACK)) + 1 if size else 0
+
+
+def _lists(sets: list[np.ndarray]) -> pa.Array:
+    cuts = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate([*sets, np.empty(0, np.int64)])))
+
+
+def _signed(docs: DataFrame, shingle: int, least: float, last: np.ndarray | None = None) -> DataFrame:
+    """(id, fp, digest, size, keys) of (id, text): SimHash, digest and size of the set, its prefix in
+    the order that has the keys of ``last`` at its end."""
+    shared = docs.sparkSession.sparkContext.broadcast(np.sort(last) if last is not None else np.empty(0, np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        late = shared.value
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                sets = [shingles(t or "", shingle) for t in batch.column(1).to_pylist()]
-                digests = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64)
-                sizes = np.array([len(s) for s in sets], dtype=np.int32)
-                if least is not None:
-                    sets = [s[: len(s) - int(np.ceil(least * len(s) - _SLACK)) + 1] for s in sets]
-                cuts = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                keys = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate([*sets, np.empty(0, np.int64)])))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests), pa.array(sizes), keys], names=["id", "digest", "size", "keys"])
+                fps, digests, sizes, keys = [], [], [], []
+                for text in batch.column(1).to_pylist():
+                    hashes = shingle_hashes(text or "", shingle)
+                    one = np.unique(hashes.view(np.int64))
+                    fps.append(simhash.majority(hashes))
+                    digests.append(xxhash.xxh64_intdigest(one.tobytes(), SEED))
+                    sizes.append(len(one))
+                    if len(late) and len(one):
+                        is_late = late[np.minimum(np.searchsorted(late, one), len(late) - 1)] == one
+                        one = np.concatenate((one[~is_late], one[is_late]))
+                    keys.append(one[: _prefix(len(one), least)])
+                signed = (np.array(x, dtype=np.uint64).view(np.int64) for x in (fps, digests))
+                yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, signed), pa.array(np.array(sizes, dtype=np.int32)), _lists(keys)], names=["id", "fp", "digest", "size", "keys"])
+
+    return docs.mapInArrow(run, "id long, fp long, digest long, size int, keys array<long>")
+
+
+def _whole(docs: DataFrame, shingle: int) -> DataFrame:
+    """(digest, keys) of (digest, text): the whole sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                yield pa.RecordBatch.from_arrays([batch.column(0), _lists([shingles(t or "", shingle) for t in batch.column(1).to_pylist()])], names=["digest", "keys"])
+
+    return docs.mapInArrow(run, "digest long, keys array<long>")
 
-    return docs.mapInArrow(run, "id long, digest long, size int, keys array<long>")
 
+def _wanted(a: str, b: str, least: float):
+    """Common shingles that sets of these sizes need."""
+    return F.lit(least / (1 + least)) * (F.col(a) + F.col(b)) - _SLACK
 
-def _able(pairs: DataFrame, least: float) -> DataFrame:
-    """Distinct pairs (a, b) of the smaller and the larger set that may reach the threshold by the
-    number of keys they share."""
-    counted = pairs.groupBy("a", "b", "size_a", "size_b").agg(F.count("*").alias("n"))
-    wanted = F.lit(least / (1 + least)) * (F.col("size_a") + F.col("size_b"))
-    return counted.where(F.col("n") + F.ceil(F.col("size_b") * least - _SLACK) - 1 >= wanted - _SLACK).select("a", "b")
+
+def _able(rows: DataFrame, least: float) -> DataFrame:
+    """Distinct pairs (a, b) of the smaller and the larger set that may reach the threshold, by the
+    keys they share and by what follows the last of these in both."""
+    counted = rows.groupBy("a", "b", "size_a", "size_b").agg(F.count("*").alias("n"), F.max("pos_a").alias("i"), F.max("pos_b").alias("j"))
+    rest = F.least(F.ceil(F.col("size_b") * least - _SLACK) - 1, F.col("size_a") - F.col("i") - 1, F.col("size_b") - F.col("j") - 1)
+    return counted.where(F.col("n") + rest >= _wanted("size_a", "size_b", least)).select("a", "b")
 
 
 def _verified(docs: DataFrame, ids: DataFrame, pairs: DataFrame, shingle: int, least: float) -> DataFrame:
     """Pairs whose whole sets are alike enough."""
     pairs = checkpointed(pairs)
     ends = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
-    needed = checkpointed(ids.join(ends, "digest").select("id").distinct())
-    sets = _sets(docs.join(bounded(needed), "id", "left_semi").select("id", "text"), shingle, None)
-    sets = checkpointed(sets.select("digest", "keys").join(bounded(ends), "digest", "left_semi").dropDuplicates(["digest"]))
+    found = docs.join(counted(ids.join(ends, "digest").select("id", "digest")), "id").select("digest", "text")
+    sets = checkpointed(_whole(found, shingle).dropDuplicates(["digest"]))
     a, b = (sets.select(F.col("digest").alias(x), F.col("keys").alias(f"keys_{x}")) for x in "ab")
     both = F.size(F.array_intersect("keys_a", "keys_b"))
     alike = both >= (F.size("keys_a") + F.size("keys_b") - both) * least - _SLACK
     return checkpointed(pairs.join(a, "a").join(b, "b").where(alike).select("a", "b"))
 
 
-def near_copies(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
+def _by_trie(sets: DataFrame, budget: int) -> DataFrame:
+    """Candidates (a, b) of the trie self-join: one set of each fingerprint with that of another
+    within the budget, and with the others of its fingerprint."""
+    heads = checkpointed(sets.groupBy("fp").agg(F.min("digest").alias("head")))
+    links = simhash.links(heads.select("fp"), budget)
+    for x in "ab":
+        links = links.join(heads.select(F.col("fp").alias(x), F.col("head").alias(f"head_{x}")), x)
+    same = sets.join(heads, "fp").where("digest <> head").select(F.col("head").alias("a"), F.col("digest").alias("b"))
+    return links.select(F.col("head_a").alias("a"), F.col("head_b").alias("b")).union(same)
+
+
+def _by_hubs(shared: DataFrame, least: float) -> DataFrame:
+    """Candidates (a, b) of each set and the hubs of its keys, of its own and the next smaller size."""
+    span = shared.withColumn("span", F.floor(F.log("size") / -F.log(F.lit(least))))
+    hubs = span.groupBy("key", "span").agg(F.min(F.struct("pos", "digest", "size")).alias("hub"))
+    near = span.select("key", "digest", "size", "pos", F.explode(F.array("span", F.col("span") - 1)).alias("span")).join(hubs, ["key", "span"]).where("digest <> hub.digest")
+    order = F.when(F.struct(F.col("hub.size"), F.col("hub.digest")) < F.struct("size", "digest"), F.struct(F.col("hub").alias("x"), F.struct("pos", "digest", "size").alias("y"))).otherwise(F.struct(F.struct("pos", "digest", "size").alias("x"), F.col("hub").alias("y"))).alias("p")
+    rows = near.select(order).select(F.col("p.x.digest").alias("a"), F.col("p.y.digest").alias("b"), F.col("p.x.size").alias("size_a"), F.col("p.y.size").alias("size_b"), F.col("p.x.pos").alias("pos_a"), F.col("p.y.pos").alias("pos_b"))
+    return _able(rows.where(F.col("size_a") >= F.col("size_b") * least - _SLACK), least)
+
+
+def _apart(shared: DataFrame, found: DataFrame, least: float) -> DataFrame:
+    """Candidates (a, b) that share a key and are in different classes."""
+    rest = checkpointed(shared.join(found, "digest", "left").withColumn("component", F.coalesce("component", "digest")))
+    mixed = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    rest = rest.join(mixed, "key", "left_semi")
+    a, b = (rest.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("digest", "size", "pos", "component")]) for x in "ab")
+    later = (F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("digest_a") < F.col("digest_b")))
+    rows = a.join(b, "key").where(later & (F.col("component_a") != F.col("component_b")) & (F.col("size_a") >= F.col("size_b") * least - _SLACK))
+    return _able(rows.withColumnsRenamed({"digest_a": "a", "digest_b": "b"}), least)
+
+
+def _keyed(sets: DataFrame) -> DataFrame:
+    return sets.select("digest", "size", F.posexplode("keys").alias("pos", "key"))
+
+
+def near_copies(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, least: float = LEAST, budget: int = simhash.BUDGET) -> DataFrame:
     """(id, component_id): the smallest id of each row's class."""
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL")
-    signed = checkpointed(_sets(docs, shingle, least))
-    ids = checkpointed(signed.groupBy("digest").agg(F.min("id").alias("id")))
-    keyed = signed.select("digest", "size", "keys").dropDuplicates(["digest"]).select("digest", "size", F.explode("keys").alias("key"))
-    order = Window.partitionBy("key").orderBy("size", "digest")
-    one = F.struct("digest", "size")
-    rows = keyed.select("*", F.lag(one).over(order).alias("before"), F.lead("digest").over(order).alias("after"), F.first(one).over(order).alias("first"))
-    shared = checkpointed(rows.where("before IS NOT NULL OR after IS NOT NULL").drop("after"))
-
-    near = shared.where("before IS NOT NULL").select("digest", "size", F.explode(F.array_distinct(F.array("before", "first"))).alias("o"))
-    near = near.select(F.col("o.digest").alias("a"), F.col("digest").alias("b"), F.col("o.size").alias("size_a"), F.col("size").alias("size_b"))
-    near = near.where(F.col("size_a") >= F.col("size_b") * least - _SLACK)
-    links = _verified(docs, ids, _able(near, least), shingle, least)
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("id IS NOT NULL")
+    signed = checkpointed(_signed(docs, shingle, least))
+    one = [F.min_by(c, "id").alias(c) for c in ("fp", "size", "keys")]
+    sets = checkpointed(signed.groupBy("digest").agg(F.min("id").alias("id"), *one))
+    ids = sets.select("digest", "id")
+
+    often = _keyed(sets).groupBy("key").count().where(F.col("count") > HEAVY).orderBy(F.desc("count"), "key").limit(HEAVY_KEYS)
+    heavy = np.array([r["key"] for r in often.collect()], dtype=np.int64)
+    if len(heavy):
+        frame = F.broadcast(df.sparkSession.createDataFrame(pa.table({"key": heavy})))
+        touched = _keyed(sets).join(frame, "key", "left_semi").select("digest").distinct()
+        again = ids.join(touched, "digest").select("id")
+        anew = _signed(docs.join(counted(again), "id", "left_semi").select("id", "text"), shingle, least, heavy).dropDuplicates(["digest"])
+        anew = anew.select("digest", F.col("keys").alias("anew"))
+        sets = checkpointed(sets.join(anew, "digest", "left").select("digest", "id", "fp", "size", F.coalesce("anew", "keys").alias("keys")))
+    keyed = _keyed(sets)
+    shared = checkpointed(keyed.join(keyed.groupBy("key").count().where("count > 1").select("key"), "key"))
+
+    links = _verified(docs, ids, _by_trie(sets, budget).union(_by_hubs(shared, least)).distinct(), shingle, least)
     found = connected_components(links).withColumnRenamed("node", "digest")
-
-    rest = shared.select("key", "digest", "size").join(found, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
-    key = Window.partitionBy("key")
-    rest = rest.withColumns({"least": F.min("component").over(key), "most": F.max("component").over(key)}).where("least < most")
-    rest = checkpointed(rest.select("key", "digest", "size", "component"))
-    a, b = (rest.select("key", F.col("digest").alias(x), F.col("size").alias(f"size_{x}"), F.col("component").alias(f"component_{x}")) for x in "ab")
-    later = (F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("a") < F.col("b")))
-    apart = a.join(b, "key").where(later & (F.col("component_a") != F.col("component_b")) & (F.col("size_a") >= F.col("size_b") * least - _SLACK))
-    links = links.union(_verified(docs, ids, _able(apart, least), shingle, least))
+    links = links.union(_verified(docs, ids, _apart(shared, found, least), shingle, least))
 
     classes = ids.join(connected_components(links).withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
     names = classes.groupBy("component").agg(F.min("id").alias("component_id"))

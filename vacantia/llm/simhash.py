@@ -33,6 +33,8 @@ SHINGLE, SEED, BUDGET = 4, 42, 4
 SPLIT = 50_000
 #: Pairs of a node pair from which leaves are compared directly; node pairs a step holds at once.
 LEAF, STEP = 64, 400_000
+#: Hashes whose bits are counted at once.
+BLOCK = 65_536
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -46,12 +48,16 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     n = max(1, len(words) - shingle + 1)
     last = (ends[min(shingle, len(words)) - 1 :] - 1).tolist()
     first, digest = starts.tolist(), xxhash.xxh64_intdigest
+    return majority(np.array([digest(joined[i:j], SEED) for i, j in zip(first[:n], last, strict=True)], dtype=np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The number whose bits are those that are set in over half of the hashes; zero without any."""
     counts = np.zeros(64, dtype=np.int64)
-    for at in range(0, n, 65_536):
-        part = zip(first[at : at + 65_536], last[at : at + 65_536], strict=False)
-        hashes = np.array([digest(joined[i:j], SEED) for i, j in part], dtype=">u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
+    for at in range(0, len(hashes), BLOCK):
+        part = hashes[at : at + BLOCK].astype(">u8")
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
 
 
 def fingerprint_column(text: Column) -> Column:
@@ -167,7 +173,7 @@ def _children(fp: np.ndarray, level: int, budget: int, al, ah, bl, bh, errors):
     return tuple(x[keep] for x in out)
 
 
-def _links(prints: DataFrame, budget: int) -> DataFrame:
+def links(prints: DataFrame, budget: int) -> DataFrame:
     """Spanning links (a, b) between distinct fingerprints within the budget."""
     blocks = _blocks(64, budget + 1)
     roots = F.explode(F.array(*[F.struct(F.lit(i).alias("block"), _block_value(F.col("fp"), b).alias("value")) for i, b in enumerate(blocks)])).alias("root")
@@ -221,8 +227,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", b
     """(id, fp, component_id): each row's fingerprint and the smallest id that links reach."""
     prints = checkpointed(df.select(F.col(id_col).alias("id"), fingerprint_column(F.col(text)).alias("fp")))
     distinct = prints.groupBy("fp").agg(F.min("id").alias("least"))
-    links = connected_components(_links(distinct.select("fp"), budget))
-    classes = distinct.join(links.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    found = connected_components(links(distinct.select("fp"), budget))
+    classes = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     names = classes.groupBy("component").agg(F.min("least").alias("component_id"))
     classes = classes.join(names, "component").select("fp", "component_id")
     return prints.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
