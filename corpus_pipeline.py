@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vacantia.llm import bpe, decontaminate, near_copies, simhash, suffix_index, toxicity
+from vacantia.llm import bpe, decontaminate, ids, near_copies, suffix_index, toxicity
 from vacantia.sources.scratch import scratch_dir
 from vacantia.sources.tables import table
 
@@ -29,17 +29,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, chain).where(~F.col("is_toxic")).select(*COLUMNS)
 
 
-def drop_shingle_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class of texts whose five-word shingles are 0.8
-    alike or more; rows without an id stay."""
-    copies = near_copies.near_copies(docs).where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*COLUMNS)
-
-
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class of near copies; rows without an id stay."""
-    copies = simhash.near_duplicates(docs).where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*COLUMNS)
+    """The document with the smallest id of each class of near copies: texts whose sets of five-word
+    shingles are 0.8 alike or more, linked to whole classes. Rows without an id stay."""
+    return ids.without(docs, near_copies.near_copies(docs).where("component_id < doc_id")).select(*COLUMNS)
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
@@ -84,7 +77,6 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("toxicity", drop_toxic),
-    ("near_copies", drop_shingle_copies),
     ("simhash", drop_near_copies),
     ("suffix_dedup", cut_repeats),
     ("decontaminate", drop_leaks),
