@@ -5,9 +5,9 @@ from vacantia.llm import fingerprint as fp
 
 def brute(rows):
     rows = sorted(((d, t or "") for d, t in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-    out = []
+    placed, out = [r for r in rows if r[0] is not None], []
     for i, (d, t) in enumerate(rows):
-        after = rows[(i + 1) % len(rows)][1]
+        after = placed[(i + 1) % len(placed)][1] if d is not None else t
         n = len(t) // 4
         e = t[: len(t) - n] + after[:n]
         a, b, c = (fp.digest(x.encode()) for x in (t, e, after))
@@ -29,7 +29,7 @@ def test_whole_table(spark):
 
 
 def test_edges_of_input(spark):
-    rows = [(5, None), (1, ""), (2, "a"), (3, "ab"), (None, "no id"), (4, "é" * 30), (4, "é" * 30), (9, "long text " * 20_000)]
+    rows = [(5, None), (1, ""), (2, "a"), (3, "ab"), (None, "no id"), (None, None), (4, "é" * 30), (4, "é" * 30), (9, "long text " * 20_000)]
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, batch int, guest string")
     for size in (1 << 24, 9_000):
         assert ours(df, batch_bytes=size) == brute(rows)

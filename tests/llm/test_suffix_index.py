@@ -74,10 +74,10 @@ def test_levels_grow_geometrically():
     index = suffix_index.SuffixIndex()
     for i in range(40):
         key = np.sort(np.random.default_rng(i).integers(0, 2**40, 100, dtype=np.uint64))
-        assert not index.add(key, key * np.uint64(77), np.arange(100)).any()
+        assert not index.add(key, key * np.uint64(77)).any()
         assert len(index.levels) <= 7
     key = np.sort(np.random.default_rng(3).integers(0, 2**40, 100, dtype=np.uint64))
-    assert index.add(key, key * np.uint64(77), np.arange(100)).all()
+    assert index.add(key, key * np.uint64(77)).all()
     assert len(index.whole().key) == 4000
 
 
@@ -90,6 +90,31 @@ def test_contexts_of_one_key_that_share_their_top_bits():
     context = np.sort(np.concatenate([(np.uint64(t) << np.uint64(40)) | low for t in (5, 6, 2**24 - 1)]))
     key = np.repeat(np.array([3, 9, 2**40 - 1], dtype=np.uint64), len(context))
     held, asked = np.tile(context[::2], 3), np.tile(context, 3)
-    level = suffix_index.Level(np.repeat(np.array([3, 9, 2**40 - 1], dtype=np.uint64), len(context[::2])), held, np.arange(len(held)))
+    level = suffix_index.Level(np.repeat(np.array([3, 9, 2**40 - 1], dtype=np.uint64), len(context[::2])), held)
     assert level.holds(key, asked).tolist() == np.tile(np.arange(len(context)) % 2 == 0, 3).tolist()
     assert not level.holds(key + np.uint64(1) - np.uint64(2) * (key == 2**40 - 1), asked).any()
+
+
+def test_a_seed_of_very_many_documents(spark, monkeypatch):
+    """One passage in all documents, with other surroundings in each; most batches hold several."""
+    import numpy as np
+
+    monkeypatch.setattr(suffix_index, "BUCKET_BYTES", 20_000)
+    rnd = random.Random(11)
+    line = "".join(rnd.choice("qwrt ") for _ in range(130))
+    rows = [(d, "".join(rnd.choice("xyz ") for _ in range(rnd.randint(20, 60))) + line[rnd.randint(0, 2) :] + "".join(rnd.choice("uvw ") for _ in range(40))) for d in range(400)]
+    assert ours(spark, rows, 3_000) == brute(rows)
+    entries = {k: np.zeros(500, dtype=np.uint64) for k in ("key", "context")} | {"rank": np.arange(500)}
+    entries["context"] = np.arange(500, dtype=np.uint64)
+    assert len(suffix_index.Dealt(entries, 7, True).keys) == 1 and len(suffix_index.Dealt(entries, 7, False).keys) == 500
+
+
+def test_batches_are_many_and_even(spark):
+    from pyspark.sql import functions as F
+
+    from vacantia.llm.ranges import Ranges
+
+    df = spark.range(400_000).select((F.col("id") * F.col("id")).alias("doc_id"), F.lit("x" * 100).alias("text"))
+    ranges = Ranges(df, "doc_id", "text", 2_000)
+    sizes = [r["count"] for r in df.groupBy(ranges.batch().alias("b")).count().collect()]
+    assert len(sizes) == ranges.n == 20_000 and max(sizes) == 20

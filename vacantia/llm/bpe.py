@@ -7,11 +7,12 @@ one state per base symbol and every arc present; each merge ``(u, v)`` is one ga
 * the state reached by ``uv`` is a copy of the state reached by ``v``,
 * the state reached by ``u`` loses its arc ``v`` (and ``uv`` when ``u == v``).
 
-After the last merge the automaton accepts exactly the label sequences that BPE produces, so
-each prefix of a word has a single accepted path. Encoding walks a word once, left to right,
-keeps the state reached at each position and looks transitions up in the table. Decoding
-emits the labels of the arcs. The transition table is a bit matrix, states by labels; states
-of word-final labels have no arcs and no row.
+After the last merge the automaton accepts exactly the label sequences that BPE produces, so a
+word has a single accepted path. Encoding looks for it from left to right by table lookups: from
+the state reached, the longest label that stands in the text and has an arc is taken, and a place
+from which no arc leads on is left again and never re-entered. A word that is a label by itself is
+taken at once, as no other path spells it. Decoding emits the labels of the arcs. The transition
+table is a bit matrix, states by labels; states of word-final labels have no arcs and no row.
 
 Nulls encode as empty texts; empty texts give no ids. Rows are independent, so ties, repeated
 rows and extra columns need nothing special: the text column alone goes to Python.
@@ -34,8 +35,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vacantia.llm.memory import release
+
 #: Entries of a worker's cache of words before it is emptied; longer words are not cached.
-CACHE_WORDS, CACHE_LEN = 400_000, 48
+CACHE_WORDS, CACHE_LEN = 200_000, 48
+#: Rows that are worked on at once.
+ROWS = 256
 #: Marks that often end a stretch without white space; none is a letter, digit or apostrophe.
 MARKS = ",.;:!?"
 #: Characters by which the longest label at a place is bounded.
@@ -66,7 +71,8 @@ class Automaton:
         self.label_bytes = [x.encode() for x in self.labels]
         self.merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.row: list[int] = []
-        self.rows: list[bytes] = []
+        #: The bit matrix, row by row: of eight states each, a byte for each label.
+        self.bits = memoryview(b"")
         cut = len(self.end)
         self.final = {x[: len(x) - cut]: i for x, i in self.ids.items() if x.endswith(self.end)}
         self.inner = {x: i for x, i in self.ids.items() if not cut or not x.endswith(self.end)}
@@ -85,7 +91,7 @@ class Automaton:
 
     def compile(self) -> Automaton:
         """Builds the transition table, once; decoding does without it."""
-        if self.rows:
+        if self.row:
             return self
         merges = [(self.ids[u], self.ids[v], self.ids[u + v]) for u, v in self.merges]
         made = [uv for _, _, uv in merges]
@@ -111,20 +117,20 @@ class Automaton:
             table[r >> 3, v] &= keep
             if u == v:
                 table[r >> 3, uv] &= keep
-        self.row, self.rows = rows, [bytes(x) for x in table]
+        self.row, self.bits = rows, memoryview(table.reshape(-1))
         return self
 
     def allows(self, state: int, label: int) -> bool:
         """Whether the state reached by one label has an arc with the other."""
         r = self.row[state]
-        return r >= 0 and bool(self.rows[r >> 3][label] >> (r & 7) & 1)
+        return r >= 0 and bool(self.bits[(r >> 3) * len(self.labels) + label] >> (r & 7) & 1)
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of one pre-split word: the labels of the only accepted path. Longer arcs are tried
         first; a place from which no arc leads on is not entered again."""
         plain = word.isascii() and word.isprintable()
         text = word if plain else "".join(map(self._bytes.__getitem__, word.encode()))
-        n, inner, final, row, rows, reach = len(text), self.inner, self.final, self.row, self.rows, self.reach
+        n, inner, final, row, bits, reach, width = len(text), self.inner, self.final, self.row, self.bits, self.reach, len(self.labels)
         if (label := final.get(text)) is not None:
             return [label]
         path: list[tuple[int, int]] = []
@@ -133,7 +139,7 @@ class Automaton:
         while True:
             while j > i:
                 label = (inner if j < n else final).get(text[i:j])
-                if label is not None and (r < 0 or rows[r >> 3][label] >> (r & 7) & 1) and j not in dead:
+                if label is not None and (r < 0 or bits[(r >> 3) * width + label] >> (r & 7) & 1) and j not in dead:
                     break
                 j -= 1
             else:
@@ -207,6 +213,46 @@ def _values(column: pa.Array) -> Iterator[np.ndarray]:
         yield x.values.to_numpy(zero_copy_only=False) if x.is_valid else np.empty(0, np.int32)
 
 
+def _encoded(fsa: Automaton, texts: pa.Array) -> list[bytes]:
+    """Ids of each text; none for null."""
+    gc.disable()  # the cache holds no cycles, and collections would walk over it again and again
+    try:
+        return [fsa.encode(t) if t else b"" for t in texts.to_pylist()]
+    finally:
+        gc.enable()
+
+
+def _id_lists(packed: list[bytes]) -> pa.Array:
+    offsets = np.zeros(len(packed) + 1, dtype=np.int32)
+    np.cumsum([len(p) // 4 for p in packed], out=offsets[1:])
+    values = np.frombuffer(b"".join(packed), dtype="<i4")
+    kind = pa.list_(pa.field("element", pa.int32(), nullable=False))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), type=kind)
+
+
+def round_trip_column(spark, text: Column, vocabulary: str, ids: bool = False) -> Column:
+    """Struct of a text's ``n_tokens``, the digest of its ids and that of their decoded text, and of
+    the ``ids`` if asked for. A text is encoded once for all of them."""
+    shared = spark.sparkContext.broadcast(vocabulary)
+    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    fields += [T.StructField("ids", T.ArrayType(T.IntegerType(), False))] * ids
+
+    @F.arrow_udf(T.StructType(fields))
+    def bpe_round_trip(texts: pa.Array) -> pa.Array:
+        fsa = automaton(shared.value).compile()
+        columns: list[list[pa.Array]] = [[] for _ in fields]
+        for at in range(0, max(1, len(texts)), ROWS):
+            packed = _encoded(fsa, texts.slice(at, ROWS))
+            decoded = [sha256(fsa.decode(np.frombuffer(p, dtype="<u4"))).hexdigest() for p in packed]
+            found = [pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array([sha256(p).hexdigest() for p in packed], pa.string()), pa.array(decoded, pa.string())]
+            for column, part in zip(columns, [*found, _id_lists(packed)], strict=False):
+                column.append(part)
+        release()
+        return pa.StructArray.from_arrays(list(map(pa.concat_arrays, columns)), names=[f.name for f in fields])
+
+    return bpe_round_trip(text)
+
+
 def encode_column(spark, text: Column, vocabulary: str) -> Column:
     """``array<int>`` of token ids of a text column."""
     shared = spark.sparkContext.broadcast(vocabulary)
@@ -214,14 +260,8 @@ def encode_column(spark, text: Column, vocabulary: str) -> Column:
     @F.arrow_udf(T.ArrayType(T.IntegerType(), False))
     def bpe_encode(texts: pa.Array) -> pa.Array:
         fsa = automaton(shared.value).compile()
-        gc.disable()  # the cache holds no cycles, and collections would walk over it again and again
-        packed = [fsa.encode(t) if t else b"" for t in texts.to_pylist()]
-        gc.enable()
-        offsets = np.zeros(len(packed) + 1, dtype=np.int32)
-        np.cumsum([len(p) // 4 for p in packed], out=offsets[1:])
-        values = np.frombuffer(b"".join(packed), dtype="<u4").astype(np.int32)
-        kind = pa.list_(pa.field("element", pa.int32(), nullable=False))
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), type=kind)
+        out = [_id_lists(_encoded(fsa, texts.slice(at, ROWS))) for at in range(0, len(texts), ROWS)]
+        return pa.concat_arrays(out) if out else _id_lists([])
 
     return bpe_encode(text)
 
@@ -238,16 +278,6 @@ def decode_column(spark, ids: Column, vocabulary: str) -> Column:
     return bpe_decode(ids)
 
 
-def ids_digest(ids: Column) -> Column:
-    """Lowercase hex SHA-256 of ids as little-endian unsigned 32-bit integers."""
-
-    @F.arrow_udf(T.StringType())
-    def bpe_ids_digest(column: pa.Array) -> pa.Array:
-        return pa.array([sha256(x.astype("<u4").tobytes()).hexdigest() for x in _values(column)], type=pa.string())
-
-    return bpe_ids_digest(ids)
-
-
 def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``df`` with token ids of its text column; a column named ``ids`` is replaced."""
     return df.withColumn(ids, encode_column(df.sparkSession, F.col(text), vocabulary))
@@ -260,11 +290,5 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decode
 
 def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
     """Per document: token count and digests of its ids and of their decoded text."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = decode(encode(rows, vocabulary).drop("text"), vocabulary)
-    return rows.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        ids_digest(F.col("ids")).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-    )
+    trip = round_trip_column(docs.sparkSession, F.col("text"), vocabulary)
+    return docs.select("doc_id", trip.alias("trip")).select("doc_id", "trip.n_tokens", "trip.ids_sha256", "trip.decoded_sha256")

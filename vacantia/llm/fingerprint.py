@@ -6,28 +6,33 @@ quartile that its count is in. The difference of two digests adds up the distanc
 the ratios and the lengths and is bounded by ``BOUND``; likeness is its complement, from 0 to 1.
 
 Defined results: null texts count as empty; texts without triplets have empty buckets and differ by
-their lengths; equal texts have equal digests. Rows are taken in order of (id, text), rows without
-an id last, so ties and repeated rows have a fixed next row; a single row is its own next; an empty
-table gives an empty result. Whole texts are digested, in blocks of bytes.
+their lengths; equal texts have equal digests. Rows are taken in order of (id, text), so ties and
+repeated rows have a fixed next row; a single row is its own next; rows without an id have no place
+in the order, and each is its own next; an empty table gives an empty result. Whole texts are
+digested, in blocks of bytes.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from hashlib import sha256
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vacantia.llm.ranges import NO_ID, Ranges
+from vacantia.llm.memory import release
+from vacantia.llm.ranges import Ranges
 
 BUCKETS, BOUND = 128, 250
 #: Offsets of the other two bytes of each triplet that starts a window of five.
 TRIPLETS = ((1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4))
-BLOCK, BATCH_BYTES = 1 << 20, 16 << 20
+BLOCK, BATCH_BYTES, ROWS = 1 << 20, 16 << 20, 500
 _PEARSON = np.random.default_rng(5).permutation(256).astype(np.uint8)
 #: Cost of quartiles that are so far apart.
 _COST = np.array([0, 1, 2, 6])
@@ -115,25 +120,39 @@ def against_neighbours(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     the batch before, whose last row it follows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    ranges = Ranges(rows, "doc_id", "text", batch_bytes)
-    dealt = rows.withColumn("batches", ranges.batches_and_guest(rows))
+    placed = rows.where("doc_id IS NOT NULL")
+    ranges = Ranges(placed, "doc_id", "text", batch_bytes)
+    dealt = placed.withColumn("batches", ranges.batches_and_guest())
     dealt = dealt.select("doc_id", "text", F.posexplode("batches").alias("guest", "batch"))
 
-    def compare(table: pa.Table) -> pa.Table:
-        names = ("guest", "doc_id", "text")
-        # the only batch hosts its own first row, the last batch the first row of all
-        found = sorted(zip(*(table.column(c).to_pylist() for c in names), strict=True), key=lambda r: (r[0], NO_ID if r[1] is None else r[1], r[2]))
-        own = [r for r in found if not r[0]]
-        texts = [r[2] for r in own] + [r[2] for r in found[len(own) : len(own) + 1]]
-        prints = [digest(t.encode()) for t in texts]
-        out = []
-        for i, (_, doc, t) in enumerate(own):
-            other = edited(t, texts[i + 1])
-            data = other.encode()
-            mark = digest(data)
-            out.append((doc, len(t), sha256(data).hexdigest(), prints[i], mark, likeness(prints[i], mark), likeness(prints[i], prints[i + 1])))
-        columns = zip(*out, strict=True) if out else [()] * 7
+    def compared(rows: Iterator[tuple[int | None, str, str]]) -> Iterator[pa.Table]:
+        """Rows of (id, text, next text), some at a time."""
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
-        return pa.table([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
+        names, last = [x.split()[0] for x in SCHEMA.split(", ")], ("", digest(b""))
+        while some := list(islice(rows, ROWS)):
+            out = []
+            for doc, t, following in some:
+                other = edited(t, following)
+                data = other.encode()
+                mine, mark = last[1] if t == last[0] else digest(t.encode()), digest(data)
+                after = mine if following == t else digest(following.encode())
+                last = (following, after)
+                out.append((doc, len(t), sha256(data).hexdigest(), mine, mark, likeness(mine, mark), likeness(mine, after)))
+            yield pa.table([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+        release()
 
-    return dealt.repartition(ranges.n, "batch").groupBy("batch").applyInArrow(compare, SCHEMA)
+    def compare(table: pa.Table) -> pa.Table:
+        # the only batch hosts its own first row, the last batch the first row of all
+        table = table.sort_by([("guest", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
+        own = table.num_rows - pc.sum(table.column("guest")).as_py()
+        ids, texts = table.column("doc_id"), table.column("text")
+        rows = ((ids[i].as_py(), texts[i].as_py(), texts[i + 1].as_py()) for i in range(own))
+        return pa.concat_tables(compared(rows))
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for found in compared((None, t.as_py(), t.as_py()) for t in batch.column("text")):
+                yield from found.to_batches()
+
+    found = dealt.repartitionById(ranges.n, F.col("batch")).groupBy("batch").applyInArrow(compare, SCHEMA)
+    return found.union(rows.where("doc_id IS NULL").mapInArrow(alone, SCHEMA))

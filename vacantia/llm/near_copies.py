@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from vacantia.llm import simhash
 from vacantia.llm.ids import counted
+from vacantia.llm.memory import release
 from vacantia.operators.components import connected_components
 from vacantia.sources.scratch import checkpointed
 
@@ -103,6 +104,7 @@ def _signed(docs: DataFrame, shingle: int, least: float, last: np.ndarray | None
                     keys.append(one[: _prefix(len(one), least)])
                 signed = (np.array(x, dtype=np.uint64).view(np.int64) for x in (fps, digests))
                 yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, signed), pa.array(np.array(sizes, dtype=np.int32)), _lists(keys)], names=["id", "fp", "digest", "size", "keys"])
+            release()
 
     return docs.mapInArrow(run, "id long, fp long, digest long, size int, keys array<long>")
 
@@ -115,6 +117,7 @@ def _whole(docs: DataFrame, shingle: int) -> DataFrame:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
                 yield pa.RecordBatch.from_arrays([batch.column(0), _lists([shingles(t or "", shingle) for t in batch.column(1).to_pylist()])], names=["digest", "keys"])
+            release()
 
     return docs.mapInArrow(run, "digest long, keys array<long>")
 

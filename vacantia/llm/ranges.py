@@ -4,53 +4,72 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Ids of rows that have none: they come last.
-NO_ID = np.iinfo(np.int64).max
+#: Batches of a table at least (while each has ``LEAST_BYTES``) and at most; one id a batch is broadcast.
+LEAST_BATCHES, LEAST_BYTES, MOST_BATCHES = 48, 256 << 10, 1_000_000
+#: Stretches of ids whose bytes are added up in one task each.
+STRETCHES = 500
 
 
 class Ranges:
-    """Batches of about equal numbers of rows; all rows of one id are in one batch.
+    """Batches of about equal bytes of text; all rows of one id are in one batch.
 
-    Only the ids between batches reach the driver, one a batch, as in any range partitioning.
+    The bytes before each id are added up exactly, in stretches of ids that are summed apart, so a
+    batch has ``batch_bytes`` at most but for the rows of its last id. Only the first id of each
+    batch reaches the driver, as in any range partitioning; past ``MOST_BATCHES`` they grow instead.
+    Rows without an id belong to no batch.
     """
 
     def __init__(self, df: DataFrame, id_col: str, text: str, batch_bytes: int):
-        size = df.select(F.sum(F.octet_length(text)).alias("size")).first()["size"] or 0
-        wanted = max(1, -(-size // batch_bytes))
-        shares = [i / wanted for i in range(1, wanted)]
-        edges = df.select(F.percentile_approx(id_col, shares, 10_000).alias("e")).first()["e"] if shares else []
         self.id_col, self.spark = id_col, df.sparkSession
-        self.edges = np.array(sorted(set(edges or [])), dtype=np.int64)
-        self.n = wanted
+        sizes = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes")).where("id IS NOT NULL")
+        shares = [i / STRETCHES for i in range(1, STRETCHES)]
+        total = sizes.agg(F.sum("bytes").alias("n"), F.percentile_approx("id", shares, 20_000).alias("e")).first()
+        self.bytes = total["n"] or 0
+        target = max(1, min(batch_bytes, max(LEAST_BYTES, self.bytes // LEAST_BATCHES)), -(-self.bytes // MOST_BATCHES))
+        coarse = np.array(sorted(set(total["e"] or [])), dtype=np.int64)
+        sizes = sizes.withColumn("stretch", _place(self.spark, F.col("id"), coarse))
+        sums = dict(sizes.groupBy("stretch").agg(F.sum("bytes")).collect())
+        order, before = sorted(sums), 0
+        offsets = np.zeros(len(coarse) + 1, dtype=np.int64)
+        for k in order:
+            offsets[k], before = before, before + sums[k]
+        smaller = Window.partitionBy("stretch").orderBy("id").rangeBetween(Window.unboundedPreceding, -1)
+        placed = sizes.withColumn("before", F.coalesce(F.sum("bytes").over(smaller), F.lit(0)) + F.get(F.array(*map(F.lit, offsets.tolist())), F.col("stretch")))
+        heads = placed.groupBy(F.floor(F.col("before") / target).alias("batch")).agg(F.min("id").alias("head"))
+        #: Smallest id of each batch.
+        self.heads = np.array(sorted(r["head"] for r in heads.collect()), dtype=np.int64)
+        self.n = max(1, len(self.heads))
 
     def batch(self) -> Column:
-        """Number of a row's batch."""
-        edges = self.spark.sparkContext.broadcast(self.edges)
+        """Number of a row's batch; null without an id."""
+        return _place(self.spark, F.col(self.id_col), self.heads) - 1
 
-        @F.arrow_udf(T.IntegerType())
-        def batch_of(ids: pa.Array) -> pa.Array:
-            values = ids.fill_null(NO_ID).to_numpy(zero_copy_only=False)
-            return pa.array(np.searchsorted(edges.value, values, side="right").astype(np.int32))
-
-        return batch_of(F.col(self.id_col))
-
-    def batches_and_guest(self, df: DataFrame) -> Column:
+    def batches_and_guest(self) -> Column:
         """Batches a row is needed in: its own, and as a guest the one before if it is its batch's
         first (the last batch for the first of all)."""
-        least = F.min(F.coalesce(F.col(self.id_col), F.lit(int(NO_ID))))
-        heads = df.select(self.id_col).groupBy(self.batch().alias("batch")).agg(least.alias("head")).orderBy("batch").collect()
-        before = {r["head"]: heads[i - 1]["batch"] for i, r in enumerate(heads)}
-        edges, before = map(self.spark.sparkContext.broadcast, (self.edges, before))
+        heads = self.spark.sparkContext.broadcast(self.heads)
 
         @F.arrow_udf(T.ArrayType(T.IntegerType()))
         def batches_of(ids: pa.Array) -> pa.Array:
-            values = ids.fill_null(NO_ID).to_numpy(zero_copy_only=False)
-            own = np.searchsorted(edges.value, values, side="right").tolist()
-            guest = map(before.value.get, values.tolist())
-            return pa.array([[a] if b is None else [a, b] for a, b in zip(own, guest, strict=True)], pa.list_(pa.int32()))
+            values = ids.to_numpy(zero_copy_only=False)
+            own = np.searchsorted(heads.value, values, side="right") - 1
+            first = heads.value[own] == values
+            return pa.array([[a, (a - 1) % len(heads.value)] if x else [a] for a, x in zip(own.tolist(), first.tolist(), strict=True)], pa.list_(pa.int32()))
 
         return batches_of(F.col(self.id_col))
+
+
+def _place(spark, ids: Column, edges: np.ndarray) -> Column:
+    """How many edges an id has reached."""
+    shared = spark.sparkContext.broadcast(edges)
+
+    @F.arrow_udf(T.IntegerType())
+    def place(ids: pa.Array) -> pa.Array:
+        found = np.searchsorted(shared.value, ids.fill_null(0).to_numpy(zero_copy_only=False), side="right").astype(np.int32)
+        return pa.array(found, mask=ids.is_null().to_numpy(zero_copy_only=False))
+
+    return place(ids)

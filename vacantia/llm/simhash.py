@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vacantia.llm.memory import release
 from vacantia.operators.components import connected_components
 from vacantia.sources.scratch import checkpointed
 
@@ -33,8 +34,8 @@ SHINGLE, SEED, BUDGET = 4, 42, 4
 SPLIT = 50_000
 #: Pairs of a node pair from which leaves are compared directly; node pairs a step holds at once.
 LEAF, STEP = 64, 400_000
-#: Hashes whose bits are counted at once.
-BLOCK = 65_536
+#: Hashes whose bits are counted at once, and rows that are worked on at once.
+BLOCK, ROWS = 65_536, 500
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -65,7 +66,9 @@ def fingerprint_column(text: Column) -> Column:
 
     @F.arrow_udf(T.LongType())
     def simhash(texts: pa.Array) -> pa.Array:
-        return pa.array(np.array([fingerprint(t or "") for t in texts.to_pylist()], dtype=np.uint64).view(np.int64))
+        prints = [fingerprint(t or "") for at in range(0, len(texts), ROWS) for t in texts.slice(at, ROWS).to_pylist()]
+        release()
+        return pa.array(np.array(prints, dtype=np.uint64).view(np.int64))
 
     return simhash(text)
 
@@ -218,6 +221,8 @@ def links(prints: DataFrame, budget: int) -> DataFrame:
                 held = [rows[:, cut:]]
         if held:
             yield linked(np.concatenate(held, axis=1))
+        held.clear()
+        release()
 
     dealt = keyed.repartition("root").sortWithinPartitions("root", "front")
     return dealt.mapInArrow(join, "a long, b long")

@@ -36,11 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vacantia.llm.memory import release
 from vacantia.llm.ranges import Ranges
 
 LENGTH, SEED = 50, 20
 #: Text bytes a batch aims at, and windows a segment holds at once.
 BATCH_BYTES, SEGMENT = 8 << 20, 1 << 19
+#: Index bytes a bucket aims at, bytes of an entry on average, and buckets of a small table.
+BUCKET_BYTES, ENTRY_BYTES, LEAST_BUCKETS = 16 << 20, 13, 48
 _BASE = 0x2545F4914F6CDD1D
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 _TABLES: dict[int, tuple[np.ndarray, ...]] = {}
@@ -105,7 +108,7 @@ class Batch:
     """The documents of one batch in order of their ids, cut into segments."""
 
     def __init__(self, ids: list, texts: list, length: int, seed: int):
-        self.order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0))
+        self.order = sorted(range(len(ids)), key=ids.__getitem__)
         self.texts = [texts[i] or b"" for i in self.order]
         sizes = np.fromiter(map(len, self.texts), np.int64, len(self.texts))
         self.ends = np.cumsum(sizes)
@@ -114,8 +117,7 @@ class Batch:
         for k, i in enumerate(self.order):
             last += k == 0 or ids[i] != ids[self.order[k - 1]]
             ranks[k] = last
-        self.rank, self.known = ranks, np.array([ids[i] is not None for i in self.order], dtype=bool)
-        self.length, self.seed = length, seed
+        self.rank, self.length, self.seed = ranks, length, seed
         self.data = b"".join(self.texts)
 
     def segments(self) -> Iterator[tuple[int, Segment, np.ndarray]]:
@@ -125,7 +127,7 @@ class Batch:
             stop = min(total, at + SEGMENT + length - 1)
             places = np.arange(at, stop)
             doc = np.searchsorted(self.ends, places, side="right")
-            valid = (places + length <= self.ends[doc]) & self.known[doc]
+            valid = places + length <= self.ends[doc]
             segment = Segment(self.data[at:stop], valid, length, self.seed)
             if len(segment.low):
                 yield at, segment, self.rank[doc[segment.low]]
@@ -169,25 +171,31 @@ def _unpack(data: bytes, kind) -> np.ndarray:
 class Dealt:
     """Entries of a batch without its own repeats, dealt into buckets.
 
-    ``own``: entries that repeat a smaller document of the batch itself. ``entry``: of each
-    other, its place among the distinct entries; these are sorted by bucket, key and context.
+    ``own``: entries that repeat a smaller document of the batch itself. ``entry``: of each entry,
+    its place among those that are sent, which are sorted by bucket, key and context. With
+    ``contests`` buckets are dealt by key, and a key that has several contexts in the batch is sent
+    once, as contested by itself, so a seed of very many documents is one entry a batch. Without,
+    contexts spread a frequent seed over all buckets.
     """
 
-    def __init__(self, entries: dict[str, np.ndarray], buckets: int, by: str = "key"):
-        """by: what buckets are dealt by. Contests need all contexts of a key in one bucket; where
-        only equal entries matter, contexts spread a frequent seed over all buckets."""
+    def __init__(self, entries: dict[str, np.ndarray], buckets: int, contests: bool):
         # the key's top 40 bits tell suffixes apart well enough: a false likeness costs a second look
-        self.key = entries["key"] >> np.uint64(24)
-        bucket = (entries[by] & np.uint64(0xFFFFFF)).astype(np.int64) % buckets
-        order = np.lexsort((entries["rank"], entries["context"], self.key, bucket))
-        key, context, rank, bucket = self.key[order], entries["context"][order], entries["rank"][order], bucket[order]
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = (key[1:] != key[:-1]) | (context[1:] != context[:-1]) | (bucket[1:] != bucket[:-1])
-        nth = np.cumsum(new) - 1
+        keys, by = entries["key"] >> np.uint64(24), entries["key" if contests else "context"]
+        bucket = (by & np.uint64(0xFFFFFF)).astype(np.int64) % buckets
+        order = np.lexsort((entries["rank"], entries["context"], keys, bucket))
+        key, context, rank, bucket = keys[order], entries["context"][order], entries["rank"][order], bucket[order]
+        other = np.ones(len(order), dtype=bool)
+        other[1:] = (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1])
+        new = other.copy()
+        new[1:] |= context[1:] != context[:-1]
         self.own, self.entry = np.zeros(len(order), dtype=bool), np.empty(len(order), dtype=np.int64)
-        self.own[order] = rank > rank[new][nth] if len(order) else False
-        self.entry[order] = nth
-        self.keys, self.contexts, of = key[new], context[new], bucket[new]
+        self.own[order] = rank > rank[new][np.cumsum(new) - 1]
+        several = np.zeros(len(order), dtype=bool)
+        if contests and len(order):
+            several = np.add.reduceat(new, np.flatnonzero(other))[np.cumsum(other) - 1] > 1
+            new = np.where(several, other, new)
+        self.entry[order] = np.cumsum(new) - 1
+        self.keys, self.contexts, of = key[new] << np.uint64(1) | several[new], context[new], bucket[new]
         self.buckets, first = np.unique(of, return_index=True)
         self.cuts = np.append(first, len(of))
 
@@ -204,10 +212,10 @@ class Dealt:
 
 
 class Level:
-    """A sorted array of distinct suffixes with where they came from."""
+    """A sorted array of distinct suffixes."""
 
-    def __init__(self, key: np.ndarray, context: np.ndarray, origin: np.ndarray):
-        self.key, self.context, self.origin = key, context, origin
+    def __init__(self, key: np.ndarray, context: np.ndarray):
+        self.key, self.context = key, context
         self.joint = self.joined(key, context)
 
     def holds(self, key: np.ndarray, context: np.ndarray) -> np.ndarray:
@@ -236,7 +244,7 @@ class Level:
         return (key << np.uint64(24)) | (context >> np.uint64(40))
 
     def merged(self, other: Level) -> Level:
-        parts = [np.concatenate(x) for x in ((self.key, other.key), (self.context, other.context), (self.origin, other.origin))]
+        parts = [np.concatenate(x) for x in ((self.key, other.key), (self.context, other.context))]
         order = np.lexsort((parts[1], parts[0]))
         return Level(*(x[order] for x in parts))
 
@@ -247,19 +255,19 @@ class SuffixIndex:
     def __init__(self):
         self.levels: list[Level] = []
 
-    def add(self, key: np.ndarray, context: np.ndarray, origin: np.ndarray) -> np.ndarray:
+    def add(self, key: np.ndarray, context: np.ndarray) -> np.ndarray:
         """Scans a new batch against all levels; whether each suffix was there. Others join."""
         found = np.zeros(len(key), dtype=bool)
         for level in self.levels:
             found |= level.holds(key, context)
-        new = Level(key[~found], context[~found], origin[~found])
+        new = Level(key[~found], context[~found])
         while self.levels and len(self.levels[-1].key) <= 2 * len(new.key):
             new = self.levels.pop().merged(new)
         self.levels.append(new)
         return found
 
     def whole(self) -> Level:
-        out = Level(*(np.empty(0, k) for k in (np.uint64, np.uint64, np.int64)))
+        out = Level(np.empty(0, np.uint64), np.empty(0, np.uint64))
         for level in self.levels:
             out = out.merged(level)
         return out
@@ -271,52 +279,61 @@ NEW, REPEATED, CONTESTED = 0, 1, 2
 
 def answer(blocks: list[tuple[int, bytes, bytes]], contests: bool) -> Iterator[tuple[int, bytes]]:
     """Answers of one bucket to its batches' arrays, in order of the batches."""
-    index, replies, at = SuffixIndex(), [], 0
+    index, parts, replies = SuffixIndex(), [], []
     for _, keys, contexts in sorted(blocks, key=lambda x: x[0]):
-        key, context = np.cumsum(_unpack(keys, np.uint64)).astype(np.uint64), _unpack(contexts, np.uint64)
-        replies.append(index.add(key, context, np.arange(at, at + len(key))).astype(np.uint8))
-        at += len(key)
+        packed, context = np.cumsum(_unpack(keys, np.uint64)).astype(np.uint64), _unpack(contexts, np.uint64)
+        key, several = packed >> np.uint64(1), (packed & np.uint64(1)).astype(bool)
+        found = np.zeros(len(key), dtype=np.uint8)
+        found[~several] = index.add(key[~several], context[~several])
+        parts.append((key, several))
+        replies.append(found)
     if contests:
         whole = index.whole()
-        new = np.concatenate(([True], whole.key[1:] != whole.key[:-1]))
-        sizes = np.diff(np.append(np.flatnonzero(new), len(whole.key)))
-        contested = np.zeros(at, dtype=bool)
-        contested[whole.origin[np.repeat(sizes > 1, sizes)]] = True
+        repeated = whole.key[1:][whole.key[1:] == whole.key[:-1]]
+        contested = np.unique(np.concatenate([repeated, *(k[s] for k, s in parts)]))
+        for (key, several), reply in zip(parts, replies, strict=True):
+            at = np.minimum(np.searchsorted(contested, key), max(0, len(contested) - 1))
+            mine = contested[at] == key if len(contested) else several
+            reply[(reply == NEW) & mine] = CONTESTED
     for batch, reply in zip(sorted(b for b, _, _ in blocks), replies, strict=True):
-        if contests:
-            mine, contested = contested[: len(reply)], contested[len(reply) :]
-            reply = np.where(reply == REPEATED, reply, np.where(mine, np.uint8(CONTESTED), reply)).astype(np.uint8)
         yield batch, _pack(reply)
 
 
 def removed_windows(batch: Batch, first: dict, second: dict, buckets: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """(low, high) places of removed windows, given the answers of both rounds."""
     runs = batch.suffixes()
-    dealt = Dealt(runs, buckets)
+    dealt = Dealt(runs, buckets, True)
     said = dealt.replied(first)
     gone = dealt.own | (said == REPEATED)
     out = [(runs["low"][gone], runs["high"][gone])]
     windows = batch.windows({k: v[(said == CONTESTED) & ~gone] for k, v in runs.items()})
-    dealt = Dealt(windows, buckets, "context")
+    dealt = Dealt(windows, buckets, False)
     gone = dealt.own | (dealt.replied(second) == REPEATED)
     return [*out, (windows["low"][gone], windows["low"][gone] + 1)]
 
 
 def _contested(batch: Batch, first: dict, buckets: int) -> Dealt:
     runs = batch.suffixes()
-    dealt = Dealt(runs, buckets)
+    dealt = Dealt(runs, buckets, True)
     said = dealt.replied(first)
-    return Dealt(batch.windows({k: v[(said == CONTESTED) & ~dealt.own] for k, v in runs.items()}), buckets, "context")
+    return Dealt(batch.windows({k: v[(said == CONTESTED) & ~dealt.own] for k, v in runs.items()}), buckets, False)
+
+
+_SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, seed: int = SEED, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """``df`` with ``kept`` (the remaining bytes) and ``spans`` (removed byte ranges, maximal)."""
     df = df.drop("kept", "spans", "__batch")
+    unknown = df.where(F.col(id_col).isNull())
+    unknown = unknown.withColumn("kept", F.coalesce(F.col(text).cast("binary"), F.lit(b""))).withColumn("spans", F.array().cast(_SPANS))
+    df = df.where(F.col(id_col).isNotNull())
     ranges = Ranges(df, id_col, text, batch_bytes)
     batches = ranges.n
+    buckets = max(min(batches, LEAST_BUCKETS), -(-ranges.bytes * ENTRY_BYTES // ((length - seed) // 2 * BUCKET_BYTES)))
 
     # one exchange of the text, which all three passes below read
-    dealt = df.withColumn("__batch", ranges.batch()).repartition(batches, "__batch")
+    dealt = df.withColumn("__batch", ranges.batch()).repartitionById(batches, F.col("__batch"))
     block = "bucket int, batch int, origin int, keys binary, contexts binary"
     reply = "batch int, round int, bucket int, reply binary"
 
@@ -326,20 +343,21 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", le
 
     def emitted(number: int, parts: Dealt, said: pa.Table | None = None) -> pa.Table:
         rows = [(b, number, b, keys, contexts) for b, keys, contexts in parts.blocks()]
-        # answers of the first round go along, in a group of the batch's own
-        rows += [(batches + number, number, r["bucket"], r["reply"], None) for r in (said.to_pylist() if said else ())]
+        # answers of the first round go along
+        rows += [(number % buckets, number, r["bucket"], r["reply"], None) for r in (said.to_pylist() if said else ())]
         kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
         columns = zip(*rows, strict=True) if rows else [()] * 5
+        release()
         return pa.table([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "batch", "origin", "keys", "contexts"])
 
     def replies(table: pa.Table, nth: int) -> dict[int, bytes]:
         return {r["bucket"]: r["reply"] for r in table.to_pylist() if r["round"] == nth}
 
     def sketch(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        return emitted(key[0].as_py(), Dealt(load(table).suffixes(), batches))
+        return emitted(key[0].as_py(), Dealt(load(table).suffixes(), buckets, True))
 
     def contest(key: tuple[pa.Scalar, ...], table: pa.Table, said: pa.Table) -> pa.Table:
-        return emitted(key[0].as_py(), _contested(load(table), replies(said, 1), batches), said)
+        return emitted(key[0].as_py(), _contested(load(table), replies(said, 1), buckets), said)
 
     def settle(nth: int):
         def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -348,6 +366,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", le
             out = [(b, nth, bucket, r) for b, r in answer(blocks, nth == 1)] if blocks else []
             out += [(r["batch"], 1, r["origin"], r["keys"]) for r in rows if r["contexts"] is None]
             kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
+            release()
             return pa.table([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["batch", "round", "bucket", "reply"])
 
         return run
@@ -355,7 +374,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", le
     def cut(key: tuple[pa.Scalar, ...], table: pa.Table, said: pa.Table) -> pa.Table:
         batch = load(table)
         marks = np.zeros(len(batch.data) + 1, dtype=np.int32)
-        for low, high in removed_windows(batch, replies(said, 1), replies(said, 2), batches):
+        for low, high in removed_windows(batch, replies(said, 1), replies(said, 2), buckets):
             np.add.at(marks, low, 1)
             np.add.at(marks, high + length - 1, -1)
         np.cumsum(marks, out=marks)
@@ -374,13 +393,21 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", le
             spans[i] = [{"start": x, "end": y} for x, y in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         table = table.drop_columns(["__batch"])
+        del batch, gone
+        release()
         return table.append_column("kept", pa.array(kept, pa.binary())).append_column("spans", pa.array(spans, kind))
 
-    first = dealt.groupBy("__batch").applyInArrow(sketch, block).groupBy("bucket").applyInArrow(settle(1), reply)
-    second = dealt.groupBy("__batch").cogroup(first.groupBy("batch")).applyInArrow(contest, block)
-    second = second.groupBy("bucket").applyInArrow(settle(2), reply)
-    out = T.StructType([*df.schema.fields, T.StructField("kept", T.BinaryType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
-    return dealt.groupBy("__batch").cogroup(second.groupBy("batch")).applyInArrow(cut, out)
+    def by_bucket(blocks: DataFrame):
+        return blocks.repartitionById(buckets, F.col("bucket")).groupBy("bucket")
+
+    def by_batch(said: DataFrame):
+        return said.repartitionById(batches, F.col("batch")).groupBy("batch")
+
+    first = by_bucket(dealt.groupBy("__batch").applyInArrow(sketch, block)).applyInArrow(settle(1), reply)
+    second = by_bucket(dealt.groupBy("__batch").cogroup(by_batch(first)).applyInArrow(contest, block))
+    second = second.applyInArrow(settle(2), reply)
+    out = T.StructType([*df.schema.fields, T.StructField("kept", T.BinaryType()), T.StructField("spans", _SPANS)])
+    return dealt.groupBy("__batch").cogroup(by_batch(second)).applyInArrow(cut, out).union(unknown)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vacantia.llm.memory import release
+
 #: Labelled rows used for fitting, folds, and bits of a hashed feature.
 MAX_TRAIN, FOLDS, BITS = 6_000, 3, 20
 #: Lengths of the word beginnings that are features besides the whole word.
@@ -32,7 +34,9 @@ HEADS = (4, 5)
 STEPS, RATE, PENALTY, LEAST_ROWS = 150, 0.3, 2e-4, 4
 #: A feature is kept if its shares in the two classes are so many standard errors apart.
 APART = 4.0
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
+#: Texts that are worked on at once.
+ROWS = 500
 _WORD, _MARKS = re.compile(r"\w+"), re.compile(r"[^\w\s]{2,}")
 
 
@@ -136,6 +140,7 @@ def features_column(text: Column) -> Column:
     @F.arrow_udf(T.BinaryType())
     def text_features(texts: pa.Array) -> pa.Array:
         found = [sorted({f for s in set((t or "").lower().split()) for f in _features(s)}) for t in texts.to_pylist()]
+        release()
         return pa.array([np.array(f, dtype=np.int32).tobytes() for f in found], pa.binary())
 
     return text_features(text)
@@ -183,7 +188,10 @@ def score(df: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
             return p
 
         for texts in batches:
-            yield pa.array(list(map(probabilities, texts.to_pylist())), pa.list_(pa.float64()))
+            found = [probabilities(t) for at in range(0, len(texts), ROWS) for t in texts.slice(at, ROWS).to_pylist()]
+            yield pa.array(found, pa.list_(pa.float64()))
+        cache.clear()
+        release()
 
     df = df.withColumn("__p", chained(F.col(text)))
     for i, (c, limit) in enumerate(zip(chain.categories, chain.thresholds, strict=True)):
