@@ -69,10 +69,9 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per document: token ids, their number and digest, and the digest of the decoded text."""
     vocabulary = bpe.read_vocabulary(public_tokenizers.path("word_bpe_49k.json"))
-    rows = bpe.encode(docs.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text")), vocabulary)
-    rows = bpe.decode(rows.drop("text"), vocabulary)
-    digests = (bpe.ids_digest(F.col("ids")).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
-    return rows.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), *digests)
+    trip = bpe.round_trip_column(spark, F.col("text"), vocabulary, ids=True)
+    rows = docs.select("doc_id", "lang", "source", trip.alias("trip"))
+    return rows.select("doc_id", "lang", "source", "trip.ids", "trip.n_tokens", "trip.ids_sha256", "trip.decoded_sha256")
 
 
 STAGES = [
