@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 from vacantia.llm.html_extract import extract, report
 
@@ -14,10 +15,29 @@ LAYOUT = """<!DOCTYPE html><html><head><title>T</title></head><body class="has-s
 def test_layouts():
     assert extract(LAYOUT) == "The title\n\nFirst, para & more text, with link in it.\n\nSecond para. line two\n\none item\n\ntwo item"
     assert extract("<body><div><p>One.</p><p>Two.</p></div><div class='comments'><p>c</p></div></body>") == "One.\n\nTwo."
-    assert extract("<article class='comment'>no</article><article><header><h1>A</h1></header>b<ul><li><a>x</a></li></ul></article>") == "A\n\nb"
+    assert extract("<article class='comment'>no</article><article><header><h1>A</h1></header>b<ul><li><a>x</a></li></ul></article>") == "A\n\nb\n\nx"
     assert extract("<main><div class='story'><h2>Head</h2><p>Body text.</p></div><div class='share'>x</div></main>") == "Head\n\nBody text."
 
 
+def test_article_text_is_kept():
+    assert extract("<div class='commentary'><p>A long text, with commas, of the article.</p></div><div>one</div>").startswith("A long text")
+    parts = "<ul class='meta'><li><a>source</a></li></ul><div class='replying'>r</div><p class='modality'>m</p><p class='alerts'>a</p><p>x <math><mi>y</mi></math></p>"
+    assert extract(f"<article><p>Text.</p>{parts}<div class='comments'>c</div><footer>f</footer></article>") == "Text.\n\nsource\n\nr\n\nm\n\na\n\nx y"
+    two = "<article><p>First, part, of the text.</p></article>"
+    assert extract(f"<nav>n</nav>{two}{two}<p>after</p>") == "First, part, of the text.\n\nFirst, part, of the text."
+    assert extract("<article><p>Out.</p><article><p>In, a, nested, one, that, wins.</p></article></article>") == "Out.\n\nIn, a, nested, one, that, wins."
+    assert extract("<table><tr><td>a<td>b<tr><td>c</table><p>d, e, f") == "a b\n\nc\n\nd, e, f"
+    assert extract("<dl><dt>a<dd>b<dt>c<dd>d</dl>") == "a\n\nb\n\nc\n\nd"
+
+
+def test_nesting_takes_linear_time():
+    began = time.time()
+    for tag in ("div", "b", "article", "p"):
+        assert extract(f"<{tag}>" * 100_000 + "deep text" + f"</{tag}>" * 100_000) == "deep text"
+        assert extract(f"<{tag}>x" * 30_000 + "<p>y</i></li>" * 30_000).count("y") == 30_000
+    assert time.time() - began < 60
+
+
 def test_edges_of_input(spark):
     assert [extract(x) for x in (None, "", "<nav>n</nav>", "<p>x<", "plain", "<p>cut <b")] == ["", "", "", "x<", "plain", "cut"]
     deep = "<div>" * 3_000 + "deep text" + "</div>" * 3_000

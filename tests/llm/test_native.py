@@ -49,6 +49,22 @@ def test_leaks_both_ways_of_joining(spark, monkeypatch):
     assert leaked(spark, texts, ()) == {} and leaked(spark, ()) == {}
 
 
+def test_short_items_match_whole(spark):
+    items = ("one two three four five six", "Seven, eight", "nine", None, "", "alpha beta gamma delta epsilon zeta eta theta iota")
+    texts = ["x one two three four five six y", "one two three four five sixx", "seven eight", "seven eight nine", "NINE!", "one two three four five six " * 2, "beta alpha beta gamma delta epsilon zeta eta theta iota"]
+    got = leaked(spark, texts, items)
+    assert got == {(0, 0): (6, 1, 7, 6), (2, 1): (2, 0, 2, 2), (4, 2): (1, 0, 1, 1), (5, 0): (6, 0, 6, 6), (6, 5): (9, 1, 10, 9)}
+
+
+def test_long_text_full_of_hits(spark):
+    """A position once carried its whole text."""
+    words = ITEM.split()
+    text = " ".join(" ".join(words[i % 18 : i % 18 + 2]) + f" z{i}" for i in range(66_000)) + " " + ITEM
+    assert leaked(spark, [text, ITEM])[0, 0] == (20, 198_000, 198_020, 20)
+    several = " ".join([ITEM] * 3_000)
+    assert leaked(spark, [several])[0, 0] == (20, 0, 20, 20)
+
+
 def test_license_edges(spark):
     texts = [None, "", "...", "MIT License", "mit, LICENSE mit license", "gnu general public", "CC-BY 4.0 and cc by", "the apache\nlicense, Version 2.0 " * 3_000, "licensé mit licensé"]
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate([*texts, "MIT License"])], "doc_id long, text string, licenses string")

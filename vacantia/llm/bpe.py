@@ -35,10 +35,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vacantia.llm.memory import release
+from vacantia.llm.memory import kept, release, small_batches
 
 #: Entries of a worker's cache of words before it is emptied; longer words are not cached.
-CACHE_WORDS, CACHE_LEN = 200_000, 48
+CACHE_WORDS, CACHE_LEN = 150_000, 48
 #: Rows that are worked on at once.
 ROWS = 256
 #: Marks that often end a stretch without white space; none is a letter, digit or apostrophe.
@@ -47,7 +47,6 @@ MARKS = ",.;:!?"
 HEAD = 4
 #: White space of the vocabularies' patterns, as part of a character class.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_COMPILED: dict[str, Automaton] = {}
 
 
 def _byte_chars() -> list[str]:
@@ -198,12 +197,8 @@ def read_vocabulary(path: str) -> str:
 
 
 def automaton(vocabulary: str) -> Automaton:
-    """A vocabulary's automaton; each Python worker keeps the last one."""
-    key = sha256(vocabulary.encode()).hexdigest()
-    if key not in _COMPILED:
-        _COMPILED.clear()
-        _COMPILED[key] = Automaton(json.loads(vocabulary))
-    return _COMPILED[key]
+    """A vocabulary's automaton; a Python worker keeps the last one."""
+    return kept(sha256(vocabulary.encode()).hexdigest(), lambda: Automaton(json.loads(vocabulary)))
 
 
 def _values(column: pa.Array) -> Iterator[np.ndarray]:
@@ -233,6 +228,7 @@ def _id_lists(packed: list[bytes]) -> pa.Array:
 def round_trip_column(spark, text: Column, vocabulary: str, ids: bool = False) -> Column:
     """Struct of a text's ``n_tokens``, the digest of its ids and that of their decoded text, and of
     the ``ids`` if asked for. A text is encoded once for all of them."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(vocabulary)
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     fields += [T.StructField("ids", T.ArrayType(T.IntegerType(), False))] * ids
@@ -255,6 +251,7 @@ def round_trip_column(spark, text: Column, vocabulary: str, ids: bool = False) -
 
 def encode_column(spark, text: Column, vocabulary: str) -> Column:
     """``array<int>`` of token ids of a text column."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(vocabulary)
 
     @F.arrow_udf(T.ArrayType(T.IntegerType(), False))

@@ -5,17 +5,20 @@ still meets its source if the tokens at ignored positions were substituted. Seed
 all positions of the benchmark items are joined with those of all documents. Around each hit, item
 and document are aligned and compared token by token: the overlap is the stretch with the highest
 score, a match counting 1 and a substitution -1, and a pair is a leak if that reaches
-``min(MIN_SCORE, ceil(MIN_SHARE * tokens of the item))``.
+``min(MIN_SCORE, ceil(MIN_SHARE * tokens of the item))``. Items under ``MIN_TOKENS`` tokens are too
+short for that and must match whole: as a stretch of the document from ``SHORT`` tokens on, and as
+the whole document below.
 
 Tokens are runs of letters and digits, lower-cased, so punctuation and case don't hide a copy. All
 masks begin with two adjacent positions; positions whose first two tokens don't stand together in
-the benchmark are passed over before seeds are made. Seeds are broadcast only while the benchmark
+the benchmark are passed over before seeds are made. A position carries no more of its text than
+the window of a mask, and alignments are compared on slices as long as their item, so memory grows
+with the length of a text and not with its square. Seeds are broadcast only while the benchmark
 has at most ``BROADCAST_TOKENS`` tokens; beyond that the same seeds are joined by a shuffle.
 
-Defined results: null and empty texts have no tokens and no leaks; items under ``MIN_TOKENS`` tokens
-are not compared, being too short to tell a leak from chance; repeated documents or items with one
-id count as one; ties take the smallest start; empty tables give no leaks. Other columns of the
-inputs are ignored.
+Defined results: null and empty texts and items have no tokens and no leaks; rows without an id have
+no leaks; repeated documents or items with one id count as one; ties take the smallest start; empty
+tables give no leaks. Other columns of the inputs are ignored.
 """
 
 from __future__ import annotations
@@ -23,12 +26,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vacantia.llm.ids import without
+from vacantia.llm.ids import counted, without
+from vacantia.sources.scratch import checkpointed
 
-#: Selected positions of each mask.
+#: Selected positions of each mask, and the longest span of one.
 MASKS = ((0, 1, 2, 3, 5, 6), (0, 1, 3, 4, 7, 8), (0, 1, 4, 6, 7, 9))
-MIN_SCORE, MIN_SHARE, MIN_TOKENS = 10, 0.6, 10
+SPAN = 10
+MIN_SCORE, MIN_SHARE, MIN_TOKENS, SHORT = 10, 0.6, 10, 5
 BROADCAST_TOKENS = 1_000_000
+#: Starts of alignments that are compared in one row of a document.
+STARTS = 4_096
 
 
 def token_hashes(text: Column) -> Column:
@@ -37,54 +44,72 @@ def token_hashes(text: Column) -> Column:
     return F.transform(tokens, lambda t: F.xxhash64(t))
 
 
-def _seed(mask: int, tokens: Column, at: Column) -> Column:
-    return F.xxhash64(F.lit(mask), *[F.get(tokens, at + o) for o in MASKS[mask]])
+def _windows(tokens: Column) -> Column:
+    """The tokens from each position on, as many as a mask spans."""
+    return F.transform(tokens, lambda _, i: F.slice(tokens, i + 1, SPAN))
 
 
-def _seeds(tokens: Column, at: Column) -> Column:
-    """Structs of a mask and its seed for the masks that fit at a position."""
-    fits = [F.when(at + m[-1] < F.size(tokens), F.struct(F.lit(i).alias("mask"), _seed(i, tokens, at).alias("seed"))) for i, m in enumerate(MASKS)]
+def _pair(window: Column) -> Column:
+    return F.xxhash64(F.get(window, 0), F.get(window, 1))
+
+
+def _seeds(window: Column) -> Column:
+    """Structs of a mask and its seed for the masks that fit in a window."""
+    fits = [F.when(F.size(window) > m[-1], F.struct(F.lit(i).alias("mask"), F.xxhash64(F.lit(i), *[F.get(window, o) for o in m]).alias("seed"))) for i, m in enumerate(MASKS)]
     return F.filter(F.array(*fits), lambda x: x.isNotNull())
 
 
-def _pair(tokens: Column, at: Column) -> Column:
-    return F.xxhash64(F.get(tokens, at), F.get(tokens, at + 1))
+def _whole(window: Column, lengths: Column) -> Column:
+    """Structs of a length and the hash of so many tokens, of a window."""
+    return F.transform(F.filter(lengths, lambda n: n <= F.size(window)), lambda n: F.struct((-n).alias("mask"), F.xxhash64(n, F.slice(window, 1, n)).alias("seed")))
 
 
 def _items(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
     items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), token_hashes(F.col(text)).alias("item"))
-    return items.where(F.size("item") >= MIN_TOKENS).dropDuplicates()
+    return items.where((F.size("item") > 0) & F.col("item_id").isNotNull()).dropDuplicates()
 
 
-def _hits(tokens: DataFrame, items: DataFrame, small: bool) -> DataFrame:
-    """(doc_id, tokens, at, item_id, place, mask) where a seed of a document is one of an item."""
+def _alignments(tokens: DataFrame, items: DataFrame, small: bool) -> DataFrame:
+    """(doc_id, item_id, shift) where a seed of a document is one of an item."""
     hint = F.broadcast if small else (lambda df: df)
-    at = F.col("place")
-    placed = items.select("item_id", "item", F.posexplode("item").alias("place", "h"))
-    pairs = placed.select(_pair(F.col("item"), at).alias("pair")).distinct()
-    seeds = placed.select("item_id", "place", F.explode(_seeds(F.col("item"), at)).alias("s")).select("item_id", "place", "s.mask", "s.seed")
-    at = F.col("at")
-    found = tokens.select("doc_id", "tokens", F.posexplode("tokens").alias("at", "h"))
-    found = found.withColumn("pair", _pair(F.col("tokens"), at)).join(hint(pairs), "pair", "left_semi")
-    found = found.select("doc_id", "tokens", "at", F.explode(_seeds(F.col("tokens"), at)).alias("s"))
-    if not small:
-        found = found.drop("tokens")
-    found = found.select("*", "s.mask", "s.seed").drop("s").join(hint(seeds), ["mask", "seed"]).drop("seed")
-    if small:
-        return found
-    return found.dropDuplicates().join(tokens, "doc_id")
-
-
-def _verified(hits: DataFrame, items: DataFrame, small: bool) -> DataFrame:
-    """Overlap (score, start, end, matched, item tokens) around each hit that begins a run of hits."""
-    hits = hits.join(F.broadcast(items) if small else items, "item_id")
-    tokens, item, shift = F.col("tokens"), F.col("item"), F.col("at") - F.col("place")
-    offsets = F.element_at(F.array(*[F.array(*map(F.lit, m)) for m in MASKS]), F.col("mask") + 1)
-    before = F.forall(offsets, lambda o: F.get(tokens, F.col("at") - 1 + o) == F.get(item, F.col("place") - 1 + o))
-    first = (F.col("at") == 0) | (F.col("place") == 0) | ~F.coalesce(before, F.lit(False))
-    hits = hits.where(first)
-    same = F.transform(item, lambda x, i: F.coalesce(F.when(shift + i >= 0, F.get(tokens, F.greatest(shift + i, F.lit(0))) == x), F.lit(False)))
-    hits = hits.select("doc_id", "item_id", shift.alias("shift"), same.alias("same"))
+    w = F.col("w")
+    short = F.array(*map(F.lit, range(SHORT, MIN_TOKENS)))
+    placed = items.where(F.size("item") >= SHORT).select("item_id", F.size("item").alias("n"), F.posexplode(_windows(F.col("item"))).alias("place", "w"))
+    long = placed.where(F.col("n") >= MIN_TOKENS).select("item_id", "place", F.explode(_seeds(w)).alias("s"))
+    whole = placed.where((F.col("n") < MIN_TOKENS) & (F.col("place") == 0)).select("item_id", "place", F.explode(_whole(w, F.array("n"))).alias("s"))
+    pairs = placed.where(F.size("w") > 1).select(_pair(w).alias("pair")).distinct()
+    seeds = long.union(whole).select("item_id", "place", "s.mask", "s.seed")
+
+    found = tokens.select("doc_id", F.posexplode(_windows(F.col("tokens"))).alias("at", "w"))
+    found = found.where(F.size("w") > 1).withColumn("pair", _pair(w)).join(hint(pairs), "pair", "left_semi")
+    found = found.select("doc_id", "at", F.explode(F.concat(_seeds(w), _whole(w, short))).alias("s")).select("doc_id", "at", "s.mask", "s.seed")
+    found = found.join(hint(seeds), ["mask", "seed"]).select("doc_id", "item_id", (F.col("at") - F.col("place")).alias("shift"))
+
+    tiny = items.where(F.size("item") < SHORT).select("item_id", F.col("item").alias("tokens"))
+    tiny = tokens.where(F.size("tokens") < SHORT).join(hint(tiny), "tokens").select("doc_id", "item_id", F.lit(0).alias("shift"))
+    return found.distinct().union(tiny.distinct())
+
+
+def _compared(tokens: DataFrame, items: DataFrame, found: DataFrame, small: bool) -> DataFrame:
+    """(doc_id, item_id, shift, n, same): which tokens of an item match at each alignment."""
+    found = found.join(F.broadcast(items) if small else items, "item_id")
+    one = F.struct("item_id", "item", "shift")
+    groups = found.groupBy("doc_id", F.floor(F.col("shift") / STARTS).alias("stretch")).agg(F.collect_list(one).alias("found"))
+    t = F.col("tokens")
+
+    def same(x: Column) -> Column:
+        begin = F.greatest(x["shift"], F.lit(0))
+        part = F.slice(t, begin + 1, F.greatest(F.lit(0), F.size(x["item"]) + x["shift"] - begin))
+        match = F.transform(x["item"], lambda h, i: F.coalesce(F.when(x["shift"] + i >= 0, F.get(part, F.greatest(x["shift"] + i - begin, F.lit(0))) == h), F.lit(False)))
+        return F.struct(x["item_id"].alias("item_id"), x["shift"].alias("shift"), match.alias("same"))
+
+    rows = groups.join(tokens, "doc_id").select("doc_id", F.size(t).alias("n_tokens"), F.explode(F.transform("found", same)).alias("x"))
+    rows = rows.select("doc_id", "n_tokens", "x.*", F.size("x.same").alias("n"))
+    return rows.where((F.col("n") >= SHORT) | (F.col("n_tokens") == F.col("n"))).drop("n_tokens")
+
+
+def _scored(rows: DataFrame) -> DataFrame:
+    """The best overlap (score, start, end, matched, item tokens) of each alignment that is a leak."""
     zero = F.struct(*[F.lit(0).alias(x) for x in ("at", "score", "begin", "matched", "best", "start", "end", "same")])
 
     def step(s: Column, ok: Column) -> Column:
@@ -98,9 +123,8 @@ def _verified(hits: DataFrame, items: DataFrame, small: bool) -> DataFrame:
         names = ("at", "score", "begin", "matched", "best", "start", "end", "same")
         return F.struct(*[v.alias(n) for v, n in zip((end, score, begin, matched, *pick), names, strict=True)])
 
-    best = F.aggregate("same", zero, step)
-    rows = hits.select("doc_id", "item_id", "shift", F.size("same").alias("n"), best.alias("b"))
-    enough = F.least(F.lit(MIN_SCORE), F.ceil(F.col("n") * MIN_SHARE))
+    rows = rows.select("doc_id", "item_id", "shift", "n", F.aggregate("same", zero, step).alias("b"))
+    enough = F.when(F.col("n") < MIN_TOKENS, F.col("n")).otherwise(F.least(F.lit(MIN_SCORE), F.ceil(F.col("n") * MIN_SHARE)))
     return rows.where(F.col("b.best") >= enough).select(
         "doc_id",
         "item_id",
@@ -115,10 +139,14 @@ def _verified(hits: DataFrame, items: DataFrame, small: bool) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
     """One row per leaked pair: doc_id, item_id, its best overlap (score, start and end in tokens of
     the document, matched tokens) and the item's tokens."""
-    items = _items(benchmark, item_id, text)
+    items = checkpointed(_items(benchmark, item_id, text))
     small = (items.agg(F.sum(F.size("item"))).first()[0] or 0) <= BROADCAST_TOKENS
-    tokens = docs.select(F.col(doc_id).alias("doc_id"), token_hashes(F.col(text)).alias("tokens"))
-    rows = _verified(_hits(tokens, items, small), items, small)
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
+    hashed = docs.select("doc_id", token_hashes(F.col("text")).alias("tokens"))
+    found = checkpointed(_alignments(hashed, items, small))
+    # only the texts with an alignment are read again
+    some = docs.join(counted(found.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", token_hashes(F.col("text")).alias("tokens"))
+    rows = _scored(_compared(some, items, found, small))
     best = F.max_by(F.struct("score", "start", "end", "matched", "item_tokens"), F.struct("score", -F.col("start"), "end")).alias("b")
     return rows.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")
 
@@ -136,6 +164,8 @@ WITH RECURSIVE
 d AS (SELECT DISTINCT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\pL\\pN]+'), lambda x: x <> '') AS t FROM documents),
 b AS (SELECT DISTINCT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\pL\\pN]+'), lambda x: x <> '') AS t FROM benchmark),
 items AS (SELECT * FROM b WHERE len(t) >= {MIN_TOKENS}),
+whole AS (SELECT d.doc_id, b.item_id, unnest(list_filter(range(len(d.t) - len(b.t) + 1), lambda p: d.t[p + 1 : p + len(b.t)] = b.t)) AS p, len(b.t) AS n
+  FROM d JOIN b ON len(b.t) BETWEEN 1 AND {MIN_TOKENS - 1} AND (len(d.t) = len(b.t) OR len(b.t) >= {SHORT} AND len(d.t) > len(b.t))),
 masks AS (SELECT m, row_number() OVER () AS k FROM (SELECT unnest([{masks}]) AS m)),
 dp AS (SELECT doc_id, t, unnest(range(len(t))) AS p FROM d),
 ip AS (SELECT item_id, t, unnest(range(len(t))) AS q FROM items),
@@ -151,6 +181,8 @@ seg AS (SELECT doc_id, item_id, shift, n, u.i AS i, v.j AS j,
     list_sum(list_transform(e[u.i + 1 : v.j], lambda x: x::INT)) AS matched
   FROM same, LATERAL (SELECT unnest(range(n)) AS i) u, LATERAL (SELECT unnest(range(u.i + 1, n + 1)) AS j) v),
 one AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id, shift ORDER BY score DESC, j, i DESC) AS r FROM seg)
+SELECT doc_id, item_id, n::BIGINT AS score, min(p) AS "start", min(p) + n AS "end", n::BIGINT AS matched, n AS item_tokens FROM whole GROUP BY doc_id, item_id, n
+UNION ALL
 SELECT doc_id, item_id, score::BIGINT AS score, shift + i AS "start", shift + j AS "end", matched::BIGINT AS matched, n AS item_tokens
 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY score DESC, shift + i, shift + j DESC) AS r2
   FROM one WHERE r = 1 AND score >= least({MIN_SCORE}, ceil(n * {MIN_SHARE}))) WHERE r2 = 1"""

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vacantia.llm.memory import release
+from vacantia.llm.memory import release, small_batches
 from vacantia.llm.ranges import Ranges
 
 BUCKETS, BOUND = 128, 250
@@ -119,6 +119,7 @@ def against_neighbours(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     Texts are shuffled once, into batches by ranges of ids; the first row of a batch also visits
     the batch before, whose last row it follows.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     placed = rows.where("doc_id IS NOT NULL")
     ranges = Ranges(placed, "doc_id", "text", batch_bytes)

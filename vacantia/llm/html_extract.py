@@ -2,14 +2,17 @@
 
 A page is read into a tree with HTML's implied end tags. Elements that are never article text
 (menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments)
-are left out by tag, role or the words of their class and id. Each paragraph gives points for its
-length and commas to its ancestors, fewer the farther they are; the points of a container are
-discounted by its link density. The best container and those siblings that score like it, or are
-plain paragraphs, are kept; an article element around the best container is kept as a whole.
+are left out by tag, role or whole words of their class and id. Each paragraph gives points for its
+length and commas to its container, and each container gives half of its points to the next one
+around it; the points of a container are discounted by its link density. The best container and
+those siblings that score like it, or are plain paragraphs, are kept, without boxes that are mostly
+links. An article element around the best container is kept as a whole, with its lists of links, and
+with those sibling articles that score like it.
 
 Defined results: a null or empty page, or one without text outside the parts left out, gives an
 empty text. Pages cut off inside a tag lose that tag. Pages are independent, so ties, repeated rows
-and extra columns need nothing special; nothing is dropped or capped by length.
+and extra columns need nothing special; nothing is dropped or capped by length. Parsing and scoring
+take time in proportion to the page, also for unclosed or deeply nested tags.
 """
 
 from __future__ import annotations
@@ -23,36 +26,54 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vacantia.llm.memory import small_batches
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=[/a-zA-Z])[^>]*(>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in "script style noscript template textarea title iframe svg math xmp".split()}
+_RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in "script style noscript template textarea title iframe svg xmp".split()}
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody tfoot thead tr ul caption html".split()
 )
-#: Open elements that a start tag ends, and elements beyond which it doesn't look.
-_ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+#: Elements beyond which a start tag ends no open paragraph, list item or table cell.
 _SCOPE = frozenset("table td th ul ol dl html body article section div button".split())
+_ITEMS, _CELLS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",)}, ("td", "th")
 _NEVER = frozenset("head nav aside footer form button select input label iframe object embed dialog menu fieldset canvas audio video".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-#: Beginnings of class and id words that mark a part as left out, and whole words that do.
-_BAD_HEAD = re.compile(
-    r"(?:comment|discuss|disqus|respond|repl(?:y|ies)|advert|sponsor|promo|cookie|consent|gdpr|sidebar|newsletter|subscri|related|recommend|"
-    r"breadcrumb|menu|navig|navbar|footer|popup|modal|widget|banner|notice|notif|alert|paywall|signup|login|masthead|pagination|pager|toolbar|outbrain|taboola|teaser)"
+#: Words of a class or id that mark a part as left out wherever it stands.
+_BAD = frozenset(
+    "comment comments commenter commenters discussion disqus respond responses replies ad ads adv advert adverts advertisement advertising adbox adslot adsense dfp "
+    "sponsor sponsored sponsors promo promos promotion cookie cookies consent gdpr sidebar sidebars nav navbar navigation menu menus breadcrumb breadcrumbs footer "
+    "newsletter popup modal banner notice notices notification notifications alert paywall outbrain taboola".split()
+)
+#: Words that do so outside an article element.
+_BAD_OUTSIDE = frozenset(
+    "header topbar masthead aside rail related recommended recommendations teaser teasers widget widgets share sharing social skip tags meta byline search "
+    "subscribe subscription signup login pagination pager toolbar cta".split()
 )
-_BAD_WORD = frozenset("ad ads adv adbox adslot nav aside share sharing social header topbar skip tags meta byline search rail dfp cta".split())
 _GOOD = re.compile(r"\b(?:article|body|content|entry|main|page|post|story|text|blog|prose)", re.I)
 _SAFE = frozenset("html body main".split())
+#: Pages that are worked on at once.
+ROWS = 200
 
 
 class Node:
-    __slots__ = ("tag", "words", "parent", "items", "left_out", "score", "chars", "linked", "candidate")
+    __slots__ = ("tag", "words", "parent", "items", "left_out", "score", "chars", "linked", "candidate", "depth", "inside", "before", "p", "item", "cell", "row")
 
-    def __init__(self, tag: str, words: str, parent: Node | None, left_out: bool):
-        self.tag, self.words, self.parent, self.left_out = tag, words, parent, left_out
+    def __init__(self, tag: str, words: str, parent: Node | None, left_out: bool, before: Node | None = None):
+        self.tag, self.words, self.parent, self.left_out, self.before = tag, words, parent, left_out, before
         self.items: list = []  # texts and nodes in order
         self.score, self.chars, self.linked, self.candidate = 0.0, 0, 0, False
+        self.depth = parent.depth + 1 if parent else 0
+        self.inside = bool(parent and parent.inside) or (tag == "article" and not left_out)
+        # open paragraph, list item, cell and row that a start tag in here may end
+        open_ = parent if parent and tag not in _SCOPE else None
+        rows = parent if parent and (tag not in _SCOPE or tag in _CELLS) else None
+        self.p = self if tag == "p" else open_.p if open_ else None
+        self.item = self if tag in _ITEMS else open_.item if open_ else None
+        self.cell = self if tag in _CELLS else rows.cell if rows else None
+        self.row = self if tag == "tr" else rows.row if rows else None
 
 
 def _left_out(tag: str, attributes: dict[str, str], inside_article: bool) -> bool:
@@ -66,24 +87,26 @@ def _left_out(tag: str, attributes: dict[str, str], inside_article: bool) -> boo
     if attributes.get("role", "").lower() in _ROLES:
         return True
     words = re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", f"{attributes.get('class', '')} {attributes.get('id', '')}").lower())
-    for i, w in enumerate(words):
-        if (w in _BAD_WORD and not (inside_article and w == "header")) or _BAD_HEAD.match(w):
-            if i and words[i - 1] in ("with", "has", "no", "without"):
-                continue
-            return True
-    return False
+    bad = (i for i, w in enumerate(words) if w in _BAD or (w in _BAD_OUTSIDE and not inside_article))
+    return any(not i or words[i - 1] not in ("with", "has", "no", "without") for i in bad)
 
 
 def parse(page: str) -> Node:
     """Tree of a page; parts that are left out are marked."""
     root = Node("html", "", None, False)
-    node, at, n = root, 0, len(page)
+    stack, last = [root], {"html": root}  # open elements, and of each tag the one opened last
+    at, n = 0, len(page)
     find = _TOKEN.search
+
+    def end(node: Node | None) -> None:
+        if node is not None:
+            del stack[node.depth :]
+
     while at < n:
         m = find(page, at)
         text = page[at : m.start()] if m else page[at:]
         if text:
-            node.items.append(text)
+            stack[-1].items.append(text)
         if not m:
             break
         at = m.end()
@@ -91,48 +114,42 @@ def parse(page: str) -> Node:
         if not tag:
             continue
         tag = tag.lower()
+        before = last.get(tag)
+        while before is not None and (before.depth >= len(stack) or stack[before.depth] is not before):
+            before = before.before
+        last[tag] = before
         if m[1]:
-            up = node
-            while up is not None and up.tag != tag:
-                up = up.parent
-            if up is not None and up.parent is not None:
-                node = up.parent
+            if before is not None and before is not root:
+                end(before)
             continue
         if tag in ("html", "body"):
             continue
         if tag in _BLOCK:
-            up = node
-            while up.parent is not None and up.tag not in _SCOPE:
-                if up.tag == "p":
-                    node = up.parent
-                    break
-                up = up.parent
-        if tag in _ENDS:
-            up, stop = node, _SCOPE - {"td", "th"} if tag in ("tr", "td", "th") else _SCOPE
-            while up.parent is not None and (up.tag in _ENDS[tag] or up.tag not in stop):
-                if up.tag in _ENDS[tag]:
-                    node = up.parent
-                    if tag != "tr":
-                        break
-                up = up.parent
-        raw = m[3]
+            end(stack[-1].p)
+        node = stack[-1]
+        if tag in _ITEMS and node.item is not None and node.item.tag in _ITEMS[tag]:
+            end(node.item)
+        elif tag in _CELLS:
+            end(node.cell)
+        elif tag == "tr":
+            end(node.row or node.cell)
+        raw, node = m[3], stack[-1]
         attributes = {a.lower(): html.unescape(x or y or z or "") for a, x, y, z in _ATTRIBUTE.findall(raw)} if raw and not raw.isspace() else {}
         if tag in _RAW:
-            end = _RAW[tag].search(page, at)
-            at = end.end() if end else n
+            stop = _RAW[tag].search(page, at)
+            at = stop.end() if stop else n
             continue
         if tag in _VOID:
             if tag in ("br", "hr", "wbr"):
                 node.items.append(Node(tag, "", node, False))
             continue
-        up, inside = node, False
-        while up is not None and not inside:
-            inside, up = up.tag == "article" and not up.left_out, up.parent
         words = f"{attributes.get('class', '')} {attributes.get('id', '')} {attributes.get('itemprop', '')} {attributes.get('role', '')}"
-        child = Node(tag, words, node, _left_out(tag, attributes, inside))
+        if (got := last.get(tag)) is not None and (got.depth >= len(stack) or stack[got.depth] is not got):
+            got = got.before  # a start tag may have ended the one before it
+        child = Node(tag, words, node, _left_out(tag, attributes, node.inside), got)
         node.items.append(child)
-        if not raw.rstrip().endswith("/") or tag not in ("svg", "path"):
-            node = child
+        stack.append(child)
+        last[tag] = child
     return root
 
 
@@ -154,7 +171,7 @@ def _text(raw: str) -> str:
 
 
 def blocks(root: Node) -> Iterator[tuple[str, Node]]:
-    """Blocks of text with the element that each is in."""
+    """Blocks of text with the element that each is in, whose links are counted on the way."""
     parts: list[str] = []
     within = [root]
     links = 0
@@ -163,9 +180,7 @@ def blocks(root: Node) -> Iterator[tuple[str, Node]]:
             text = _text(item)
             parts.append(text)
             if links:
-                size = len(" ".join(text.split()))
-                for up in within:
-                    up.linked += size
+                within[-1].linked += len(" ".join(text.split()))
             continue
         if item.tag in _BLOCK or item is root:
             if (whole := " ".join("".join(parts).split())):
@@ -182,27 +197,30 @@ def blocks(root: Node) -> Iterator[tuple[str, Node]]:
             links += 1 if enter else -1
 
 
+#: Blocks that hold text but no other blocks of the article.
+_TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li pre tr dd dt".split())
+
+
 def _score(root: Node) -> list[tuple[Node, float]]:
     """Containers that paragraphs gave points to, with their discounted score."""
-    found: dict[int, Node] = {}
     for text, node in blocks(root):
-        points = 1.0 + text.count(",") + text.count("，") + min(len(text) / 100.0, 3.0)
-        up, level = node, 0
-        while up is not None:
-            up.chars += len(text)
-            if up.tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "tr", "dd", "dt") and up.tag in _BLOCK:
-                if not up.candidate:
-                    up.candidate = True
-                    found[id(up)] = up
-                up.score += points / (1, 2, 4)[level] if level < 3 else points / (3.0 * level)
-                level += 1
-            up = up.parent
+        node.chars += len(text)
+        node.score += 1.0 + text.count(",") + text.count("，") + min(len(text) / 100.0, 3.0)
     out = []
-    for node in found.values():
-        weight = {"article": 30, "main": 20, "section": 3, "div": 5, "blockquote": 3, "ul": -3, "ol": -3, "dl": -3, "address": -3}.get(node.tag, 0)
-        weight += 25 if _GOOD.search(node.words) else 0
-        density = min(1.0, node.linked / node.chars) if node.chars else 0.0
-        out.append((node, (node.score + weight) * (1.0 - density)))
+    for node, enter in _walk(root):
+        if enter or isinstance(node, str) or not (node.chars or node.score):
+            continue
+        holds = node.tag in _BLOCK and node.tag not in _TEXTUAL
+        up = node.parent
+        if up is not None:
+            up.chars += node.chars
+            up.linked += node.linked
+            up.score += node.score / 2 if holds else node.score
+        if holds:
+            weight = {"article": 30, "main": 20, "section": 3, "div": 5, "blockquote": 3, "ul": -3, "ol": -3, "dl": -3, "address": -3}.get(node.tag, 0)
+            weight += 25 if _GOOD.search(node.words) else 0
+            density = min(1.0, node.linked / node.chars) if node.chars else 0.0
+            out.append((node, (node.score + weight) * (1.0 - density)))
     return out
 
 
@@ -220,12 +238,16 @@ def extract(page: str | None) -> str:
     if not scored:
         return ""
     best, top = max(scored, key=lambda x: x[1])
-    up = best
+    scores = {id(n): s for n, s in scored}
+    kept, up = [best], best
     while up is not None and up.tag != "article":
         up = up.parent
-    kept = [up or best]
-    if up is None and best.parent is not None:
-        scores = {id(n): s for n, s in scored}
+    while up is not None and up.parent is not None and up.parent.inside:
+        up = up.parent
+    if up is not None:
+        top = scores.get(id(up), 0.0)
+        kept = [x for x in up.parent.items if x is up or (isinstance(x, Node) and x.tag == "article" and not x.left_out and scores.get(id(x), 0.0) >= 0.2 * top)]
+    elif best.parent is not None:
         kept = []
         for x in best.parent.items:
             if not isinstance(x, Node) or x.left_out:
@@ -236,9 +258,10 @@ def extract(page: str | None) -> str:
                 kept.append(x)
     out: list[str] = []
     for node in kept:
-        for item, enter in list(_walk(node)):
-            if enter and isinstance(item, Node) and item is not node and _dense(item):
-                item.left_out = True
+        if up is None:
+            for item, enter in list(_walk(node)):
+                if enter and isinstance(item, Node) and item is not node and not item.inside and _dense(item):
+                    item.left_out = True
         out += [text for text, _ in blocks(node)]
     return "\n\n".join(out)
 
@@ -248,12 +271,13 @@ def extract_column(page: Column) -> Column:
 
     @F.arrow_udf(T.StringType())
     def main_text(pages: pa.Array) -> pa.Array:
-        return pa.array(list(map(extract, pages.to_pylist())), pa.string())
+        return pa.array([extract(p) for at in range(0, len(pages), ROWS) for p in pages.slice(at, ROWS).to_pylist()], pa.string())
 
     return main_text(page)
 
 
 def report(pages: DataFrame) -> DataFrame:
     """Per page: its main text and its length in code points."""
+    small_batches(pages.sparkSession)
     rows = pages.select("page_id", "url", extract_column(F.col("html")).alias("text"))
     return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

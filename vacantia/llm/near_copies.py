@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from vacantia.llm import simhash
 from vacantia.llm.ids import counted
-from vacantia.llm.memory import release
+from vacantia.llm.memory import kept, release, small_batches
 from vacantia.operators.components import connected_components
 from vacantia.sources.scratch import checkpointed
 
@@ -40,15 +40,17 @@ HEAVY, HEAVY_KEYS = 64, 50_000
 #: Products of the threshold are rounded up less this, so that rounding loses no pair.
 _SLACK = 1e-9
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-CACHE_WORDS = 300_000
-_WORDS: dict[bytes, int] = {}
+CACHE_WORDS = 150_000
 
 
-def _word(word: bytes) -> int:
-    if len(_WORDS) >= CACHE_WORDS:
-        _WORDS.clear()
-    got = _WORDS[word] = xxhash.xxh64_intdigest(word, SEED)
-    return got
+class _Words(dict):
+    """Hashes of words, kept up to a number."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        got = self[word] = xxhash.xxh64_intdigest(word, SEED)
+        return got
 
 
 def shingle_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
@@ -56,8 +58,7 @@ def shingle_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
     words = text.encode().lower().split()
     if not words:
         return np.empty(0, dtype=np.uint64)
-    get = _WORDS.get
-    one = np.array([get(w) or _word(w) for w in words], dtype=np.uint64)
+    one = np.fromiter(map(kept("shingle words", _Words).__getitem__, words), np.uint64, len(words))
     n = max(1, len(words) - shingle + 1)
     h = np.zeros(n, dtype=np.uint64)
     for k in range(min(shingle, len(words))):
@@ -185,6 +186,7 @@ def _keyed(sets: DataFrame) -> DataFrame:
 
 def near_copies(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, least: float = LEAST, budget: int = simhash.BUDGET) -> DataFrame:
     """(id, component_id): the smallest id of each row's class."""
+    small_batches(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("id IS NOT NULL")
     signed = checkpointed(_signed(docs, shingle, least))
     one = [F.min_by(c, "id").alias(c) for c in ("fp", "size", "keys")]

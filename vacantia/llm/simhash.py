@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vacantia.llm.memory import release
+from vacantia.llm.memory import release, small_batches
 from vacantia.operators.components import connected_components
 from vacantia.sources.scratch import checkpointed
 
@@ -230,6 +230,7 @@ def links(prints: DataFrame, budget: int) -> DataFrame:
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", budget: int = BUDGET) -> DataFrame:
     """(id, fp, component_id): each row's fingerprint and the smallest id that links reach."""
+    small_batches(df.sparkSession)
     prints = checkpointed(df.select(F.col(id_col).alias("id"), fingerprint_column(F.col(text)).alias("fp")))
     distinct = prints.groupBy("fp").agg(F.min("id").alias("least"))
     found = connected_components(links(distinct.select("fp"), budget))

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vacantia.llm.memory import release
+from vacantia.llm.memory import kept, release, small_batches
 from vacantia.llm.ranges import Ranges
 
 LENGTH, SEED = 50, 20
@@ -46,20 +46,20 @@ BATCH_BYTES, SEGMENT = 8 << 20, 1 << 19
 BUCKET_BYTES, ENTRY_BYTES, LEAST_BUCKETS = 16 << 20, 13, 48
 _BASE = 0x2545F4914F6CDD1D
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
-_TABLES: dict[int, tuple[np.ndarray, ...]] = {}
 
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A random value for each byte, and powers of the base and of its inverse."""
-    if n not in _TABLES:
-        _TABLES.clear()
+
+    def make() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         powers = []
         for x in (_BASE, pow(_BASE, -1, 2**64)):
             p = np.full(n, x, dtype=np.uint64)
             p[0] = 1
             powers.append(np.cumprod(p))
-        _TABLES[n] = (np.random.default_rng(20).integers(0, 2**64, 256, dtype=np.uint64), *powers)
-    return _TABLES[n]
+        return np.random.default_rng(20).integers(0, 2**64, 256, dtype=np.uint64), *powers
+
+    return kept(f"powers of {n}", make)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -312,6 +312,19 @@ def removed_windows(batch: Batch, first: dict, second: dict, buckets: int) -> li
     return [*out, (windows["low"][gone], windows["low"][gone] + 1)]
 
 
+def without(data: bytes, spans: list[tuple[int, int]]) -> str:
+    """A UTF-8 text without the characters of which a byte lies in a span."""
+    kept, at = [], 0
+    for start, end in spans:
+        while start > at and data[start] & 0xC0 == 0x80:
+            start -= 1
+        while end < len(data) and data[end] & 0xC0 == 0x80:
+            end += 1
+        kept.append(data[at : max(at, start)])
+        at = max(at, end)
+    return b"".join([*kept, data[at:]]).decode()
+
+
 def _contested(batch: Batch, first: dict, buckets: int) -> Dealt:
     runs = batch.suffixes()
     dealt = Dealt(runs, buckets, True)
@@ -322,11 +335,13 @@ def _contested(batch: Batch, first: dict, buckets: int) -> Dealt:
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, seed: int = SEED, batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """``df`` with ``kept`` (the remaining bytes) and ``spans`` (removed byte ranges, maximal)."""
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, seed: int = SEED, batch_bytes: int = BATCH_BYTES, characters: bool = False) -> DataFrame:
+    """``df`` with ``kept`` (the remaining bytes) and ``spans`` (removed byte ranges, maximal). With
+    ``characters``, ``kept`` is a string: the text without the characters of which a byte goes."""
+    small_batches(df.sparkSession)
     df = df.drop("kept", "spans", "__batch")
     unknown = df.where(F.col(id_col).isNull())
-    unknown = unknown.withColumn("kept", F.coalesce(F.col(text).cast("binary"), F.lit(b""))).withColumn("spans", F.array().cast(_SPANS))
+    unknown = unknown.withColumn("kept", F.coalesce(F.col(text), F.lit("")).cast("string" if characters else "binary")).withColumn("spans", F.array().cast(_SPANS))
     df = df.where(F.col(id_col).isNotNull())
     ranges = Ranges(df, id_col, text, batch_bytes)
     batches = ranges.n
@@ -386,16 +401,19 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", le
             a, b = batch.starts[k], batch.ends[k]
             part = gone[a:b]
             if not part.any():
-                kept[i], spans[i] = batch.texts[k], []
+                kept[i], spans[i] = batch.texts[k].decode() if characters else batch.texts[k], []
                 continue
-            kept[i] = np.frombuffer(batch.data[a:b], dtype=np.uint8)[~part].tobytes()
             edge = np.flatnonzero(np.diff(part.astype(np.int8), prepend=0, append=0))
             spans[i] = [{"start": x, "end": y} for x, y in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
+            if characters:
+                kept[i] = without(batch.texts[k], [(x["start"], x["end"]) for x in spans[i]])
+            else:
+                kept[i] = np.frombuffer(batch.texts[k], dtype=np.uint8)[~part].tobytes()
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         table = table.drop_columns(["__batch"])
         del batch, gone
         release()
-        return table.append_column("kept", pa.array(kept, pa.binary())).append_column("spans", pa.array(spans, kind))
+        return table.append_column("kept", pa.array(kept, pa.string() if characters else pa.binary())).append_column("spans", pa.array(spans, kind))
 
     def by_bucket(blocks: DataFrame):
         return blocks.repartitionById(buckets, F.col("bucket")).groupBy("bucket")
@@ -406,7 +424,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", le
     first = by_bucket(dealt.groupBy("__batch").applyInArrow(sketch, block)).applyInArrow(settle(1), reply)
     second = by_bucket(dealt.groupBy("__batch").cogroup(by_batch(first)).applyInArrow(contest, block))
     second = second.applyInArrow(settle(2), reply)
-    out = T.StructType([*df.schema.fields, T.StructField("kept", T.BinaryType()), T.StructField("spans", _SPANS)])
+    out = T.StructType([*df.schema.fields, T.StructField("kept", T.StringType() if characters else T.BinaryType()), T.StructField("spans", _SPANS)])
     return dealt.groupBy("__batch").cogroup(by_batch(second)).applyInArrow(cut, out).union(unknown)
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vacantia.llm.memory import release
+from vacantia.llm.memory import forget, release, small_batches
 
 #: Labelled rows used for fitting, folds, and bits of a hashed feature.
 MAX_TRAIN, FOLDS, BITS = 6_000, 3, 20
@@ -148,6 +148,7 @@ def features_column(text: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id_col: str = "doc_id", text: str = "text", max_train: int = MAX_TRAIN) -> Chain:
     """A chain fitted on at most ``max_train`` labelled documents."""
+    small_batches(docs.sparkSession)
     names = [f"y{i}" for i in range(len(categories))]
     known = labels.select(F.col(id_col).alias("id"), *[F.col(c).cast("int").alias(n) for c, n in zip(categories, names, strict=True)]).dropna()
     known = known.groupBy("id").agg(*[F.max(n).alias(n) for n in names])
@@ -158,15 +159,20 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id_col:
     found = [np.frombuffer(r["f"], dtype=np.int32) for r in rows]
     y = np.array([[r[n] for n in names] for r in rows], dtype=float).reshape(len(rows), len(names))
     folds = np.array([xxhash.xxh64_intdigest(str(r["id"])) % FOLDS for r in rows], dtype=np.int64)
-    return fit_chain(found, y, folds, categories)
+    chain = fit_chain(found, y, folds, categories)
+    del rows, found
+    release()
+    return chain
 
 
 def score(df: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
     """``df`` with ``p_<category>`` and ``is_<category>`` of each category, replaced if present."""
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(chain)
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def chained(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        forget()
         chain = shared.value
         wanted = set().union(*(m.weights for m in chain.models))
         cache: dict[str, tuple[int, ...]] = {}
