@@ -10,10 +10,8 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from vacantia.llm import bpe, decontaminate, ids, near_copies, suffix_index, toxicity
 from vacantia.sources.scratch import scratch_dir
@@ -35,29 +33,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return ids.without(docs, near_copies.near_copies(docs).where("component_id < doc_id")).select(*COLUMNS)
 
 
-def without(text: str, spans: list[tuple[int, int]]) -> str:
-    """A text without the characters of which a byte lies in a span; the others stay as they are."""
-    data, kept, at = text.encode(), [], 0
-    for start, end in spans:
-        while start > at and data[start] & 0xC0 == 0x80:
-            start -= 1
-        while end < len(data) and data[end] & 0xC0 == 0x80:
-            end += 1
-        kept.append(data[at : max(at, start)])
-        at = max(at, end)
-    return b"".join([*kept, data[at:]]).decode()
-
-
-@F.arrow_udf(T.StringType())
-def _without(texts: pa.Array, spans: pa.Array) -> pa.Array:
-    rows = zip(texts.to_pylist(), spans.to_pylist(), strict=True)
-    return pa.array([without(t, [(x["start"], x["end"]) for x in s]) if s else t for t, s in rows], pa.string())
-
-
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without bytes that repeat a document with a smaller id. Characters of which a byte
     went go as a whole; no document is dropped, also if nothing of its text is left."""
-    rows = suffix_index.remove_repeats(docs).withColumn("text", _without("text", "spans"))
+    rows = suffix_index.remove_repeats(docs, characters=True).withColumn("text", F.when(F.col("text").isNotNull(), F.col("kept")))
     return rows.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast("long")).select(*COLUMNS)
 
 
