@@ -5,8 +5,9 @@ The binary trie self-join of ``simhash`` over fingerprints of the same shingles
 candidates. No number of differing bits holds all pairs above a likeness, so what it leaves apart is
 completed by prefixes: in any order of all shingles, sets with a likeness of t share one of their
 first ``n - ceil(t n) + 1`` shingles, so only these are dealt out as keys. Pairs are dropped if the
-shared keys and what follows the last of them can't add up to the threshold; all others are compared
-on whole sets, so the result is exact.
+shared keys before a common one and all that follows it can't add up to the threshold, or if the
+parities of their shingles in ``SKETCH`` buckets differ in more places than their shingles may; all
+others are compared on whole sets, so the result is exact.
 
 The order is by hash, but the most frequent keys (over ``HEAVY`` sets each, at most ``HEAVY_KEYS`` of
 them) come last: a line that a third of all texts share is then a key of those texts only that have
@@ -21,11 +22,12 @@ shingle are one shingle; rows without an id are left out; an empty table gives a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacantia.llm import simhash
@@ -37,6 +39,8 @@ from vacantia.sources.scratch import checkpointed
 SHINGLE, LEAST, SEED = 5, 0.8, 42
 #: Sets of a key from which it moves to the end of the order, and how many keys do at most.
 HEAVY, HEAVY_KEYS = 64, 50_000
+#: Buckets whose parities are compared, a multiple of 64.
+SKETCH = 512
 #: Products of the threshold are rounded up less this, so that rounding loses no pair.
 _SLACK = 1e-9
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -73,6 +77,13 @@ def shingles(text: str, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(shingle_hashes(text, shingle).view(np.int64))
 
 
+def sketch(one: np.ndarray) -> np.ndarray:
+    """The parity of the number of hashes in each bucket, as packed bits. Two sketches differ in no
+    more places than their sets have hashes that the other lacks."""
+    counts = np.bincount((one & (SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
 def _prefix(size: int, least: float) -> int:
     return size - int(np.ceil(least * size - _SLACK)) + 1 if size else 0
 
@@ -83,8 +94,8 @@ def _lists(sets: list[np.ndarray]) -> pa.Array:
 
 
 def _signed(docs: DataFrame, shingle: int, least: float, last: np.ndarray | None = None) -> DataFrame:
-    """(id, fp, digest, size, keys) of (id, text): SimHash, digest and size of the set, its prefix in
-    the order that has the keys of ``last`` at its end."""
+    """(id, fp, digest, size, sketch, keys) of (id, text): SimHash, digest, size and sketch of the set,
+    its prefix in the order that has the keys of ``last`` at its end."""
     shared = docs.sparkSession.sparkContext.broadcast(np.sort(last) if last is not None else np.empty(0, np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,22 +103,23 @@ def _signed(docs: DataFrame, shingle: int, least: float, last: np.ndarray | None
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                fps, digests, sizes, keys = [], [], [], []
+                fps, digests, sizes, sketches, keys = [], [], [], [], []
                 for text in batch.column(1).to_pylist():
                     hashes = shingle_hashes(text or "", shingle)
                     one = np.unique(hashes.view(np.int64))
                     fps.append(simhash.majority(hashes))
                     digests.append(xxhash.xxh64_intdigest(one.tobytes(), SEED))
                     sizes.append(len(one))
+                    sketches.append(sketch(one))
                     if len(late) and len(one):
                         is_late = late[np.minimum(np.searchsorted(late, one), len(late) - 1)] == one
                         one = np.concatenate((one[~is_late], one[is_late]))
                     keys.append(one[: _prefix(len(one), least)])
                 signed = (np.array(x, dtype=np.uint64).view(np.int64) for x in (fps, digests))
-                yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, signed), pa.array(np.array(sizes, dtype=np.int32)), _lists(keys)], names=["id", "fp", "digest", "size", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, signed), pa.array(np.array(sizes, dtype=np.int32)), _lists(sketches), _lists(keys)], names=["id", "fp", "digest", "size", "sketch", "keys"])
             release()
 
-    return docs.mapInArrow(run, "id long, fp long, digest long, size int, keys array<long>")
+    return docs.mapInArrow(run, "id long, fp long, digest long, size int, sketch array<long>, keys array<long>")
 
 
 def _whole(docs: DataFrame, shingle: int) -> DataFrame:
@@ -128,6 +140,16 @@ def _wanted(a: str, b: str, least: float):
     return F.lit(least / (1 + least)) * (F.col(a) + F.col(b)) - _SLACK
 
 
+def _reach(a: str, b: str, least: float):
+    """Whether two sets that share a key may reach the threshold: before it they have as many in
+    common as the one with fewer shared keys before it, after it as many as the one that ends first."""
+    before, after = F.least(f"rank_{a}", f"rank_{b}"), F.least(F.col(f"size_{a}") - F.col(f"pos_{a}"), F.col(f"size_{b}") - F.col(f"pos_{b}"))
+    both = F.col(f"size_{a}") + F.col(f"size_{b}")
+    differ = reduce(Column.__add__, [F.bit_count(F.get(f"sketch_{a}", i).bitwiseXOR(F.get(f"sketch_{b}", i))) for i in range(SKETCH // 64)])
+    enough = before + after >= _wanted(f"size_{a}", f"size_{b}", least)
+    return (F.col(f"size_{a}") >= F.col(f"size_{b}") * least - _SLACK) & enough & (differ <= both * (1 - least) / (1 + least) + _SLACK)
+
+
 def _able(rows: DataFrame, least: float) -> DataFrame:
     """Distinct pairs (a, b) of the smaller and the larger set that may reach the threshold, by the
     keys they share and by what follows the last of these in both."""
@@ -161,12 +183,14 @@ def _by_trie(sets: DataFrame, budget: int) -> DataFrame:
 
 def _by_hubs(shared: DataFrame, least: float) -> DataFrame:
     """Candidates (a, b) of each set and the hubs of its keys, of its own and the next smaller size."""
+    one = F.struct("pos", "rank", "digest", "size", "sketch")
     span = shared.withColumn("span", F.floor(F.log("size") / -F.log(F.lit(least))))
-    hubs = span.groupBy("key", "span").agg(F.min(F.struct("pos", "digest", "size")).alias("hub"))
-    near = span.select("key", "digest", "size", "pos", F.explode(F.array("span", F.col("span") - 1)).alias("span")).join(hubs, ["key", "span"]).where("digest <> hub.digest")
-    order = F.when(F.struct(F.col("hub.size"), F.col("hub.digest")) < F.struct("size", "digest"), F.struct(F.col("hub").alias("x"), F.struct("pos", "digest", "size").alias("y"))).otherwise(F.struct(F.struct("pos", "digest", "size").alias("x"), F.col("hub").alias("y"))).alias("p")
-    rows = near.select(order).select(F.col("p.x.digest").alias("a"), F.col("p.y.digest").alias("b"), F.col("p.x.size").alias("size_a"), F.col("p.y.size").alias("size_b"), F.col("p.x.pos").alias("pos_a"), F.col("p.y.pos").alias("pos_b"))
-    return _able(rows.where(F.col("size_a") >= F.col("size_b") * least - _SLACK), least)
+    hubs = span.groupBy("key", "span").agg(F.min(one).alias("hub"))
+    near = span.select(one.alias("me"), "key", F.explode(F.array("span", F.col("span") - 1)).alias("span")).join(hubs, ["key", "span"]).where("me.digest <> hub.digest")
+    first = (F.col("hub.size") < F.col("me.size")) | ((F.col("hub.size") == F.col("me.size")) & (F.col("hub.digest") < F.col("me.digest")))
+    rows = near.select(F.when(first, F.col("hub")).otherwise(F.col("me")).alias("x"), F.when(first, F.col("me")).otherwise(F.col("hub")).alias("y"))
+    rows = rows.select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b"), *[F.col(f"{s}.{c}").alias(f"{c}_{n}") for c in ("size", "pos", "rank", "sketch") for s, n in ("xa", "yb")])
+    return rows.where(_reach("a", "b", least)).select("a", "b").distinct()
 
 
 def _apart(shared: DataFrame, found: DataFrame, least: float) -> DataFrame:
@@ -174,14 +198,24 @@ def _apart(shared: DataFrame, found: DataFrame, least: float) -> DataFrame:
     rest = checkpointed(shared.join(found, "digest", "left").withColumn("component", F.coalesce("component", "digest")))
     mixed = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     rest = rest.join(mixed, "key", "left_semi")
-    a, b = (rest.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("digest", "size", "pos", "component")]) for x in "ab")
+    a, b = (rest.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("digest", "size", "pos", "rank", "sketch", "component")]) for x in "ab")
     later = (F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("digest_a") < F.col("digest_b")))
-    rows = a.join(b, "key").where(later & (F.col("component_a") != F.col("component_b")) & (F.col("size_a") >= F.col("size_b") * least - _SLACK))
+    rows = a.join(b, "key").where(later & (F.col("component_a") != F.col("component_b")) & _reach("a", "b", least))
     return _able(rows.withColumnsRenamed({"digest_a": "a", "digest_b": "b"}), least)
 
 
 def _keyed(sets: DataFrame) -> DataFrame:
-    return sets.select("digest", "size", F.posexplode("keys").alias("pos", "key"))
+    return sets.select("digest", "size", "sketch", F.posexplode("keys").alias("pos", "key"))
+
+
+def _shared(sets: DataFrame) -> DataFrame:
+    """(key, digest, size, sketch, pos, rank) of the keys that several sets have; rank: how many shared keys
+    of the set come before."""
+    keyed = _keyed(sets)
+    several = keyed.select("key", "digest", "pos").join(keyed.groupBy("key").count().where("count > 1").select("key"), "key")
+    keys = several.groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("pos", "key"))).alias("found"))
+    rows = sets.select("digest", "size", "sketch").join(keys, "digest").select("digest", "size", "sketch", F.posexplode("found").alias("rank", "k"))
+    return rows.select("k.key", "digest", "size", "sketch", "k.pos", "rank")
 
 
 def near_copies(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, least: float = LEAST, budget: int = simhash.BUDGET) -> DataFrame:
@@ -189,7 +223,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text: str = "text", shing
     small_batches(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("id IS NOT NULL")
     signed = checkpointed(_signed(docs, shingle, least))
-    one = [F.min_by(c, "id").alias(c) for c in ("fp", "size", "keys")]
+    one = [F.min_by(c, "id").alias(c) for c in ("fp", "size", "sketch", "keys")]
     sets = checkpointed(signed.groupBy("digest").agg(F.min("id").alias("id"), *one))
     ids = sets.select("digest", "id")
 
@@ -201,9 +235,8 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text: str = "text", shing
         again = ids.join(touched, "digest").select("id")
         anew = _signed(docs.join(counted(again), "id", "left_semi").select("id", "text"), shingle, least, heavy).dropDuplicates(["digest"])
         anew = anew.select("digest", F.col("keys").alias("anew"))
-        sets = checkpointed(sets.join(anew, "digest", "left").select("digest", "id", "fp", "size", F.coalesce("anew", "keys").alias("keys")))
-    keyed = _keyed(sets)
-    shared = checkpointed(keyed.join(keyed.groupBy("key").count().where("count > 1").select("key"), "key"))
+        sets = checkpointed(sets.join(anew, "digest", "left").select("digest", "id", "fp", "size", "sketch", F.coalesce("anew", "keys").alias("keys")))
+    shared = checkpointed(_shared(sets))
 
     links = _verified(docs, ids, _by_trie(sets, budget).union(_by_hubs(shared, least)).distinct(), shingle, least)
     found = connected_components(links).withColumnRenamed("node", "digest")
