@@ -24,13 +24,21 @@ def dedup_exact(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) ->
 
 
 def candidate_pairs(df: DataFrame, block: Sequence[str], source: str, key: str, cols: Sequence[str]) -> DataFrame:
-    """Pairs of rows of one block from different sources, each pair once. Rows with a null in the
-    block pair with nothing. It's an equi join, so skewed blocks are split at runtime."""
+    """Pairs of rows of one block from different sources, each pair once. Block values are compared
+    as strings; rows without one are in a block 'unknown'. It's an equi join, so skewed blocks are
+    split at runtime."""
+    df = df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("unknown")) for c in block})
     a = df.select(*block, F.col(key).alias("a"), F.col(source).alias("source_a"), *[F.col(c).alias(f"{c}_a") for c in cols])
     b = df.select(*block, F.col(key).alias("b"), F.col(source).alias("source_b"), *[F.col(c).alias(f"{c}_b") for c in cols])
     return a.join(b, list(block)).where("a < b AND source_a <> source_b")
 
 
+def title_likeness(a: Column, b: Column) -> Column:
+    """Likeness of two title keys: of the texts, or a little less of their words in alphabetical order."""
+    x, y = (F.array_join(F.array_sort(F.split(c, " ")), " ") for c in (a, b))
+    return F.greatest(similarity(a, b), similarity(x, y) * 0.95)
+
+
 def token_set(c: Column) -> Column:
     """Distinct words of a text's search key."""
     return F.array_remove(F.array_distinct(F.split(norm_key(c), " ")), "")
@@ -58,7 +66,7 @@ def score_pairs(pairs: DataFrame, title: str, text: str, company: str, salary: s
     pay = F.when(x.isNull() | y.isNull(), 0.5).when(F.greatest(x, y) == 0, 1.0).otherwise(F.least(x, y) / F.greatest(x, y))
     w = WEIGHTS
     freed = F.when(hidden, w["company"]).otherwise(0.0)
-    s_title = similarity(F.col(f"{title}_a"), F.col(f"{title}_b"))
+    s_title = title_likeness(F.col(f"{title}_a"), F.col(f"{title}_b"))
     s_text = jaccard(F.col(f"{text}_a"), F.col(f"{text}_b"))
     s_company = F.when(hidden, 0.0).otherwise(similarity(a, b) * w["company"])
     score = s_title * (w["title"] + freed * 0.6) + s_text * (w["text"] + freed * 0.4) + s_company + pay * w["salary"]

@@ -10,29 +10,35 @@ from vacantia.sources.tables import table
 
 
 def _offers(s, d):
-    """Lines of orders as offers: the part's name as title, brand as company, by week of shipping."""
-    rows = table(s, d, "lineitem").where("l_linenumber = 1").join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    first = rows.groupBy("l_orderkey").agg(F.min_by(F.struct("l_shipdate", "l_suppkey", "p_name", "p_brand", "p_type", "p_size"), F.struct("l_shipdate", "l_suppkey", "p_partkey", "l_quantity", "l_extendedprice")).alias("x"))
+    """Lines of orders as offers: the part's name as title, brand as company, supplier as place, by
+    week of shipping. Lines of one order with one number and part are one offer."""
+    rows = table(s, d, "lineitem").join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    key = ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1_000_000_000 + F.col("l_partkey")).alias("id")
+    parts = ("l_shipdate", "l_suppkey", "l_orderkey", "p_name", "p_brand", "p_type", "p_size")
+    first = rows.groupBy(key).agg(F.min_by(F.struct(*parts), F.struct("l_shipdate", "l_suppkey", "l_quantity", "l_extendedprice")).alias("x"))
     company = F.when(F.col("x.p_size") > 40, "Confidential").otherwise(F.col("x.p_brand"))
     pay = F.when(F.col("x.p_size") % 7 > 0, F.col("x.p_size").cast("double"))
-    return first.select(F.col("l_orderkey").alias("id"), (F.col("x.l_suppkey") % 5).alias("src"), F.col("x.l_suppkey").alias("place"), F.date_format("x.l_shipdate", "yyyy-MM").alias("week"), F.date_format("x.l_shipdate", "yyyy-MM-dd").alias("day"), F.col("x.p_name").alias("title"), F.concat_ws(" ", "x.p_name", "x.p_type").alias("text"), company.alias("company"), pay.alias("pay"))
+    day = F.col("x.l_shipdate")
+    monday = F.floor((F.dayofyear(day) + 6 - F.weekday(day)) / 7).cast("string")
+    week = F.concat(F.date_format(day, "yyyy"), F.lit("-"), F.lpad(monday, 2, "0"))
+    return first.select("id", (F.col("x.l_orderkey") % 5).alias("src"), F.col("x.l_suppkey").alias("place"), week.alias("week"), F.date_format(day, "yyyy-MM-dd").alias("day"), F.col("x.p_name").alias("title"), F.concat_ws(" ", "x.p_name", "x.p_type").alias("text"), company.alias("company"), pay.alias("pay"))
 
 
 O = (
-    "(SELECT l_orderkey AS id, l_suppkey % 5 AS src, l_suppkey AS place, strftime(l_shipdate, '%Y-%m') AS week, strftime(l_shipdate, '%Y-%m-%d') AS day, p_name AS title, p_name || ' ' || p_type AS text, CASE WHEN p_size > 40 THEN 'Confidential' ELSE p_brand END AS company, "
-    "CASE WHEN p_size % 7 > 0 THEN p_size::DOUBLE END AS pay FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_suppkey, p_partkey, l_quantity, l_extendedprice) AS r FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1) WHERE r = 1)"
+    "(SELECT id, l_orderkey % 5 AS src, l_suppkey AS place, strftime(l_shipdate, '%Y-%W') AS week, strftime(l_shipdate, '%Y-%m-%d') AS day, p_name AS title, p_name || ' ' || p_type AS text, CASE WHEN p_size > 40 THEN 'Confidential' ELSE p_brand END AS company, "
+    "CASE WHEN p_size % 7 > 0 THEN p_size::DOUBLE END AS pay FROM (SELECT *, (l_orderkey * 8 + l_linenumber) * 1000000000 + l_partkey AS id, "
+    "row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey ORDER BY l_shipdate, l_suppkey, l_quantity, l_extendedprice) AS r FROM lineitem JOIN part ON l_partkey = p_partkey) WHERE r = 1)"
 )
 COLS = ("title", "text", "company", "pay")
 
 
 def _pairs(s, d, offers=None):
-    offers = offers or _offers(s, d)
-    return dedup.candidate_pairs(offers.withColumn("block", F.substring("week", 1, 7)).withColumn("zone", F.col("place") % 11), ["block", "zone"], "src", "id", COLS)
+    return dedup.candidate_pairs(offers or _offers(s, d), ["place", "week"], "src", "id", COLS)
 
 
 P = (
-    f"(SELECT a.week AS block, a.place % 11 AS zone, a.id AS a, a.src AS source_a, b.id AS b, b.src AS source_b, " + ", ".join(f"{t}.{c} AS {c}_{t}" for t in "ab" for c in COLS)
-    + f" FROM {O} a JOIN {O} b ON a.week = b.week AND a.place % 11 = b.place % 11 AND a.id < b.id AND a.src <> b.src)"
+    "(SELECT coalesce(a.place::VARCHAR, 'unknown') AS place, coalesce(a.week, 'unknown') AS week, a.id AS a, a.src AS source_a, b.id AS b, b.src AS source_b, " + ", ".join(f"{t}.{c} AS {c}_{t}" for t in "ab" for c in COLS)
+    + f" FROM {O} a JOIN {O} b ON coalesce(a.week, 'unknown') = coalesce(b.week, 'unknown') AND coalesce(a.place::VARCHAR, 'unknown') = coalesce(b.place::VARCHAR, 'unknown') AND a.id < b.id AND a.src <> b.src)"
 )
 
 
@@ -40,12 +46,18 @@ def _sim(a, b):
     return f"CASE WHEN greatest(length({a}), length({b})) = 0 THEN 1.0 ELSE 1.0 - levenshtein({a}, {b}) / greatest(length({a}), length({b}))::DOUBLE END"
 
 
+def _title_sim(a, b):
+    a, b = key_sql(a), key_sql(b)
+    in_order = [f"array_to_string(list_sort(string_split({x}, ' ')), ' ')" for x in (a, b)]
+    return f"greatest({_sim(a, b)}, 0.95::DOUBLE * ({_sim(*in_order)}))"
+
+
 def _tokens(c):
     return f"list_filter(list_distinct(string_split({key_sql(c)}, ' ')), lambda x: x <> '')"
 
 
 SCORED = (
-    f"(SELECT *, round({_sim(key_sql('title_a'), key_sql('title_b'))} * (0.40::DOUBLE + CASE WHEN hid THEN 0.15::DOUBLE ELSE 0 END * 0.6) + "
+    f"(SELECT *, round({_title_sim('title_a', 'title_b')} * (0.40::DOUBLE + CASE WHEN hid THEN 0.15::DOUBLE ELSE 0 END * 0.6) + "
     f"(len(list_intersect({_tokens('text_a')}, {_tokens('text_b')})) / len(list_distinct(list_concat({_tokens('text_a')}, {_tokens('text_b')})))::DOUBLE) * (0.35::DOUBLE + CASE WHEN hid THEN 0.15::DOUBLE ELSE 0 END * 0.4) + "
     f"CASE WHEN hid THEN 0.0 ELSE ({_sim(key_sql('company_a'), key_sql('company_b'))}) * 0.15::DOUBLE END + CASE WHEN pay_a IS NULL OR pay_b IS NULL THEN 0.5::DOUBLE ELSE least(pay_a, pay_b) / greatest(pay_a, pay_b) END * 0.10::DOUBLE, 8) AS score "
     f"FROM (SELECT *, company_a = 'Confidential' OR company_b = 'Confidential' AS hid FROM {P}))"
@@ -66,12 +78,32 @@ def _signatures(s, d):
     return dedup.minhash(table(s, d, "documents").select("doc_id", "text"), "text")
 
 
+CONFIRMED = f"(SELECT a, b FROM {SCORED} WHERE score >= 0.85)"
+
+
+def groups_sql(pairs: str) -> str:
+    """(node, component): the smallest node that each reaches over pairs (a, b)."""
+    return (
+        f"(WITH RECURSIVE p AS MATERIALIZED (SELECT * FROM {pairs}), e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), "
+        "r AS (SELECT a AS node, a AS c FROM e UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.node) SELECT node, min(c) AS component FROM r GROUP BY node)"
+    )
+
+
+_S = key_sql("s_name")
+FUZZY = (
+    f"(WITH f AS (SELECT s_nationkey AS n, {_S} AS k, min(s_suppkey) AS id FROM supplier GROUP BY ALL) SELECT x.id AS a, y.id AS b FROM f x JOIN f y ON x.n = y.n AND x.id < y.id "
+    f"WHERE {_sim('x.k', 'y.k')} >= 0.9)"
+)
+
 QUERIES = {
     "d01_dedup_exact": (
         lambda s, d: dedup.dedup_exact(_offers(s, d), ["title", "company", "week"], [F.asc("day"), F.asc("id")]),
         f"SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY title, company, week ORDER BY day, id) AS r FROM {O}) WHERE r = 1",
     ),
-    "d02_dedup_fuzzy": (lambda s, d: dedup.dedup_fuzzy(table(s, d, "supplier"), "s_suppkey", ["s_name"], ["s_nationkey"], 0.9), None),
+    "d02_dedup_fuzzy": (
+        lambda s, d: dedup.dedup_fuzzy(table(s, d, "supplier"), "s_suppkey", ["s_name"], ["s_nationkey"], 0.9),
+        f"SELECT * FROM supplier WHERE s_suppkey IN (SELECT min(s_suppkey) FROM supplier GROUP BY s_nationkey, {_S}) AND s_suppkey NOT IN (SELECT node FROM {groups_sql(FUZZY)} WHERE node <> component)",
+    ),
     "d03_minhash": (lambda s, d: dedup.minhash_pairs(_signatures(s, d), "doc_id", "signature", 0.5), None),
     "d04_candidate_pairs": (_pairs, f"SELECT * FROM {P}"),
     "d05_score_pairs": (lambda s, d: _scored(s, d).select("a", "b", "score"), f"SELECT a, b, score FROM {SCORED}"),
@@ -79,10 +111,13 @@ QUERIES = {
         lambda s, d: dedup.label_pairs(_scored(s, d)).select("a", "b", "label"),
         f"SELECT a, b, CASE WHEN score >= 0.85 THEN 'confirmed' ELSE 'probable' END AS label FROM {SCORED} WHERE score >= 0.70",
     ),
-    "d06_duplicate_groups": (lambda s, d: dedup.duplicate_groups(_scored(s, d)), None),
+    "d06_duplicate_groups": (lambda s, d: dedup.duplicate_groups(_scored(s, d)), f"SELECT * FROM {groups_sql(CONFIRMED)}"),
     "d07_canonical": (
         lambda s, d: dedup.canonical(_offers(s, d), "title", "day", "id"),
         f"SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY day, id) AS r FROM {O}) WHERE r = 1",
     ),
-    "d07_canonical_groups": (lambda s, d: dedup.canonical(_grouped(s, d), "component", "day", "id"), None),
+    "d07_canonical_groups": (
+        lambda s, d: dedup.canonical(_grouped(s, d), "component", "day", "id"),
+        f"SELECT * EXCLUDE (r, node) FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY day, id) AS r FROM {O} JOIN {groups_sql(CONFIRMED)} ON id = node) WHERE r = 1",
+    ),
 }
