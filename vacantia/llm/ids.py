@@ -11,6 +11,14 @@ from vacantia.sources.scratch import checkpointed
 BROADCAST_IDS = 500_000
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have yet."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def counted(ids: DataFrame) -> DataFrame:
     """``ids`` computed once, with a broadcast hint if their number is small."""
     ids = checkpointed(ids)

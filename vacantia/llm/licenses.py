@@ -23,6 +23,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vacantia.llm.ids import unused
+
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Share of a template's words that must stand at their places.
 MIN_SCORE = 0.8
@@ -96,10 +98,11 @@ def scan(df: DataFrame, templates: tuple[Template, ...] = TEMPLATES, text: str =
     key phrase stands. Columns of these names are replaced."""
     frequency = document_frequencies(df, templates, text)
     rare = sorted({t.key[i] for t in templates for i in _pivots(t, frequency)})
-    w, probes = F.col("__words"), F.col("__probes")
-    df = df.withColumn("__words", words(F.col(text)))
+    held, sought = unused(df, "__words"), unused(df, "__probes")
+    w, probes = F.col(held), F.col(sought)
+    df = df.withColumn(held, words(F.col(text)))
     at = F.when(F.size(w) > 0, F.sequence(F.lit(0), F.size(w) - 1)).otherwise(F.array().cast("array<int>"))
-    df = df.withColumn("__probes", F.filter(at, lambda i: F.get(w, i).isin(rare)))
+    df = df.withColumn(sought, F.filter(at, lambda i: F.get(w, i).isin(rare)))
 
     def places(t: Template) -> Column:
         key = F.array(*map(F.lit, t.key))
@@ -118,7 +121,7 @@ def scan(df: DataFrame, templates: tuple[Template, ...] = TEMPLATES, text: str =
         return F.struct(F.lit(t.label).alias("label"), F.transform(starts, hit).alias("places"))
 
     df = df.withColumn("licenses", F.array(*map(places, templates)))
-    return df.withColumn("license_words", F.size(w).cast("long")).drop("__words", "__probes")
+    return df.withColumn("license_words", F.size(w).cast("long")).drop(held, sought)
 
 
 def _labels(structs: Column) -> Column:

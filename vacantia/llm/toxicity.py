@@ -9,7 +9,8 @@ smallest hash of their id) and applied to every document over its whole text.
 Defined results: null and empty texts have no words and get the probabilities of the biases; without
 labelled rows of both classes a category's probability is its share in the sample (0 without a
 sample) and nothing is flagged; labels that are null are left out; repeated labels of an id count by
-their largest value; repeated documents are scored each; an empty table gives an empty result.
+their largest value; repeated documents are scored each, and in training the one with the smallest
+features counts; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vacantia.llm.ids import unused
 from vacantia.llm.memory import forget, release, small_batches
 
 #: Labelled rows used for fitting, folds, and bits of a hashed feature.
@@ -154,8 +156,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id_col:
     known = known.groupBy("id").agg(*[F.max(n).alias(n) for n in names])
     sample = known.orderBy(F.xxhash64("id"), "id").limit(max_train)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    rows = texts.join(F.broadcast(sample), "id").select("id", *names, features_column(F.col("text")).alias("f")).collect()
-    rows = sorted({r["id"]: r for r in rows}.values(), key=lambda r: r["id"])
+    known = texts.join(F.broadcast(sample), "id").select("id", *names, features_column(F.col("text")).alias("f"))
+    rows = sorted(known.groupBy("id", *names).agg(F.min("f").alias("f")).collect(), key=lambda r: r["id"])
     found = [np.frombuffer(r["f"], dtype=np.int32) for r in rows]
     y = np.array([[r[n] for n in names] for r in rows], dtype=float).reshape(len(rows), len(names))
     folds = np.array([xxhash.xxh64_intdigest(str(r["id"])) % FOLDS for r in rows], dtype=np.int64)
@@ -199,10 +201,11 @@ def score(df: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
         cache.clear()
         release()
 
-    df = df.withColumn("__p", chained(F.col(text)))
+    p = unused(df, "__p")
+    df = df.withColumn(p, chained(F.col(text)))
     for i, (c, limit) in enumerate(zip(chain.categories, chain.thresholds, strict=True)):
-        df = df.withColumn(f"p_{c}", F.col("__p")[i]).withColumn(f"is_{c}", F.col("__p")[i] >= limit)
-    return df.drop("__p")
+        df = df.withColumn(f"p_{c}", F.col(p)[i]).withColumn(f"is_{c}", F.col(p)[i] >= limit)
+    return df.drop(p)
 
 
 CATEGORIES = ("low_quality", "toxic")

@@ -11,7 +11,7 @@ written under a name of the task attempt into the shared folder, so a task that
 files of its own; only files that the written table names are read.
 
 Defined results: null payloads count as empty; a null URL is written as an empty target; smaller
-payloads are all responses; rows that repeat an id with an equal payload are all responses if that
+payloads are all responses; pages without an id are responses that no record refers to; rows that repeat an id with an equal payload are all responses if that
 id is the smallest; extra columns are ignored; an empty table gives no archive and an empty result.
 """
 
@@ -47,13 +47,13 @@ def _crlf(*lines: str) -> bytes:
     return "".join(f"{x}\r\n" for x in lines).encode()
 
 
-def warc_record(page_id: int, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def warc_record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One WARC record; a revisit has no payload."""
     kind, body = ("response", payload) if refers_to is None else ("revisit", b"")
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Record-ID: <urn:page:{f'none-{uuid.uuid4().hex}' if page_id is None else page_id}>",
         "WARC-Date: 2024-01-01T00:00:00Z",
         "WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"),
         f"WARC-Payload-Digest: sha256:{digest}",
@@ -266,7 +266,8 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
         head, payload = parse_record(data)
 
         def number(field: str) -> int | None:
-            return int(head[field].strip("<>").rsplit(":", 1)[1]) if field in head else None
+            said = head[field].strip("<>").rsplit(":", 1)[1] if field in head else "none"
+            return None if said.startswith("none") else int(said)
 
         kind, said = head["WARC-Type"], head["WARC-Payload-Digest"].removeprefix("sha256:")
         if kind == "response" and sha256(payload).hexdigest() != said:
