@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``. Where it names none (tests, local
-    mode) a temporary folder of this machine is set."""
+    """The folder the cluster names in ``spark.checkpoint.dir``. Where it names none, a
+    temporary folder of this machine is set in local mode (tests), and a cluster is an error."""
     path = spark.conf.get("spark.checkpoint.dir", "")
     current = spark.sparkContext.getCheckpointDir()
     if not path:
         if current:
             return current
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that all its machines share")
         path = tempfile.mkdtemp(prefix="spark-")
     if not current:
         spark.sparkContext.setCheckpointDir(path)
