@@ -14,6 +14,7 @@ from vacantia.functions.columns import half_up, percent
 from vacantia.functions.text import first_match, norm_key, similarity
 from vacantia.operators.dedup import jaccard, token_set
 from vacantia.operators.normalize import bounded
+from vacantia.sources.scratch import checkpointed
 
 #: Query vectors and catalogue vectors that are multiplied with each other at once.
 QUERY_BLOCK, ITEM_BLOCK = 2_000, 4_000
@@ -217,10 +218,14 @@ def fuzzy_match(df: DataFrame, key: str, title: str, catalogue: DataFrame, name:
 
 
 def skill_overlap(df: DataFrame, row: str, skill: str, catalogue: DataFrame, occupation: str, catalogue_skill: str, least: float = 0.8) -> DataFrame:
-    """Share of an occupation's skills that are like a row's. Distinct skills are compared once."""
+    """Share of an occupation's skills that are like a row's. Distinct skills are compared once, and
+    only those that ``like_texts`` proves to hold all pairs."""
     mine = df.select(row, norm_key(F.col(skill)).alias("__s")).distinct()
     theirs = catalogue.select(occupation, norm_key(F.col(catalogue_skill)).alias("__c")).distinct()
-    like = mine.select("__s").distinct().join(bounded(theirs.select("__c").distinct()), similarity(F.col("__s"), F.col("__c")) >= least)
+    skills, known = mine.select(F.col("__s").alias("__t")).distinct(), theirs.select(F.col("__c").alias("__n"), F.col("__c").alias("name")).distinct()
+    empty = skills.where("__t = ''").join(known.where("__n = ''"), F.col("__t") == F.col("__n"))  # two empty texts are alike
+    like = like_texts(skills, known, least).select("__t", "__n").where(similarity(F.col("__t"), F.col("__n")) >= least)
+    like = like.union(empty.select("__t", "__n")).distinct().withColumnsRenamed({"__t": "__s", "__n": "__c"})
     size = theirs.groupBy(occupation).agg(F.count("*").alias("size"))
     hits = mine.join(like, "__s").join(theirs, "__c").groupBy(row, occupation).agg(F.count_distinct("__c").alias("found"))
     return hits.join(size, occupation).withColumn("share_pct", percent(F.col("found"), F.col("size")))
@@ -244,15 +249,18 @@ def cascade(fuzzy: DataFrame, vector: DataFrame, key: str, least: float = 0.8) -
 
 def coded_ancestor(nodes: DataFrame, node: str, parent: str, code: str, depth: int = 10) -> DataFrame:
     """Nearest node upward, itself included, that has a code, and the code's level-1 and level-2 parts.
-    Links that lead back to a node passed before end with the depth."""
-    up = nodes.select(F.col(node).alias("__at"), F.col(parent).alias("__up"), F.col(code).alias("__code"))
-    open_rows = nodes.select(node, F.col(node).alias("__at"))
-    done = None
-    for d in range(depth + 1):
-        step = open_rows.join(up, "__at")
-        found = step.where("__code IS NOT NULL").select(node, F.col("__code").alias("found"), F.lit(d).cast("long").alias("steps"))
-        done = found if done is None else done.union(found)
-        open_rows = step.where("__code IS NULL AND __up IS NOT NULL").select(node, F.col("__up").alias("__at"))
+    Links that lead back to a node passed before end with the depth. By doubling: each round looks as
+    far again as all before, so a depth of 10 takes four joins."""
+    steps = F.when(F.col(code).isNotNull(), F.lit(0).cast("long")).alias("steps")
+    seen = nodes.select(F.col(node).alias("__node"), F.col(code).alias("found"), steps, F.col(parent).alias("__next"))
+    reach = 1
+    while reach <= depth:
+        far = seen.select(F.col("__node").alias("__next"), "found", (F.col("steps") + reach).alias("steps"), F.col("__next").alias("__then"))
+        waits = F.col("found").isNull() & F.col("__next").isNotNull()
+        further = seen.where(waits).select("__node", "__next").join(far, "__next", "left").select("__node", "found", "steps", F.col("__then").alias("__next"))
+        seen = checkpointed(seen.where(~waits).union(further))
+        reach *= 2
+    done = seen.where(F.col("steps") <= depth).select(F.col("__node").alias(node), "found", "steps")
     text = F.col("found").cast("string")
     return nodes.select(node).join(done, node, "left").withColumns({"level_1": F.substring(text, 1, 1), "level_2": F.substring(text, 1, 2)})
 

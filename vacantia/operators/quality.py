@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vacantia.functions.columns import half_up, percent
 from vacantia.functions.rules import Rule, hits
+from vacantia.operators.matching import ranked
 
 
 def validate(df: DataFrame, key: str, rules: Sequence[Rule], keep: Sequence[str] = ()) -> DataFrame:
@@ -53,10 +54,18 @@ def apply_fixes(df: DataFrame, errors: DataFrame, key: str, fixes: Mapping[str,
     return out.withColumn("__changed", changed).withColumns(new).drop("__d").withColumnRenamed("__changed", "fixed")
 
 
-def error_groups(errors: DataFrame, key: str, sample: str, n: int = 5) -> DataFrame:
-    """Errors and rows per rule, with the first of their distinct sample values in order."""
-    values = F.array_join(F.slice(F.array_sort(F.collect_set(F.col(sample).cast("string"))), 1, n), "|")
-    return errors.groupBy("rule").agg(F.count("*").alias("n"), F.count_distinct(key).alias("rows"), values.alias("samples"))
+def error_groups(errors: DataFrame, key: str, sample: str, dims: Sequence[str] = ("diagnosis", "kind"), n: int = 5) -> DataFrame:
+    """Errors and rows per group of ``dims``, with the first of their distinct sample values in order.
+    Values are made distinct and ranked before they are gathered, so a group brings ``n`` at most."""
+    values = errors.select(*dims, F.col(sample).cast("string").alias("__value")).where("__value IS NOT NULL").distinct()
+    first = ranked(values, list(dims), [F.asc("__value")], n).groupBy(*dims).agg(F.array_join(F.array_sort(F.collect_list("__value")), "|").alias("samples"))
+    counts = errors.groupBy(*dims).agg(F.count("*").alias("n"), F.count_distinct(key).alias("rows"))
+    return counts.join(first, list(dims), "left").withColumn("samples", F.coalesce("samples", F.lit("")))
+
+
+def error_group_ids(errors: DataFrame, key: str, dims: Sequence[str] = ("diagnosis", "kind")) -> DataFrame:
+    """The rows of each group of errors, one a line, so no group has to fit one list."""
+    return errors.select(*dims, key).distinct()
 
 
 SEVERITIES = ("critical", "error", "warning", "info")

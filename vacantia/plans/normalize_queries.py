@@ -65,7 +65,7 @@ def _values(s, d):
 
 
 def _lists(s, d):
-    o = table(s, d, "lineitem").where("l_linenumber <= 2").groupBy("l_orderkey").agg(F.concat_ws(",", F.array_sort(F.collect_list(F.concat("l_returnflag", "l_linestatus")))).alias("flags"))
+    o = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.concat_ws(",", F.array_sort(F.collect_list(F.concat("l_returnflag", "l_linestatus")))).alias("flags"))
     return o.select("l_orderkey", normalize.clean_list(F.concat("flags", F.lit(", - x, *Ring,ring ,a"))).alias("cleaned"), normalize.merge_lists(F.col("flags"), F.lit("af, zz,,ZZ")).alias("merged"))
 
 
@@ -84,7 +84,7 @@ def _catalogue(s, d):
 
 
 def _sectors(s, d):
-    df = table(s, d, "lineitem").where("l_linenumber = 1").select("l_orderkey", F.when(F.col("l_partkey") % 3 == 0, F.concat(F.lit("SUPPLIER#"), F.lpad(F.col("l_suppkey").cast("string"), 9, "0"))).alias("company"), F.when(F.col("l_partkey") % 2 == 0, "A firm in the business of steel mills").when(F.col("l_partkey") % 7 == 0, "steel, no marker").alias("text"), F.when(F.col("l_partkey") % 5 < 3, "given").alias("sector"))
+    df = table(s, d, "lineitem").select("l_orderkey", F.when(F.col("l_partkey") % 3 == 0, F.concat(F.lit("SUPPLIER#"), F.lpad(F.col("l_suppkey").cast("string"), 9, "0"))).alias("company"), F.when(F.col("l_partkey") % 2 == 0, "A firm in the business of steel mills").when(F.col("l_partkey") % 7 == 0, "steel, no marker").alias("text"), F.when(F.col("l_partkey") % 5 < 3, "given").alias("sector"))
     return normalize.assign_sector(df, "company", "text", "sector", _catalogue(s, d), ["business of"], [("steel", "metal"), ("mill", "paper")])
 
 
@@ -165,7 +165,7 @@ QUERIES = {
     ),
     "n14_clean_list": (
         _lists,
-        "WITH o AS (SELECT l_orderkey, list_sort(list(l_returnflag || l_linestatus)) AS f FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1) "
+        "WITH o AS (SELECT l_orderkey, list_sort(list(l_returnflag || l_linestatus)) AS f FROM lineitem GROUP BY 1) "
         "SELECT l_orderkey, array_to_string(list_concat(list_distinct_ordered, ['Ring']), ', ') AS cleaned, array_to_string(list_concat(list_distinct_ordered, CASE WHEN list_contains(list_distinct_ordered, 'AF') THEN ['zz'] ELSE ['af', 'zz'] END), ', ') AS merged "
         "FROM (SELECT l_orderkey, list_filter(f, lambda x, i: list_position(f, x) = i) AS list_distinct_ordered FROM o)",
     ),
@@ -181,7 +181,7 @@ QUERIES = {
     "n17_assign_sector": (
         _sectors,
         "WITH l AS (SELECT l_orderkey, CASE WHEN l_partkey % 3 = 0 THEN 'SUPPLIER#' || lpad(l_suppkey::VARCHAR, 9, '0') END AS company, CASE WHEN l_partkey % 2 = 0 THEN 'A firm in the business of steel mills' WHEN l_partkey % 7 = 0 THEN 'steel, no marker' END AS text, "
-        "CASE WHEN l_partkey % 5 < 3 THEN 'given' END AS sector, l_suppkey, l_partkey FROM lineitem WHERE l_linenumber = 1), j AS (SELECT l.*, CASE WHEN l_partkey % 3 = 0 AND s_suppkey % 5 > 0 THEN 'sector ' || (s_nationkey % 4) END AS k, CASE WHEN l_partkey % 2 = 0 THEN 'metal' END AS m FROM l LEFT JOIN supplier ON s_suppkey = l_suppkey) "
+        "CASE WHEN l_partkey % 5 < 3 THEN 'given' END AS sector, l_suppkey, l_partkey FROM lineitem), j AS (SELECT l.*, CASE WHEN l_partkey % 3 = 0 AND s_suppkey % 5 > 0 THEN 'sector ' || (s_nationkey % 4) END AS k, CASE WHEN l_partkey % 2 = 0 THEN 'metal' END AS m FROM l LEFT JOIN supplier ON s_suppkey = l_suppkey) "
         "SELECT l_orderkey, company, text, sector, coalesce(k, m, sector) AS assigned, CASE WHEN k IS NOT NULL OR m IS NOT NULL THEN 'high' WHEN sector IS NOT NULL THEN 'medium' ELSE 'none' END AS confidence FROM j",
     ),
     "n18_classify_activity": (

@@ -100,9 +100,10 @@ QUERIES = {
         "SELECT c_custkey, CASE WHEN b THEN 'far ' || c_name ELSE c_name END AS c_name, CASE WHEN a THEN 0.0 ELSE c_acctbal END AS c_acctbal, c_mktsegment, a OR b AS fixed FROM f",
     ),
     "v05_error_groups": (
-        lambda s, d: quality.error_groups(_errors(s, d), "c_custkey", "c_nationkey"),
-        f"SELECT rule, count(*) AS n, count(DISTINCT c_custkey) AS rows, array_to_string(list_sort(list(DISTINCT c_nationkey::VARCHAR))[1:5], '|') AS samples FROM ({E}) GROUP BY 1",
+        lambda s, d: quality.error_groups(_routed(s, d), "c_custkey", "c_nationkey"),
+        f"SELECT diagnosis, kind, count(*) AS n, count(DISTINCT c_custkey) AS rows, array_to_string(list_sort(list(DISTINCT c_nationkey::VARCHAR))[1:5], '|') AS samples FROM {ROUTED} GROUP BY 1, 2",
     ),
+    "v05_error_group_ids": (lambda s, d: quality.error_group_ids(_routed(s, d), "c_custkey"), f"SELECT DISTINCT diagnosis, kind, c_custkey FROM {ROUTED}"),
     "v06_open_errors": (
         lambda s, d: quality.open_errors(_states(s, d)),
         f"SELECT CASE severity WHEN 'critical' THEN 0 WHEN 'error' THEN 1 WHEN 'warning' THEN 2 ELSE 3 END::BIGINT AS place, severity, count(*) AS n FROM {STATES} WHERE state = 'open' GROUP BY 1, 2",
