@@ -2,13 +2,17 @@ import importlib.util
 import sys
 from pathlib import Path
 
+import duckdb
 import numpy as np
 from test_near_copies import brute_classes
 from test_suffix_index import N
+from test_toxicity import brute_chain
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 import corpus_pipeline as cp
 
+from vacantia.llm import decontaminate, toxicity
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -31,6 +35,8 @@ def test_stages_one_by_one(spark, tmp_path):
             labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
             gone = before.keys() - after.keys()
             assert all(labels.get(d, 1) for d in gone)
+            chain = toxicity.train(kept, toxicity.label_table(spark.read.parquet(f"{SF}/labels.parquet")), toxicity.CATEGORIES)
+            assert gone == {d for d, t in before.items() if brute_chain(chain, t)[1] >= chain.thresholds[1]}
         elif name == "simhash":
             classes = brute_classes(before)
             assert after.keys() == set(classes.values())
@@ -49,7 +55,11 @@ def test_stages_one_by_one(spark, tmp_path):
                 left = bytes(np.frombuffer(b, np.uint8)[~gone]).decode("utf-8", "ignore")
                 assert after[d] == left
         elif name == "decontaminate":
-            assert after.keys() <= before.keys()
+            con = duckdb.connect()
+            con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/suffix_dedup/*.parquet')")
+            con.execute(f"CREATE VIEW benchmark AS SELECT * FROM read_parquet('{SF}/benchmark.parquet')")
+            leaked = {r[0] for r in con.execute(f"SELECT DISTINCT doc_id FROM ({decontaminate.report_sql()})").fetchall()}
+            assert leaked and after.keys() == before.keys() - leaked
         kept = out
     rows = kept.collect()
     tok = importlib.util.find_spec("tokenizers")

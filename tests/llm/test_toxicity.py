@@ -1,8 +1,28 @@
+import math
+
 import numpy as np
 
 from vacantia.llm import toxicity as tox
 
 
+def brute_chain(chain, text):
+    """Probabilities by the models' definition, from all features of a text."""
+    features = {f for s in (text or "").lower().split() for f in tox._features(s)}
+    p = []
+    for m in chain.models:
+        x = m.bias + sum(w for f, w in m.weights.items() if f in features) + sum(a * b for a, b in zip(m.earlier, p, strict=True))
+        p.append(1 / (1 + math.exp(-min(30, max(-30, x)))))
+    return p
+
+
+def test_whole_table_against_the_definition(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    chain = tox.train(docs, tox.label_table(spark.read.parquet("/root/testdata/sf0.01/labels.parquet")), tox.CATEGORIES)
+    for r in tox.score(docs, chain).collect():
+        assert np.allclose(brute_chain(chain, r["text"]), [r["p_low_quality"], r["p_toxic"]])
+        assert r["is_toxic"] == (r["p_toxic"] >= chain.thresholds[1])
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = tox.label_table(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"))
