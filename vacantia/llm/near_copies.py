@@ -39,12 +39,14 @@ from vacantia.sources.scratch import checkpointed
 SHINGLE, LEAST, SEED = 5, 0.8, 42
 #: Sets of a key from which it moves to the end of the order, and how many keys do at most.
 HEAVY, HEAVY_KEYS = 64, 50_000
-#: Buckets whose parities are compared, a multiple of 64.
-SKETCH = 512
+#: Buckets whose parities are compared, a multiple of 64, and sets of a key up to which they aren't.
+SKETCH, FEW = 512, 8
 #: Products of the threshold are rounded up less this, so that rounding loses no pair.
 _SLACK = 1e-9
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 CACHE_WORDS = 150_000
+#: Sets that a task holds while it compares pairs.
+SETS = 64
 
 
 class _Words(dict):
@@ -84,6 +86,12 @@ def sketch(one: np.ndarray) -> np.ndarray:
     return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
 
 
+def _digest(one: np.ndarray) -> int:
+    """Signed hash of a set."""
+    digest = xxhash.xxh64_intdigest(one.tobytes(), SEED)
+    return digest - (digest >> 63 << 64)
+
+
 def _prefix(size: int, least: float) -> int:
     return size - int(np.ceil(least * size - _SLACK)) + 1 if size else 0
 
@@ -108,33 +116,20 @@ def _signed(docs: DataFrame, shingle: int, least: float, last: np.ndarray | None
                     hashes = shingle_hashes(text or "", shingle)
                     one = np.unique(hashes.view(np.int64))
                     fps.append(simhash.majority(hashes))
-                    digests.append(xxhash.xxh64_intdigest(one.tobytes(), SEED))
+                    digests.append(_digest(one))
                     sizes.append(len(one))
                     sketches.append(sketch(one))
                     if len(late) and len(one):
                         is_late = late[np.minimum(np.searchsorted(late, one), len(late) - 1)] == one
                         one = np.concatenate((one[~is_late], one[is_late]))
                     keys.append(one[: _prefix(len(one), least)])
-                signed = (np.array(x, dtype=np.uint64).view(np.int64) for x in (fps, digests))
-                yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, signed), pa.array(np.array(sizes, dtype=np.int32)), _lists(sketches), _lists(keys)], names=["id", "fp", "digest", "size", "sketch", "keys"])
+                prints = pa.array(np.array(fps, dtype=np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0), prints, pa.array(digests, pa.int64()), pa.array(np.array(sizes, dtype=np.int32)), _lists(sketches), _lists(keys)], names=["id", "fp", "digest", "size", "sketch", "keys"])
             release()
 
     return docs.mapInArrow(run, "id long, fp long, digest long, size int, sketch array<long>, keys array<long>")
 
 
-def _whole(docs: DataFrame, shingle: int) -> DataFrame:
-    """(digest, keys) of (digest, text): the whole sets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                yield pa.RecordBatch.from_arrays([batch.column(0), _lists([shingles(t or "", shingle) for t in batch.column(1).to_pylist()])], names=["digest", "keys"])
-            release()
-
-    return docs.mapInArrow(run, "digest long, keys array<long>")
-
-
 def _wanted(a: str, b: str, least: float):
     """Common shingles that sets of these sizes need."""
     return F.lit(least / (1 + least)) * (F.col(a) + F.col(b)) - _SLACK
@@ -147,7 +142,7 @@ def _reach(a: str, b: str, least: float):
     both = F.col(f"size_{a}") + F.col(f"size_{b}")
     differ = reduce(Column.__add__, [F.bit_count(F.get(f"sketch_{a}", i).bitwiseXOR(F.get(f"sketch_{b}", i))) for i in range(SKETCH // 64)])
     enough = before + after >= _wanted(f"size_{a}", f"size_{b}", least)
-    return (F.col(f"size_{a}") >= F.col(f"size_{b}") * least - _SLACK) & enough & (differ <= both * (1 - least) / (1 + least) + _SLACK)
+    return (F.col(f"size_{a}") >= F.col(f"size_{b}") * least - _SLACK) & enough & (F.coalesce(differ, F.lit(0)) <= both * (1 - least) / (1 + least) + _SLACK)
 
 
 def _able(rows: DataFrame, least: float) -> DataFrame:
@@ -159,15 +154,37 @@ def _able(rows: DataFrame, least: float) -> DataFrame:
 
 
 def _verified(docs: DataFrame, ids: DataFrame, pairs: DataFrame, shingle: int, least: float) -> DataFrame:
-    """Pairs whose whole sets are alike enough."""
+    """Pairs whose whole sets are alike enough. The texts are shuffled and not the sets, which are
+    larger; a text that has another digest than its row stands for another row of its id."""
     pairs = checkpointed(pairs)
     ends = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
-    found = docs.join(counted(ids.join(ends, "digest").select("id", "digest")), "id").select("digest", "text")
-    sets = checkpointed(_whole(found, shingle).dropDuplicates(["digest"]))
-    a, b = (sets.select(F.col("digest").alias(x), F.col("keys").alias(f"keys_{x}")) for x in "ab")
-    both = F.size(F.array_intersect("keys_a", "keys_b"))
-    alike = both >= (F.size("keys_a") + F.size("keys_b") - both) * least - _SLACK
-    return checkpointed(pairs.join(a, "a").join(b, "b").where(alike).select("a", "b"))
+    texts = docs.join(counted(ids.join(ends, "digest").select("id", "digest")), "id")
+    a, b = (texts.select(F.col("digest").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray | None] = {}
+
+        def whole(digest: int, text: str | None) -> np.ndarray | None:
+            if digest not in held:
+                if len(held) >= SETS:
+                    held.clear()
+                one = shingles(text or "", shingle)
+                if _digest(one) != digest:
+                    return None
+                held[digest] = one
+            return held[digest]
+
+        for batch in batches:
+            alike = []
+            for i in range(batch.num_rows):
+                x, y = (whole(batch.column(c)[i].as_py(), batch.column(f"text_{c}")[i].as_py()) for c in "ab")
+                both = -1 if x is None or y is None else len(np.intersect1d(x, y, assume_unique=True))
+                alike.append(both >= 0 and both >= (len(x) + len(y) - both) * least - _SLACK)
+            yield batch.filter(pa.array(alike, pa.bool_())).select(["a", "b"])
+        release()
+
+    found = pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
+    return checkpointed(found.mapInArrow(run, "a long, b long").distinct())
 
 
 def _by_trie(sets: DataFrame, budget: int) -> DataFrame:
@@ -205,17 +222,17 @@ def _apart(shared: DataFrame, found: DataFrame, least: float) -> DataFrame:
 
 
 def _keyed(sets: DataFrame) -> DataFrame:
-    return sets.select("digest", "size", "sketch", F.posexplode("keys").alias("pos", "key"))
+    return sets.select("digest", F.posexplode("keys").alias("pos", "key"))
 
 
 def _shared(sets: DataFrame) -> DataFrame:
-    """(key, digest, size, sketch, pos, rank) of the keys that several sets have; rank: how many shared keys
-    of the set come before."""
+    """(key, digest, size, sketch, pos, rank) of the keys that several sets have; rank: how many shared
+    keys of the set come before. Rows of a key with few sets go without the sketch."""
     keyed = _keyed(sets)
-    several = keyed.select("key", "digest", "pos").join(keyed.groupBy("key").count().where("count > 1").select("key"), "key")
-    keys = several.groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("pos", "key"))).alias("found"))
+    several = keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
+    keys = several.groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("pos", "key", "n"))).alias("found"))
     rows = sets.select("digest", "size", "sketch").join(keys, "digest").select("digest", "size", "sketch", F.posexplode("found").alias("rank", "k"))
-    return rows.select("k.key", "digest", "size", "sketch", "k.pos", "rank")
+    return rows.select("k.key", "digest", "size", F.when(F.col("k.n") > FEW, F.col("sketch")).alias("sketch"), "k.pos", "rank")
 
 
 def near_copies(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, least: float = LEAST, budget: int = simhash.BUDGET) -> DataFrame:
@@ -231,11 +248,11 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text: str = "text", shing
     heavy = np.array([r["key"] for r in often.collect()], dtype=np.int64)
     if len(heavy):
         frame = F.broadcast(df.sparkSession.createDataFrame(pa.table({"key": heavy})))
-        touched = _keyed(sets).join(frame, "key", "left_semi").select("digest").distinct()
-        again = ids.join(touched, "digest").select("id")
-        anew = _signed(docs.join(counted(again), "id", "left_semi").select("id", "text"), shingle, least, heavy).dropDuplicates(["digest"])
-        anew = anew.select("digest", F.col("keys").alias("anew"))
-        sets = checkpointed(sets.join(anew, "digest", "left").select("digest", "id", "fp", "size", "sketch", F.coalesce("anew", "keys").alias("keys")))
+        touched = counted(_keyed(sets).join(frame, "key", "left_semi").select("digest").distinct())
+        again = counted(ids.join(touched, "digest").select("id"))
+        anew = _signed(docs.join(again, "id", "left_semi").select("id", "text"), shingle, least, heavy).join(touched, "digest", "left_semi")
+        anew = checkpointed(anew.dropDuplicates(["digest"]))
+        sets = sets.join(touched, "digest", "left_anti").unionByName(anew.select(sets.columns))
     shared = checkpointed(_shared(sets))
 
     links = _verified(docs, ids, _by_trie(sets, budget).union(_by_hubs(shared, least)).distinct(), shingle, least)
