@@ -5,13 +5,7 @@ from helpers import differences
 
 from vacantia.plans import stream_queries
 
-SQL = {
-    "t01_stream_upsert": "SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) = 1",
-    "t02_stream_health": "SELECT *, CASE WHEN failed / n >= 0.5 THEN 'critical' WHEN failed / n >= 0.2 THEN 'warning' ELSE 'ok' END AS level FROM "
-    "(SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, count(*) FILTER (value > 100) AS failed FROM events GROUP BY ALL)",
-    "t03_stream_sessions": "SELECT min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS end, user_id, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS nth FROM "
-    "(SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, nth",
-}
+SQL = {name: sql for name, (_, sql) in stream_queries.QUERIES.items()}
 
 
 @pytest.mark.parametrize("rows", [stream_queries.FILE_ROWS, 700])

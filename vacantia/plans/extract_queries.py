@@ -39,7 +39,7 @@ def _vocabulary(s, d, n):
 
 def _missing(n, least):
     def run(s, d):
-        return extract.missing_ngrams(table(s, d, "documents"), "doc_id", "text", _vocabulary(s, d, n), n, least, 100)
+        return extract.missing_ngrams(table(s, d, "documents"), "text", _vocabulary(s, d, n), n, least, 100)
 
     parts = " || ' ' || ".join(["word", *[f"lead(word, {i}) OVER o" for i in range(1, n)]])
     words = lambda t, k: f"SELECT {k} AS k, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM (SELECT {k}, list_filter(string_split({key_sql('text')}, ' '), lambda x: x <> '') AS w FROM {t})"

@@ -140,7 +140,11 @@ QUERIES = {
         "WITH p AS (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P'), n AS (SELECT (SELECT count(*) FROM p) AS n, (SELECT count(*) FROM p WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)) AS covered, "
         "(SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM p)) AS orphans) SELECT *, round(covered * 100.0::DOUBLE / n, 2) AS covered_pct FROM n",
     ),
-    "v11_schema_check": (lambda s, d: quality.schema_check(_sparse(s, d), ["name", "balance", "absent"]), None),
+    "v11_schema_check": (
+        lambda s, d: quality.schema_check(_sparse(s, d), ["name", "balance", "absent"]),
+        "SELECT 'name' AS \"column\", true AS present, 0 AS nulls, true AS ok UNION ALL SELECT 'balance', true, count(*) FILTER (WHERE NOT coalesce(c_acctbal > 0, false)), count(*) FILTER (WHERE NOT coalesce(c_acctbal > 0, false)) = 0 FROM customer "
+        "UNION ALL SELECT 'absent', false, NULL, false",
+    ),
     "v12_richness": (
         lambda s, d: quality.richness_by(table(s, d, "customer"), quality.richness(_flags()), "c_nationkey"),
         f"SELECT c_nationkey, count(*) AS n, round(avg({RICH}), 4) AS mean_score FROM customer GROUP BY 1",

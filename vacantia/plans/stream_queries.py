@@ -41,6 +41,10 @@ def _run(s, stream, base):
     return s.read.parquet(f"{base}/out")
 
 
+def _texts(df, *times):
+    return df.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") for c in times})
+
+
 def _upserted(s, d):
     """Latest event of each user: repeats of an event id are dropped, then users are upserted."""
     stream, base = _feed(s, d)
@@ -61,12 +65,24 @@ def _upserted(s, d):
 
 def _health(s, d):
     stream, base = _feed(s, d, close=True)
-    return _run(s, streams.stream_health(stream, "ts", "event_type", F.col("value") > 100, "1 hour", "10 minutes"), base)
+    return _texts(_run(s, streams.stream_health(stream, "ts", "event_type", F.col("value") > 100, "1 hour", "10 minutes"), base), "start")
 
 
 def _sessions(s, d):
     stream, base = _feed(s, d, close=True)
-    return _run(s, streams.stream_sessions(stream, "ts", "user_id", "30 minutes", "10 minutes"), base)
-
-
-QUERIES = {"t01_stream_upsert": (_upserted, None), "t02_stream_health": (_health, None), "t03_stream_sessions": (_sessions, None)}
+    return _texts(_run(s, streams.stream_sessions(stream, "ts", "user_id", "30 minutes", "10 minutes"), base), "start", "end")
+
+
+QUERIES = {
+    "t01_stream_upsert": (_upserted, "SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) = 1"),
+    "t02_stream_health": (
+        _health,
+        "SELECT *, CASE WHEN failed / n >= 0.5 THEN 'critical' WHEN failed / n >= 0.2 THEN 'warning' ELSE 'ok' END AS level FROM "
+        "(SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S.%f') AS start, event_type, count(*) AS n, count(*) FILTER (value > 100) AS failed FROM events GROUP BY ALL)",
+    ),
+    "t03_stream_sessions": (
+        _sessions,
+        "SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S.%f') AS end, user_id, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS nth FROM "
+        "(SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, nth",
+    ),
+}
