@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from vacantia.operators import ingest, lifecycle, runs
+from vacantia.sources.scratch import scratch_dir
 from vacantia.sources.tables import table
 
 AS_OF = "2001-08-15"
@@ -39,6 +42,18 @@ def _read_parquet(s, d):
     return ingest.read_source(s, "parquet", f"{d}/customer.parquet", schema)
 
 
+def _read_text(fmt):
+    """The same table from text files, which are written before; no line is corrupt."""
+
+    def run(s, d):
+        path = f"{scratch_dir(s)}/source-{uuid.uuid4().hex}"
+        rows = table(s, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+        rows.write.option("header", True).format(fmt).save(path)
+        return ingest.read_source(s, fmt, path, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string")
+
+    return run
+
+
 def _append(s, d):
     old, new = _split_history(s, d)
     log = old.withColumn("content_hash", ingest.content_hash("o_orderkey", "price"))
@@ -132,6 +147,8 @@ FILLED = " UNION ALL ".join(f"SELECT '{f}' AS field, round(count(*) FILTER (WHER
 
 QUERIES = {
     "s01_read_source": (_read_parquet, "SELECT * FROM customer"),
+    "s01_read_csv": (_read_text("csv"), "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment, NULL::VARCHAR AS _corrupt FROM customer"),
+    "s01_read_json": (_read_text("json"), "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment, NULL::VARCHAR AS _corrupt FROM customer"),
     "s02_consolidate": (
         lambda s, d: ingest.consolidate(_sources(s, d), "day", "2024-01-01", "2024-02-28"),
         "SELECT c_custkey AS id, c_name AS name, '2024-01-05' AS day, c_mktsegment, NULL::DOUBLE AS s_acctbal FROM customer UNION ALL SELECT s_suppkey, s_name, '2024-02-05', NULL, s_acctbal FROM supplier",

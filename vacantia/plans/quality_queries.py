@@ -33,12 +33,12 @@ ACTION = "CASE diagnosis WHEN 'small debt' THEN 'auto' WHEN 'far' THEN 'auto' WH
 ROUTED = f"(SELECT *, {ACTION} AS action FROM (SELECT *, {DIAGNOSIS} AS diagnosis FROM ({E})))"
 
 
-def _errors(s, d):
-    return quality.validate(table(s, d, "customer"), "c_custkey", RULES, ["c_acctbal", "c_nationkey"])
+def _errors(s, d, rows=None):
+    return quality.validate(rows or table(s, d, "customer"), "c_custkey", RULES, ["c_acctbal", "c_nationkey"])
 
 
-def _routed(s, d):
-    return quality.route(quality.diagnose(_errors(s, d), _patterns()), ACTIONS)
+def _routed(s, d, rows=None):
+    return quality.route(quality.diagnose(_errors(s, d, rows), _patterns()), ACTIONS)
 
 
 def _states(s, d):
@@ -49,9 +49,27 @@ def _states(s, d):
 STATES = f"(SELECT *, CASE WHEN action = 'auto' THEN 'fixed' WHEN action = 'escalate' AND rule = 'negative' THEN 'escalated' ELSE 'open' END AS state FROM {ROUTED})"
 
 
+FIXES = {"small debt": ("c_acctbal", 0.0), "far": ("c_name", "far ")}
+
+
 def _fixed(s, d):
-    c = table(s, d, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
-    return quality.apply_fixes(c, _routed(s, d), "c_custkey", {"small debt": ("c_acctbal", F.lit(0.0)), "far": ("c_name", F.concat(F.lit("far "), "c_name"))})
+    c = table(s, d, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment", "c_nationkey")
+    values = {x: (f, F.concat(F.lit(v), f) if isinstance(v, str) else F.lit(v)) for x, (f, v) in FIXES.items()}
+    return quality.apply_fixes(c, _routed(s, d), "c_custkey", values)
+
+
+def _passes(s, d):
+    """Validation, diagnosis and automatic correction, and validation of what was corrected: errors by
+    pass, rule and action."""
+    by = lambda n, errors: errors.groupBy(F.lit(n).alias("pass"), "rule", "action").agg(F.count("*").alias("n"))
+    return by(1, _routed(s, d)).union(by(2, _routed(s, d, _fixed(s, d).drop("fixed"))))
+
+
+FIXED = (
+    f"(WITH r AS (SELECT DISTINCT c_custkey, diagnosis FROM {ROUTED} WHERE action = 'auto'), f AS (SELECT *, "
+    "c_custkey IN (SELECT c_custkey FROM r WHERE diagnosis = 'small debt') AS a, c_custkey IN (SELECT c_custkey FROM r WHERE diagnosis = 'far') AS b FROM customer) "
+    "SELECT c_custkey, CASE WHEN b THEN 'far ' || c_name ELSE c_name END AS c_name, CASE WHEN a THEN 0.0 ELSE c_acctbal END AS c_acctbal, c_mktsegment, c_nationkey, a OR b AS fixed FROM f)"
+)
 
 
 def _sparse(s, d):
@@ -93,8 +111,12 @@ QUERIES = {
     "v02_errors_by": (lambda s, d: quality.errors_by(_errors(s, d), "kind", "severity"), f"SELECT kind, severity, count(*) AS n FROM ({E}) GROUP BY 1, 2"),
     "v03_diagnose": (lambda s, d: quality.diagnose(_errors(s, d), _patterns()), f"SELECT *, {DIAGNOSIS} AS diagnosis FROM ({E})"),
     "v04_route": (lambda s, d: _routed(s, d), f"SELECT * FROM {ROUTED}"),
+    "e01_two_passes": (
+        _passes,
+        f"SELECT 1 AS pass, rule, action, count(*) AS n FROM {ROUTED} GROUP BY ALL UNION ALL SELECT 2, rule, action, count(*) FROM {ROUTED.replace('FROM customer', 'FROM ' + FIXED)} GROUP BY ALL",
+    ),
     "v04_correct": (
-        _fixed,
+        lambda s, d: _fixed(s, d).drop("c_nationkey"),
         f"WITH r AS (SELECT DISTINCT c_custkey, diagnosis FROM {ROUTED} WHERE action = 'auto'), f AS (SELECT c_custkey, c_name, c_acctbal, c_mktsegment, "
         "c_custkey IN (SELECT c_custkey FROM r WHERE diagnosis = 'small debt') AS a, c_custkey IN (SELECT c_custkey FROM r WHERE diagnosis = 'far') AS b FROM customer) "
         "SELECT c_custkey, CASE WHEN b THEN 'far ' || c_name ELSE c_name END AS c_name, CASE WHEN a THEN 0.0 ELSE c_acctbal END AS c_acctbal, c_mktsegment, a OR b AS fixed FROM f",
