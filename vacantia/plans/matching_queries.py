@@ -205,7 +205,7 @@ QUERIES = {
     "m14_fuzzy_match": (
         _fuzzy,
         "WITH t AS (SELECT DISTINCT p_name || CASE WHEN p_partkey % 2 = 0 THEN 's extra' ELSE 's' END AS t FROM part), n AS (SELECT DISTINCT p_name AS n FROM part), "
-        "c AS (SELECT t, n, round(0.6::DOUBLE * (1 - levenshtein(t, n) / greatest(length(t), length(n))::DOUBLE) + 0.4::DOUBLE * (len(list_intersect(string_split(t, ' '), string_split(n, ' '))) / len(list_distinct(list_concat(string_split(t, ' '), string_split(n, ' '))))::DOUBLE), 4) AS score FROM t, n WHERE len(list_intersect(string_split(t, ' '), string_split(n, ' '))) > 0), "
+        "c AS (SELECT t, n, round(0.6::DOUBLE * (1 - levenshtein(t, n) / greatest(length(t), length(n))::DOUBLE) + 0.4::DOUBLE * (len(list_intersect(string_split(t, ' '), string_split(n, ' '))) / len(list_distinct(list_concat(string_split(t, ' '), string_split(n, ' '))))::DOUBLE), 4) AS score FROM t, n), "
         "b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY score DESC, n) AS r FROM c WHERE score >= 0.5) WHERE r = 1) SELECT p_partkey, title, n AS name, score FROM (SELECT p_partkey, p_name || CASE WHEN p_partkey % 2 = 0 THEN 's extra' ELSE 's' END AS title FROM part) LEFT JOIN b ON t = title",
     ),
     "m15_skill_overlap": (
