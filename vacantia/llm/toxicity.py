@@ -32,7 +32,7 @@ from vacantia.llm.memory import forget, release, small_batches
 #: Labelled rows used for fitting, folds, and bits of a hashed feature.
 MAX_TRAIN, FOLDS, BITS = 6_000, 3, 20
 #: Lengths of the word beginnings that are features besides the whole word.
-HEADS = (4, 5)
+HEADS = (2, 3, 4)
 STEPS, RATE, PENALTY, LEAST_ROWS = 150, 0.3, 2e-4, 4
 #: A feature is kept if its shares in the two classes are so many standard errors apart.
 APART = 4.0
