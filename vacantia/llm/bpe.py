@@ -12,7 +12,8 @@ word has a single accepted path. Encoding looks for it from left to right by tab
 the state reached, the longest label that stands in the text and has an arc is taken, and a place
 from which no arc leads on is left again and never re-entered. A word that is a label by itself is
 taken at once, as no other path spells it. Decoding emits the labels of the arcs. The transition
-table is a bit matrix, states by labels; states of word-final labels have no arcs and no row.
+table is a bit matrix, states by labels; states of word-final labels have no arcs and no row, and
+labels with equal columns share one.
 
 Nulls encode as empty texts; empty texts give no ids. Rows are independent, so ties, repeated
 rows and extra columns need nothing special: the text column alone goes to Python.
@@ -70,8 +71,8 @@ class Automaton:
         self.label_bytes = [x.encode() for x in self.labels]
         self.merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.row: list[int] = []
-        #: The bit matrix, row by row: of eight states each, a byte for each label.
-        self.bits = memoryview(b"")
+        #: The distinct columns of the bit matrix, each with a byte for eight states, and that of each label.
+        self.bits, self.column, self.height = b"", [], 0
         cut = len(self.end)
         self.final = {x[: len(x) - cut]: i for x, i in self.ids.items() if x.endswith(self.end)}
         self.inner = {x: i for x, i in self.ids.items() if not cut or not x.endswith(self.end)}
@@ -116,20 +117,28 @@ class Automaton:
             table[r >> 3, v] &= keep
             if u == v:
                 table[r >> 3, uv] &= keep
-        self.row, self.bits = rows, memoryview(table.reshape(-1))
+        found: dict[bytes, int] = {}
+        for at in range(0, len(self.labels), 4_096):
+            part = np.ascontiguousarray(table[:, at : at + 4_096].T)
+            self.column += [found.setdefault(x.tobytes(), len(found)) for x in part]
+        self.row, self.bits, self.height = rows, b"".join(found), len(table)
+        self.merges = []
+        del table, found
+        release()
         return self
 
     def allows(self, state: int, label: int) -> bool:
         """Whether the state reached by one label has an arc with the other."""
         r = self.row[state]
-        return r >= 0 and bool(self.bits[(r >> 3) * len(self.labels) + label] >> (r & 7) & 1)
+        return r >= 0 and bool(self.bits[self.column[label] * self.height + (r >> 3)] >> (r & 7) & 1)
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of one pre-split word: the labels of the only accepted path. Longer arcs are tried
         first; a place from which no arc leads on is not entered again."""
         plain = word.isascii() and word.isprintable()
         text = word if plain else "".join(map(self._bytes.__getitem__, word.encode()))
-        n, inner, final, row, bits, reach, width = len(text), self.inner, self.final, self.row, self.bits, self.reach, len(self.labels)
+        n, inner, final, row, bits, reach = len(text), self.inner, self.final, self.row, self.bits, self.reach
+        column, height = self.column, self.height
         if (label := final.get(text)) is not None:
             return [label]
         path: list[tuple[int, int]] = []
@@ -138,7 +147,7 @@ class Automaton:
         while True:
             while j > i:
                 label = (inner if j < n else final).get(text[i:j])
-                if label is not None and (r < 0 or bits[(r >> 3) * width + label] >> (r & 7) & 1) and j not in dead:
+                if label is not None and (r < 0 or bits[column[label] * height + (r >> 3)] >> (r & 7) & 1) and j not in dead:
                     break
                 j -= 1
             else:

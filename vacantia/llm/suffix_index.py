@@ -41,7 +41,7 @@ from vacantia.llm.ranges import Ranges
 
 LENGTH, SEED = 50, 20
 #: Text bytes a batch aims at, and windows a segment holds at once.
-BATCH_BYTES, SEGMENT = 8 << 20, 1 << 19
+BATCH_BYTES, SEGMENT = 4 << 20, 1 << 19
 #: Index bytes a bucket aims at, bytes of an entry on average, and buckets of a small table.
 BUCKET_BYTES, ENTRY_BYTES, LEAST_BUCKETS = 16 << 20, 13, 48
 _BASE = 0x2545F4914F6CDD1D
