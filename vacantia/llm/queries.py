@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vacantia.llm import bpe, chat_tree, decontaminate, fingerprint, html_extract, licenses, simhash, suffix_index, toxicity, warc_zip
+from vacantia.llm import bpe, chat_tree, decontaminate, fingerprint, html_extract, licenses, resample, simhash, suffix_index, toxicity, warc_zip
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,8 +58,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(read(spark, sf_dir, "documents"))
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_bpe": op1_bpe, "op2_decontaminate": op2_decontaminate, "op3_fingerprints": op3_fingerprints, "op4_suffix_dedup": op4_suffix_dedup, "op5_html": op5_html, "op6_licenses": op6_licenses, "op7_warc": op7_warc, "op8_toxicity": op8_toxicity, "op9_chat": op9_chat, "op10_simhash": op10_simhash}
+    found = (op1_bpe, op2_decontaminate, op3_fingerprints, op4_suffix_dedup, op5_html, op6_licenses, op7_warc, op8_toxicity, op9_chat, op10_simhash, op11_resample)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
