@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vacantia.llm import bpe, chat_tree, decontaminate, fingerprint, html_extract, licenses, resample, simhash, suffix_index, toxicity, warc_zip
+from vacantia.llm import bpe, chat_tree, decontaminate, fingerprint, html_extract, licenses, repair, resample, simhash, suffix_index, toxicity, warc_zip
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,8 +62,12 @@ def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.report(read(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Query]:
-    found = (op1_bpe, op2_decontaminate, op3_fingerprints, op4_suffix_dedup, op5_html, op6_licenses, op7_warc, op8_toxicity, op9_chat, op10_simhash, op11_resample)
+    found = (op1_bpe, op2_decontaminate, op3_fingerprints, op4_suffix_dedup, op5_html, op6_licenses, op7_warc, op8_toxicity, op9_chat, op10_simhash, op11_resample, op12_repair)
     return {f.__name__: f for f in found}
 
 
