@@ -155,5 +155,5 @@ def against_neighbours(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
             for found in compared((None, t.as_py(), t.as_py()) for t in batch.column("text")):
                 yield from found.to_batches()
 
-    found = dealt.repartitionById(ranges.n, F.col("batch")).groupBy("batch").applyInArrow(compare, SCHEMA)
+    found = ranges.grouped(ranges.dealt_again(dealt, "batch")).applyInArrow(compare, SCHEMA)
     return found.union(rows.where("doc_id IS NULL").mapInArrow(alone, SCHEMA))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vacantia.llm import bpe, chat_tree, decontaminate, fingerprint, html_extract, licenses, repair, resample, simhash, suffix_index, toxicity, warc_zip
+from vacantia.llm import bpe, chat_tree, decontaminate, fingerprint, html_extract, licenses, phrases, repair, resample, simhash, suffix_index, toxicity, warc_zip
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,10 +66,14 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.report(read(spark, sf_dir, "conversations"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.report(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    found = (op1_bpe, op2_decontaminate, op3_fingerprints, op4_suffix_dedup, op5_html, op6_licenses, op7_warc, op8_toxicity, op9_chat, op10_simhash, op11_resample, op12_repair)
+    found = (op1_bpe, op2_decontaminate, op3_fingerprints, op4_suffix_dedup, op5_html, op6_licenses, op7_warc, op8_toxicity, op9_chat, op10_simhash, op11_resample, op12_repair, op13_phrases)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": decontaminate.report_sql(), "op6_licenses": licenses.report_sql(), "op7_warc": warc_zip.report_sql(), "op9_chat": chat_tree.report_sql()}
+    return {"op2_decontaminate": decontaminate.report_sql(), "op6_licenses": licenses.report_sql(), "op7_warc": warc_zip.report_sql(), "op9_chat": chat_tree.report_sql(), "op13_phrases": phrases.report_sql()}

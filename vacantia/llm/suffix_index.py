@@ -339,16 +339,15 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", le
     """``df`` with ``kept`` (the remaining bytes) and ``spans`` (removed byte ranges, maximal). With
     ``characters``, ``kept`` is a string: the text without the characters of which a byte goes."""
     small_batches(df.sparkSession)
-    df = df.drop("kept", "spans", "__batch")
+    df = df.drop("kept", "spans", "__batch", "__part")
     unknown = df.where(F.col(id_col).isNull())
     unknown = unknown.withColumn("kept", F.coalesce(F.col(text), F.lit("")).cast("string" if characters else "binary")).withColumn("spans", F.array().cast(_SPANS))
     df = df.where(F.col(id_col).isNotNull())
     ranges = Ranges(df, id_col, text, batch_bytes)
-    batches = ranges.n
-    buckets = max(min(batches, LEAST_BUCKETS), -(-ranges.bytes * ENTRY_BYTES // ((length - seed) // 2 * BUCKET_BYTES)))
+    buckets = max(min(ranges.n, LEAST_BUCKETS), -(-ranges.bytes * ENTRY_BYTES // ((length - seed) // 2 * ranges.grown(BUCKET_BYTES))))
 
     # one exchange of the text, which all three passes below read
-    dealt = df.withColumn("__batch", ranges.batch()).repartitionById(batches, F.col("__batch"))
+    dealt = ranges.dealt(df)
     block = "bucket int, batch int, origin int, keys binary, contexts binary"
     reply = "batch int, round int, bucket int, reply binary"
 
@@ -369,15 +368,15 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", le
         return {r["bucket"]: r["reply"] for r in table.to_pylist() if r["round"] == nth}
 
     def sketch(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        return emitted(key[0].as_py(), Dealt(load(table).suffixes(), buckets, True))
+        return emitted(key[1].as_py(), Dealt(load(table).suffixes(), buckets, True))
 
     def contest(key: tuple[pa.Scalar, ...], table: pa.Table, said: pa.Table) -> pa.Table:
-        return emitted(key[0].as_py(), _contested(load(table), replies(said, 1), buckets), said)
+        return emitted(key[1].as_py(), _contested(load(table), replies(said, 1), buckets), said)
 
     def settle(nth: int):
         def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
             rows = table.to_pylist()
-            bucket, blocks = key[0].as_py(), [(r["batch"], r["keys"], r["contexts"]) for r in rows if r["contexts"] is not None]
+            bucket, blocks = key[1].as_py(), [(r["batch"], r["keys"], r["contexts"]) for r in rows if r["contexts"] is not None]
             out = [(b, nth, bucket, r) for b, r in answer(blocks, nth == 1)] if blocks else []
             out += [(r["batch"], 1, r["origin"], r["keys"]) for r in rows if r["contexts"] is None]
             kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
@@ -410,22 +409,18 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", le
             else:
                 kept[i] = np.frombuffer(batch.texts[k], dtype=np.uint8)[~part].tobytes()
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        table = table.drop_columns(["__batch"])
+        table = table.drop_columns(["__batch", "__part"])
         del batch, gone
         release()
         return table.append_column("kept", pa.array(kept, pa.string() if characters else pa.binary())).append_column("spans", pa.array(spans, kind))
 
-    def by_bucket(blocks: DataFrame):
-        return blocks.repartitionById(buckets, F.col("bucket")).groupBy("bucket")
+    def with_text(said: DataFrame):
+        return ranges.grouped(dealt).cogroup(ranges.grouped(ranges.dealt_again(said, "batch")))
 
-    def by_batch(said: DataFrame):
-        return said.repartitionById(batches, F.col("batch")).groupBy("batch")
-
-    first = by_bucket(dealt.groupBy("__batch").applyInArrow(sketch, block)).applyInArrow(settle(1), reply)
-    second = by_bucket(dealt.groupBy("__batch").cogroup(by_batch(first)).applyInArrow(contest, block))
-    second = second.applyInArrow(settle(2), reply)
+    first = ranges.by_bucket(ranges.grouped(dealt).applyInArrow(sketch, block), buckets).applyInArrow(settle(1), reply)
+    second = ranges.by_bucket(with_text(first).applyInArrow(contest, block), buckets).applyInArrow(settle(2), reply)
     out = T.StructType([*df.schema.fields, T.StructField("kept", T.StringType() if characters else T.BinaryType()), T.StructField("spans", _SPANS)])
-    return dealt.groupBy("__batch").cogroup(by_batch(second)).applyInArrow(cut, out).union(unknown)
+    return with_text(second).applyInArrow(cut, out).union(unknown)
 
 
 def report(docs: DataFrame) -> DataFrame:
