@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantia.llm import bpe, decontaminate, ids, near_copies, suffix_index, toxicity
+from vacantia.llm import bpe, decontaminate, near_copies, suffix_index, toxicity
 from vacantia.sources.scratch import scratch_dir
 from vacantia.sources.tables import table
 
@@ -29,8 +29,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each class of near copies: texts whose sets of five-word
-    shingles are 0.8 alike or more, linked to whole classes. Rows without an id stay."""
-    return ids.without(docs, near_copies.near_copies(docs).where("component_id < doc_id")).select(*COLUMNS)
+    shingles are 0.8 alike or more, linked to whole classes. Of several texts of one id each is in its
+    own class, and rows without an id stay if their class has no other."""
+    return near_copies.without_copies(docs).select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -77,5 +77,16 @@ def test_nulls_and_repeats(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     for name, stage in cp.STAGES:
         out = stage(spark, docs, SF)
+        # a null text is an empty one, so rows 1 and 2 are copies
         assert {r["doc_id"] for r in out.collect()} >= {None, 1}, name
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_rows_and_not_ids_go(spark):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first()["text"]
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (5, a), (5, b), (None, a), (None, bench), (None, bench), (6, f"{b} {bench}"), (6, "other words of a clean text"), (7, "seven"), (7, "seven"), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    key = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    assert key(cp.drop_near_copies(spark, docs, SF)) == sorted([(1, a), (5, b), (None, bench), (6, f"{b} {bench}"), (6, "other words of a clean text"), (7, "seven"), (None, None)], key=str)
+    assert key(cp.drop_leaks(spark, docs, SF)) == sorted([r for r in rows if not r[1] or bench not in r[1]], key=str)

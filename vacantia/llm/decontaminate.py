@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vacantia.llm.ids import counted, without
+from vacantia.llm.ids import counted, unused, without
 from vacantia.sources.scratch import checkpointed
 
 #: Selected positions of each mask, and the longest span of one.
@@ -152,8 +152,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents without a leak; rows without an id stay."""
-    return without(docs, leaks(docs, benchmark))
+    """Rows without a leak. Rows are told apart by id and text, so of several texts of one id only
+    those with a leak go, and rows without an id are compared as well."""
+    key = unused(docs, "row_hash")
+    rows = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    return without(rows, leaks(rows, benchmark, doc_id=key).withColumnRenamed("doc_id", key), key).select(docs.columns)
 
 
 def report_sql() -> str:

@@ -15,8 +15,12 @@ little else, and near copies of a large group are keyed by what sets them apart.
 pairs of a key are taken, its sets are compared with one hub of their size, the set with the fewest
 rarer shingles, and pairs within a class are left out, so a large group isn't compared with itself.
 
+Rows are told apart by id and text, so several texts of one id are in the class of each. The first of
+a class is the row with the smallest id; rows without an id come last, and ties go by a hash of the
+text.
+
 Defined results: null texts count as empty; texts without words are alike; shorter texts than a
-shingle are one shingle; rows without an id are left out; an empty table gives an empty result.
+shingle are one shingle; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacantia.llm import simhash
-from vacantia.llm.ids import counted
+from vacantia.llm.ids import counted, unused
 from vacantia.llm.memory import kept, release, small_batches
 from vacantia.operators.components import connected_components
 from vacantia.sources.scratch import checkpointed
@@ -102,8 +106,8 @@ def _lists(sets: list[np.ndarray]) -> pa.Array:
 
 
 def _signed(docs: DataFrame, shingle: int, least: float, last: np.ndarray | None = None) -> DataFrame:
-    """(id, fp, digest, size, sketch, keys) of (id, text): SimHash, digest, size and sketch of the set,
-    its prefix in the order that has the keys of ``last`` at its end."""
+    """(id, hash, fp, digest, size, sketch, keys) of (id, text, hash): SimHash, digest, size and sketch of
+    the set, its prefix in the order that has the keys of ``last`` at its end."""
     shared = docs.sparkSession.sparkContext.broadcast(np.sort(last) if last is not None else np.empty(0, np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,10 +128,16 @@ def _signed(docs: DataFrame, shingle: int, least: float, last: np.ndarray | None
                         one = np.concatenate((one[~is_late], one[is_late]))
                     keys.append(one[: _prefix(len(one), least)])
                 prints = pa.array(np.array(fps, dtype=np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0), prints, pa.array(digests, pa.int64()), pa.array(np.array(sizes, dtype=np.int32)), _lists(sketches), _lists(keys)], names=["id", "fp", "digest", "size", "sketch", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), prints, pa.array(digests, pa.int64()), pa.array(np.array(sizes, dtype=np.int32)), _lists(sketches), _lists(keys)], names=["id", "hash", "fp", "digest", "size", "sketch", "keys"])
             release()
 
-    return docs.mapInArrow(run, "id long, fp long, digest long, size int, sketch array<long>, keys array<long>")
+    return docs.mapInArrow(run, "id long, hash long, fp long, digest long, size int, sketch array<long>, keys array<long>")
+
+
+def _rows_of(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """Rows of ``docs`` that have an id and a hash of ``rows``, which may be null."""
+    rows = rows.withColumnsRenamed({"id": "__id", "hash": "__hash"})
+    return docs.join(rows, F.col("id").eqNullSafe(F.col("__id")) & (F.col("hash") == F.col("__hash")), how)
 
 
 def _wanted(a: str, b: str, least: float):
@@ -158,7 +168,8 @@ def _verified(docs: DataFrame, ids: DataFrame, pairs: DataFrame, shingle: int, l
     larger; a text that has another digest than its row stands for another row of its id."""
     pairs = checkpointed(pairs)
     ends = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
-    texts = docs.join(counted(ids.join(ends, "digest").select("id", "digest")), "id")
+    wanted = counted(ids.join(ends, "digest").select("id", "hash", "digest"))
+    texts = _rows_of(docs, wanted, "inner").select("digest", "text").dropDuplicates(["digest"])
     a, b = (texts.select(F.col("digest").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,24 +246,36 @@ def _shared(sets: DataFrame) -> DataFrame:
     return rows.select("k.key", "digest", "size", F.when(F.col("k.n") > FEW, F.col("sketch")).alias("sketch"), "k.pos", "rank")
 
 
+def _place() -> Column:
+    """What the first row of a class has the least of."""
+    return F.struct(F.col("id").isNull().alias("unknown"), F.col("id").alias("id"), F.col("hash").alias("hash"))
+
+
+def text_hash(text: str) -> Column:
+    """Hash of a text, by which rows of one id are told apart."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
 def near_copies(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, least: float = LEAST, budget: int = simhash.BUDGET) -> DataFrame:
-    """(id, component_id): the smallest id of each row's class."""
+    """(id, hash, component_id, first): each row's id and hash of its text, the id of the first row of
+    its class, and whether it is this row (or its repeat)."""
     small_batches(df.sparkSession)
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("id IS NOT NULL")
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"), text_hash(text).alias("hash"))
     signed = checkpointed(_signed(docs, shingle, least))
-    one = [F.min_by(c, "id").alias(c) for c in ("fp", "size", "sketch", "keys")]
-    sets = checkpointed(signed.groupBy("digest").agg(F.min("id").alias("id"), *one))
-    ids = sets.select("digest", "id")
+    one = [F.min_by(c, _place()).alias(c) for c in ("fp", "size", "sketch", "keys")]
+    sets = checkpointed(signed.groupBy("digest").agg(F.min(_place()).alias("least"), *one))
+    ids = sets.select("digest", "least.id", "least.hash")
 
     often = _keyed(sets).groupBy("key").count().where(F.col("count") > HEAVY).orderBy(F.desc("count"), "key").limit(HEAVY_KEYS)
     heavy = np.array([r["key"] for r in often.collect()], dtype=np.int64)
     if len(heavy):
         frame = F.broadcast(df.sparkSession.createDataFrame(pa.table({"key": heavy})))
         touched = counted(_keyed(sets).join(frame, "key", "left_semi").select("digest").distinct())
-        again = counted(ids.join(touched, "digest").select("id"))
-        anew = _signed(docs.join(again, "id", "left_semi").select("id", "text"), shingle, least, heavy).join(touched, "digest", "left_semi")
+        again = counted(ids.join(touched, "digest").select("id", "hash"))
+        anew = _signed(_rows_of(docs, again, "left_semi"), shingle, least, heavy).join(touched, "digest", "left_semi")
         anew = checkpointed(anew.dropDuplicates(["digest"]))
-        sets = sets.join(touched, "digest", "left_anti").unionByName(anew.select(sets.columns))
+        same = [c for c in sets.columns if c != "least"]
+        sets = sets.select(same).join(touched, "digest", "left_anti").unionByName(anew.select(same))
     shared = checkpointed(_shared(sets))
 
     links = _verified(docs, ids, _by_trie(sets, budget).union(_by_hubs(shared, least)).distinct(), shingle, least)
@@ -260,6 +283,20 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text: str = "text", shing
     links = links.union(_verified(docs, ids, _apart(shared, found, least), shingle, least))
 
     classes = ids.join(connected_components(links).withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
-    names = classes.groupBy("component").agg(F.min("id").alias("component_id"))
-    named = classes.join(names, "component").select("digest", "component_id")
-    return signed.select("id", "digest").join(named, "digest").select(F.col("id").alias(id_col), "component_id")
+    names = classes.groupBy("component").agg(F.min(_place()).alias("least"))
+    named = classes.join(names, "component").select("digest", "least")
+    rows = signed.select("id", "hash", "digest").join(named, "digest")
+    return rows.select(F.col("id").alias(id_col), "hash", F.col("least.id").alias("component_id"), (_place() == F.col("least")).alias("first"))
+
+
+def without_copies(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The first row of each class of near copies."""
+    key = unused(df, "row_hash")
+    rows = df.withColumn(key, text_hash(text))
+    found = checkpointed(near_copies(df, id_col, text))
+    found = found.groupBy(id_col, "hash").agg(F.count("*").alias("n"), F.first("first").alias("first"))
+    # few rows repeat both id and text of another, and only these are brought together
+    others = counted(found.where("n > 1 OR NOT first").select(F.col(id_col).alias("__id"), F.col("hash").alias("__hash"), "first"))
+    mine = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col(key) == F.col("__hash"))
+    repeated = rows.join(others.where("first"), mine, "left_semi").dropDuplicates([id_col, key])
+    return rows.join(others, mine, "left_anti").unionByName(repeated).select(df.columns)
