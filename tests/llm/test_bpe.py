@@ -1,4 +1,6 @@
 import random
+import sys
+import unicodedata
 
 import numpy as np
 import pytest
@@ -36,6 +38,16 @@ def test_hard_texts(library):
     agree(library, odd)
 
 
+def test_all_code_points(library):
+    """Each between letters and twice in a row, some hundreds a text, and marks behind others."""
+    chars = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    agree(library, ["".join(f" a{c}b {c}{c}" for c in chars[i : i + 500]) for i in range(0, len(chars), 500)])
+    marks = [c for c in chars if unicodedata.combining(c) or ord(c) in (0x11930, 0x11938)]
+    others = [*"\u0300\u0328\u0334\u1df6\U00011f42\U00011a34\U00011935", "é"]
+    agree(library, ["".join(f" a{c}{o}z a{o}{c}z" for c in marks[i : i + 100] for o in others) for i in range(0, len(marks), 100)])
+    agree(library, ["\ue000\U00100000\u0558x\U00100001 \u0558\U00100000", "\u1c89B\u0328\U00011f42É"])
+
+
 def test_gadgets_of_a_small_merge_list():
     """The automaton of three merges against merging by rank."""
     labels = ["a", "b", "a</w>", "b</w>", "aa", "ab</w>", "aaab</w>"]

@@ -30,6 +30,27 @@ def test_article_text_is_kept():
     assert extract("<dl><dt>a<dd>b<dt>c<dd>d</dl>") == "a\n\nb\n\nc\n\nd"
 
 
+def test_names_leave_no_article_out():
+    said = "A text, of the article, with commas."
+    assert extract(f'<article class="notice-board"><p>{said}</p></article>') == said
+    assert extract(f'<div class="restaurant-menu-article"><article><p>{said}</p></article></div>') == said
+    assert extract(f'<article><p>{said}</p><div class="survey-responses"><p>Many said yes.</p></div></article>') == f"{said}\n\nMany said yes."
+    assert extract(f'<article><p>One.</p><svg viewBox="0 0 1 1" /><p>{said}</p><svg><path d="x"/><text>no</text></svg><p>Two.</p></article>') == f"One.\n\n{said}\n\nTwo."
+    assert extract(f"<article><template><p>no</p><template>no</template></template><p>{said}</p></article>") == said
+    for name in ("menu", "notice", "banner", "sidebar", "alert", "promo-box"):
+        # the only article is not left out for its name or its wrapper's
+        assert extract(f'<div class="{name}"><article><p>{said}</p></article></div><footer>f</footer>') == said
+        assert extract(f'<article class="{name}"><p>{said}</p></article>') == said
+        assert extract(f'<div class="{name}"><p>{said}</p></div>') == said
+        # but a part beside the article is
+        assert extract(f'<article><p>{said}</p></article><div class="{name}"><p>no, no, no</p></div>') == said
+    for name in ("menu-item-history", "noticeable", "bannerman", "user-commentary", "adventure", "admissions", "menus-of-the-world", "comment-free-zone", "has-sidebar", "responses-2024-survey"):
+        assert extract(f'<article><p>{said}</p><div class="{name}"><p>Kept.</p></div></article>') == f"{said}\n\nKept.", name
+    for name in ("cookie-notice", "ad-slot", "adSlot", "site-banner", "comments-area", "comment-list", "top-menu", "advert_box", "alert alert-info", "google-ads"):
+        assert extract(f'<article><p>{said}</p><div class="{name}"><p>Gone.</p></div></article>') == said, name
+    assert extract('<section id="comments"><article><p>c</p></article></section>') == ""
+
+
 def test_nesting_takes_linear_time():
     began = time.time()
     for tag in ("div", "b", "article", "p"):

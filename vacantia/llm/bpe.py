@@ -15,7 +15,8 @@ taken at once, as no other path spells it. Decoding emits the labels of the arcs
 table is a bit matrix, states by labels; states of word-final labels have no arcs and no row, and
 labels with equal columns share one.
 
-Nulls encode as empty texts; empty texts give no ids. Rows are independent, so ties, repeated
+Characters on which Unicode versions differ count as the tokenizers library has them
+(``unicode_rules``). Nulls encode as empty texts; empty texts give no ids. Rows are independent, so ties, repeated
 rows and extra columns need nothing special: the text column alone goes to Python.
 """
 
@@ -24,7 +25,6 @@ from __future__ import annotations
 import gc
 import json
 import re
-import unicodedata
 from array import array
 from collections.abc import Iterator
 from hashlib import sha256
@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vacantia.llm.memory import kept, release, small_batches
+from vacantia.llm.unicode_rules import masked, normalized, odd_characters
 
 #: Entries of a worker's cache of words before it is emptied; longer words are not cached.
 CACHE_WORDS, CACHE_LEN = 150_000, 48
@@ -186,7 +187,12 @@ class Automaton:
             if part in self.special:
                 out.append(array("I", [self.special[part]]).tobytes())
                 continue
-            part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+            odd = odd_characters(part)
+            part = normalized(part, odd)
+            if odd:
+                part, back = masked(part)
+                out += [self._word(w.translate(back)) for w in self._words.findall(part)]
+                continue
             # str.split also cuts at four control characters that are no white space here
             chunks = part.split() if not any(c in part for c in "\x1c\x1d\x1e\x1f") else self._space.split(part)
             get, packed = self._cache.get, self._packed

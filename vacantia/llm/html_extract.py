@@ -2,7 +2,10 @@
 
 A page is read into a tree with HTML's implied end tags. Elements that are never article text
 (menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments)
-are left out by tag, role or whole words of their class and id. Each paragraph gives points for its
+are left out by tag, role or class and id. Of these, a name counts if it is one of the marking words
+or put together of such words and words of position and form (``cookie-notice``, ``ad-slot``), so
+``notice-board`` or ``survey-responses`` leaves nothing out. A name doesn't leave out what holds
+every article or main element of the page, or all its text, unless it is of reader comments. Each paragraph gives points for its
 length and commas to its container, and each container gives half of its points to the next one
 around it; the points of a container are discounted by its link density. The best container and
 those siblings that score like it, or are plain paragraphs, are kept, without boxes that are mostly
@@ -31,7 +34,7 @@ from vacantia.llm.memory import small_batches
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=[/a-zA-Z])[^>]*(>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in "script style noscript template textarea title iframe svg xmp".split()}
+_RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in "script style noscript textarea title iframe xmp".split()}
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody tfoot thead tr ul caption html".split()
@@ -39,11 +42,13 @@ _BLOCK = frozenset(
 #: Elements beyond which a start tag ends no open paragraph, list item or table cell.
 _SCOPE = frozenset("table td th ul ol dl html body article section div button".split())
 _ITEMS, _CELLS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",)}, ("td", "th")
-_NEVER = frozenset("head nav aside footer form button select input label iframe object embed dialog menu fieldset canvas audio video".split())
+_NEVER = frozenset("head nav aside footer form button select input label iframe object embed dialog menu fieldset canvas audio video svg template".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-#: Words of a class or id that mark a part as left out wherever it stands.
-_BAD = frozenset(
-    "comment comments commenter commenters discussion disqus respond responses replies ad ads adv advert adverts advertisement advertising adbox adslot adsense dfp "
+#: Words of a class or id that mark reader comments, and those that mark other parts that are left
+#: out wherever they stand.
+_COMMENTS = frozenset("comment comments commenter commenters discussion disqus respond responses replies".split())
+_BAD = _COMMENTS | frozenset(
+    "ad ads adv advert adverts advertisement advertising adbox adslot adsense dfp "
     "sponsor sponsored sponsors promo promos promotion cookie cookies consent gdpr sidebar sidebars nav navbar navigation menu menus breadcrumb breadcrumbs footer "
     "newsletter popup modal banner notice notices notification notifications alert paywall outbrain taboola".split()
 )
@@ -52,6 +57,11 @@ _BAD_OUTSIDE = frozenset(
     "header topbar masthead aside rail related recommended recommendations teaser teasers widget widgets share sharing social skip tags meta byline search "
     "subscribe subscription signup login pagination pager toolbar cta".split()
 )
+#: Words that may stand beside them in a name.
+_BESIDE = frozenset(
+    "site page main global primary secondary top bottom left right inner outer upper lower before after box block wrapper wrap container area section list item items bar panel slot "
+    "unit mobile desktop sticky fixed floating overlay message messages text link links form thread count row col column inline reader readers user google html js id the and of for".split()
+)
 _GOOD = re.compile(r"\b(?:article|body|content|entry|main|page|post|story|text|blog|prose)", re.I)
 _SAFE = frozenset("html body main".split())
 #: Pages that are worked on at once.
@@ -59,10 +69,11 @@ ROWS = 200
 
 
 class Node:
-    __slots__ = ("tag", "words", "parent", "items", "left_out", "score", "chars", "linked", "candidate", "depth", "inside", "before", "p", "item", "cell", "row")
+    __slots__ = ("tag", "words", "parent", "items", "left_out", "named", "score", "chars", "linked", "candidate", "depth", "inside", "before", "p", "item", "cell", "row")
 
     def __init__(self, tag: str, words: str, parent: Node | None, left_out: bool, before: Node | None = None):
         self.tag, self.words, self.parent, self.left_out, self.before = tag, words, parent, left_out, before
+        self.named: str | None = None  # what its name marks it as, if only that leaves it out
         self.items: list = []  # texts and nodes in order
         self.score, self.chars, self.linked, self.candidate = 0.0, 0, 0, False
         self.depth = parent.depth + 1 if parent else 0
@@ -77,6 +88,7 @@ class Node:
 
 
 def _left_out(tag: str, attributes: dict[str, str], inside_article: bool) -> bool:
+    """Whether tag, role or style leave an element out."""
     if tag in _NEVER or (tag == "header" and not inside_article):
         return True
     if not attributes or tag in _SAFE:
@@ -84,11 +96,22 @@ def _left_out(tag: str, attributes: dict[str, str], inside_article: bool) -> boo
     style = attributes.get("style", "").replace(" ", "").lower()
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style:
         return True
-    if attributes.get("role", "").lower() in _ROLES:
-        return True
-    words = re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", f"{attributes.get('class', '')} {attributes.get('id', '')}").lower())
-    bad = (i for i, w in enumerate(words) if w in _BAD or (w in _BAD_OUTSIDE and not inside_article))
-    return any(not i or words[i - 1] not in ("with", "has", "no", "without") for i in bad)
+    return attributes.get("role", "").lower() in _ROLES
+
+
+def _named(tag: str, attributes: dict[str, str], inside_article: bool) -> str | None:
+    """What class and id mark an element as: ``comments``, ``other`` or nothing."""
+    if not attributes or tag in _SAFE:
+        return None
+    found = None
+    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
+        words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if w]
+        bad = [w for w in words if w in _BAD or (w in _BAD_OUTSIDE and not inside_article)]
+        if bad and all(w in bad or w in _BESIDE or w in _BAD_OUTSIDE for w in words):
+            if any(w in _COMMENTS for w in bad):
+                return "comments"
+            found = "other"
+    return found
 
 
 def parse(page: str) -> Node:
@@ -139,6 +162,8 @@ def parse(page: str) -> Node:
             stop = _RAW[tag].search(page, at)
             at = stop.end() if stop else n
             continue
+        if tag == "svg" and m[0].endswith("/>"):
+            continue  # foreign elements can close themselves
         if tag in _VOID:
             if tag in ("br", "hr", "wbr"):
                 node.items.append(Node(tag, "", node, False))
@@ -146,7 +171,9 @@ def parse(page: str) -> Node:
         words = f"{attributes.get('class', '')} {attributes.get('id', '')} {attributes.get('itemprop', '')} {attributes.get('role', '')}"
         if (got := last.get(tag)) is not None and (got.depth >= len(stack) or stack[got.depth] is not got):
             got = got.before  # a start tag may have ended the one before it
-        child = Node(tag, words, node, _left_out(tag, attributes, node.inside), got)
+        marked = None if (out := _left_out(tag, attributes, node.inside)) else _named(tag, attributes, node.inside)
+        child = Node(tag, words, node, out or marked is not None, got)
+        child.named = marked
         node.items.append(child)
         stack.append(child)
         last[tag] = child
@@ -166,6 +193,37 @@ def _walk(root: Node) -> Iterator[tuple[Node | str, bool]]:
                     stack.append((x, True))
 
 
+def _unmark(root: Node) -> None:
+    """Takes back marks by name that would leave out every article or main element, or all text."""
+    articles, texts, nodes = [], False, [(root, False)]
+    marked: list[Node] = []
+    while nodes:
+        node, hidden = nodes.pop()
+        for x in node.items:
+            if isinstance(x, str):
+                texts = texts or not (hidden or x.isspace())
+                continue
+            if x.left_out and x.named is None:
+                continue
+            if x.named:
+                marked.append(x)
+            if x.tag in ("article", "main"):
+                articles.append((x, hidden or x.left_out))
+            nodes.append((x, hidden or x.left_out))
+    if articles and all(out for _, out in articles):
+        for x, _ in articles:
+            above, chain = x, []
+            while above is not None:
+                chain.append(above)
+                above = above.parent
+            if not any(y.named == "comments" for y in chain):
+                for y in chain:
+                    y.left_out = False if y.named else y.left_out
+    elif not texts:
+        for x in marked:
+            x.left_out = x.named == "comments"
+
+
 def _text(raw: str) -> str:
     return html.unescape(raw) if "&" in raw else raw
 
@@ -234,6 +292,7 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    _unmark(root)
     scored = _score(root)
     if not scored:
         return ""
