@@ -49,11 +49,49 @@ def test_leaks_both_ways_of_joining(spark, monkeypatch):
     assert leaked(spark, texts, ()) == {} and leaked(spark, ()) == {}
 
 
-def test_short_items_match_whole(spark):
-    items = ("one two three four five six", "Seven, eight", "nine", None, "", "alpha beta gamma delta epsilon zeta eta theta iota")
-    texts = ["x one two three four five six y", "one two three four five sixx", "seven eight", "seven eight nine", "NINE!", "one two three four five six " * 2, "beta alpha beta gamma delta epsilon zeta eta theta iota"]
+def test_items_of_every_size(spark):
+    items = ("one two three four five six", "Seven, eight", "nine", None, "", "alpha beta gamma delta epsilon zeta eta theta iota", "p q r s")
+    texts = ["x one two three four five six y", "one two three four five sixx", "seven eight", "so seven eight nine", "NINE! nine", "one two three four five six " * 2, "beta alpha beta gamma delta epsilon zeta eta theta iota", "alpha beta gamma delta other zeta eta theta iota", "alpha other gamma delta other zeta eta theta iota", "beta gamma delta epsilon zeta eta theta iota", "a p q r s b", "p q r t", "one two x four five x"]
     got = leaked(spark, texts, items)
-    assert got == {(0, 0): (6, 1, 7, 6), (2, 1): (2, 0, 2, 2), (4, 2): (1, 0, 1, 1), (5, 0): (6, 0, 6, 6), (6, 5): (9, 1, 10, 9)}
+    assert got == {
+        (0, 0): (6, 1, 7, 6), (1, 0): (5, 0, 5, 5), (2, 1): (2, 0, 2, 2), (3, 1): (2, 1, 3, 2), (3, 2): (1, 3, 4, 1), (4, 2): (1, 0, 1, 1), (5, 0): (6, 0, 6, 6),
+        (6, 5): (9, 1, 10, 9), (7, 5): (7, 0, 9, 8), (9, 5): (8, 0, 8, 8), (10, 6): (4, 1, 5, 4),
+    }
+
+
+def test_short_items_against_sql(spark):
+    """All sizes from 1 to 14 tokens, with and without substitutions, against the SQL."""
+    import random
+
+    import duckdb
+
+    rnd = random.Random(3)
+    items = [" ".join(rnd.choices("abcdefgh", k=n)) for n in range(1, 15) for _ in range(2)]
+    texts = []
+    for t in items:
+        for subs in (0, 1, 2):
+            w = t.split()
+            for i in rnd.sample(range(len(w)), min(subs, len(w))):
+                w[i] = "zz"
+            texts.append(" ".join(rnd.choices("mnop", k=rnd.randrange(4)) + w + rnd.choices("mnop", k=rnd.randrange(4))))
+    texts += [" ".join(rnd.choices("abcdefgh", k=30)) for _ in range(20)] + [None, ""]
+    con = duckdb.connect()
+    for name, key, rows in (("documents", "doc_id", texts), ("benchmark", "item_id", items)):
+        con.execute(f"CREATE TABLE {name} ({key} BIGINT, text VARCHAR)")
+        con.executemany(f"INSERT INTO {name} VALUES (?, ?)", list(enumerate(rows)))
+    want = {(r[0], r[1]): tuple(r[2:6]) for r in con.execute(f'SELECT doc_id, item_id, score, "start", "end", matched FROM ({dc.report_sql()})').fetchall()}
+    got = leaked(spark, texts, items)
+    missed = {k for k in want if k not in got}
+    # masks are meant to find nearly all of the longer ones
+    assert {k: got[k] for k in got} == {k: want[k] for k in got} and all(len(items[i].split()) >= 10 for _, i in missed) and len(missed) <= 2
+
+
+def test_many_alignments_of_many_items(spark):
+    """Boilerplate that all items share: rows of alignments stay small."""
+    same = "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12"
+    items = tuple(f"{same} item {i}" for i in range(40))
+    got = leaked(spark, [f"{same} " * 300, "clean"], items)
+    assert set(got) == {(0, i) for i in range(40)} and set(got.values()) == {(12, 0, 12, 12)}
 
 
 def test_long_text_full_of_hits(spark):

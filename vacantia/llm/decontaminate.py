@@ -4,10 +4,13 @@ A mask selects some of the token positions in a short span and ignores the other
 still meets its source if the tokens at ignored positions were substituted. Seeds of all masks at
 all positions of the benchmark items are joined with those of all documents. Around each hit, item
 and document are aligned and compared token by token: the overlap is the stretch with the highest
-score, a match counting 1 and a substitution -1, and a pair is a leak if that reaches
-``min(MIN_SCORE, ceil(MIN_SHARE * tokens of the item))``. Items under ``MIN_TOKENS`` tokens are too
-short for that and must match whole: as a stretch of the document from ``SHORT`` tokens on, and as
-the whole document below.
+score, a match counting 1 and a substitution -1. A pair is a leak if, of an item of n tokens, that
+score reaches ``min(MIN_SCORE, ceil(MIN_SHARE * n))`` and the matched tokens ``min(MIN_MATCHED, n -
+floor(n / 5))``: so an item under five tokens has to stand in the document as it is, one of five to
+nine may have one token substituted, and of longer ones a stretch is enough. Masks find nearly all
+of these overlaps; for items under ``SPAN`` tokens, which they may not fit, the seeds are the two
+halves of the item, one of which a single substitution leaves as it is (under five tokens: the whole
+item), so of these none is missed.
 
 Tokens are runs of letters and digits, lower-cased, so punctuation and case don't hide a copy. All
 masks begin with two adjacent positions; positions whose first two tokens don't stand together in
@@ -32,10 +35,10 @@ from vacantia.sources.scratch import checkpointed
 #: Selected positions of each mask, and the longest span of one.
 MASKS = ((0, 1, 2, 3, 5, 6), (0, 1, 3, 4, 7, 8), (0, 1, 4, 6, 7, 9))
 SPAN = 10
-MIN_SCORE, MIN_SHARE, MIN_TOKENS, SHORT = 10, 0.6, 10, 5
+MIN_SCORE, MIN_SHARE, MIN_MATCHED = 10, 0.6, 8
 BROADCAST_TOKENS = 1_000_000
-#: Starts of alignments that are compared in one row of a document.
-STARTS = 4_096
+#: Starts of alignments and items that are compared in one row of a document.
+STARTS, ITEMS = 512, 16
 
 
 def token_hashes(text: Column) -> Column:
@@ -59,9 +62,15 @@ def _seeds(window: Column) -> Column:
     return F.filter(F.array(*fits), lambda x: x.isNotNull())
 
 
-def _whole(window: Column, lengths: Column) -> Column:
+def _grams(window: Column, lengths: list[int]) -> Column:
     """Structs of a length and the hash of so many tokens, of a window."""
-    return F.transform(F.filter(lengths, lambda n: n <= F.size(window)), lambda n: F.struct((-n).alias("mask"), F.xxhash64(n, F.slice(window, 1, n)).alias("seed")))
+    fits = [F.when(F.size(window) >= n, F.struct(F.lit(-n).alias("mask"), F.xxhash64(F.lit(n), F.slice(window, 1, n)).alias("seed"))) for n in lengths]
+    return F.filter(F.array(*fits), lambda x: x.isNotNull()) if fits else F.array().cast("array<struct<mask:int,seed:bigint>>")
+
+
+def tolerated(n: Column) -> Column:
+    """Tokens that may differ of an item that has to match as a whole."""
+    return F.floor(n / 5).cast("int")
 
 
 def _items(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
@@ -72,29 +81,39 @@ def _items(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
 def _alignments(tokens: DataFrame, items: DataFrame, small: bool) -> DataFrame:
     """(doc_id, item_id, shift) where a seed of a document is one of an item."""
     hint = F.broadcast if small else (lambda df: df)
-    w = F.col("w")
-    short = F.array(*map(F.lit, range(SHORT, MIN_TOKENS)))
-    placed = items.where(F.size("item") >= SHORT).select("item_id", F.size("item").alias("n"), F.posexplode(_windows(F.col("item"))).alias("place", "w"))
-    long = placed.where(F.col("n") >= MIN_TOKENS).select("item_id", "place", F.explode(_seeds(w)).alias("s"))
-    whole = placed.where((F.col("n") < MIN_TOKENS) & (F.col("place") == 0)).select("item_id", "place", F.explode(_whole(w, F.array("n"))).alias("s"))
+    w, n = F.col("w"), F.size("item")
+    placed = items.select("item_id", n.alias("n"), F.posexplode(_windows(F.col("item"))).alias("place", "w"))
+    long = placed.select("item_id", "place", F.explode(_seeds(w)).alias("s"))
+    # (start, length) of the parts of a short item
+    half = F.floor(n / 2).cast("int")
+    cut = lambda at, size: F.struct(F.lit(at).cast("int").alias("place") if isinstance(at, int) else at.alias("place"), size.alias("size"))
+    parts = F.when(n < 5, F.array(cut(0, n))).otherwise(F.array(cut(0, half), cut(half, n - half)))
+    short = items.where(n < SPAN).select("item_id", "item", F.explode(parts).alias("p")).select("item_id", "p.place", "p.size", F.slice("item", F.col("p.place") + 1, F.col("p.size")).alias("part"))
+    lengths = sorted(r[0] for r in short.select("size").distinct().collect())  # five at most
+    brief = short.select("item_id", "place", (-F.col("size")).alias("mask"), F.xxhash64("size", "part").alias("seed"))
     pairs = placed.where(F.size("w") > 1).select(_pair(w).alias("pair")).distinct()
-    seeds = long.union(whole).select("item_id", "place", "s.mask", "s.seed")
+    seeds = long.select("item_id", "place", "s.mask", "s.seed").union(brief.where("mask < -1"))
 
     found = tokens.select("doc_id", F.posexplode(_windows(F.col("tokens"))).alias("at", "w"))
     found = found.where(F.size("w") > 1).withColumn("pair", _pair(w)).join(hint(pairs), "pair", "left_semi")
-    found = found.select("doc_id", "at", F.explode(F.concat(_seeds(w), _whole(w, short))).alias("s")).select("doc_id", "at", "s.mask", "s.seed")
+    found = found.select("doc_id", "at", F.explode(F.concat(_seeds(w), _grams(w, [x for x in lengths if x > 1]))).alias("s")).select("doc_id", "at", "s.mask", "s.seed")
     found = found.join(hint(seeds), ["mask", "seed"]).select("doc_id", "item_id", (F.col("at") - F.col("place")).alias("shift"))
-
-    tiny = items.where(F.size("item") < SHORT).select("item_id", F.col("item").alias("tokens"))
-    tiny = tokens.where(F.size("tokens") < SHORT).join(hint(tiny), "tokens").select("doc_id", "item_id", F.lit(0).alias("shift"))
-    return found.distinct().union(tiny.distinct())
+    if 1 in lengths:
+        single = items.where(n == 1).select("item_id", F.get("item", 0).alias("token"))
+        # once in a document is enough for an item of one token
+        one = tokens.select("doc_id", "tokens", F.explode(F.array_distinct("tokens")).alias("token")).join(hint(single), "token")
+        found = found.union(one.select("doc_id", "item_id", (F.array_position("tokens", F.col("token")) - 1).cast("int").alias("shift")))
+    return found.distinct()
 
 
 def _compared(tokens: DataFrame, items: DataFrame, found: DataFrame, small: bool) -> DataFrame:
-    """(doc_id, item_id, shift, n, same): which tokens of an item match at each alignment."""
+    """(doc_id, item_id, shift, n, same): which tokens of an item match at each alignment. A row of
+    alignments has so many starts and items that it stays small; a document's tokens are repeated for
+    each such row."""
+    packs = max(1, -(-items.count() // ITEMS))
     found = found.join(F.broadcast(items) if small else items, "item_id")
     one = F.struct("item_id", "item", "shift")
-    groups = found.groupBy("doc_id", F.floor(F.col("shift") / STARTS).alias("stretch")).agg(F.collect_list(one).alias("found"))
+    groups = found.groupBy("doc_id", F.floor(F.col("shift") / STARTS).alias("stretch"), F.pmod(F.xxhash64("item_id"), F.lit(packs)).alias("pack")).agg(F.collect_list(one).alias("found"))
     t = F.col("tokens")
 
     def same(x: Column) -> Column:
@@ -103,9 +122,8 @@ def _compared(tokens: DataFrame, items: DataFrame, found: DataFrame, small: bool
         match = F.transform(x["item"], lambda h, i: F.coalesce(F.when(x["shift"] + i >= 0, F.get(part, F.greatest(x["shift"] + i - begin, F.lit(0))) == h), F.lit(False)))
         return F.struct(x["item_id"].alias("item_id"), x["shift"].alias("shift"), match.alias("same"))
 
-    rows = groups.join(tokens, "doc_id").select("doc_id", F.size(t).alias("n_tokens"), F.explode(F.transform("found", same)).alias("x"))
-    rows = rows.select("doc_id", "n_tokens", "x.*", F.size("x.same").alias("n"))
-    return rows.where((F.col("n") >= SHORT) | (F.col("n_tokens") == F.col("n"))).drop("n_tokens")
+    rows = groups.join(tokens, "doc_id").select("doc_id", F.explode(F.transform("found", same)).alias("x"))
+    return rows.select("doc_id", "x.*", F.size("x.same").alias("n"))
 
 
 def _scored(rows: DataFrame) -> DataFrame:
@@ -124,8 +142,9 @@ def _scored(rows: DataFrame) -> DataFrame:
         return F.struct(*[v.alias(n) for v, n in zip((end, score, begin, matched, *pick), names, strict=True)])
 
     rows = rows.select("doc_id", "item_id", "shift", "n", F.aggregate("same", zero, step).alias("b"))
-    enough = F.when(F.col("n") < MIN_TOKENS, F.col("n")).otherwise(F.least(F.lit(MIN_SCORE), F.ceil(F.col("n") * MIN_SHARE)))
-    return rows.where(F.col("b.best") >= enough).select(
+    enough = F.least(F.lit(MIN_SCORE), F.ceil(F.col("n") * MIN_SHARE))
+    matched = F.least(F.lit(MIN_MATCHED), F.col("n") - tolerated(F.col("n")))
+    return rows.where((F.col("b.best") >= enough) & (F.col("b.same") >= matched)).select(
         "doc_id",
         "item_id",
         F.col("b.best").cast("long").alias("score"),
@@ -166,9 +185,8 @@ def report_sql() -> str:
 WITH RECURSIVE
 d AS (SELECT DISTINCT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\pL\\pN]+'), lambda x: x <> '') AS t FROM documents),
 b AS (SELECT DISTINCT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\pL\\pN]+'), lambda x: x <> '') AS t FROM benchmark),
-items AS (SELECT * FROM b WHERE len(t) >= {MIN_TOKENS}),
-whole AS (SELECT d.doc_id, b.item_id, unnest(list_filter(range(len(d.t) - len(b.t) + 1), lambda p: d.t[p + 1 : p + len(b.t)] = b.t)) AS p, len(b.t) AS n
-  FROM d JOIN b ON len(b.t) BETWEEN 1 AND {MIN_TOKENS - 1} AND (len(d.t) = len(b.t) OR len(b.t) >= {SHORT} AND len(d.t) > len(b.t))),
+items AS (SELECT * FROM b WHERE len(t) > 0),
+brief AS (SELECT d.doc_id, b.item_id, unnest(range(-1, len(d.t) - len(b.t) + 2)) AS shift FROM d JOIN items b ON len(b.t) < {SPAN}),
 masks AS (SELECT m, row_number() OVER () AS k FROM (SELECT unnest([{masks}]) AS m)),
 dp AS (SELECT doc_id, t, unnest(range(len(t))) AS p FROM d),
 ip AS (SELECT item_id, t, unnest(range(len(t))) AS q FROM items),
@@ -176,7 +194,7 @@ pairs AS (SELECT DISTINCT t[q + 1] AS a, t[q + 2] AS b FROM ip WHERE q + 2 <= le
 dq AS (SELECT doc_id, t, p FROM dp SEMI JOIN pairs ON t[p + 1] = a AND t[p + 2] = b),
 ds AS (SELECT doc_id, p, k, list_transform(m, lambda o: t[p + o + 1]) AS s FROM dq, masks WHERE p + m[-1] < len(t)),
 bs AS (SELECT item_id, q, k, list_transform(m, lambda o: t[q + o + 1]) AS s FROM ip, masks WHERE q + m[-1] < len(t)),
-al AS (SELECT DISTINCT doc_id, item_id, p - q AS shift FROM ds JOIN bs USING (k, s)),
+al AS (SELECT DISTINCT doc_id, item_id, p - q AS shift FROM ds JOIN bs USING (k, s) UNION SELECT * FROM brief),
 same AS (SELECT a.doc_id, a.item_id, shift, len(i.t) AS n, list_transform(i.t, lambda x, j: shift + j > 0 AND coalesce(d.t[shift + j] = x, false)) AS e
   FROM al a JOIN d ON a.doc_id = d.doc_id JOIN items i ON a.item_id = i.item_id),
 seg AS (SELECT doc_id, item_id, shift, n, u.i AS i, v.j AS j,
@@ -184,8 +202,6 @@ seg AS (SELECT doc_id, item_id, shift, n, u.i AS i, v.j AS j,
     list_sum(list_transform(e[u.i + 1 : v.j], lambda x: x::INT)) AS matched
   FROM same, LATERAL (SELECT unnest(range(n)) AS i) u, LATERAL (SELECT unnest(range(u.i + 1, n + 1)) AS j) v),
 one AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id, shift ORDER BY score DESC, j, i DESC) AS r FROM seg)
-SELECT doc_id, item_id, n::BIGINT AS score, min(p) AS "start", min(p) + n AS "end", n::BIGINT AS matched, n AS item_tokens FROM whole GROUP BY doc_id, item_id, n
-UNION ALL
 SELECT doc_id, item_id, score::BIGINT AS score, shift + i AS "start", shift + j AS "end", matched::BIGINT AS matched, n AS item_tokens
 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY score DESC, shift + i, shift + j DESC) AS r2
-  FROM one WHERE r = 1 AND score >= least({MIN_SCORE}, ceil(n * {MIN_SHARE}))) WHERE r2 = 1"""
+  FROM one WHERE r = 1 AND score >= least({MIN_SCORE}, ceil(n * {MIN_SHARE})) AND matched >= least({MIN_MATCHED}, n - n // 5)) WHERE r2 = 1"""

@@ -76,4 +76,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": decontaminate.report_sql(), "op6_licenses": licenses.report_sql(), "op7_warc": warc_zip.report_sql(), "op9_chat": chat_tree.report_sql(), "op13_phrases": phrases.report_sql()}
+    return {"op2_decontaminate": decontaminate.report_sql(), "op6_licenses": licenses.report_sql(), "op7_warc": warc_zip.report_sql(), "op9_chat": chat_tree.report_sql(), "op12_repair": repair.report_sql(), "op13_phrases": phrases.report_sql()}

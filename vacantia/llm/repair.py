@@ -357,3 +357,42 @@ def damaged(conversations: DataFrame) -> DataFrame:
 def report(conversations: DataFrame) -> DataFrame:
     """All conversations, damaged and repaired."""
     return repaired_digests(damaged(conversations), conversations)
+
+
+def report_sql() -> str:
+    """DuckDB SQL for ``report``: a table over rows and states, row by row, with states as text of the
+    cost in eight digits and the audit."""
+
+    def edit(state: str, cost: str, initial: str) -> str:
+        return f"(lpad((left({state}, 8)::INT + {cost})::VARCHAR, 8, '0') || substr({state}, 9) || '{initial}')"
+
+    into: dict[int, list[str]] = {q: [edit(f"s{q}", str(DELETE), "D")] for q in range(STATES)}
+    for (p, role), q in STEPS.items():
+        stays = "CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END"
+        into[q].append(f"CASE WHEN stays AND initial = '{role}' THEN {edit(f's{p}', stays, 'K')} END")
+        if role != "s":
+            into[q].append(f"CASE WHEN stays THEN {edit(f's{p}', f'{REROLE} + {stays}', 'R')} END")
+    put = ", ".join(f"least({', '.join(x)}) AS s{q}" if len(x) > 1 else f"{x[0]} AS s{q}" for q, x in into.items())
+    again = f"s0, s1, least(s2, {', '.join(edit(f's{p}', str(INSERT), 'I') for p in (0, 1, 3))}) AS s2, s3"
+    then = f"s0, s1, s2, least(s3, {edit('s2', str(INSERT), 'I')}) AS s3"
+    more = f"s0, s1, least(s2, {edit('s3', str(INSERT), 'I')}) AS s2, s3"
+    closed = lambda rows: f"SELECT conv_id, i, {more} FROM (SELECT conv_id, i, {then} FROM (SELECT conv_id, i, {again} FROM ({rows})))"
+    space = "[\\x20\\x09-\\x0D]"
+    return f"""
+WITH RECURSIVE tab AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n) ORDER BY n) AS t FROM (SELECT unnest(range(256)) AS n)),
+c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+k AS (SELECT c.*, xor(list_reduce(list_transform(string_split(key, ''), lambda x: ord(x)::BIGINT), lambda s, b: xor(s >> 8, t[(xor(s, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) % 20 AS kind FROM c, tab),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM k WHERE kind > 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(coalesce(conv_id::VARCHAR, ' ') || ':' || strlen(role) || ':' || role || text), copy) AS i, left(role, 1) AS initial FROM d),
+f AS (SELECT *, CASE WHEN regexp_full_match(text, '{space}*') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?]{space}*$') THEN 'truncated' END AS fault, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM o),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM f GROUP BY conv_id),
+p AS ({closed("SELECT DISTINCT conv_id, 0::BIGINT AS i, '00000000' AS s0, NULL::VARCHAR AS s1, NULL::VARCHAR AS s2, NULL::VARCHAR AS s3 FROM conversations")}
+  UNION ALL {closed(f"SELECT r.conv_id, r.i, {put} FROM p JOIN (SELECT *, fault IS NULL OR fault = 'truncated' AS stays FROM f) r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.i = p.i + 1")}),
+e AS (SELECT p.conv_id, least(s0, s3) AS found FROM p LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM p.conv_id WHERE p.i = coalesce(n, 0)),
+a AS (SELECT conv_id, left(found, 8)::BIGINT AS cost, substr(found, 9) AS audit FROM e),
+u AS (SELECT conv_id, j, substr(audit, j::INT, 1) AS x, (len(audit) - len(replace(audit, 'D', ''))) AS gone, len(audit) AS n FROM (SELECT conv_id, audit, unnest(range(1, len(audit) + 1)) AS j FROM a)),
+w AS (SELECT *, sum((x <> 'I')::INT) OVER (PARTITION BY conv_id ORDER BY j) AS i, sum((x <> 'D')::INT) OVER (PARTITION BY conv_id ORDER BY j) - 1 AS nth, (n - gone) % 2 AS odd FROM u),
+z AS (SELECT w.conv_id, string_agg(CASE WHEN x = 'K' THEN f.role WHEN odd = 1 AND nth = 0 THEN 'system' WHEN (nth - odd) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN x = 'I' THEN '' ELSE f.text END, chr(10) ORDER BY j) AS said
+  FROM w LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i WHERE x <> 'D' GROUP BY w.conv_id)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, cost, audit, sha256(coalesce(said, '')) AS repaired_sha256
+FROM a LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM a.conv_id"""
