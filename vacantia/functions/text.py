@@ -3,22 +3,35 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ACCENTED = "áàâäãéèêëíìîïóòôöõúùûüñçÁÀÂÄÃÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇ"
-PLAIN = "aaaaaeeeeiiiiooooouuuuncAAAAAEEEEIIIIOOOOOUUUUNC"
+
+
+def _folded() -> tuple[str, str]:
+    """Characters that decompose to one other character and marks, and that character of each."""
+    found = []
+    for c in map(chr, (*range(0xA0, 0x2000), *range(0xFF00, 0xFFF0))):  # alphabets, forms of other width
+        plain = [x for x in unicodedata.normalize("NFKD", c) if not unicodedata.category(x).startswith("M")]
+        if c.isalnum() and len(plain) == 1 and plain[0] != c:
+            found.append((c, plain[0]))
+    return "".join(c for c, _ in found), "".join(p for _, p in found)
+
+
+ACCENTED, PLAIN = _folded()
 #: Characters that stand for plainer ones, and those that only take up width.
 FANCY, SIMPLE = "“”„‘’‚–—−•●▪·… ", "\"\"\"'''---****. "
 ZERO_WIDTH = "\u200b\u200c\u200d\ufeff\u00ad"
 
 
 def fold(c: Column) -> Column:
-    """Accented Latin letters without their accents."""
-    return F.translate(c, ACCENTED, PLAIN)
+    """Letters and digits of any script without accents and other marks; variants of width and form
+    as the plain character. What decomposes to several letters (ligatures, Hangul) stays."""
+    return F.regexp_replace(F.translate(c, ACCENTED, PLAIN), r"\p{M}+", "")
 
 
 def spaced(c: Column) -> Column:
@@ -27,13 +40,14 @@ def spaced(c: Column) -> Column:
 
 
 def norm_key(c: Column) -> Column:
-    """Search key: lower case, no accents, no punctuation, single spaces."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(fold(c)), "[^a-z0-9 ]", " "), " +", " "))
+    """Search key: lower case, no accents, no punctuation, single spaces. Letters and digits of all
+    scripts stay, as does the underscore."""
+    return F.trim(F.regexp_replace(fold(F.lower(c)), r"[^\p{L}\p{N}_]+", " "))
 
 
 def any_word(c: Column, words: Sequence[str]) -> Column:
     """Whether one of the words stands in a text as a whole word."""
-    return c.rlike(r"(?:^|[^a-z0-9])(?:" + "|".join(map(re.escape, words)) + r")(?:$|[^a-z0-9])")
+    return c.rlike(r"(?<![\p{L}\p{N}_])(?:" + "|".join(map(re.escape, words)) + r")(?![\p{L}\p{N}_])")
 
 
 def any_part(c: Column, parts: Sequence[str]) -> Column:

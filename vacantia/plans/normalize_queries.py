@@ -10,11 +10,11 @@ from vacantia.sources.tables import table
 
 AS_OF = "2001-08-15"
 MODES = [("urgent", ["urgent", "high"]), ("usual", ["medium"]), ("slow", ["low"])]
-ACC = "translate({0}, 'áàâäãéèêëíìîïóòôöõúùûüñçÁÀÂÄÃÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇ', 'aaaaaeeeeiiiiooooouuuuncAAAAAEEEEIIIIOOOOOUUUUNC')"
 
 
 def key_sql(c: str) -> str:
-    return f"trim(regexp_replace(regexp_replace(lower({ACC.format(c)}), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))"
+    """A search key by decomposition, apart from how the library folds."""
+    return f"trim(regexp_replace(strip_accents(lower({c})), '[^\\pL\\pN_]+', ' ', 'g'))"
 
 
 CLEAN_SQL = (
