@@ -9,15 +9,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vacantia.functions.columns import half_up, percent
 from vacantia.functions.text import first_match, norm_key, similarity
 from vacantia.operators.dedup import jaccard, token_set
-from vacantia.operators.normalize import bounded
+from vacantia.operators.terms import alike_words, begun_by, bounded, containing, like_texts
 from vacantia.sources.scratch import checkpointed
 
 #: Query vectors and catalogue vectors that are multiplied with each other at once.
 QUERY_BLOCK, ITEM_BLOCK = 2_000, 4_000
+#: Hyperplanes of the bucketed search, and how many of them a probed bucket may differ in.
+PLANES, RADIUS = 8, 5
+#: Edit likeness, a little over a half, from which likeness alone is found by segments.
+SEGMENTED = 0.52
 
 
 def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, name: str = "rank") -> DataFrame:
@@ -26,41 +31,85 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,
     return df.withColumn(name, rank).where(F.col(name) <= n)
 
 
-def topk_cosine(queries: DataFrame, catalogue: DataFrame, k: int, query_id: str = "query_id", item_id: str = "item_id", vector: str = "vector") -> DataFrame:
-    """(query_id, item_id, score, rank): the k most similar vectors of a stated query set against all
-    of a catalogue. Blocks of queries meet blocks of the catalogue; each pair of blocks returns k rows a
-    query at most. Vectors of length zero and nulls match nothing; ties go by item id."""
-    q = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
-    c = catalogue.select(F.col(item_id).cast("long").alias("item_id"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
+def _unit(vectors) -> np.ndarray:
+    m = np.array(vectors, dtype=np.float64)
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, n, out=np.full_like(m, np.nan), where=n > 0)
+
 
-    def packs(df: DataFrame, key: str, rows: int, ids: str, vectors: str) -> DataFrame:
-        """About ``rows`` rows a pack, dealt by the hash of their id."""
-        n = max(1, -(-df.count() // rows))
-        pack = F.pmod(F.xxhash64(key), F.lit(n)).alias("pack")
-        return df.groupBy(pack).agg(F.collect_list(key).alias(ids), F.collect_list("v").alias(vectors)).drop("pack")
+def _vectors(df: DataFrame, key: str, vector: str, name: str) -> DataFrame:
+    rows = df.select(F.col(key).cast("long").alias(name), F.col(vector).cast("array<double>").alias("v"))
+    return rows.where("v IS NOT NULL")
+
+
+def _packs(df: DataFrame, key: str, rows: int, ids: str, vectors: str, by: Sequence[str] = ()) -> DataFrame:
+    """About ``rows`` rows a pack, dealt by the hash of their id, each pack of one value of ``by``."""
+    if by:
+        packs = bounded(df.groupBy(*by).agg(F.ceil(F.count("*") / rows).alias("packs")))
+        df = df.join(packs, list(by))
+    else:
+        df = df.withColumn("packs", F.lit(max(1, -(-df.count() // rows))))
+    pack = F.pmod(F.xxhash64(key), F.col("packs")).alias("pack")
+    return df.groupBy(*by, pack).agg(F.collect_list(key).alias(ids), F.collect_list("v").alias(vectors)).drop("pack")
 
-    packed = packs(q, "query_id", QUERY_BLOCK, "ids", "vectors")
-    pairs = packs(c, "item_id", ITEM_BLOCK, "items", "vs").crossJoin(packed)  # the query set, block by block
 
-    def unit(vectors) -> np.ndarray:
-        m = np.array(vectors, dtype=np.float64)
-        n = np.linalg.norm(m, axis=1, keepdims=True)
-        return np.divide(m, n, out=np.full_like(m, np.nan), where=n > 0)
+def _best(pairs: DataFrame, k: int) -> DataFrame:
+    """The k best of each query over pairs of packs (ids, vectors, items, vs); each pair of packs
+    returns k rows a query at most."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 items, ids = np.array(row["items"]), np.array(row["ids"])
-                scores = unit(row["vectors"]) @ unit(row["vs"]).T
+                scores = _unit(row["vectors"]) @ _unit(row["vs"]).T
                 order = np.lexsort((np.broadcast_to(items, scores.shape), -np.nan_to_num(scores, nan=-9.0)), axis=1)[:, :k]
                 found = np.take_along_axis(scores, order, axis=1)
                 keep = ~np.isnan(found)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, order.shape[1])[keep.ravel()]), pa.array(items[order][keep]), pa.array(found[keep])], names=["query_id", "item_id", "score"])
 
-    best = pairs.mapInArrow(search, "query_id long, item_id long, score double")
+    best = pairs.select("ids", "vectors", "items", "vs").mapInArrow(search, "query_id long, item_id long, score double")
     return ranked(best, ["query_id"], [F.desc("score"), F.asc("item_id")], k)
 
 
+def topk_cosine(queries: DataFrame, catalogue: DataFrame, k: int, query_id: str = "query_id", item_id: str = "item_id", vector: str = "vector") -> DataFrame:
+    """(query_id, item_id, score, rank): the k most similar vectors of a stated query set against all
+    of a catalogue. Blocks of queries meet blocks of the catalogue. Vectors of length zero and nulls
+    match nothing; ties go by item id."""
+    packed = _packs(_vectors(queries, query_id, vector, "query_id"), "query_id", QUERY_BLOCK, "ids", "vectors")
+    return _best(_packs(_vectors(catalogue, item_id, vector, "item_id"), "item_id", ITEM_BLOCK, "items", "vs").crossJoin(packed), k)  # the query set, block by block
+
+
+def plane_codes(v: Column, bits: int, seed: int = 1) -> Column:
+    """On which sides of ``bits`` random hyperplanes a vector lies, as the bits of a number."""
+
+    @F.arrow_udf(T.IntegerType())
+    def codes(vectors: pa.Array) -> pa.Array:
+        sizes = np.diff(vectors.offsets.to_numpy())
+        out = np.zeros(len(vectors), dtype=np.int32)
+        for n in set(sizes.tolist()) - {0}:  # one length, as a rule
+            rows = np.flatnonzero(sizes == n)
+            planes = np.random.default_rng([seed, n]).standard_normal((n, bits))
+            side = np.array([vectors[int(i)].as_py() for i in rows], dtype=np.float64) @ planes > 0
+            out[rows] = side @ (1 << np.arange(bits))
+        return pa.array(out)
+
+    return codes(v)
+
+
+def topk_bucketed(queries: DataFrame, catalogue: DataFrame, k: int, query_id: str = "query_id", item_id: str = "item_id", vector: str = "vector", bits: int = PLANES, radius: int = RADIUS, seed: int = 1) -> DataFrame:
+    """``topk_cosine`` over the buckets near each query only. A bucket holds the vectors on the same
+    sides of random hyperplanes; a query probes those that differ from its own in up to ``radius``
+    of the ``bits`` planes. What it misses lies in farther buckets; with ``radius = bits`` it misses
+    nothing, and ``topk_cosine`` is the exact way without buckets. Every vector is in the index, and
+    a bucket that holds very many is dealt out in blocks."""
+    q = _vectors(queries, query_id, vector, "query_id").withColumn("code", plane_codes(F.col("v"), bits, seed))
+    c = _vectors(catalogue, item_id, vector, "item_id").withColumn("code", plane_codes(F.col("v"), bits, seed))
+    masks = [m for m in range(1 << bits) if m.bit_count() <= radius]
+    probes = q.withColumn("code", F.explode(F.transform(F.array(*map(F.lit, masks)), lambda m: F.col("code").bitwiseXOR(m))))
+    packed = _packs(probes, "query_id", QUERY_BLOCK, "ids", "vectors", ["code"])
+    return _best(_packs(c, "item_id", ITEM_BLOCK, "items", "vs", ["code"]).join(packed, "code"), k)
+
+
 def match_texts(hits: DataFrame, row: str, text_order: str, label: str, score: str, least: float = 0.55) -> DataFrame:
     """Hits above a threshold, one per row and label: that of the first text, then the best."""
     return ranked(hits.where(F.col(score) >= least), [row, label], [F.asc(text_order), F.desc(score)], 1).drop("rank")
@@ -100,9 +149,9 @@ def penalize(candidates: DataFrame, row: str, label: str, code: str, prefixes: M
 def dictionary_match(df: DataFrame, key: str, title: str, entries: DataFrame) -> DataFrame:
     """Code of the first dictionary entry (place, term, context, code) with its term in the title and
     its context word, if it has one, too; codes that aren't of four digits don't count."""
-    e = bounded(entries.where(F.col("code").rlike("^[0-9]{4}$")).select("place", F.lower("term").alias("term"), F.lower("context").alias("context"), "code"))
-    text = F.lower(title)
-    hits = df.join(e, text.contains(F.col("term")) & (F.col("context").isNull() | text.contains(F.col("context"))))
+    e = entries.where(F.col("code").rlike("^[0-9]{4}$")).select("place", F.lower("term").alias("term"), F.lower("context").alias("context"), "code")
+    found = containing(df, key, F.lower(title), e, "term")
+    hits = found.join(bounded(e), "term").where(F.col("context").isNull() | F.col("text").contains(F.col("context")))
     return hits.groupBy(key).agg(F.min_by("code", F.struct(F.col("context").isNull(), "place")).alias("code"))
 
 
@@ -133,8 +182,8 @@ def resolve_label(df: DataFrame, label: str, catalogue: DataFrame, name: str, co
     c = catalogue.select(F.lower(name).alias("__n"), F.col(name).alias("resolved"), code)
     exact = df.withColumn("__l", F.lower(label)).join(bounded(c.groupBy("__n").agg(F.min("resolved").alias("resolved"), F.min(code).alias(code))), F.col("__l") == F.col("__n"), "left").drop("__n")
     missed = exact.where("resolved IS NULL AND __l IS NOT NULL").select("__l").distinct()
-    near = missed.join(bounded(c.withColumnRenamed(code, "__c").withColumnRenamed("resolved", "__r")), F.col("__n").startswith(F.col("__l")))
-    near = near.groupBy("__l").agg(F.min_by(F.struct("__r", "__c"), F.struct(F.length("__n"), "__n")).alias("__m"))
+    near = begun_by(missed, "__l", c, "__n", F.struct(F.col("resolved").alias("__r"), F.col(code).alias("__c")), F.struct(F.length("__n"), "__n", "resolved", code))
+    near = near.withColumnRenamed("best", "__m")
     out = exact.join(near, "__l", "left")
     return out.withColumn("resolved", F.coalesce("resolved", "__m.__r")).withColumn(code, F.coalesce(F.col(code), F.col("__m.__c"))).drop("__l", "__m")
 
@@ -174,40 +223,16 @@ def multicriteria(df: DataFrame, title: str, skills: str, text: str, filled: Col
     return df.withColumn("final", half_up(score, 4)).withColumn("status", status)
 
 
-def like_texts(titles: DataFrame, names: DataFrame, least: float) -> DataFrame:
-    """Candidate pairs (__t, __n) that hold every pair with an edit likeness of ``least`` or more.
-
-    Such a pair has lengths within that ratio, so a name of length L is at most
-    ``k = (1 - least) / least * L`` edits away. Of its k + 1 segments one at least is in the title as
-    it is, moved by no more than k places.
-    """
-    if least <= 0.5:
-        return titles.crossJoin(names)
-    slack = 1e-9
-    names, titles = names.where("length(__n) > 0"), titles.where("length(__t) > 0")
-    k = F.floor(F.col("__len") * ((1 - least) / least) + slack).cast("int")
-    start = lambda i: F.floor(F.col("__len") * i / (F.col("__k") + 1)).cast("int")
-    cut = lambda d: d.withColumn("__k", k).withColumn("__i", F.explode(F.sequence(F.lit(0), "__k"))).withColumns({"__from": start(F.col("__i")), "__size": start(F.col("__i") + 1) - start(F.col("__i"))})
-    mine = cut(names.withColumn("__len", F.length("__n")))
-    mine = mine.select("__n", "name", "__len", "__i", F.substring("__n", F.col("__from") + 1, F.col("__size")).alias("__s"))
-    t = F.length("__t")
-    lengths = F.sequence(F.ceil(t * least - slack).cast("int"), F.floor(t / least + slack).cast("int"))
-    theirs = cut(titles.withColumn("__len", F.explode(lengths)))
-    low, high = F.greatest(F.lit(0), F.col("__from") - F.col("__k")), F.least(t - F.col("__size"), F.col("__from") + F.col("__k"))
-    theirs = theirs.where(low <= high).withColumn("__at", F.explode(F.sequence(low, high)))
-    theirs = theirs.select("__t", "__len", "__i", F.substring("__t", F.col("__at") + 1, F.col("__size")).alias("__s")).distinct()
-    return theirs.join(mine, ["__len", "__i", "__s"]).select("__t", "__n", "name").distinct()
-
-
 def fuzzy_match(df: DataFrame, key: str, title: str, catalogue: DataFrame, name: str, least: float) -> DataFrame:
-    """Best catalogue name of a title: edit likeness .6 and word overlap .4. Candidates are names
-    that share a word, and names that reach the least score by edit likeness alone. Distinct titles
-    are compared, so frequent ones cost once."""
+    """Best catalogue name of a title: edit likeness .6 and word overlap .4. A pair that reaches the
+    least score has either so many words in common or so like letters, and both kinds of candidates
+    are found by joins that miss none. Distinct titles are compared, so frequent ones cost once."""
     titles = df.select(norm_key(F.col(title)).alias("__t")).distinct()
     names = catalogue.select(F.col(name).alias("name"), norm_key(F.col(name)).alias("__n")).distinct()
-    words = lambda d, c: d.select("*", F.explode(token_set(F.col(c))).alias("__w"))
-    pairs = words(titles, "__t").join(words(names, "__n"), "__w").select("__t", "__n", "name")
-    alone = (least - 0.00005) / 0.6  # scores are rounded to four places
+    needed = least - 0.00005  # scores are rounded to four places
+    shared = min(1.0, max(0.0, (needed - 0.6 * SEGMENTED) / 0.4))
+    pairs = alike_words(titles, names.select("__n").distinct(), "__t", "__n", token_set(F.col("__t")), token_set(F.col("__n")), shared).join(names, "__n").select("__t", "__n", "name")
+    alone = (needed - 0.4 * shared) / 0.6
     if alone <= 1:
         pairs = pairs.union(like_texts(titles, names, alone))
     pairs = pairs.distinct()

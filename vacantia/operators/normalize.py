@@ -9,15 +9,7 @@ from pyspark.sql import functions as F
 
 from vacantia.functions.columns import percent
 from vacantia.functions.text import FANCY, SIMPLE, ZERO_WIDTH, any_part, any_word, first_match, norm_key, similarity, spaced, unique_in_order
-
-#: Rows up to which a dimension is broadcast.
-BROADCAST_ROWS = 100_000
-
-
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has few rows, as counted; otherwise joins shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
+from vacantia.operators.terms import bounded, containing, like_texts
 
 def strip_html(df: DataFrame, col: str, out: str = "text") -> DataFrame:
     """Visible text of an HTML column: comments, scripts, styles and tags go, block ends become line
@@ -58,14 +50,17 @@ def parse_date(c: Column, formats: Sequence[str]) -> Column:
 
 def match_location(df: DataFrame, col: str, places: DataFrame, variant: str, name: str, least: float = 0.85) -> DataFrame:
     """City and province of 'City, Province': the province whose variant equals it, else the most
-    similar one. Only distinct provinces without an exact variant are compared with the variants."""
+    similar one. Only distinct provinces without an exact variant are compared, and only with the
+    variants that share a segment as every pair so alike does."""
     parts = F.split(F.col(col), ",")
     rows = df.withColumn("city", F.trim(parts[0])).withColumn("__p", norm_key(F.element_at(parts, -1)))
-    known = bounded(places.select(norm_key(F.col(variant)).alias("__p"), F.col(name).alias("province")).dropDuplicates(["__p"]))
-    exact = rows.join(known, "__p", "left")
+    known = places.select(norm_key(F.col(variant)).alias("__p"), F.col(name).alias("province")).dropDuplicates(["__p"])
+    exact = rows.join(bounded(known), "__p", "left")
     missed = exact.where("province IS NULL AND __p <> ''").select("__p").distinct()
-    near = missed.join(known.select(F.col("__p").alias("v"), F.col("province").alias("near")), similarity(F.col("__p"), F.col("v")) >= least)
-    near = near.groupBy("__p").agg(F.max_by("near", F.struct(similarity(F.col("__p"), F.col("v")), F.col("v"))).alias("near"))
+    names = known.select(F.col("__p").alias("__n"), F.col("province").alias("name"))
+    alike = similarity(F.col("__t"), F.col("__n"))
+    near = like_texts(missed.withColumnRenamed("__p", "__t"), names, least).where(alike >= least)
+    near = near.groupBy(F.col("__t").alias("__p")).agg(F.max_by("name", F.struct(alike, F.col("__n"))).alias("near"))
     out = exact.join(near, "__p", "left").withColumn("method", F.when(F.col("province").isNotNull(), "exact").when(F.col("near").isNotNull(), "similar"))
     return out.withColumn("province", F.coalesce("province", "near")).drop("__p", "near")
 
@@ -200,18 +195,21 @@ def assign_sector(df: DataFrame, company: str, text: str, sector: str, catalogue
 
 def classify_activity(df: DataFrame, key: str, text: str, sector: str, keywords: DataFrame) -> DataFrame:
     """Activity code: the sector's own, else the code whose keywords in the text are longest in sum."""
-    k = bounded(keywords.select("code", F.lower("keyword").alias("keyword"), F.lower("sector").alias("s")))
-    exact = df.join(k.select("s", F.col("code").alias("by_sector")).distinct(), F.lower(sector) == F.col("s"), "left").drop("s")
-    hits = df.join(k, F.lower(text).contains(F.col("keyword"))).groupBy(key, "code").agg(F.sum(F.length("keyword")).alias("w"))
+    k = keywords.select("code", F.lower("keyword").alias("keyword"), F.lower("sector").alias("__s"))
+    exact = df.join(bounded(k.select("__s", F.col("code").alias("by_sector")).distinct()), F.lower(sector) == F.col("__s"), "left").drop("__s")
+    hits = containing(df, key, F.lower(text), k, "keyword").withColumnRenamed("term", "keyword").join(bounded(k), "keyword")
+    hits = hits.groupBy(key, "code").agg(F.sum(F.length("keyword")).alias("w"))
     best = hits.groupBy(key).agg(F.min_by("code", F.struct(-F.col("w"), "code")).alias("by_words"))
     return exact.join(best, key, "left").withColumn("code", F.coalesce("by_sector", "by_words")).drop("by_sector", "by_words")
 
 
 def apply_dictionary(df: DataFrame, key: str, title: str, terms: DataFrame) -> DataFrame:
     """Titles with their longest regional term as a whole word replaced by the common one."""
-    t = bounded(terms.select(F.lower("term").alias("term"), "common"))
-    padded = F.concat(F.lit(" "), norm_key(F.col(title)), F.lit(" "))
-    hits = df.join(t, padded.contains(F.concat(F.lit(" "), F.col("term"), F.lit(" ")))).groupBy(key).agg(F.max_by(F.struct("term", "common"), F.struct(F.length("term"), "term")).alias("h"))
+    spaces = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    t = terms.select(F.lower("term").alias("term"), "common", spaces(F.lower("term")).alias("__term"))
+    padded = spaces(norm_key(F.col(title)))
+    found = containing(df, key, padded, t, "__term").withColumnRenamed("term", "__term").join(bounded(t), "__term")
+    hits = found.groupBy(key).agg(F.max_by(F.struct("term", "common"), F.struct(F.length("term"), "term")).alias("h"))
     out = df.join(hits, key, "left")
     swapped = F.trim(F.replace(padded, F.concat(F.lit(" "), F.col("h.term"), F.lit(" ")), F.concat(F.lit(" "), F.col("h.common"), F.lit(" "))))
     return out.withColumn("term", F.col("h.term")).withColumn("rewritten", F.when(F.col("h").isNull(), F.col(title)).otherwise(swapped)).drop("h")

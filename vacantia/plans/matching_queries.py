@@ -91,11 +91,15 @@ PENALIZED = (
 
 
 def _dictionary(s, d):
-    entries = table(s, d, "region").select(F.explode(F.array(*[F.struct(F.lit(float(i)).alias("place"), F.lit(t).alias("term"), F.lit(c).alias("context"), F.lit(k).alias("code")) for i, (t, c, k) in enumerate(ENTRIES)])).alias("x")).select("x.*").distinct()
+    words, size = F.split("p_name", " "), F.col("p_size")
+    code = F.when(size % 7 == 0, "none").otherwise((size + 1000).cast("string")).alias("code")
+    entries = table(s, d, "part").groupBy(words[1].alias("term"), F.when(size % 2 == 0, words[0]).alias("context"), code).agg(F.min("p_partkey").alias("place"))
     return m.dictionary_match(table(s, d, "part").select("p_partkey", "p_name"), "p_partkey", "p_name", entries)
 
 
-ENTRIES = (("ring", "red", "1111"), ("ring", None, "2222"), ("bolt", None, "33"), ("bolt", "small", "4444"), ("gear", None, "5555"))
+DICTIONARY = (
+    "SELECT split_part(p_name, ' ', 2) AS term, CASE WHEN p_size % 2 = 0 THEN split_part(p_name, ' ', 1) END AS context, (p_size + 1000)::VARCHAR AS code, min(p_partkey) AS place FROM part WHERE p_size % 7 > 0 GROUP BY 1, 2, 3"
+)
 
 
 def _rules():
@@ -160,6 +164,7 @@ QUERIES = {
         "SELECT *, CASE WHEN rule IS NOT NULL THEN 'rule' WHEN blended IS NOT NULL THEN 'blended' ELSE 'none' END AS method, coalesce(rule, blended) AS decided, coalesce(coalesce(rule, blended)[1:4] = blended[1:4], false) AS agrees FROM r",
     ),
     "m01_topk_cosine": (lambda s, d: _top(s, d).withColumn("score", F.round("score", 4)), f"SELECT query_id, item_id, round(score, 4) AS score, rank FROM {TOP}"),
+    "m01_topk_bucketed": (lambda s, d: m.topk_bucketed(*_vectors(s, d), 10).withColumn("score", F.round("score", 4)), None),
     "m02_match_texts": (
         lambda s, d: m.match_texts(_texts(s, d), "row", "place", "label", "score", 0.2).select("row", "label", "place", "item_id"),
         f"SELECT row, label, place, item_id FROM (SELECT *, row_number() OVER (PARTITION BY row, label ORDER BY place, score DESC) AS r FROM {TEXTS} WHERE score >= 0.2) WHERE r = 1",
@@ -173,7 +178,7 @@ QUERIES = {
     "m06_penalize": (_penalized, f"SELECT * FROM {PENALIZED}"),
     "m07_dictionary_match": (
         _dictionary,
-        "SELECT p_partkey, CASE WHEN p_name LIKE '%ring%' AND p_name LIKE '%red%' THEN '1111' WHEN p_name LIKE '%bolt%' AND p_name LIKE '%small%' THEN '4444' WHEN p_name LIKE '%ring%' THEN '2222' WHEN p_name LIKE '%gear%' THEN '5555' END AS code FROM part WHERE p_name LIKE '%ring%' OR p_name LIKE '%gear%' OR (p_name LIKE '%bolt%' AND p_name LIKE '%small%')",
+        f"SELECT p_partkey, arg_min(code, {{'c': context IS NULL, 'p': place}}) AS code FROM part JOIN ({DICTIONARY}) ON contains(p_name, term) AND (context IS NULL OR contains(p_name, context)) GROUP BY 1",
     ),
     "m08_apply_rules": (
         lambda s, d: m.apply_rules(table(s, d, "part").select("p_partkey", "p_name", "p_type"), _rules(), table(s, d, "part"), "p_brand"),
