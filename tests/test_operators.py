@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vacantia.functions.rules import Rule, Test
 from vacantia.operators import dedup, extract, ingest, lifecycle, matching, normalize, quality, report, runs
 from vacantia.operators.components import connected_components
+from vacantia.sources.versioned import VersionedTable
 from vacantia.streaming import streams
 
 
@@ -159,7 +160,6 @@ def test_streams(spark, tmp_path):
     assert rows(spark.read.parquet(str(tmp_path / "s")), "src", "n") == [("a", 1), ("a", 2), ("b", 1)]
     streams.run_to_table(streams.stream_health(stream(), "ts", "src", F.col("v") > 5, "1 hour", "1 minute"), str(tmp_path / "h"), str(tmp_path / "ch"))
     assert rows(spark.read.parquet(str(tmp_path / "h")), "src", "n", "failed", "level") == [("a", 3, 2, "critical"), ("b", 1, 0, "ok")]
-    held = []
-    query = streams.stream_upsert(streams.first_of_id(stream(), "id", "ts", "1 day"), lambda: held[-1] if held else None, lambda df: held.append(spark.createDataFrame(df.collect(), df.schema)), ["src"], "ts", str(tmp_path / "cu"))
-    query.awaitTermination()
-    assert rows(held[-1], "src", "id") == [("a", 2), ("b", 4)]
+    target = VersionedTable(spark, str(tmp_path / "t"))
+    streams.drain(streams.stream_upsert(streams.first_of_id(stream(), "id", "ts", "1 day"), target, ["src"], "ts", str(tmp_path / "cu")))
+    assert rows(target.read(), "src", "id") == [("a", 2), ("b", 4)]

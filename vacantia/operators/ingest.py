@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vacantia.functions.columns import percent
+from vacantia.sources.scratch import checkpointed
+from vacantia.sources.versioned import VersionedTable, bucket
 
 
 def read_source(spark: SparkSession, fmt: str, path: str, schema: T.StructType | str, corrupt: str = "_corrupt") -> DataFrame:
@@ -44,6 +46,31 @@ def upsert(target: DataFrame, batch: DataFrame, keys: Sequence[str], order: str)
     return rows.withColumn("__rank", rank).where("__rank = 1").drop("__rank", "__new")
 
 
+def upsert_into(target: VersionedTable, batch: DataFrame, keys: Sequence[str], order: str, buckets: int = 64, number: int | None = None) -> bool:
+    """``upsert`` of a batch into a stored target, of which only the buckets that the batch touches
+    are read and written anew. Readers see all of it or none. A batch whose number has been applied
+    changes nothing, so one that runs again gives the same target. Whether it went in."""
+    seen = target.current()
+    if number is not None and seen.applied is not None and number <= seen.applied:
+        return False
+    batch = checkpointed(upsert(batch.limit(0), batch, keys, order))
+    touched = [r["b"] for r in batch.select(bucket(keys, buckets).alias("b")).distinct().collect()]  # ``buckets`` at most
+    before = target.read(touched, seen)
+    rows = upsert(batch.limit(0) if before is None else before, batch, keys, order)
+    schema, parts = target.write(rows, bucket(keys, buckets))
+    target.commit(seen, schema, {**seen.parts, **parts}, number if number is not None else seen.applied)
+    return True
+
+
+def append_into(log: VersionedTable, rows: DataFrame, by: str, spread: int = 8) -> None:
+    """Appends rows to a stored log whose folders are partitioned by a column; a large value of it is
+    written in several files. Readers see all of it or none."""
+    seen = log.current()
+    schema, parts = log.write(rows, F.coalesce(F.col(by).cast("string"), F.lit("")), spread)
+    together = {p: [*seen.parts.get(p, []), *parts.get(p, [])] for p in {*seen.parts, *parts}}
+    log.commit(seen, schema if parts or seen.schema is None else seen.schema, together, seen.applied)
+
+
 def content_hash(*cols: str) -> Column:
     """SHA-256 of columns as text; null and empty differ."""
     return F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in cols]), 256)

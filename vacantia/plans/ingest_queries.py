@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from vacantia.operators import ingest, lifecycle, runs
 from vacantia.sources.scratch import scratch_dir
 from vacantia.sources.tables import table
+from vacantia.sources.versioned import VersionedTable
 
 AS_OF = "2001-08-15"
 
@@ -42,16 +43,48 @@ def _read_parquet(s, d):
     return ingest.read_source(s, "parquet", f"{d}/customer.parquet", schema)
 
 
-def _read_text(fmt):
-    """The same table from text files, which are written before; no line is corrupt."""
+CUSTOMER = "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+#: One line in so many doesn't fit the schema.
+BROKEN = 50
 
-    def run(s, d):
-        path = f"{scratch_dir(s)}/source-{uuid.uuid4().hex}"
-        rows = table(s, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
-        rows.write.option("header", True).format(fmt).save(path)
-        return ingest.read_source(s, fmt, path, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string")
 
-    return run
+def _read_csv(s, d):
+    """The table from CSV that is written before; some lines have a word for the nation."""
+    path = f"{scratch_dir(s)}/source-{uuid.uuid4().hex}"
+    nation = F.when(F.col("c_custkey") % BROKEN == 0, "x?").otherwise(F.col("c_nationkey").cast("string")).alias("c_nationkey")
+    table(s, d, "customer").select("c_custkey", "c_name", nation, "c_acctbal", "c_mktsegment").write.option("header", True).csv(path)
+    return ingest.read_source(s, "csv", path, CUSTOMER)
+
+
+def _read_json(s, d):
+    """The table from JSON lines that are written before; some lines lack their end."""
+    path = f"{scratch_dir(s)}/source-{uuid.uuid4().hex}"
+    line = F.to_json(F.struct("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"))
+    cut = F.when(F.col("c_custkey") % BROKEN == 0, F.substring(line, F.lit(1), F.length(line) - 2)).otherwise(line)
+    table(s, d, "customer").select(cut.alias("value")).write.text(path)
+    return ingest.read_source(s, "json", path, CUSTOMER)
+
+
+def _stored(s):
+    return VersionedTable(s, f"{scratch_dir(s)}/table-{uuid.uuid4().hex}")
+
+
+def _upsert_stored(s, d):
+    """The two states one after the other into a stored target, the second one twice."""
+    old, new = _split_history(s, d)
+    target = _stored(s)
+    for number, batch in ((0, old), (1, new), (1, new)):
+        ingest.upsert_into(target, batch, ["o_orderkey"], "day", number=number)
+    return target.read()
+
+
+def _append_stored(s, d):
+    """A stored log by status: the old state, then what is new in the batch."""
+    old, new = _split_history(s, d)
+    log, content = _stored(s), ["o_orderkey", "price"]
+    ingest.append_into(log, old.withColumn("content_hash", ingest.content_hash(*content)), "o_orderstatus")
+    ingest.append_into(log, ingest.append_versions(log.read(), new, ["o_orderkey"], content), "o_orderstatus")
+    return log.read().select("o_orderkey", "o_orderstatus", "price", "content_hash")
 
 
 def _append(s, d):
@@ -145,22 +178,37 @@ PHASE_A = "(SELECT c_custkey, c_nationkey, CASE WHEN c_acctbal > 0 THEN c_mktseg
 PHASE_B = "(SELECT c_custkey, c_nationkey, CASE WHEN c_acctbal > -500 THEN c_mktsegment END AS segment, CASE WHEN c_nationkey > 1 THEN c_name END AS name FROM customer)"
 FILLED = " UNION ALL ".join(f"SELECT '{f}' AS field, round(count(*) FILTER (WHERE trim(coalesce(x.{f}, '')) <> '') * 100.0::DOUBLE / count(*), 2) AS pct FROM {{0}} x" for f in ("segment", "name"))
 
+UPSERTED = (
+        f"SELECT o_orderkey, o_custkey, o_orderstatus, price, day FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY day DESC) AS r FROM (SELECT * FROM {OLD} UNION ALL SELECT * FROM {NEW})) WHERE r = 1"
+)
 QUERIES = {
     "s01_read_source": (_read_parquet, "SELECT * FROM customer"),
-    "s01_read_csv": (_read_text("csv"), "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment, NULL::VARCHAR AS _corrupt FROM customer"),
-    "s01_read_json": (_read_text("json"), "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment, NULL::VARCHAR AS _corrupt FROM customer"),
+    "s01_read_csv": (
+        _read_csv,
+        f"SELECT c_custkey, c_name, CASE WHEN bad THEN NULL ELSE c_nationkey END AS c_nationkey, c_acctbal, c_mktsegment, CASE WHEN bad THEN c_custkey || ',' || c_name || ',x?,' || c_acctbal || ',' || c_mktsegment END AS _corrupt FROM (SELECT *, c_custkey % {BROKEN} = 0 AS bad FROM customer)",
+    ),
+    "s01_read_json": (
+        _read_json,
+        "SELECT " + ", ".join(f"CASE WHEN NOT bad THEN {c} END AS {c}" for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")) + ", CASE WHEN bad THEN '{\"c_custkey\":' || c_custkey || ',\"c_name\":\"' || c_name || '\",\"c_nationkey\":' || c_nationkey || "
+        f"',\"c_acctbal\":' || c_acctbal || ',\"c_mktsegment\":\"' || c_mktsegment END AS _corrupt FROM (SELECT *, c_custkey % {BROKEN} = 0 AS bad FROM customer)",
+    ),
     "s02_consolidate": (
         lambda s, d: ingest.consolidate(_sources(s, d), "day", "2024-01-01", "2024-02-28"),
         "SELECT c_custkey AS id, c_name AS name, '2024-01-05' AS day, c_mktsegment, NULL::DOUBLE AS s_acctbal FROM customer UNION ALL SELECT s_suppkey, s_name, '2024-02-05', NULL, s_acctbal FROM supplier",
     ),
     "s03_upsert": (
         lambda s, d: ingest.upsert(*_split_history(s, d), ["o_orderkey"], "day"),
-        f"SELECT o_orderkey, o_custkey, o_orderstatus, price, day FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY day DESC) AS r FROM (SELECT * FROM {OLD} UNION ALL SELECT * FROM {NEW})) WHERE r = 1",
+        UPSERTED,
     ),
+    "s03_upsert_stored": (_upsert_stored, UPSERTED),
     "s04_append_versions": (
         _append,
         f"SELECT o_orderkey, price, sha256(o_orderkey::VARCHAR || chr(31) || price::VARCHAR) AS content_hash FROM {NEW} n WHERE NOT EXISTS (SELECT 1 FROM {OLD} o WHERE o.o_orderkey = n.o_orderkey AND o.price = n.price)",
     ),
+    "s04_append_stored": (
+        _append_stored,
+        f"SELECT o_orderkey, o_orderstatus, price, sha256(o_orderkey::VARCHAR || chr(31) || price::VARCHAR) AS content_hash FROM (SELECT * FROM {OLD} UNION ALL SELECT * FROM {NEW} n WHERE NOT EXISTS (SELECT 1 FROM {OLD} o WHERE o.o_orderkey = n.o_orderkey AND o.price = n.price))",
+    ),
     "s05_filter_new": (
         lambda s, d: ingest.filter_new(*reversed(_split_history(s, d)), "o_orderkey")[0],
         f"SELECT * FROM {NEW} WHERE o_orderkey NOT IN (SELECT o_orderkey FROM {OLD})",

@@ -1,4 +1,4 @@
-"""Queries of the streams: a file stream over the events, run over what is there."""
+"""Queries of the streams: the events as a stream in order of time, run over what is there."""
 
 from __future__ import annotations
 
@@ -8,32 +8,28 @@ from pyspark.sql import functions as F
 
 from vacantia.sources.scratch import scratch_dir
 from vacantia.sources.tables import table
+from vacantia.sources.time_ranges import time_range_stream, write_ranges
+from vacantia.sources.versioned import VersionedTable
 from vacantia.streaming import streams
 
 
-#: Rows a file of a feed aims at.
-FILE_ROWS = 1_000_000
+#: Seconds of a range of the feed, and ranges a batch.
+RANGE_SECONDS, RANGES = 5 * 86_400, 1
 
 
 def _feed(s, d, close=False):
-    """A stream of the events of a data directory, copied into a folder for the file source: one
-    file a range of time, written one after another. The source reads files in order of their
-    writing, so no row comes after the watermark has passed it. ``close`` adds a row a day after
-    the last event, in a file of its own: the watermark then passes every window and session of
-    events, and that row's own is never complete."""
+    """A stream of the events of a data directory in order of ranges of their time. ``close`` adds a
+    row a day after the last event, in a range of its own: the watermark then passes every window and
+    session of events, and that row's own is never complete."""
     base = f"{scratch_dir(s)}/stream-{uuid.uuid4().hex}"
     rows = table(s, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
-    at = F.unix_micros("ts")
-    files = max(1, -(-rows.count() // FILE_ROWS))
-    shares = [i / files for i in range(1, files)]
-    edges = sorted(set(rows.agg(F.percentile_approx(at, shares, 10_000)).first()[0] or [])) if shares else []
-    place = sum((F.when(at > e, 1).otherwise(0) for e in edges), F.lit(0))  # rows without a time come first
-    for i in range(len(edges) + 1):
-        rows.where(place == i).coalesce(1).sortWithinPartitions("ts").write.mode("append").parquet(f"{base}/in")
+    write_ranges(rows, "ts", f"{base}/in", RANGE_SECONDS)
     if close:
-        last = rows.agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts")).where("ts IS NOT NULL")
-        last.select(*[F.col("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema]).coalesce(1).write.mode("append").parquet(f"{base}/in")
-    return streams.file_stream(s, f"{base}/in", rows.schema), base
+        # a range's length later, so no event shares its range
+        last = rows.agg((F.max("ts") + F.make_dt_interval(secs=F.lit(max(RANGE_SECONDS, 86_400)))).alias("ts")).where("ts IS NOT NULL")
+        last = last.select(*[F.col("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema])
+        write_ranges(last, "ts", f"{base}/in", RANGE_SECONDS)
+    return time_range_stream(s, f"{base}/in", rows.schema, f"{base}/checkpoint", RANGES), base
 
 
 def _run(s, stream, base):
@@ -48,19 +44,10 @@ def _texts(df, *times):
 def _upserted(s, d):
     """Latest event of each user: repeats of an event id are dropped, then users are upserted."""
     stream, base = _feed(s, d)
-    state: list[str] = []
-
-    def read():
-        return s.read.parquet(state[-1]) if state else None
-
-    def write(df):
-        path = f"{base}/target-{len(state)}"
-        df.write.parquet(path)
-        state.append(path)
-
+    target = VersionedTable(s, f"{base}/target")
     first = streams.first_of_id(stream, "event_id", "ts", "1 day")
-    streams.stream_upsert(first, read, write, ["user_id"], "ts", f"{base}/checkpoint").awaitTermination()
-    return read().select("user_id", "event_id", "event_type", "value")
+    streams.drain(streams.stream_upsert(first, target, ["user_id"], "ts", f"{base}/checkpoint"))
+    return target.read().select("user_id", "event_id", "event_type", "value")
 
 
 def _health(s, d):

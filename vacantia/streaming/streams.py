@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from vacantia.operators.ingest import upsert
+from vacantia.operators.ingest import upsert_into
+from vacantia.sources.versioned import VersionedTable
 
 
 def file_stream(spark: SparkSession, path: str, schema, files: int = 4) -> DataFrame:
@@ -21,15 +22,14 @@ def first_of_id(stream: DataFrame, key: str, ts: str, delay: str) -> DataFrame:
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
-def stream_upsert(stream: DataFrame, read: Callable[[], DataFrame | None], write: Callable[[DataFrame], None], keys: Sequence[str], order: str, checkpoint: str) -> StreamingQuery:
-    """Keyed upsert of each batch into a target that ``read`` and ``write`` hold. A batch that
-    runs again gives the same target."""
+def stream_upsert(stream: DataFrame, target: VersionedTable, keys: Sequence[str], order: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Keyed upsert of each batch into a stored target, of which a batch rewrites only the buckets
+    that it touches. A batch that runs again gives the same target."""
 
-    def put(batch: DataFrame, _: int) -> None:
-        target = read()
-        write(upsert(batch.limit(0) if target is None else target, batch, keys, order))
+    def put(batch: DataFrame, number: int) -> None:
+        upsert_into(target, batch, keys, order, buckets, number)
 
-    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).start()
 
 
 def stream_health(stream: DataFrame, ts: str, source: str, failed: Column, width: str, delay: str, warning: float = 0.2, critical: float = 0.5) -> DataFrame:
@@ -46,6 +46,14 @@ def stream_sessions(stream: DataFrame, ts: str, source: str, gap: str, delay: st
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), source, "n")
 
 
+def drain(query: StreamingQuery) -> None:
+    """Lets a query take all that its source has now, batch by batch, and ends it."""
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+
+
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Runs a stream over what is there now and writes its result as Parquet."""
-    stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    drain(stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).start())
