@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vacantia.functions.columns import half_up, percent
+from vacantia.operators.selection import kth
+from vacantia.operators.terms import bounded
+from vacantia.sources.scratch import checkpointed
 
 
 def kpis(df: DataFrame, distinct: Mapping[str, str]) -> DataFrame:
@@ -225,10 +228,12 @@ def overlap_pairs(df: DataFrame, keyword: str, key: str, n: int) -> DataFrame:
 
 
 def snapshot_metrics(df: DataFrame, status: str, score: str) -> DataFrame:
-    """Rows, mean and upper median of the scores of each status."""
-    ranked = df.withColumn("r", F.row_number().over(Window.partitionBy(status).orderBy(score))).withColumn("k", F.count("*").over(Window.partitionBy(status)))
-    upper = F.max(F.when(F.col("r") == F.floor(F.col("k") / 2) + 1, F.col(score))).alias("upper_median")
-    return ranked.groupBy(status).agg(F.count("*").alias("n"), half_up(F.avg(score), 2).alias("mean"), upper)
+    """Rows, mean and upper median of the scores of each status; null scores count as rows only."""
+    sizes = df.groupBy(status).agg(F.count("*").alias("n"), half_up(F.avg(score), 2).alias("mean"), F.floor(F.count(score) / 2).alias("__k"))
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    places = bounded(sizes.select(F.col(status).alias("__status"), "__k"))
+    middle = kth(df.join(places, same(status, "__status")), [status], F.col(score), F.col("__k")).select(F.col(status).alias("__status"), F.col("kth").alias("upper_median"))
+    return sizes.drop("__k").join(bounded(middle), same(status, "__status"), "left").drop("__status")
 
 
 def first_digits(df: DataFrame, code: str) -> DataFrame:
@@ -246,15 +251,25 @@ def json_stats(df: DataFrame, col: str, field: str, group: str) -> DataFrame:
 def stratified_sample(df: DataFrame, key: str, source: str, stratum: str, n: int, floor: int, shares: Mapping[str, float]) -> DataFrame:
     """About n rows: each source by its share with a floor, split over strata by fixed shares.
 
-    Rows of a stratum are taken in order of the hash of their key, so a sample repeats itself.
+    Rows of a stratum are taken in order of the hash of their key, so a sample repeats itself. The
+    hash of the last row that is taken is found by counts, and only rows with that very hash are
+    ranked.
     """
-    size = F.count("*").over(Window.partitionBy(source))
-    total = df.agg(F.count("*").alias("total"))
-    quota = F.greatest(F.lit(floor), F.round(F.col("size") * n / F.col("total")))
     part = F.coalesce(*[F.when(F.col(stratum) == s, F.lit(p)) for s, p in shares.items()], F.lit(0.0))
-    rank = F.row_number().over(Window.partitionBy(source, stratum).orderBy(F.xxhash64(key), key))
-    rows = df.withColumn("size", size).crossJoin(total).withColumn("rank", rank)
-    return rows.where(F.col("rank") <= F.ceil(quota * part)).drop("size", "total", "rank")
+    sizes = checkpointed(df.groupBy(source, stratum).agg(F.count("*").alias("size")))
+    total = F.sum("size").over(Window.partitionBy(F.lit(0)))  # a row for each source and stratum
+    of_source = F.sum("size").over(Window.partitionBy(source))
+    quota = F.greatest(F.lit(floor), F.round(of_source * n / total))
+    wanted = sizes.withColumn("__n", F.least("size", F.ceil(quota * part))).select(F.col(source).alias("__source"), F.col(stratum).alias("__stratum"), "__n")
+    here = F.col(source).eqNullSafe(F.col("__source")) & F.col(stratum).eqNullSafe(F.col("__stratum"))
+    rows = df.withColumn("__hash", F.xxhash64(key)).join(bounded(checkpointed(wanted.where("__n > 0"))), here)
+    last = kth(rows, ["__source", "__stratum"], F.col("__hash"), F.col("__n") - 1).withColumnsRenamed({"__source": "__s", "__stratum": "__t"})
+    rows = rows.join(bounded(last), F.col("__source").eqNullSafe(F.col("__s")) & F.col("__stratum").eqNullSafe(F.col("__t"))).where("__hash <= kth")
+    below = rows.where("__hash < kth")
+    edge = rows.where("__hash = kth").join(bounded(below.groupBy("__source", "__stratum").agg(F.count("*").alias("__below")).withColumnsRenamed({"__source": "__a", "__stratum": "__b"})), F.col("__source").eqNullSafe(F.col("__a")) & F.col("__stratum").eqNullSafe(F.col("__b")), "left")
+    rank = F.row_number().over(Window.partitionBy("__source", "__stratum").orderBy(key))
+    edge = edge.withColumn("__rank", rank).where(F.col("__rank") <= F.col("__n") - F.coalesce("__below", F.lit(0)))
+    return below.select(df.columns).union(edge.select(df.columns))
 
 
 def usage(orgs: DataFrame, users: DataFrame, events: DataFrame, org: str, user: str, ts: str, kind: str, as_of: str, kinds: Sequence[str]) -> DataFrame:
