@@ -2,10 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from vacantia.operators import dedup
+from vacantia.plans import dedup_queries
+from vacantia.sources.scratch import checkpointed
 
 
 @pytest.mark.parametrize("least", [0.5, 0.8])
@@ -18,10 +21,27 @@ def test_pairs_against_brute_force(spark, least):
         for i in rnd.sample(range(60), 6):
             words[i] = "other"
         texts.append(" ".join(words))
-    signed = dedup.minhash(spark.createDataFrame(list(enumerate(texts)), "id int, t string"), "t").select("id", "signature").localCheckpoint()
+    signed = dedup.minhash(spark.createDataFrame(list(enumerate(texts)), "id int, t string"), "t").select("id", "signature")
+    signed = checkpointed(signed)
     a, b = (signed.select(F.col("id").alias(x), F.col("signature").alias(f"s{x}")) for x in "ab")
     likeness = dedup.estimated_jaccard(F.col("sa"), F.col("sb"))
     want = {tuple(r) for r in a.crossJoin(b).where("a < b").where(likeness >= least).select("a", "b").collect()}
     got = [(r["a"], r["b"]) for r in dedup.minhash_pairs(signed, "id", "signature", least).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert least > 0.5 or len(want) > 50
+
+
+def test_whole_table_against_all_pairs(spark):
+    d = "/root/testdata/sf0.01"
+    rows = [(r["doc_id"], tuple(r["signature"])) for r in dedup_queries._signatures(spark, d).where("signature IS NOT NULL").collect()]
+    first = {}
+    for i, s in sorted(rows):
+        first.setdefault(s, i)
+    ids, m = np.array(list(first.values())), np.array(list(first))
+    want = {}
+    for i in range(len(ids)):
+        same = (m[i] == m[i + 1 :]).mean(axis=1)
+        want |= {tuple(sorted((int(ids[i]), int(ids[i + 1 + j])))): float(same[j]) for j in np.flatnonzero(same >= 0.5)}
+    want |= {(first[s], i): 1.0 for i, s in rows if first[s] != i}
+    got = {(r["a"], r["b"]): r["likeness"] for r in dedup_queries.QUERIES["d03_minhash"][0](spark, d).collect()}
+    assert got == want and len(want) > 100

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from vacantia.functions.text import norm_key, similarity
 from vacantia.operators.components import connected_components
 from vacantia.operators.normalize import first_of
+from vacantia.operators.terms import like_texts
 from vacantia.sources.scratch import checkpointed
 
 #: Weights of the parts of a pair's score: title, text, company, salary.
@@ -33,10 +34,26 @@ def candidate_pairs(df: DataFrame, block: Sequence[str], source: str, key: str,
     return a.join(b, list(block)).where("a < b AND source_a <> source_b")
 
 
+def best_window(a: Column, b: Column) -> Column:
+    """Edit similarity of the shorter text and the window of the longer one that is most like it."""
+    first = F.length(a) <= F.length(b)
+    short, long = F.when(first, a).otherwise(b), F.when(first, b).otherwise(a)
+    starts = F.sequence(F.lit(1), F.length(long) - F.length(short) + 1)
+    return F.array_max(F.transform(starts, lambda i: similarity(short, F.substring(long, i, F.length(short)))))
+
+
+def with_window(likeness: Column, a: Column, b: Column, weight: float = 0.9) -> Column:
+    """A likeness, or a little less than that of the best window where this is more; windows are not
+    looked at where they can't be."""
+    both = (F.length(a) > 0) & (F.length(b) > 0) & (F.length(a) != F.length(b))
+    return F.when((likeness < weight) & both, F.greatest(likeness, best_window(a, b) * weight)).otherwise(likeness)
+
+
 def title_likeness(a: Column, b: Column) -> Column:
-    """Likeness of two title keys: of the texts, or a little less of their words in alphabetical order."""
+    """Likeness of two title keys: of the texts, a little less of their words in alphabetical order,
+    less again of one with the best window of the other."""
     x, y = (F.array_join(F.array_sort(F.split(c, " ")), " ") for c in (a, b))
-    return F.greatest(similarity(a, b), similarity(x, y) * 0.95)
+    return with_window(F.greatest(similarity(a, b), similarity(x, y) * 0.95), a, b)
 
 
 def token_set(c: Column) -> Column:
@@ -68,7 +85,7 @@ def score_pairs(pairs: DataFrame, title: str, text: str, company: str, salary: s
     freed = F.when(hidden, w["company"]).otherwise(0.0)
     s_title = title_likeness(F.col(f"{title}_a"), F.col(f"{title}_b"))
     s_text = jaccard(F.col(f"{text}_a"), F.col(f"{text}_b"))
-    s_company = F.when(hidden, 0.0).otherwise(similarity(a, b) * w["company"])
+    s_company = F.when(hidden, 0.0).otherwise(with_window(similarity(a, b), a, b) * w["company"])
     score = s_title * (w["title"] + freed * 0.6) + s_text * (w["text"] + freed * 0.4) + s_company + pay * w["salary"]
     return pairs.withColumn("score", F.round(score, 8))
 
@@ -92,14 +109,17 @@ def canonical(df: DataFrame, group: str, day: str, key: str) -> DataFrame:
 def dedup_fuzzy(df: DataFrame, key: str, cols: Sequence[str], block: Sequence[str], least: float) -> DataFrame:
     """One row of each group of rows in a block whose joined keys are like enough: the smallest id.
 
-    Rows that share the whole key are one before pairs are made, so copies don't multiply.
+    Rows that share the whole key are one before pairs are made, so copies don't multiply, and only
+    keys are compared that share a segment as every pair so alike does. Null values of the block are
+    a block.
     """
     rows = df.withColumn("__key", norm_key(F.concat_ws("|", *cols)))
-    first = rows.groupBy(*block, "__key").agg(F.min(key).alias("__id"))
-    a = first.select(*block, F.col("__key").alias("ka"), F.col("__id").alias("a"))
-    b = first.select(*block, F.col("__key").alias("kb"), F.col("__id").alias("b"))
-    close = F.abs(F.length("ka") - F.length("kb")) <= (1 - least) * F.greatest(F.length("ka"), F.length("kb"))
-    pairs = a.join(b, list(block)).where("a < b").where(close).where(similarity(F.col("ka"), F.col("kb")) >= least)
+    blocked = F.to_json(F.struct(*block)).alias("__block")
+    first = checkpointed(rows.groupBy(*block, "__key").agg(F.min(key).alias("__id")).withColumn("__block", blocked))
+    t, n = first.select("__block", F.col("__key").alias("__t"), F.col("__id").alias("a")), first.select("__block", F.col("__key").alias("__n"), F.col("__id").alias("b"))
+    near = like_texts(t.select("__block", "__t"), n.select("__block", "__n", F.col("__n").alias("name")), least, ["__block"])
+    near = near.where("__t < __n").where(similarity(F.col("__t"), F.col("__n")) >= least)
+    pairs = near.join(t, ["__block", "__t"]).join(n, ["__block", "__n"]).select("a", "b")
     later = connected_components(pairs).where("node <> component").select(F.col("node").alias("__id"))
     kept = first.join(later, "__id", "left_anti").select(F.col("__id").alias(key))
     return df.join(kept, key, "left_semi")
@@ -125,22 +145,28 @@ def estimated_jaccard(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x)) / F.size(a)
 
 
+def minhash_candidates(first: DataFrame, key: str, signature: str, least: float, perms: int = 128) -> DataFrame:
+    """Candidate pairs (a, b) that hold every two signatures of the likeness. Such signatures agree in
+    ``ceil(least * perms)`` places at least, so in any order of all (place, value) they share one of
+    the first ``perms - ceil(least * perms) + 1`` of each. Values go in order of how many signatures
+    have them: one that a common line puts into very many signatures comes last, and is a key of those
+    only that have little else. A value of one signature alone takes its place and is no key."""
+    keys = perms - math.ceil(least * perms - 1e-9) + 1
+    each = first.select(F.col(key).alias("id"), F.posexplode(signature).alias("place", "value"))
+    often = each.groupBy("place", "value").agg(F.count("*").alias("n"))
+    counted = each.join(often, ["place", "value"]).groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "place", "value"))), 1, keys).alias("found"))
+    placed = checkpointed(counted.select("id", F.explode("found").alias("k")).where("k.n > 1").select("id", "k.place", "k.value"))
+    a, b = (placed.select(F.col("id").alias(x), "place", "value") for x in "ab")
+    return a.join(b, ["place", "value"]).where("a < b").select("a", "b").distinct()
+
+
 def minhash_pairs(df: DataFrame, key: str, signature: str, least: float, perms: int = 128) -> DataFrame:
-    """All pairs whose estimated likeness is high enough. Such signatures differ in at most
-    ``perms - ceil(least * perms)`` places, so of one band more than that one at least is equal:
-    rows that agree in a band are compared, and no pair is missed. Rows with one whole signature
-    stand for each other: pairs join distinct signatures, and every other row is paired with the
-    first of its own."""
+    """All pairs whose estimated likeness is high enough. Rows with one whole signature stand for each
+    other: pairs join distinct signatures, and every other row is paired with the first of its own."""
     first = checkpointed(df.where(F.col(signature).isNotNull()).groupBy(signature).agg(F.min(key).alias("__first")))
-    bands = min(perms, perms - math.ceil(least * perms - 1e-9) + 1)
-    cuts = [perms * i // bands for i in range(bands + 1)]
-    parts = F.array(*[F.xxhash64(F.slice(F.col(signature), a + 1, b - a)) for a, b in zip(cuts, cuts[1:], strict=False)])
-    banded = first.select("__first", F.posexplode(parts).alias("band", "h"))
-    a, b = (banded.select(F.col("__first").alias(x), "band", "h") for x in "ab")
-    near = a.join(b, ["band", "h"]).where("a < b").select("a", "b").distinct()
+    near = minhash_candidates(first, "__first", signature, least, perms)
     for x in "ab":
         near = near.join(first.select(F.col("__first").alias(x), F.col(signature).alias(f"s{x}")), x)
     near = near.select("a", "b", estimated_jaccard(F.col("sa"), F.col("sb")).alias("likeness")).where(F.col("likeness") >= least)
     same = df.join(first, signature).where(F.col(key) != F.col("__first")).select(F.col("__first").alias("a"), F.col(key).alias("b"), F.lit(1.0).alias("likeness"))
     return near.union(same)
-

@@ -46,10 +46,17 @@ def _sim(a, b):
     return f"CASE WHEN greatest(length({a}), length({b})) = 0 THEN 1.0 ELSE 1.0 - levenshtein({a}, {b}) / greatest(length({a}), length({b}))::DOUBLE END"
 
 
+def _window_sim(a, b):
+    """Of the shorter text and the most like window of the longer one."""
+    short, long = (f"CASE WHEN length({a}) <= length({b}) THEN {x} ELSE {y} END" for x, y in ((a, b), (b, a)))
+    each = f"list_transform(range(1, length({long}) - length({short}) + 2), lambda i: 1.0 - levenshtein({short}, substr({long}, i::INT, length({short})::INT)) / length({short})::DOUBLE)"
+    return f"CASE WHEN least(length({a}), length({b})) = 0 THEN 0.0 ELSE list_max({each}) END"
+
+
 def _title_sim(a, b):
     a, b = key_sql(a), key_sql(b)
     in_order = [f"array_to_string(list_sort(string_split({x}, ' ')), ' ')" for x in (a, b)]
-    return f"greatest({_sim(a, b)}, 0.95::DOUBLE * ({_sim(*in_order)}))"
+    return f"greatest({_sim(a, b)}, 0.95::DOUBLE * ({_sim(*in_order)}), 0.9::DOUBLE * {_window_sim(a, b)})"
 
 
 def _tokens(c):
@@ -59,7 +66,7 @@ def _tokens(c):
 SCORED = (
     f"(SELECT *, round({_title_sim('title_a', 'title_b')} * (0.40::DOUBLE + CASE WHEN hid THEN 0.15::DOUBLE ELSE 0 END * 0.6) + "
     f"(len(list_intersect({_tokens('text_a')}, {_tokens('text_b')})) / len(list_distinct(list_concat({_tokens('text_a')}, {_tokens('text_b')})))::DOUBLE) * (0.35::DOUBLE + CASE WHEN hid THEN 0.15::DOUBLE ELSE 0 END * 0.4) + "
-    f"CASE WHEN hid THEN 0.0 ELSE ({_sim(key_sql('company_a'), key_sql('company_b'))}) * 0.15::DOUBLE END + CASE WHEN pay_a IS NULL OR pay_b IS NULL THEN 0.5::DOUBLE ELSE least(pay_a, pay_b) / greatest(pay_a, pay_b) END * 0.10::DOUBLE, 8) AS score "
+    f"CASE WHEN hid THEN 0.0 ELSE greatest({_sim(key_sql('company_a'), key_sql('company_b'))}, 0.9::DOUBLE * {_window_sim(key_sql('company_a'), key_sql('company_b'))}) * 0.15::DOUBLE END + CASE WHEN pay_a IS NULL OR pay_b IS NULL THEN 0.5::DOUBLE ELSE least(pay_a, pay_b) / greatest(pay_a, pay_b) END * 0.10::DOUBLE, 8) AS score "
     f"FROM (SELECT *, company_a = 'Confidential' OR company_b = 'Confidential' AS hid FROM {P}))"
 )
 
