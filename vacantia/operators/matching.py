@@ -14,15 +14,13 @@ from pyspark.sql import types as T
 from vacantia.functions.columns import half_up, percent
 from vacantia.functions.text import first_match, norm_key, similarity
 from vacantia.operators.dedup import jaccard, token_set
-from vacantia.operators.terms import alike_words, begun_by, bounded, containing, like_texts
+from vacantia.operators.terms import begun_by, bounded, containing, like_texts
 from vacantia.sources.scratch import checkpointed
 
 #: Query vectors and catalogue vectors that are multiplied with each other at once.
 QUERY_BLOCK, ITEM_BLOCK = 2_000, 4_000
 #: Hyperplanes of the bucketed search, and how many of them a probed bucket may differ in.
 PLANES, RADIUS = 8, 5
-#: Edit likeness, a little over a half, from which likeness alone is found by segments.
-SEGMENTED = 0.52
 
 
 def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, name: str = "rank") -> DataFrame:
@@ -224,15 +222,14 @@ def multicriteria(df: DataFrame, title: str, skills: str, text: str, filled: Col
 
 
 def fuzzy_match(df: DataFrame, key: str, title: str, catalogue: DataFrame, name: str, least: float) -> DataFrame:
-    """Best catalogue name of a title: edit likeness .6 and word overlap .4. A pair that reaches the
-    least score has either so many words in common or so like letters, and both kinds of candidates
-    are found by joins that miss none. Distinct titles are compared, so frequent ones cost once."""
+    """Best catalogue name of a title: edit likeness .6 and word overlap .4. Candidates are names
+    that share a word, and names that reach the least score by edit likeness alone. Distinct titles
+    are compared, so frequent ones cost once."""
     titles = df.select(norm_key(F.col(title)).alias("__t")).distinct()
     names = catalogue.select(F.col(name).alias("name"), norm_key(F.col(name)).alias("__n")).distinct()
-    needed = least - 0.00005  # scores are rounded to four places
-    shared = min(1.0, max(0.0, (needed - 0.6 * SEGMENTED) / 0.4))
-    pairs = alike_words(titles, names.select("__n").distinct(), "__t", "__n", token_set(F.col("__t")), token_set(F.col("__n")), shared).join(names, "__n").select("__t", "__n", "name")
-    alone = (needed - 0.4 * shared) / 0.6
+    words = lambda d, c: d.select("*", F.explode(token_set(F.col(c))).alias("__w"))
+    pairs = words(titles, "__t").join(words(names, "__n"), "__w").select("__t", "__n", "name")
+    alone = (least - 0.00005) / 0.6  # scores are rounded to four places
     if alone <= 1:
         pairs = pairs.union(like_texts(titles, names, alone))
     pairs = pairs.distinct()
