@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from vacantia.operators.ingest import append_into, upsert_into
+from vacantia.operators.ingest import append_into, replace_into, upsert_into
 from vacantia.sources.time_ranges import time_range_stream, write_ranges
 from vacantia.sources.versioned import Version, VersionedTable
 from vacantia.streaming import streams
@@ -38,6 +38,15 @@ def test_upsert_into_touches_what_it_has_to(spark, tmp_path):
     assert upsert_into(t, small.limit(0), ["k"], "at", buckets=16) and t.read().count() == 5002
 
 
+def test_replace_into(spark, tmp_path):
+    t = VersionedTable(spark, str(tmp_path / "t"))
+    assert replace_into(t, spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d")], "k int, v string"), ["k"], number=0)
+    assert replace_into(t, spark.createDataFrame([(1, "x"), (None, "y"), (None, "z"), (3, "n")], "k int, v string"), ["k"], number=1)
+    want = [(1, "x"), (2, "c"), (3, "n"), (None, "y"), (None, "z")]
+    assert rows(t.read(), "k", "v") == want
+    assert not replace_into(t, spark.createDataFrame([(2, "again")], "k int, v string"), ["k"], number=1) and rows(t.read(), "k", "v") == want
+
+
 def test_a_failed_or_beaten_write_changes_nothing(spark, tmp_path):
     t = VersionedTable(spark, str(tmp_path / "t"))
     upsert_into(t, spark.createDataFrame([(1, 1)], "k int, at int"), ["k"], "at")

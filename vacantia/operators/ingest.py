@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -46,29 +47,50 @@ def upsert(target: DataFrame, batch: DataFrame, keys: Sequence[str], order: str)
     return rows.withColumn("__rank", rank).where("__rank = 1").drop("__rank", "__new")
 
 
-def upsert_into(target: VersionedTable, batch: DataFrame, keys: Sequence[str], order: str, buckets: int = 64, number: int | None = None) -> bool:
-    """``upsert`` of a batch into a stored target, of which only the buckets that the batch touches
-    are read and written anew. Readers see all of it or none. A batch whose number has been applied
-    changes nothing, so one that runs again gives the same target. Whether it went in."""
+def _rewritten(target: VersionedTable, batch: DataFrame, keys: Sequence[str], merge: Callable[[DataFrame, DataFrame], DataFrame], buckets: int, number: int | None) -> bool:
+    """Puts a batch into the buckets of a stored target that it touches, and no others: ``merge`` of
+    their rows and the batch. Whether it went in."""
     seen = target.current()
     if number is not None and seen.applied is not None and number <= seen.applied:
         return False
-    batch = checkpointed(upsert(batch.limit(0), batch, keys, order))
+    batch = checkpointed(batch)
     touched = [r["b"] for r in batch.select(bucket(keys, buckets).alias("b")).distinct().collect()]  # ``buckets`` at most
     before = target.read(touched, seen)
-    rows = upsert(batch.limit(0) if before is None else before, batch, keys, order)
-    schema, parts = target.write(rows, bucket(keys, buckets))
+    schema, parts = target.write(merge(batch.limit(0) if before is None else before, batch), bucket(keys, buckets))
     target.commit(seen, schema, {**seen.parts, **parts}, number if number is not None else seen.applied)
     return True
 
 
-def append_into(log: VersionedTable, rows: DataFrame, by: str, spread: int = 8) -> None:
+def upsert_into(target: VersionedTable, batch: DataFrame, keys: Sequence[str], order: str, buckets: int = 64, number: int | None = None) -> bool:
+    """``upsert`` of a batch into a stored target, of which only the buckets that the batch touches
+    are read and written anew. Readers see all of it or none. A batch whose number has been applied
+    changes nothing, so one that runs again gives the same target. Whether it went in."""
+    return _rewritten(target, upsert(batch.limit(0), batch, keys, order), keys, lambda old, new: upsert(old, new, keys, order), buckets, number)
+
+
+def replace_into(target: VersionedTable, batch: DataFrame, keys: Sequence[str], buckets: int = 64, number: int | None = None) -> bool:
+    """As ``upsert_into``, but all rows of a key in the batch take the place of all rows that the
+    target has of it. Null keys are a key."""
+
+    def merge(old: DataFrame, new: DataFrame) -> DataFrame:
+        there = new.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
+        same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+        return old.join(there, same, "left_anti").unionByName(new, allowMissingColumns=True)
+
+    return _rewritten(target, batch, keys, merge, buckets, number)
+
+
+def append_into(log: VersionedTable, rows: DataFrame, by: str, spread: int = 8, number: int | None = None) -> bool:
     """Appends rows to a stored log whose folders are partitioned by a column; a large value of it is
-    written in several files. Readers see all of it or none."""
+    written in several files. Readers see all of it or none, and a batch whose number has been
+    applied changes nothing. Whether it went in."""
     seen = log.current()
+    if number is not None and seen.applied is not None and number <= seen.applied:
+        return False
     schema, parts = log.write(rows, F.coalesce(F.col(by).cast("string"), F.lit("")), spread)
     together = {p: [*seen.parts.get(p, []), *parts.get(p, [])] for p in {*seen.parts, *parts}}
-    log.commit(seen, schema if parts or seen.schema is None else seen.schema, together, seen.applied)
+    log.commit(seen, schema if parts or seen.schema is None else seen.schema, together, number if number is not None else seen.applied)
+    return True
 
 
 def content_hash(*cols: str) -> Column:

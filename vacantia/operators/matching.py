@@ -14,8 +14,10 @@ from pyspark.sql import types as T
 from vacantia.functions.columns import half_up, percent
 from vacantia.functions.text import first_match, norm_key, similarity
 from vacantia.operators.dedup import jaccard, token_set
+from vacantia.operators.ingest import append_into, replace_into, upsert_into
 from vacantia.operators.terms import begun_by, bounded, containing, like_texts
 from vacantia.sources.scratch import checkpointed
+from vacantia.sources.versioned import VersionedTable
 
 #: Query vectors and catalogue vectors that are multiplied with each other at once.
 QUERY_BLOCK, ITEM_BLOCK = 2_000, 4_000
@@ -319,3 +321,13 @@ def method_agreement(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Rows of two methods by confidence in each, with how many agree in label and in code."""
     x, y = (df.select(key, *[F.col(c).alias(f"{c}_{n}") for c in ("label", "code", "confidence")]) for df, n in ((a, "a"), (b, "b")))
     return x.join(y, key).groupBy("confidence_a", "confidence_b").agg(F.count("*").alias("n"), F.count_if(F.expr("label_a = label_b")).alias("same_label"), F.count_if(F.expr("code_a = code_b")).alias("same_code"))
+
+
+def save_matches(results: VersionedTable, history: VersionedTable, details: VersionedTable, matches: DataFrame, skills: DataFrame, key: str, run: str, number: int) -> None:
+    """Keeps what a matching run has found: the latest result of each row, every result by run, and
+    the skills of each row's latest result, all of which replace those before. A run that is saved
+    again, also after a failure between the three, changes nothing that it has saved."""
+    matches = checkpointed(matches)
+    upsert_into(results, matches, [key], run, number=number)
+    append_into(history, matches, run, number=number)
+    replace_into(details, skills, [key], number=number)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from vacantia.operators import matching as m
 from vacantia.plans.normalize_queries import key_sql
+from vacantia.sources.scratch import scratch_dir
 from vacantia.sources.tables import table
+from vacantia.sources.versioned import VersionedTable
 
 
 def _vectors(s, d):
@@ -157,6 +161,29 @@ def flagship(s, d):
     return m.decide(ruled.join(best, "l_orderkey", "left"), [("rule", "rule"), ("blended", "blended")], "blended")
 
 
+def _saved(which):
+    """Two runs of matching, the second over every third order with fewer skills, and saved twice."""
+
+    def run(s, d):
+        tables = [VersionedTable(s, f"{scratch_dir(s)}/matches-{uuid.uuid4().hex}") for _ in range(3)]
+        o, l = table(s, d, "orders"), table(s, d, "lineitem")
+        for number in (0, 1, 1):
+            some = o.where("o_orderkey % 3 = 0") if number else o
+            matches = some.select("o_orderkey", (F.col("o_custkey") + number).alias("code"), F.col("o_orderpriority").alias("method"), F.lit(number).alias("run"))
+            lines = l.where("l_orderkey % 3 = 0 AND l_linenumber <= 2") if number else l
+            skills = lines.join(o.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("skill"), F.lit(number).alias("run"))
+            m.save_matches(*tables, matches, skills, "o_orderkey", "run", number)
+        return tables[which].read()
+
+    return run
+
+
+ALL_RUNS = "(SELECT o_orderkey, o_custkey AS code, o_orderpriority AS method, 0 AS run FROM orders UNION ALL SELECT o_orderkey, o_custkey + 1, o_orderpriority, 1 FROM orders WHERE o_orderkey % 3 = 0)"
+DETAILS = (
+    "SELECT l_orderkey AS o_orderkey, l_partkey AS skill, 0 AS run FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) AND l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_orderkey % 3 = 0 AND l_linenumber <= 2) "
+    "UNION ALL SELECT l_orderkey, l_partkey, 1 FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) AND l_orderkey % 3 = 0 AND l_linenumber <= 2"
+)
+
 QUERIES = {
     "e02_flagship": (
         flagship,
@@ -165,6 +192,9 @@ QUERIES = {
     ),
     "m01_topk_cosine": (lambda s, d: _top(s, d).withColumn("score", F.round("score", 4)), f"SELECT query_id, item_id, round(score, 4) AS score, rank FROM {TOP}"),
     "m01_topk_bucketed": (lambda s, d: m.topk_bucketed(*_vectors(s, d), 10).withColumn("score", F.round("score", 4)), None),
+    "m04_saved_results": (_saved(0), f"SELECT * FROM {ALL_RUNS} QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY run DESC) = 1"),
+    "m04_saved_history": (_saved(1), f"SELECT * FROM {ALL_RUNS}"),
+    "m04_saved_details": (_saved(2), DETAILS),
     "m02_match_texts": (
         lambda s, d: m.match_texts(_texts(s, d), "row", "place", "label", "score", 0.2).select("row", "label", "place", "item_id"),
         f"SELECT row, label, place, item_id FROM (SELECT *, row_number() OVER (PARTITION BY row, label ORDER BY place, score DESC) AS r FROM {TEXTS} WHERE score >= 0.2) WHERE r = 1",
