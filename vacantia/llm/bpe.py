@@ -22,9 +22,11 @@ rows and extra columns need nothing special: the text column alone goes to Pytho
 
 from __future__ import annotations
 
+import fcntl
 import gc
 import json
 import re
+import tempfile
 from array import array
 from collections.abc import Iterator
 from hashlib import sha256
@@ -40,7 +42,7 @@ from vacantia.llm.memory import kept, release, small_batches
 from vacantia.llm.unicode_rules import masked, normalized, odd_characters
 
 #: Entries of a worker's cache of words before it is emptied; longer words are not cached.
-CACHE_WORDS, CACHE_LEN = 150_000, 48
+CACHE_WORDS, CACHE_LEN = 75_000, 48
 #: Rows that are worked on at once.
 ROWS = 256
 #: Marks that often end a stretch without white space; none is a letter, digit or apostrophe.
@@ -91,9 +93,15 @@ class Automaton:
         self._cache: dict[str, bytes] = {}
 
     def compile(self) -> Automaton:
-        """Builds the transition table, once; decoding does without it."""
-        if self.row:
-            return self
+        """Builds the transition table, once; decoding does without it. While it is built it takes
+        several times its size, so the workers of a machine build theirs one after another."""
+        if not self.row:
+            with open(f"{tempfile.gettempdir()}/bpe-compile.lock", "w") as turn:
+                fcntl.flock(turn, fcntl.LOCK_EX)
+                self._build()
+        return self
+
+    def _build(self) -> None:
         merges = [(self.ids[u], self.ids[v], self.ids[u + v]) for u, v in self.merges]
         made = [uv for _, _, uv in merges]
         if len(set(made)) < len(made):
@@ -122,11 +130,12 @@ class Automaton:
         for at in range(0, len(self.labels), 4_096):
             part = np.ascontiguousarray(table[:, at : at + 4_096].T)
             self.column += [found.setdefault(x.tobytes(), len(found)) for x in part]
-        self.row, self.bits, self.height = rows, b"".join(found), len(table)
+        self.row, self.height = rows, len(table)
         self.merges = []
-        del table, found
+        del table, part
+        self.bits = b"".join(found)
+        del found
         release()
-        return self
 
     def allows(self, state: int, label: int) -> bool:
         """Whether the state reached by one label has an arc with the other."""
