@@ -147,10 +147,18 @@ def _nodes(s, d):
     return p.select(F.col("p_partkey").alias("node"), F.when(F.col("p_partkey") % 10 > 0, F.col("p_partkey") - 1).alias("parent"), F.when(F.col("p_partkey") % 10 == 0, F.concat("p_size", F.lit("00"))).alias("code"))
 
 
+def _two_matches(s, d):
+    """A fuzzy and a vector match of each part; some have none of a kind."""
+    p, size = table(s, d, "part"), F.col("p_size")
+    fuzzy = p.select("p_partkey", F.when(size > 10, F.col("p_name")).alias("name"), F.when(size > 10, size / 50).alias("score"))
+    other = F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise("other")
+    return fuzzy, p.select("p_partkey", F.when(size < 45, other).alias("name"), F.when(size < 45, 0.55).alias("score"))
+
+
 def _agreement(s, d):
     o = table(s, d, "orders")
     x = o.select("o_orderkey", F.col("o_orderpriority").alias("label"), (F.col("o_custkey") % 7).alias("code"), F.col("o_orderstatus").alias("confidence"))
-    y = o.where("o_orderkey % 3 > 0").select("o_orderkey", F.when(F.col("o_custkey") % 2 == 0, F.col("o_orderpriority")).otherwise("x").alias("label"), (F.col("o_orderkey") % 7).alias("code"), F.when(F.col("o_totalprice") > 250000, "F").otherwise("O").alias("confidence"))
+    y = o.select("o_orderkey", F.when(F.col("o_custkey") % 2 == 0, F.col("o_orderpriority")).otherwise("x").alias("label"), (F.col("o_orderkey") % 7).alias("code"), F.when(F.col("o_totalprice") > 250000, "F").otherwise("O").alias("confidence"))
     return m.method_agreement(x, y, "o_orderkey")
 
 
@@ -249,9 +257,9 @@ QUERIES = {
         "h AS (SELECT l_suppkey, p_brand, count(DISTINCT c) AS found FROM s JOIN k USING (s) JOIN c USING (c) GROUP BY 1, 2) SELECT h.l_suppkey, h.p_brand, found, size, round(found * 100.0::DOUBLE / size, 2) AS share_pct FROM h JOIN (SELECT p_brand, count(*) AS size FROM c GROUP BY 1) USING (p_brand)",
     ),
     "m16_cascade": (
-        lambda s, d: m.cascade(table(s, d, "part").where("p_size > 10").select("p_partkey", F.col("p_name").alias("name"), (F.col("p_size") / 50).alias("score")), table(s, d, "part").where("p_size < 45").select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise("other").alias("name"), F.lit(0.55).alias("score")), "p_partkey"),
+        lambda s, d: m.cascade(*_two_matches(s, d), "p_partkey"),
         "WITH r AS (SELECT p_partkey, CASE WHEN p_size > 10 THEN p_name END AS f, CASE WHEN p_size > 10 THEN p_size / 50 END AS fs, CASE WHEN p_size < 45 THEN CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE 'other' END END AS v, CASE WHEN p_size < 45 THEN 0.55::DOUBLE END AS vs FROM part) "
-        "SELECT p_partkey, CASE WHEN fs >= 0.8 THEN f ELSE coalesce(v, f) END AS name, CASE WHEN fs >= 0.8 THEN 'fuzzy' WHEN v IS NOT NULL THEN 'vector' WHEN f IS NOT NULL THEN 'weak' ELSE 'none' END AS method, round(least(1.0::DOUBLE, CASE WHEN fs >= 0.8 THEN fs ELSE coalesce(vs, fs) END + CASE WHEN f = v THEN 0.1::DOUBLE ELSE 0 END), 4) AS score FROM r WHERE f IS NOT NULL OR v IS NOT NULL",
+        "SELECT p_partkey, CASE WHEN fs >= 0.8 THEN f ELSE coalesce(v, f) END AS name, CASE WHEN fs >= 0.8 THEN 'fuzzy' WHEN v IS NOT NULL THEN 'vector' WHEN f IS NOT NULL THEN 'weak' ELSE 'none' END AS method, round(least(1.0::DOUBLE, CASE WHEN fs >= 0.8 THEN fs ELSE coalesce(vs, fs) END + CASE WHEN f = v THEN 0.1::DOUBLE ELSE 0 END), 4) AS score FROM r",
     ),
     "m17_coded_ancestor": (
         lambda s, d: m.coded_ancestor(_nodes(s, d), "node", "parent", "code"),
@@ -279,6 +287,6 @@ QUERIES = {
     ),
     "m22_method_agreement": (
         _agreement,
-        "SELECT o_orderstatus AS confidence_a, CASE WHEN o_totalprice > 250000 THEN 'F' ELSE 'O' END AS confidence_b, count(*) AS n, count(*) FILTER (WHERE o_custkey % 2 = 0) AS same_label, count(*) FILTER (WHERE o_custkey % 7 = o_orderkey % 7) AS same_code FROM orders WHERE o_orderkey % 3 > 0 GROUP BY 1, 2",
+        "SELECT o_orderstatus AS confidence_a, CASE WHEN o_totalprice > 250000 THEN 'F' ELSE 'O' END AS confidence_b, count(*) AS n, count(*) FILTER (WHERE o_custkey % 2 = 0) AS same_label, count(*) FILTER (WHERE o_custkey % 7 = o_orderkey % 7) AS same_code FROM orders GROUP BY 1, 2",
     ),
 }
