@@ -77,3 +77,17 @@ def test_keys_keep_all_letters(spark):
     assert got == ["straße groß", "łodz naive cafe", "елки палки київ".replace("ї", "і"), "東京 タワー", "abc 123", "ete", "nandu_x", "ελλαδα ας", "العربية", "", None, "istanbul"]
     words = df.select(any_word(F.lower("t"), ["палки", "стр", "groß"]).alias("x")).collect()
     assert [r["x"] for r in words] == [True, False, True, *[False] * 7, None, False]
+
+
+def test_like_pairs_of_texts_that_begin_alike(spark):
+    """No pair is missed, at lengths of either kind of key, and a common beginning makes no candidates."""
+    rnd = random.Random(5)
+    some = sorted({"".join(rnd.choices("ab", k=rnd.randrange(1, 14))) for _ in range(150)} | {"b" * 40 + "".join(rnd.choices("ab", k=6)) for _ in range(20)})
+    t = spark.createDataFrame([(x,) for x in some], "k string")
+    edits = t.select(F.col("k").alias("x")).crossJoin(t.select(F.col("k").alias("y"))).where("x < y").select("x", "y", F.levenshtein("x", "y").alias("e")).collect()
+    for least in (0.9, 0.75, 0.6):
+        want = {(r["x"], r["y"]) for r in edits if 1 - r["e"] / max(len(r["x"]), len(r["y"])) >= least}
+        assert want and want <= {(r["__t"], r["__n"]) for r in terms.like_pairs(t, "k", least).collect()}
+    names = spark.range(2_000).select(F.format_string("supplier %09d", F.col("id") * 7919).alias("k"))
+    assert terms.like_pairs(names, "k", 0.9).count() < 2_000
+    assert terms.like_pairs(names.limit(0), "k", 0.9).count() == 0
