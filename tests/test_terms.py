@@ -91,3 +91,14 @@ def test_like_pairs_of_texts_that_begin_alike(spark):
     names = spark.range(2_000).select(F.format_string("supplier %09d", F.col("id") * 7919).alias("k"))
     assert terms.like_pairs(names, "k", 0.9).count() < 2_000
     assert terms.like_pairs(names.limit(0), "k", 0.9).count() == 0
+
+
+def test_dictionary_meets_each_title_and_entry_once(spark, monkeypatch):
+    df = spark.range(50).select("id", F.lit("Red ring").alias("t"))
+    entries = spark.createDataFrame([(i, "ring", "red" if i % 2 else None, str(1000 + i)) for i in range(40)], "place long, term string, context string, code string")
+    seen = []
+    whole = matching.containing
+    monkeypatch.setattr(matching, "containing", lambda d, k, t, e, term: seen.append((d.count(), e.count())) or whole(d, k, t, e, term))
+    got = matching.dictionary_match(df, "id", "t", entries).collect()
+    assert seen == [(1, 2)]
+    assert len(got) == 50 and {r["code"] for r in got} == {"1001"}

@@ -148,11 +148,16 @@ def penalize(candidates: DataFrame, row: str, label: str, code: str, prefixes: M
 
 def dictionary_match(df: DataFrame, key: str, title: str, entries: DataFrame) -> DataFrame:
     """Code of the first dictionary entry (place, term, context, code) with its term in the title and
-    its context word, if it has one, too; codes that aren't of four digits don't count."""
+    its context word, if it has one, too; codes that aren't of four digits don't count. Distinct titles meet
+    the first entry of each term and context, so repeats of either cost once."""
     e = entries.where(F.col("code").rlike("^[0-9]{4}$")).select("place", F.lower("term").alias("term"), F.lower("context").alias("context"), "code")
-    found = containing(df, key, F.lower(title), e, "term")
+    e = e.groupBy("term", "context").agg(F.min(F.struct("place", "code")).alias("entry"))  # the others are never first
+    titles = df.select(F.lower(title).alias("__t")).distinct()
+    found = containing(titles, "__t", F.col("__t"), e, "term")
     hits = found.join(bounded(e), "term").where(F.col("context").isNull() | F.col("text").contains(F.col("context")))
-    return hits.groupBy(key).agg(F.min_by("code", F.struct(F.col("context").isNull(), "place")).alias("code"))
+    first = checkpointed(hits.groupBy("__t").agg(F.min(F.struct(F.col("context").isNull().alias("plain"), "entry")).alias("hit")))
+    rows = df.select(key, F.lower(title).alias("__t")).join(bounded(first), "__t")
+    return rows.groupBy(key).agg(F.min("hit").alias("hit")).select(key, F.col("hit.entry.code").alias("code"))
 
 
 def business_rule(title: Column, tasks: Column, all_of: Sequence[str] = (), any_of: Sequence[str] = (), tasks_any: Sequence[str] = (), exclude: Sequence[str] = ()) -> Column:
