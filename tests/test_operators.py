@@ -163,3 +163,15 @@ def test_streams(spark, tmp_path):
     target = VersionedTable(spark, str(tmp_path / "t"))
     streams.drain(streams.stream_upsert(streams.first_of_id(stream(), "id", "ts", "1 day"), target, ["src"], "ts", str(tmp_path / "cu")))
     assert rows(target.read(), "src", "id") == [("a", 2), ("b", 4)]
+
+
+def test_edges_are_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def see(x):
+        seen.add(1)
+        return x
+
+    edges = spark.range(10, numPartitions=1).select(F.udf(see, "long").asNondeterministic()("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert {r["component"] for r in connected_components(edges).collect()} == {0}
+    assert seen.value == 10
