@@ -175,3 +175,16 @@ def test_edges_are_computed_once(spark):
     edges = spark.range(10, numPartitions=1).select(F.udf(see, "long").asNondeterministic()("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r["component"] for r in connected_components(edges).collect()} == {0}
     assert seen.value == 10
+
+
+def test_values_that_meet_are_compared_once(spark, monkeypatch):
+    posts = spark.createDataFrame([(i, i % 3, "w", f"big ring {i % 2}" if i else None, "text", "acme", 1.0) for i in range(60)], "id long, src long, week string, title string, text string, company string, pay double")
+    pairs = dedup.candidate_pairs(dedup.prepared(posts, "title", "text", "company"), ["week"], "src", "id", ["title", "text", "company", "pay"])
+    met = []
+    kept = dedup.checkpointed
+    monkeypatch.setattr(dedup, "checkpointed", lambda df: met.append(kept(df)) or met[-1])
+    scored = dedup.score_pairs(pairs, "title", "text", "company", "pay")
+    assert [d.count() for d in met] == [5]  # four pairs of titles and one of companies, of 1,200 pairs
+    got = {(r["title_a"], r["title_b"]): r["score"] for r in scored.collect()}
+    assert scored.count() == pairs.count() == 1_200
+    assert got["big ring 0", "big ring 0"] == 1.0 and got["big ring 0", "big ring 1"] == 0.96 and got[None, "big ring 1"] is None
