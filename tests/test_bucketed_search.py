@@ -34,3 +34,22 @@ def test_clusters_take_few_buckets(spark):
     assert pairs(matching.topk_bucketed(q, df.where("id <> 9002"), 10, **kw, bits=4, radius=4)) == exact
     assert matching.topk_bucketed(q.limit(0), df, 10, **kw).count() == 0
     assert matching.topk_bucketed(q, df.limit(0), 10, **kw).count() == 0
+
+
+def test_blocks_and_copies_change_no_result(spark, monkeypatch):
+    """Equal vectors have equal scores in any block, so ties go by id."""
+    rng = np.random.default_rng(3)
+    some = rng.standard_normal((40, 24))
+    df = spark.createDataFrame([(i, some[i % 40].tolist()) for i in range(600)] + [(900, [0.0] * 24), (901, None)], "id long, v array<double>")
+    q = df.where("id % 20 = 0")
+    kw = {"query_id": "id", "item_id": "id", "vector": "v"}
+    unit = some / np.linalg.norm(some, axis=1, keepdims=True)
+    want = set()
+    for i in range(0, 600, 20):
+        near = np.round(unit @ unit[i % 40], 9)
+        want |= {(i, j) for j in sorted(range(600), key=lambda j: (-near[j % 40], j))[:10]}
+    for block in (4_000, 37):
+        monkeypatch.setattr(matching, "QUERY_BLOCK", block)
+        monkeypatch.setattr(matching, "ITEM_BLOCK", block)
+        assert pairs(matching.topk_cosine(q, df, 10, **kw)) == want
+        assert pairs(matching.topk_bucketed(q, df, 10, **kw, bits=3, radius=3)) == want

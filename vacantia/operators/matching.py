@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 import numpy as np
@@ -19,8 +19,9 @@ from vacantia.operators.terms import begun_by, bounded, containing, like_texts
 from vacantia.sources.scratch import checkpointed
 from vacantia.sources.versioned import VersionedTable
 
-#: Query vectors and catalogue vectors that are multiplied with each other at once.
-QUERY_BLOCK, ITEM_BLOCK = 2_000, 4_000
+#: Query vectors and catalogue vectors of a task's group; queries that are multiplied with it at once,
+#: and pairs that are multiplied one by one.
+QUERY_BLOCK, ITEM_BLOCK, QUERY_ROWS, SCORED_ROWS = 4_000, 8_000, 128, 20_000
 #: Hyperplanes of the bucketed search, and how many of them a probed bucket may differ in.
 PLANES, RADIUS = 8, 5
 
@@ -31,9 +32,14 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,
     return df.withColumn(name, rank).where(F.col(name) <= n)
 
 
-def _unit(vectors) -> np.ndarray:
-    m = np.array(vectors, dtype=np.float64)
-    n = np.linalg.norm(m, axis=1, keepdims=True)
+def _unit(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows of length 1; NaN where they have none."""
+    flat = vectors.combine_chunks()
+    sizes = np.diff(flat.offsets.to_numpy())
+    if len(set(sizes.tolist())) > 1:
+        raise ValueError("vectors of different lengths have no cosine")
+    m = flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+    n = np.sqrt((m * m).sum(axis=1, keepdims=True))
     return np.divide(m, n, out=np.full_like(m, np.nan), where=n > 0)
 
 
@@ -42,32 +48,43 @@ def _vectors(df: DataFrame, key: str, vector: str, name: str) -> DataFrame:
     return rows.where("v IS NOT NULL")
 
 
-def _packs(df: DataFrame, key: str, rows: int, ids: str, vectors: str, by: Sequence[str] = ()) -> DataFrame:
-    """About ``rows`` rows a pack, dealt by the hash of their id, each pack of one value of ``by``."""
-    if by:
-        packs = bounded(df.groupBy(*by).agg(F.ceil(F.count("*") / rows).alias("packs")))
-        df = df.join(packs, list(by))
-    else:
-        df = df.withColumn("packs", F.lit(max(1, -(-df.count() // rows))))
-    pack = F.pmod(F.xxhash64(key), F.col("packs")).alias("pack")
-    return df.groupBy(*by, pack).agg(F.collect_list(key).alias(ids), F.collect_list("v").alias(vectors)).drop("pack")
-
-
-def _best(pairs: DataFrame, k: int) -> DataFrame:
-    """The k best of each query over pairs of packs (ids, vectors, items, vs); each pair of packs
-    returns k rows a query at most."""
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                items, ids = np.array(row["items"]), np.array(row["ids"])
-                scores = _unit(row["vectors"]) @ _unit(row["vs"]).T
-                order = np.lexsort((np.broadcast_to(items, scores.shape), -np.nan_to_num(scores, nan=-9.0)), axis=1)[:, :k]
-                found = np.take_along_axis(scores, order, axis=1)
-                keep = ~np.isnan(found)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, order.shape[1])[keep.ravel()]), pa.array(items[order][keep]), pa.array(found[keep])], names=["query_id", "item_id", "score"])
-
-    best = pairs.select("ids", "vectors", "items", "vs").mapInArrow(search, "query_id long, item_id long, score double")
+def _packs(df: DataFrame, rows: int, packs: str) -> DataFrame:
+    """Packs of about ``rows`` rows in each bucket ``code``."""
+    return bounded(df.groupBy("code").agg(F.ceil(F.count("*") / rows).alias(packs)))
+
+
+def _best(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """The k best items (item_id, code, v) of each query (query_id, code, v) with its code. In each
+    bucket packs of queries meet packs of items, as groups of plain rows of which a task holds one;
+    each returns k rows a query at most."""
+    sizes = _packs(queries, QUERY_BLOCK, "query_packs").join(_packs(items, ITEM_BLOCK, "item_packs"), "code")
+    sizes = bounded(checkpointed(sizes))
+    own = lambda key, packs: F.pmod(F.xxhash64(key), F.col(packs))
+    every = lambda packs: F.explode(F.sequence(F.lit(0).cast("long"), F.col(packs) - 1))
+    q = queries.join(sizes, "code").select("code", "query_id", "v", own("query_id", "query_packs").alias("p"), every("item_packs").alias("r"))
+    c = items.join(sizes, "code").select("code", "item_id", "v", every("query_packs").alias("p"), own("item_id", "item_packs").alias("r"))
+
+    def search(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        ids, found_ids, items, scores = mine["query_id"].to_numpy(), [], [], []
+        if len(mine) and len(theirs):
+            a, b, names = _unit(mine["v"]), _unit(theirs["v"]), theirs["item_id"].to_numpy()
+            fit = ~np.isnan(b).any(axis=1)
+            b, names = b[fit], names[fit]
+            for at in range(0, len(a) if len(b) else 0, QUERY_ROWS):
+                near = a[at : at + QUERY_ROWS] @ b.T
+                least = np.partition(near, len(b) - k, axis=1)[:, len(b) - k] if len(b) > k else np.full(len(near), -2.0)
+                # products of blocks differ in their last bits: what is as near is computed again, row by row
+                row, col = np.nonzero(near >= least[:, None] - 1e-9)
+                score = np.concatenate([(a[at + row[i : i + SCORED_ROWS]] * b[col[i : i + SCORED_ROWS]]).sum(axis=1) for i in range(0, len(row), SCORED_ROWS)] or [np.zeros(0)])
+                order = np.lexsort((names[col], -score, row))
+                place = np.arange(len(order)) - np.searchsorted(row[order], row[order])
+                order = order[place < k]
+                found_ids.append(ids[at + row[order]]), items.append(names[col[order]]), scores.append(score[order])
+        none = np.zeros(0, dtype=np.int64)
+        return pa.table({"query_id": np.concatenate([none, *found_ids]), "item_id": np.concatenate([none, *items]), "score": np.concatenate([none.astype(np.float64), *scores])})
+
+    keys = ("code", "p", "r")
+    best = q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInArrow(search, "query_id long, item_id long, score double")
     return ranked(best, ["query_id"], [F.desc("score"), F.asc("item_id")], k)
 
 
@@ -75,8 +92,8 @@ def topk_cosine(queries: DataFrame, catalogue: DataFrame, k: int, query_id: str
     """(query_id, item_id, score, rank): the k most similar vectors of a stated query set against all
     of a catalogue. Blocks of queries meet blocks of the catalogue. Vectors of length zero and nulls
     match nothing; ties go by item id."""
-    packed = _packs(_vectors(queries, query_id, vector, "query_id"), "query_id", QUERY_BLOCK, "ids", "vectors")
-    return _best(_packs(_vectors(catalogue, item_id, vector, "item_id"), "item_id", ITEM_BLOCK, "items", "vs").crossJoin(packed), k)  # the query set, block by block
+    q, c = _vectors(queries, query_id, vector, "query_id"), _vectors(catalogue, item_id, vector, "item_id")
+    return _best(q.withColumn("code", F.lit(0)), c.withColumn("code", F.lit(0)), k)  # the query set, block by block
 
 
 def plane_codes(v: Column, bits: int, seed: int = 1) -> Column:
@@ -89,7 +106,7 @@ def plane_codes(v: Column, bits: int, seed: int = 1) -> Column:
         for n in set(sizes.tolist()) - {0}:  # one length, as a rule
             rows = np.flatnonzero(sizes == n)
             planes = np.random.default_rng([seed, n]).standard_normal((n, bits))
-            side = np.array([vectors[int(i)].as_py() for i in rows], dtype=np.float64) @ planes > 0
+            side = vectors.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), n) @ planes > 0
             out[rows] = side @ (1 << np.arange(bits))
         return pa.array(out)
 
@@ -106,8 +123,7 @@ def topk_bucketed(queries: DataFrame, catalogue: DataFrame, k: int, query_id: st
     c = _vectors(catalogue, item_id, vector, "item_id").withColumn("code", plane_codes(F.col("v"), bits, seed))
     masks = [m for m in range(1 << bits) if m.bit_count() <= radius]
     probes = q.withColumn("code", F.explode(F.transform(F.array(*map(F.lit, masks)), lambda m: F.col("code").bitwiseXOR(m))))
-    packed = _packs(probes, "query_id", QUERY_BLOCK, "ids", "vectors", ["code"])
-    return _best(_packs(c, "item_id", ITEM_BLOCK, "items", "vs", ["code"]).join(packed, "code"), k)
+    return _best(probes, c, k)
 
 
 def match_texts(hits: DataFrame, row: str, text_order: str, label: str, score: str, least: float = 0.55) -> DataFrame:
