@@ -188,3 +188,11 @@ def test_values_that_meet_are_compared_once(spark, monkeypatch):
     got = {(r["title_a"], r["title_b"]): r["score"] for r in scored.collect()}
     assert scored.count() == pairs.count() == 1_200
     assert got["big ring 0", "big ring 0"] == 1.0 and got["big ring 0", "big ring 1"] == 0.96 and got[None, "big ring 1"] is None
+
+
+def test_ranked_occupations_take_one_shuffle_after_the_join(spark):
+    skills = spark.createDataFrame([(1, "s", 1.0, 1.0, 1.0)], "row long, skill string, score double, origin_weight double, generic_weight double")
+    links = spark.createDataFrame([("s", "o", 1.0)], "skill string, occupation string, link_weight double")
+    plan = matching.rank_occupations(skills, links.hint("broadcast"), "row", "skill", "occupation", 5)
+    assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange hash") == 1
+    assert [tuple(r) for r in plan.collect()] == [(1, "o", 1.0, "s", 1, 1)]

@@ -141,25 +141,35 @@ def skill_weight(skill: Column, generic: Sequence[str], context: Mapping[str, fl
     return first_match([(hit, F.lit(low)), *[(key.contains(w), F.lit(v)) for w, v in context.items()]], F.lit(1.0))
 
 
-def rank_occupations(skills: DataFrame, links: DataFrame, row: str, skill: str, occupation: str, n: int) -> DataFrame:
-    """Occupations of a row's skills: sum of score, link, origin and generic weights; matched skills."""
+def _dealt(df: DataFrame, parts: int | None, *keys: str) -> DataFrame:
+    return df.repartition(parts, *keys) if parts else df
+
+
+def rank_occupations(skills: DataFrame, links: DataFrame, row: str, skill: str, occupation: str, n: int, parts: int | None = None) -> DataFrame:
+    """Occupations of a row's skills: sum of score, link, origin and generic weights; matched skills.
+    One shuffle by row serves sums, sets and ranks; ``parts`` are its partitions, for tasks of one size."""
     points = F.col("score") * F.col("link_weight") * F.col("origin_weight") * F.col("generic_weight")
-    hits = skills.join(links, skill).groupBy(row, occupation).agg(F.sum(points.cast("decimal(18,6)")).cast("double").alias("score"), F.array_join(F.array_sort(F.collect_set(skill)), ",").alias("matched"), F.count_distinct(skill).alias("n_matched"))
-    return ranked(hits, [row], [F.desc("score"), F.asc(occupation)], n)
+    found = skills.join(links, skill).select(row, occupation, skill, points.cast("decimal(18,6)").alias("points"))
+    dealt = found.repartition(parts, row) if parts else found.repartition(row)
+    hits = dealt.groupBy(row, occupation).agg(F.sum("points").cast("double").alias("score"), F.sort_array(F.collect_set(skill)).alias("set"))
+    best = ranked(hits, [row], [F.desc("score"), F.asc(occupation)], n)
+    return best.select(row, occupation, "score", F.array_join("set", ",").alias("matched"), F.size("set").cast("long").alias("n_matched"), "rank")
 
 
-def combine_candidates(a: DataFrame, b: DataFrame, row: str, label: str, weight: float = 0.6) -> DataFrame:
-    """Two candidate lists as one: the first one's scores are scaled by the row's highest."""
+def combine_candidates(a: DataFrame, b: DataFrame, row: str, label: str, weight: float = 0.6, parts: int | None = None) -> DataFrame:
+    """Two candidate lists as one: the first one's scores are scaled by the row's highest. They meet in
+    ``parts`` partitions."""
     scaled = a.withColumn("sa", F.try_divide("score", F.max("score").over(Window.partitionBy(row)))).select(row, label, "sa")
-    both = scaled.join(b.select(row, label, F.col("score").alias("sb")), [row, label], "full")
+    both = _dealt(scaled, parts, row, label).join(_dealt(b.select(row, label, F.col("score").alias("sb")), parts, row, label), [row, label], "full")
     return both.select(row, label, half_up(weight * F.coalesce("sa", F.lit(0.0)) + (1 - weight) * F.coalesce("sb", F.lit(0.0)), 9).alias("score"))
 
 
-def penalize(candidates: DataFrame, row: str, label: str, code: str, prefixes: Mapping[str, float], level: Column) -> DataFrame:
-    """Scores less the penalties of their code's prefix and of the level, floored at 0, ranked again."""
+def penalize(candidates: DataFrame, row: str, label: str, code: str, prefixes: Mapping[str, float], level: Column, parts: int | None = None) -> DataFrame:
+    """Scores less the penalties of their code's prefix and of the level, floored at 0, ranked again in
+    ``parts`` partitions."""
     by_code = first_match([(F.col(code).startswith(p), F.lit(v)) for p, v in prefixes.items()], F.lit(0.0))
     out = candidates.withColumn("score", half_up(F.greatest(F.lit(0.0), F.col("score") - by_code - level), 9))
-    return ranked(out, [row], [F.desc("score"), F.asc(label)], 2**31)
+    return ranked(_dealt(out, parts, row), [row], [F.desc("score"), F.asc(label)], 2**31)
 
 
 def dictionary_match(df: DataFrame, key: str, title: str, entries: DataFrame) -> DataFrame:

@@ -58,10 +58,19 @@ POINTS = f"(SELECT l_orderkey, p_brand, sum((score * link_weight * origin_weight
 RANKED = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, p_brand) AS rank FROM {POINTS}) WHERE rank <= 5)"
 
 
+#: Lines of orders of a partition.
+PART_LINES = 250_000
+
+
+def _parts(s, d):
+    """Partitions that hold so many lines each, so that tasks don't grow with the table."""
+    return max(int(s.conf.get("spark.sql.shuffle.partitions")), table(s, d, "lineitem").count() // PART_LINES)
+
+
 def _ranked(s, d):
     skills = _skills(s, d).withColumn("l_partkey", F.col("l_partkey").cast("string"))
     links = _links(s, d).withColumn("l_partkey", F.col("l_partkey").cast("string"))
-    return m.rank_occupations(skills, links, "l_orderkey", "l_partkey", "p_brand", 5)
+    return m.rank_occupations(skills, links, "l_orderkey", "l_partkey", "p_brand", 5, _parts(s, d))
 
 
 def _by_title(s, d):
@@ -80,12 +89,12 @@ COMBINED = (
 
 
 def _combined(s, d):
-    return m.combine_candidates(_ranked(s, d), _by_title(s, d), "l_orderkey", "p_brand")
+    return m.combine_candidates(_ranked(s, d), _by_title(s, d), "l_orderkey", "p_brand", parts=_parts(s, d))
 
 
 def _penalized(s, d):
     rows = _combined(s, d).withColumn("code", F.regexp_extract("p_brand", "([0-9]+)", 1))
-    return m.penalize(rows, "l_orderkey", "p_brand", "code", {"1": 0.2, "24": 0.5}, F.when(F.col("l_orderkey") % 2 == 0, 0.1).otherwise(0.0))
+    return m.penalize(rows, "l_orderkey", "p_brand", "code", {"1": 0.2, "24": 0.5}, F.when(F.col("l_orderkey") % 2 == 0, 0.1).otherwise(0.0), _parts(s, d))
 
 
 PENALIZED = (
