@@ -45,3 +45,15 @@ def test_whole_table_against_all_pairs(spark):
     want |= {(first[s], i): 1.0 for i, s in rows if first[s] != i}
     got = {(r["a"], r["b"]): r["likeness"] for r in dedup_queries.QUERIES["d03_minhash"][0](spark, d).collect()}
     assert got == want and len(want) > 100
+
+
+def test_signatures_are_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def see(i):
+        seen.add(1)
+        return [i % 3] * 4
+
+    df = spark.range(12, numPartitions=2).select("id", F.udf(see, "array<long>").asNondeterministic()("id").alias("s"))
+    assert dedup.minhash_pairs(df, "id", "s", 0.5, perms=4).count() == 9
+    assert seen.value == 12
