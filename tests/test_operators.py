@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vacantia.functions.rules import Rule, Test
 from vacantia.operators import dedup, extract, ingest, lifecycle, matching, normalize, quality, report, runs
 from vacantia.operators.components import connected_components
+from vacantia.plans import matching_queries, report_queries
 from vacantia.sources.versioned import VersionedTable
 from vacantia.streaming import streams
 
@@ -196,3 +197,17 @@ def test_ranked_occupations_take_one_shuffle_after_the_join(spark):
     plan = matching.rank_occupations(skills, links.hint("broadcast"), "row", "skill", "occupation", 5)
     assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange hash") == 1
     assert [tuple(r) for r in plan.collect()] == [(1, "o", 1.0, "s", 1, 1)]
+
+
+def test_overlap_pairs_deal_ids_and_pairs_over_the_parts(spark):
+    df = spark.createDataFrame([(1, 7), (2, 7), (2, 7), (3, 7), (1, 8), (2, 8), (None, 8), (4, 9), (1, None), (2, None), (3, None)], "w long, id long")
+    pairs = report.overlap_pairs(df, "w", "id", 2, 9)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == plan.count(", 9), REPARTITION_BY_NUM") == 2
+    assert [tuple(r) for r in pairs.collect()] == [(1, 2, 2), (1, 3, 1)]
+
+
+def test_overlap_pairs_take_partitions_by_the_lines(spark, monkeypatch):
+    monkeypatch.setattr(matching_queries, "PART_LINES", 2_000)
+    plan = report_queries.QUERIES["a25_overlap_pairs"][0](spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(", 30), REPARTITION_BY_NUM") == 2

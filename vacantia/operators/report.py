@@ -220,11 +220,17 @@ def keyword_overlap(df: DataFrame, keyword: str, key: str) -> DataFrame:
     return out.withColumns({"shared": F.col("ids") - F.col("only_here"), "redundancy_pct": percent(F.col("ids") - F.col("only_here"), F.col("ids"))})
 
 
-def overlap_pairs(df: DataFrame, keyword: str, key: str, n: int) -> DataFrame:
-    """Pairs of keywords with the most ids in common. Each id yields the pairs of its keywords."""
-    by_id = df.groupBy(key).agg(F.array_sort(F.collect_set(keyword)).alias("k"))
-    pairs = by_id.select(F.explode("k").alias("a"), "k").select("a", F.explode(F.filter("k", lambda x: x > F.col("a"))).alias("b"))
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "a", "b").limit(n)
+def overlap_pairs(df: DataFrame, keyword: str, key: str, n: int, parts: int | None = None) -> DataFrame:
+    """Pairs of keywords with the most ids in common. Each id yields the pairs of its keywords; rows
+    without an id have none in common. Ids are dealt over ``parts`` partitions by buckets, pairs are
+    counted by bucket where they are, and only these counts are dealt again."""
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bucket = F.pmod(F.xxhash64(key), F.lit(64 * parts)).alias("__bucket")
+    dealt = df.where(F.col(key).isNotNull()).select(bucket, key, keyword).repartition(parts, "__bucket")
+    by_id = dealt.groupBy("__bucket", key).agg(F.array_sort(F.collect_set(keyword)).alias("k"))
+    pairs = by_id.select("__bucket", F.posexplode("k").alias("at", "a"), "k").select("__bucket", "a", F.explode(F.slice("k", F.col("at") + 2, F.size("k"))).alias("b"))
+    counts = pairs.groupBy("__bucket", "a", "b").agg(F.count("*").alias("n")).repartition(parts, "a", "b")
+    return counts.groupBy("a", "b").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a", "b").limit(n)
 
 
 def snapshot_metrics(df: DataFrame, status: str, score: str) -> DataFrame:

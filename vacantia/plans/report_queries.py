@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vacantia.operators import report
+from vacantia.plans.matching_queries import _parts
 from vacantia.sources.tables import table
 
 AS_OF = "2024-01-28"
@@ -181,7 +182,7 @@ QUERIES = {
         "SELECT l_suppkey, count(*) AS ids, count(*) FILTER (WHERE k = 1) AS only_here, count(*) FILTER (WHERE k > 1) AS shared, round(count(*) FILTER (WHERE k > 1) * 100.0::DOUBLE / count(*), 2) AS redundancy_pct FROM p JOIN k USING (l_orderkey) GROUP BY 1",
     ),
     "a25_overlap_pairs": (
-        lambda s, d: report.overlap_pairs(table(s, d, "lineitem"), "l_suppkey", "l_orderkey", 30),
+        lambda s, d: report.overlap_pairs(table(s, d, "lineitem"), "l_suppkey", "l_orderkey", 30, _parts(s, d)),
         "WITH p AS (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem) SELECT x.l_suppkey AS a, y.l_suppkey AS b, count(*) AS n FROM p x JOIN p y ON x.l_orderkey = y.l_orderkey AND x.l_suppkey < y.l_suppkey GROUP BY 1, 2 ORDER BY n DESC, a, b LIMIT 30",
     ),
     "a26_snapshot_metrics": (
