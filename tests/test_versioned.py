@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vacantia.operators.ingest import append_into, replace_into, upsert_into
-from vacantia.sources.time_ranges import time_range_stream, write_ranges
+from vacantia.sources.time_ranges import START, TimeRangeSource, time_range_stream, write_ranges
 from vacantia.sources.versioned import Version, VersionedTable
 from vacantia.streaming import streams
 
@@ -94,3 +94,23 @@ def test_ranges_come_in_order_and_in_parallel(spark, tmp_path):
     seen.clear()
     run("c")  # from the checkpoint: only the new range
     assert seen == [(3991, 3999, 9)]
+
+
+def test_many_ranges_go_into_few_batches_unless_they_are_large(spark, tmp_path):
+    path = f"file:{tmp_path}/in"
+    df = spark.range(200).select("id", F.timestamp_seconds(F.col("id") * 60).alias("ts"))
+    write_ranges(df, "ts", path, 60)
+
+    def batches(**limits):
+        options = {"path": path, "schema": df.schema.json(), "progress": f"file:{tmp_path}/{'-'.join(limits.values())}-range", **limits}
+        reader, ends, files = TimeRangeSource(options).streamReader(df.schema), [{"range": START}], []
+        while (end := reader.latestOffset()) != ends[-1]:
+            files += [f.value for f in reader.partitions(ends[-1], end)]
+            ends.append(end)
+        assert len(files) == len(set(files)) >= 200  # each file once
+        return [e["range"] for e in ends[1:]]
+
+    assert batches() == [*range(12, 199, 13), 199]
+    assert batches(ranges="50") == [49, 99, 149, 199]
+    assert batches(size="1") == list(range(200))  # a range has more bytes
+    assert batches(ranges="4", size="1") == list(range(3, 200, 4))

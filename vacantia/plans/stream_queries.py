@@ -13,7 +13,7 @@ from vacantia.sources.versioned import VersionedTable
 from vacantia.streaming import streams
 
 
-#: Seconds of a range of the feed, and ranges a batch.
+#: Seconds of a range of the feed, and ranges a batch at least.
 RANGE_SECONDS, RANGES = 5 * 86_400, 1
 
 

@@ -2,14 +2,16 @@
 
 ``write_ranges`` deals a table out into folders by ranges of time, in one parallel job. The source
 then offers some ranges at a time, the files of each range to as many tasks, so a batch is read in
-parallel and no row comes after a batch of a later range. Offsets are ranges. The last range of the
-batch that was planned last is noted in a small file beside the query's checkpoint, so a query that
-starts again goes on from there.
+parallel and no row comes after a batch of a later range. Each batch has a cost of its own, so many
+ranges go into few batches, and only more bytes make more batches. Offsets are ranges. The last
+range of the batch that was planned last is noted in a small file beside the query's checkpoint, so
+a query that starts again goes on from there.
 """
 
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -34,16 +36,25 @@ def write_ranges(df: DataFrame, ts: str, path: str, seconds: int) -> None:
 #: Before all ranges.
 START = -(2**63)
 
+#: Batches for the ranges that are known, and bytes of files a batch, unless one range has more.
+BATCHES, BATCH_BYTES = 16, 128 * 2**20
+
 
 class TimeRangeReader(DataSourceStreamReader):
-    def __init__(self, path: str, schema: T.StructType, ranges: int, progress: str):
+    def __init__(self, path: str, schema: T.StructType, ranges: int, progress: str, batches: int, size: int):
         self.path, self.schema, self.ranges, self.progress = path, schema, ranges, progress
+        self.batches, self.size = batches, size
         self.offered: int | None = None
 
-    def _known(self) -> list[int]:
+    def _known(self) -> dict[int, list[pafs.FileInfo]]:
+        """The files of each range, in order of the ranges."""
         fs, at = pafs.FileSystem.from_uri(self.path)
-        found = fs.get_file_info(pafs.FileSelector(at, allow_not_found=True))
-        return sorted(int(f.base_name.split("=")[1]) for f in found if f.base_name.startswith(f"{RANGE}="))
+        found: dict[int, list[pafs.FileInfo]] = {}
+        for f in fs.get_file_info(pafs.FileSelector(at, allow_not_found=True, recursive=True)):
+            folder, _, name = f.path.removeprefix(at.rstrip("/") + "/").partition("/")
+            if folder.startswith(f"{RANGE}=") and name.endswith(".parquet"):
+                found.setdefault(int(folder.split("=")[1]), []).append(f)
+        return dict(sorted(found.items()))
 
     def _planned(self) -> int:
         fs, at = pafs.FileSystem.from_uri(self.progress)
@@ -58,7 +69,13 @@ class TimeRangeReader(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         if self.offered is None:
             self.offered = self._planned()
-        self.offered = ([r for r in self._known() if r > self.offered][: self.ranges] or [self.offered])[-1]
+        known = self._known()
+        most, held = max(self.ranges, math.ceil(len(known) / self.batches)), 0
+        for i, r in enumerate([r for r in known if r > self.offered][:most]):
+            held += sum(f.size for f in known[r])
+            if i >= self.ranges and held > self.size:
+                break
+            self.offered = r
         return {"range": self.offered}
 
     def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
@@ -66,13 +83,7 @@ class TimeRangeReader(DataSourceStreamReader):
         fs.create_dir(at.rsplit("/", 1)[0])
         with fs.open_output_stream(at) as file:
             file.write(str(end["range"]).encode())
-        fs, at = pafs.FileSystem.from_uri(self.path)
-        out = []
-        for r in self._known():
-            if start["range"] < r <= end["range"]:
-                files = fs.get_file_info(pafs.FileSelector(f"{at}/{RANGE}={r}"))
-                out += [InputPartition(f.path) for f in files if f.base_name.endswith(".parquet")]
-        return out
+        return [InputPartition(f.path) for r, files in self._known().items() if start["range"] < r <= end["range"] for f in files]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         fs, _ = pafs.FileSystem.from_uri(self.path)
@@ -86,8 +97,10 @@ class TimeRangeReader(DataSourceStreamReader):
 
 
 class TimeRangeSource(DataSource):
-    """Options: ``path``, ``schema`` (JSON of the rows), ``ranges``, how many a batch takes, and
-    ``progress``, the file of the last planned range."""
+    """Options: ``path``, ``schema`` (JSON of the rows), ``progress``, the file of the last planned
+    range, ``ranges``, how many a batch takes at least, ``batches``, into how many the known ranges
+    go if they are more, and ``size``, the bytes of files beyond which a batch takes no more than
+    ``ranges``."""
 
     @classmethod
     def name(cls) -> str:
@@ -97,11 +110,12 @@ class TimeRangeSource(DataSource):
         return T.StructType.fromJson(json.loads(self.options["schema"]))
 
     def streamReader(self, schema: T.StructType) -> TimeRangeReader:
-        return TimeRangeReader(self.options["path"], schema, int(self.options.get("ranges", "1")), self.options["progress"])
+        numbers = {k: int(self.options.get(k, v)) for k, v in {"ranges": 1, "batches": BATCHES, "size": BATCH_BYTES}.items()}
+        return TimeRangeReader(self.options["path"], schema, progress=self.options["progress"], **numbers)
 
 
 def time_range_stream(spark: SparkSession, path: str, schema: T.StructType, checkpoint: str, ranges: int = 1) -> DataFrame:
-    """The rows that ``write_ranges`` dealt out, so many ranges a batch, for a query with a
+    """The rows that ``write_ranges`` dealt out, so many ranges a batch or more, for a query with a
     checkpoint in a folder."""
     spark.dataSource.register(TimeRangeSource)
     options = {"path": path, "schema": schema.json(), "ranges": str(ranges), "progress": f"{checkpoint}-range"}
