@@ -1,12 +1,13 @@
 """Edge frames: nulls, ties, empty tables, skewed and repeated rows."""
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from vacantia.functions.rules import Rule, Test
-from vacantia.operators import dedup, extract, ingest, lifecycle, matching, normalize, quality, report, runs
+from vacantia.operators import components, dedup, extract, ingest, lifecycle, matching, normalize, quality, report, runs
 from vacantia.operators.components import connected_components
 from vacantia.plans import matching_queries, report_queries
 from vacantia.sources.versioned import VersionedTable
@@ -178,6 +179,18 @@ def test_edges_are_computed_once(spark):
     assert seen.value == 10
 
 
+def test_components_of_a_long_path_take_few_rounds_and_keep_their_size(spark, monkeypatch):
+    """The size that Spark estimates for the labels had some million digits after a dozen rounds."""
+    rounds = []
+    total = components._total
+    monkeypatch.setattr(components, "_total", lambda labels: rounds.append(len(str(labels._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))) or total(labels))
+    ids = random.Random(3).sample(range(100_000), 1_000)
+    edges = spark.createDataFrame([*zip(ids, ids[1:]), *((200_000 + i, 200_001 + i) for i in range(300))], "a long, b long")
+    got = dict(rows(connected_components(edges)))
+    assert got == dict.fromkeys(ids, min(ids)) | dict.fromkeys(range(200_000, 200_301), 200_000)
+    assert len(rounds) <= 10 and max(rounds) <= 10
+
+
 def test_values_that_meet_are_compared_once(spark, monkeypatch):
     posts = spark.createDataFrame([(i, i % 3, "w", f"big ring {i % 2}" if i else None, "text", "acme", 1.0) for i in range(60)], "id long, src long, week string, title string, text string, company string, pay double")
     pairs = dedup.candidate_pairs(dedup.prepared(posts, "title", "text", "company"), ["week"], "src", "id", ["title", "text", "company", "pay"])
