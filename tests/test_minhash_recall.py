@@ -57,3 +57,19 @@ def test_signatures_are_computed_once(spark):
     df = spark.range(12, numPartitions=2).select("id", F.udf(see, "array<long>").asNondeterministic()("id").alias("s"))
     assert dedup.minhash_pairs(df, "id", "s", 0.5, perms=4).count() == 9
     assert seen.value == 12
+
+
+def test_signatures_are_those_of_sparks_hash(spark):
+    """Also of texts that are shorter than a shingle, longer than what is hashed at once, or not ASCII;
+    and no task computes them one expression a place."""
+    rnd = random.Random(9)
+    texts = [None, "", "?!", "one", "One, two", "a b c", "b  c\td", "Ёлки-палки 東京 é ß x", "same " * 700, *(" ".join(f"w{rnd.randrange(400)}" for _ in range(n)) for n in (dedup.HASHED + 1, dedup.HASHED + 2, dedup.HASHED + 3, 900))]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    words = F.array_remove(F.split(dedup.norm_key(F.col("t")), " "), "")
+    cut = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 3), " ")))
+    place = lambda p: F.array_min(F.transform("s", lambda h: F.xxhash64(h, F.lit(p))))
+    want = df.withColumn("w", words).withColumn("s", cut).select("id", F.when(F.size("w") > 0, F.array(*map(place, range(128)))).alias("signature"))
+    got = dedup.minhash(df, "t").select("id", "signature")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert got.where("signature IS NULL").count() == 3
+    assert "ArrowEvalPython" in got._jdf.queryExecution().executedPlan().toString()
