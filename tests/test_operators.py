@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from vacantia.functions.rules import Rule, Test
 from vacantia.operators import components, dedup, extract, ingest, lifecycle, matching, normalize, quality, report, runs
 from vacantia.operators.components import connected_components
-from vacantia.plans import matching_queries, report_queries
+from vacantia.plans import dedup_queries, matching_queries, report_queries
 from vacantia.sources.versioned import VersionedTable
 from vacantia.streaming import streams
 
@@ -204,6 +204,36 @@ def test_values_that_meet_are_compared_once(spark, monkeypatch):
     assert got["big ring 0", "big ring 0"] == 1.0 and got["big ring 0", "big ring 1"] == 0.96 and got[None, "big ring 1"] is None
 
 
+def test_pairs_are_made_once_where_all_values_are_known(spark, monkeypatch):
+    """Unless these are too many to meet each other; scores are the same."""
+    posts = spark.createDataFrame([(i, i % 3, "w", f"big ring {i % 2}" if i else None, "text", "acme", 1.0) for i in range(30)], "id long, src long, week string, title string, text string, company string, pay double")
+    rows_ = dedup.prepared(posts, "title", "text", "company")
+    pairs = dedup.candidate_pairs(rows_, ["week"], "src", "id", ["title", "text", "company", "pay"])
+    seen = spark.sparkContext.accumulator(0)
+
+    def see(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    want = rows(dedup.score_pairs(pairs, "title", "text", "company", "pay"), "a", "b", "score")
+    for most, passes in ((dedup.BROADCAST_ROWS, 1), (3, 2)):
+        monkeypatch.setattr(dedup, "BROADCAST_ROWS", most)
+        before = seen.value
+        assert rows(dedup.score_pairs(pairs.mapInArrow(see, pairs.schema), "title", "text", "company", "pay", values=rows_), "a", "b", "score") == want
+        assert seen.value - before == passes * len(want) == passes * 300
+
+
+def test_offers_of_some_ids_only(spark, monkeypatch):
+    d = "/root/testdata/sf0.001"
+    whole = dedup_queries._offers(spark, d)
+    some = whole.where("id % 7 = 0").select("id")
+    want = rows(whole.where("id % 7 = 0"))
+    assert want and rows(dedup_queries._offers(spark, d, ids=some)) == want
+    monkeypatch.setattr(dedup_queries, "IDS", 1)
+    assert rows(dedup_queries._offers(spark, d, ids=some)) == want
+
+
 def test_ranked_occupations_take_one_shuffle_after_the_join(spark):
     skills = spark.createDataFrame([(1, "s", 1.0, 1.0, 1.0)], "row long, skill string, score double, origin_weight double, generic_weight double")
     links = spark.createDataFrame([("s", "o", 1.0)], "skill string, occupation string, link_weight double")
